@@ -90,3 +90,127 @@ cte("x", """SELECT *, lag(tp) OVER (PARTITION BY symbol ORDER BY t) AS ptp, clos
  greatest(close - prev, 0) AS gain, greatest(prev - close, 0) AS loss,
  coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS mfv,
  sign(coalesce(close - prev, 0)) * volume AS signed FROM x0""", "x0")
+
+# --- ledgers ---------------------------------------------------------------------------
+
+COINS = ("BTC", "ETH", "SOL", "XRP", "DOGE")
+KINDS = {("A", "F"): "open_long", ("N", "F"): "add_long", ("R", "F"): "close_long",
+         ("A", "O"): "open_short", ("N", "O"): "reduce_long", ("R", "O"): "close_short"}
+
+
+def trades(spark, d) -> DataFrame:
+    """One row per fill; profit is null on entries."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    c = F.col
+    kind = F.lit(None).cast("string")
+    for (flag, status), name in KINDS.items():
+        kind = F.when((c("l_returnflag") == flag) & (c("l_linestatus") == status), name).otherwise(kind)
+    price = c("l_extendedprice") / c("l_quantity")
+    coin = F.element_at(F.array(*[F.lit(x + "/USDT") for x in COINS]), (c("l_partkey") % 5 + 1).cast("int"))
+    exit_ = (c("l_returnflag") == "R") | ((c("l_returnflag") == "N") & (c("l_linestatus") == "O"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.concat_ws("-", F.lpad(c("l_orderkey").cast("string"), 12, "0"), c("l_linenumber").cast("string"),
+                    F.lpad(c("l_partkey").cast("string"), 10, "0"),
+                    F.lpad(c("l_suppkey").cast("string"), 10, "0")).alias("id"),
+        (c("o_custkey") % 50).alias("strategy_id"), coin.alias("symbol"), kind.alias("type"),
+        c("l_quantity").alias("amount"), price.alias("price"), (c("l_tax") * price + 0.0).alias("commission"),
+        F.when(exit_, F.round((c("l_discount") - 0.05) * c("l_extendedprice"), 2) + 0.0).alias("profit"),
+        seconds("l_shipdate").alias("t"))
+
+
+cte("trades", """SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_linenumber || '-' || lpad(CAST(l_partkey AS VARCHAR), 10, '0')
+ || '-' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS id, o_custkey % 50 AS strategy_id,
+ (['BTC','ETH','SOL','XRP','DOGE'])[l_partkey % 5 + 1] || '/USDT' AS symbol,
+ CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'open_long' WHEN 'NF' THEN 'add_long' WHEN 'RF' THEN 'close_long'
+ WHEN 'AO' THEN 'open_short' WHEN 'NO' THEN 'reduce_long' WHEN 'RO' THEN 'close_short' END AS type,
+ l_quantity AS amount, l_extendedprice / l_quantity AS price, l_tax * (l_extendedprice / l_quantity) + 0.0 AS commission,
+ CASE WHEN l_returnflag = 'R' OR (l_returnflag = 'N' AND l_linestatus = 'O')
+ THEN round((l_discount - 0.05) * l_extendedprice, 2) + 0.0 END AS profit,
+ CAST(epoch(l_shipdate) AS BIGINT) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+
+
+def strategies(spark, d) -> DataFrame:
+    """Strategies with capital (sometimes small) and execution mode."""
+    return table(spark, d, "customer").groupBy((F.col("c_custkey") % 50).alias("strategy_id")).agg(
+        F.round(F.sum("c_acctbal"), 2).alias("capital")).withColumn(
+        "mode", F.when(F.col("strategy_id") % 2 == 0, "live").otherwise("signal"))
+
+
+cte("strategies", """SELECT c_custkey % 50 AS strategy_id, round(sum(c_acctbal), 2) AS capital,
+ CASE WHEN c_custkey % 50 % 2 = 0 THEN 'live' ELSE 'signal' END AS mode FROM customer GROUP BY 1, 3""")
+
+
+def snapshots(spark, d) -> DataFrame:
+    """Equity snapshots of strategies at irregular times."""
+    c = F.col
+    return table(spark, d, "orders").select(
+        (c("o_custkey") % 50).alias("strategy_id"), (seconds("o_orderdate") + c("o_orderkey") * 7919 % 86400).alias("t"),
+        c("o_orderkey").alias("id"), c("o_totalprice").alias("equity"), c("o_orderstatus").alias("reason"))
+
+
+cte("snapshots", """SELECT o_custkey % 50 AS strategy_id, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey * 7919 % 86400 AS t,
+ o_orderkey AS id, o_totalprice AS equity, o_orderstatus AS reason FROM orders""")
+
+
+def positions(spark, d) -> DataFrame:
+    """Open positions per strategy, symbol and side with their average entry."""
+    t = trades(spark, d).where(F.col("type").isin("open_long", "add_long", "open_short"))
+    side = F.when(F.col("type") == "open_short", "short").otherwise("long")
+    return t.groupBy("strategy_id", "symbol", side.alias("side")).agg(
+        F.sum("amount").alias("size"), F.round(F.sum(F.col("price") * F.col("amount")) / F.sum("amount"), 6).alias("entry"))
+
+
+cte("positions", """SELECT strategy_id, symbol, CASE WHEN type = 'open_short' THEN 'short' ELSE 'long' END AS side,
+ sum(amount) AS size, round(sum(price * amount) / sum(amount), 6) AS entry FROM trades
+ WHERE type IN ('open_long', 'add_long', 'open_short') GROUP BY 1, 2, 3""", "trades")
+
+
+def marks(spark, d) -> DataFrame:
+    """Latest price per symbol (one symbol has none)."""
+    t = trades(spark, d).where(F.col("symbol") != "DOGE/USDT")
+    return t.groupBy("symbol").agg(F.max_by("price", F.struct("t", "id")).alias("mark"), F.max("t").alias("t"))
+
+
+cte("marks", """SELECT symbol, last(price ORDER BY t, id) AS mark, max(t) AS t FROM trades
+ WHERE symbol <> 'DOGE/USDT' GROUP BY 1""", "trades")
+
+
+def members(spark, d) -> DataFrame:
+    """Universe intervals: half-open, several per symbol with a gap, some open, some absent."""
+    s, c = table(spark, d, "supplier"), F.col
+    base = F.unix_date(F.to_date(F.lit("1995-01-01"))) + (c("s_suppkey") % 40) * 30
+    day = lambda x: F.date_from_unix_date(x.cast("int"))
+    first = F.struct(day(base).alias("valid_from"), day(base + 700).alias("valid_to"))
+    again = F.struct(day(base + 900).alias("valid_from"),
+                     F.when(c("s_suppkey") % 3 == 0, None).otherwise(day(base + 1500)).alias("valid_to"))
+    return s.where(c("s_suppkey") % 10 != 9).select(
+        c("s_suppkey").cast("string").alias("symbol"), F.explode(F.array(first, again)).alias("i")).select("symbol", "i.*")
+
+
+cte("members", """SELECT CAST(s_suppkey AS VARCHAR) AS symbol, DATE '1995-01-01' + CAST(s_suppkey % 40 * 30 + k AS INTEGER) AS valid_from,
+ CASE WHEN k = 0 THEN DATE '1995-01-01' + CAST(s_suppkey % 40 * 30 + 700 AS INTEGER) WHEN s_suppkey % 3 <> 0
+ THEN DATE '1995-01-01' + CAST(s_suppkey % 40 * 30 + 1500 AS INTEGER) END AS valid_to
+ FROM supplier, (VALUES (0), (900)) v(k) WHERE s_suppkey % 10 <> 9""")
+
+
+def fundamentals(spark, d) -> DataFrame:
+    """Quarterly reports per supplier, visible 45 days after the quarter; some fields are null."""
+    li, c = table(spark, d, "lineitem"), F.col
+    quarter = F.trunc(c("l_shipdate").cast("date"), "quarter")
+    g = li.groupBy(c("l_suppkey").cast("string").alias("symbol"), quarter.alias("q")).agg(
+        F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.sum("l_quantity").alias("qty"),
+        F.round(F.sum(c("l_extendedprice") * c("l_discount")), 2).alias("debt"), F.count(F.lit(1)).alias("n"))
+    end = F.date_sub(F.add_months("q", 3), 1)
+    return g.select("symbol", end.alias("period_end"), F.date_add(end, 45).alias("available_at"),
+                    (c("revenue") * 0.1).alias("net_income"), (c("revenue") * 2.0).alias("shareholder_equity"),
+                    F.when(c("n") % 5 != 0, c("debt")).alias("total_debt"), c("revenue").alias("revenue"),
+                    (c("qty") * 1000.0).alias("shares"), (c("revenue") * 0.05).alias("free_cash_flow"),
+                    F.when(c("n") % 7 != 0, c("qty") / 100.0 - 1.0).alias("revenue_growth"))
+
+
+cte("fundamentals", """SELECT symbol, period_end, period_end + 45 AS available_at, revenue * 0.1 AS net_income,
+ revenue * 2.0 AS shareholder_equity, CASE WHEN n % 5 <> 0 THEN debt END AS total_debt, revenue, qty * 1000.0 AS shares,
+ revenue * 0.05 AS free_cash_flow, CASE WHEN n % 7 <> 0 THEN qty / 100.0 - 1.0 END AS revenue_growth FROM (
+ SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 3 MONTH AS DATE) - 1 AS period_end,
+ round(sum(l_extendedprice), 2) AS revenue, sum(l_quantity) AS qty,
+ round(sum(l_extendedprice * l_discount), 2) AS debt, count(*) AS n FROM lineitem GROUP BY 1, 2)""")
