@@ -52,6 +52,11 @@ COIN_ALIASES = {"BTC": ("bitcoin",), "ETH": ("ethereum", "ether"), "SOL": ("sola
                 "XRP": ("ripple",), "DOGE": ("dogecoin",)}
 
 
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), lit(0))
+
+
 def text(c: Column) -> Column:
     return F.coalesce(F.trim(c), lit(""))
 
@@ -74,18 +79,14 @@ def lookup(c: Column, table: dict, other: Column) -> Column:
 # --- instruments ----------------------------------------------------------------------
 
 def _split_quote(s: Column, quotes) -> Column:
-    out = s
-    for q in reversed(quotes):
-        out = when(s.endswith(q) & (F.length(s) > len(q)),
-                   F.concat(F.substr(s, lit(1), F.length(s) - len(q)), lit("/" + q))).otherwise(out)
-    return out
+    """Split a trailing quote currency off with a slash; longer names come first."""
+    return F.regexp_replace(s, f"^(.+?)({'|'.join(quotes)})$", "$1/$2")
 
 
 def infer_market(symbol: Column) -> Column:
-    s = F.upper(text(symbol))
-    return (when(s == "", "").when(F.contains(s, lit("/")) | s.endswith("USDT") | s.endswith("USDC"), "Crypto")
+    return bind(F.upper(text(symbol)), lambda s: (when(s == "", "").when(F.contains(s, lit("/")) | s.endswith("USDT") | s.endswith("USDC"), "Crypto")
             .when(s.rlike(r"\.(HK|XHKG)$"), "HKStock").when(s.rlike(r"\.(SH|SZ|BJ|XSHG|XSHE|XBJS)$"), "CNStock")
-            .when(s.rlike(r"^\d{6}$"), "CNStock").when(s.rlike(r"^[A-Z][A-Z0-9.\-]{0,14}$"), "USStock").otherwise(""))
+            .when(s.rlike(r"^\d{6}$"), "CNStock").when(s.rlike(r"^[A-Z][A-Z0-9.\-]{0,14}$"), "USStock").otherwise("")))
 
 
 def market_name(raw: Column) -> Column:
@@ -97,53 +98,62 @@ def market_name(raw: Column) -> Column:
 
 def parse_instrument(value: Column, default_market: str = "") -> Column:
     """Struct market, symbol, exchange, market_type of ``Market:SYMBOL[@venue[:type]]``."""
-    raw = text(value)
-    prefix = when(F.contains(raw, lit(":")), market_name(F.substring_index(raw, ":", 1))).otherwise("")
-    body = when(prefix != "", F.substr(raw, F.instr(raw, ":") + 1)).otherwise(raw)
-    has = F.contains(body, lit("@"))
-    venue = when(has, F.substring_index(body, "@", -1)).otherwise("")
-    name = when(has, F.substr(body, lit(1), F.length(body) - F.length(venue) - 1)).otherwise(body)
-    kind_only = F.lower(F.trim(venue)).isin("spot", "swap")
-    pair = F.contains(venue, lit(":"))
-    exchange = when(kind_only, "").when(pair, F.substring_index(venue, ":", 1)).otherwise(venue)
-    kind = when(kind_only, venue).when(pair, F.substr(venue, F.instr(venue, ":") + 1)).otherwise("")
-    symbol = F.upper(F.trim(name))
-    for old, new in reversed(EXCHANGE_SUFFIX):
-        symbol = when(F.upper(F.trim(name)).endswith(old), F.concat(
-            F.substr(F.upper(F.trim(name)), lit(1), F.length(F.trim(name)) - len(old)), lit(new))).otherwise(symbol)
-    market = F.coalesce(F.nullif(prefix, lit("")), F.nullif(lit(default_market), lit("")), infer_market(symbol))
-    crypto = market == "Crypto"
-    slashed = F.translate(symbol, "-_", "//")
-    coin = when(F.contains(slashed, lit("/")), slashed).otherwise(_split_quote(slashed, QUOTES))
-    kind = F.lower(F.trim(kind))
-    return F.struct(
-        market.alias("market"), when(crypto, coin).otherwise(symbol).alias("symbol"),
-        when(crypto, F.lower(F.trim(exchange))).otherwise("").alias("exchange"),
-        when(crypto, when(kind.isin("spot", "swap"), kind).otherwise("spot")).otherwise("").alias("market_type"))
+    def body(raw):
+        prefix = when(F.contains(raw, lit(":")), market_name(F.substring_index(raw, ":", 1))).otherwise("")
+        return bind(prefix, lambda p: F.struct(p.alias("market"), when(
+            p != "", F.substr(raw, F.instr(raw, ":") + 1)).otherwise(raw).alias("body")))
+
+    def venue(x):
+        b = x["body"]
+        v = when(F.contains(b, lit("@")), F.substring_index(b, "@", -1))
+        return bind(v, lambda v: F.struct(
+            x["market"].alias("market"), F.coalesce(v, lit("")).alias("venue"),
+            when(v.isNotNull(), F.substr(b, lit(1), F.length(b) - F.length(v) - 1)).otherwise(b).alias("name")))
+
+    def fields(x):
+        v, name = F.lower(F.trim(x["venue"])), F.upper(F.trim(x["name"]))
+        lone, pair = v.isin("spot", "swap"), F.contains(v, lit(":"))
+        for old, new in EXCHANGE_SUFFIX:
+            name = F.regexp_replace(name, "\\" + old + "$", new)
+        return F.struct(
+            x["market"].alias("market"), name.alias("symbol"),
+            when(lone, "").when(pair, F.trim(F.substring_index(v, ":", 1))).otherwise(v).alias("exchange"),
+            when(lone, v).when(pair, F.trim(F.substr(v, F.instr(v, ":") + 1))).otherwise("").alias("kind"))
+
+    def settle(x):
+        market = F.coalesce(F.nullif(x["market"], lit("")), F.nullif(lit(default_market), lit("")), infer_market(x["symbol"]))
+        slashed = F.translate(x["symbol"], "-_", "//")
+        coin = when(F.contains(slashed, lit("/")), slashed).otherwise(_split_quote(slashed, QUOTES))
+        return bind(market, lambda m: F.struct(
+            m.alias("market"), when(m == "Crypto", coin).otherwise(x["symbol"]).alias("symbol"),
+            when(m == "Crypto", x["exchange"]).otherwise("").alias("exchange"),
+            when(m == "Crypto", when(x["kind"].isin("spot", "swap"), x["kind"]).otherwise("spot")).otherwise("").alias("market_type")))
+
+    return bind(bind(bind(bind(text(value), body), venue), fields), settle)
 
 
 def traded_symbol(value: Column) -> Column:
     """Venue symbol: one separator, contract suffix removed, quote split off."""
     s = F.translate(F.upper(text(value)), "-_", "//")
-    s = F.regexp_replace(s, r"/SWAP$", "")
-    s = F.regexp_replace(s, r"/PERP$", "")
-    s = F.regexp_replace(s, r"/PERPETUAL$", "")
-    return when(F.contains(s, lit("/")), s).otherwise(_split_quote(s, QUOTES))
+    for suffix in ("SWAP", "PERP", "PERPETUAL"):
+        s = F.regexp_replace(s, f"/{suffix}$", "")
+    return bind(s, lambda x: when(F.contains(x, lit("/")), x).otherwise(_split_quote(x, QUOTES)))
 
 
 def strategy_symbol(value: Column) -> Column:
     """Ledger symbol: settlement suffix dropped unless a venue comes first."""
-    s = F.regexp_replace(F.upper(text(value)), "-", "")
-    after = F.substr(s, F.instr(s, "/") + 1)
-    settle, venue = F.instr(after, ":"), F.instr(after, "@")
-    cut = (settle > 0) & ((venue == 0) | (settle < venue))
-    return when(F.instr(s, "/") > 0, when(cut, F.substr(s, lit(1), F.instr(s, "/") + settle - 1)).otherwise(s)).otherwise(
-        _split_quote(s, STRATEGY_QUOTES))
+    def cut(s):
+        after = F.substr(s, F.instr(s, "/") + 1)
+        settle, venue = F.instr(after, ":"), F.instr(after, "@")
+        drop = (settle > 0) & ((venue == 0) | (settle < venue))
+        return when(F.instr(s, "/") > 0, when(drop, F.substr(s, lit(1), F.instr(s, "/") + settle - 1)).otherwise(s)).otherwise(
+            _split_quote(s, STRATEGY_QUOTES))
+
+    return bind(F.regexp_replace(F.upper(text(value)), "-", ""), cut)
 
 
 def order_status(value: Column) -> Column:
-    s = F.regexp_replace(F.lower(text(value)), "-", "_")
-    return lookup(s, STATUS, s)
+    return bind(F.regexp_replace(F.lower(text(value)), "-", "_"), lambda s: lookup(s, STATUS, s))
 
 
 def epoch_seconds(value: Column) -> Column:
@@ -156,7 +166,7 @@ def epoch_seconds(value: Column) -> Column:
 def frequency(value: Column) -> Column:
     raw = F.regexp_replace(F.regexp_replace(F.lower(text(value)), "分钟", "m"), "小时", "h")
     table = F.create_map(*[lit(x) for kv in ALIASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, raw), F.nullif(raw, lit("")), lit("1d"))
+    return bind(raw, lambda r: F.coalesce(F.try_element_at(table, r), F.nullif(r, lit("")), lit("1d")))
 
 
 def frequency_seconds(freq: Column) -> Column:
@@ -265,15 +275,18 @@ def close_reason(kind, reason, bot) -> Column:
 
 def fee_in_quote(symbol, fee, currency, price, rate=None) -> Column:
     """Fee in the quote currency; ``rate`` prices any other currency."""
-    s, ccy = strategy_symbol(symbol), F.upper(text(currency))
-    slash = F.instr(s, "/") > 0
-    base = when(slash, F.substring_index(s, "/", 1)).otherwise("")
-    quote = when(slash, F.substring_index(F.substr(s, F.instr(s, "/") + 1), ":", 1)).otherwise("")
-    return (when(fee == 0, 0.0).when(ccy == "", None).when((quote == "") & ccy.isin(*STABLE), fee)
-            .when((ccy == quote) | (ccy.isin(*STABLE) & quote.isin(*STABLE)), fee)
-            .when((ccy == base) & (price > 0), fee * price)
-            .when((quote != "") & ((lit(None).cast("double") if rate is None else rate) > 0),
-                  fee * (lit(None).cast("double") if rate is None else rate)))
+    other = lit(None).cast("double") if rate is None else rate
+
+    def convert(x):
+        s, ccy = x["s"], x["ccy"]
+        slash = F.instr(s, "/") > 0
+        base = when(slash, F.substring_index(s, "/", 1)).otherwise("")
+        quote = when(slash, F.substring_index(F.substr(s, F.instr(s, "/") + 1), ":", 1)).otherwise("")
+        return (when(fee == 0, 0.0).when(ccy == "", None).when((quote == "") & ccy.isin(*STABLE), fee)
+                .when((ccy == quote) | (ccy.isin(*STABLE) & quote.isin(*STABLE)), fee)
+                .when((ccy == base) & (price > 0), fee * price).when((quote != "") & (other > 0), fee * other))
+
+    return bind(F.struct(strategy_symbol(symbol).alias("s"), F.upper(text(currency)).alias("ccy")), convert)
 
 
 def slipped(action, price, rate) -> Column:
@@ -318,13 +331,15 @@ def opportunity(change: Column, market: Column) -> Column:
 
 
 def rate_unit(unit: Column) -> Column:
-    u = F.translate(F.lower(text(unit)), "- ", "__")
-    return F.nullif(lookup(u, RATE_UNITS, u), lit(""))
+    return bind(F.translate(F.lower(text(unit)), "- ", "__"), lambda u: F.nullif(lookup(u, RATE_UNITS, u), lit("")))
 
 
 def normal_rate(value: Column, unit: Column) -> Column:
     """Struct decimal, percent, warnings: a unit that is not explicit is never guessed."""
-    u = rate_unit(unit)
+    return bind(rate_unit(unit), lambda u: _rate(value, u))
+
+
+def _rate(value: Column, u: Column) -> Column:
     known = u.isin("decimal", "percent", "bps")
     dec = when(u == "decimal", value).when(u == "percent", value / 100.0).when(u == "bps", value / 10000.0)
     pct = when(u == "decimal", value * 100.0).when(u == "percent", value).when(u == "bps", value / 100.0)
@@ -342,7 +357,8 @@ def long_short(ratio, unit, long_share, short_share, long_pct, short_pct) -> Col
     lo = when(pct, when(both_pct, long_pct / 100.0)).when(share, long_share).when(as_ratio & (ratio >= 0), ratio / (1.0 + ratio))
     sh = when(pct, when(both_pct, short_pct / 100.0)).when(share, short_share).when(as_ratio & (ratio >= 0), 1.0 / (1.0 + ratio))
     full = when(pct, both_pct).otherwise(both)
-    out = when((pct | share) & full & (sh > 0), lo / sh).when(pct | share | as_ratio, ratio)
+    out = when((pct | share) & full & (sh > 0), lo / sh).when(
+        ((pct | share) & full) | rate_unit(unit).isin("ratio", "percent", "decimal"), ratio)
     warn = F.array_compact(F.array(
         when((pct | share) & ~full, "INCOMPLETE_LONG_SHORT_SHARES"),
         when((pct | share) & full & (F.abs(lo + sh - 1.0) > 0.02), "LONG_SHORT_SHARES_NOT_NORMALISED"),
@@ -352,10 +368,13 @@ def long_short(ratio, unit, long_share, short_share, long_pct, short_pct) -> Col
 
 
 def headline_class(title: Column, rules=HEADLINE_RULES) -> Column:
-    t, out = F.lower(F.coalesce(title, lit(""))), lit("macro")
-    for name, words in reversed(rules):
-        out = when(any_of(t, words), name).otherwise(out)
-    return out
+    def pick(t):
+        out = lit("macro")
+        for name, words in reversed(rules):
+            out = when(any_of(t, words), name).otherwise(out)
+        return out
+
+    return bind(F.lower(F.coalesce(title, lit(""))), pick)
 
 
 def figure(value: Column) -> Column:
@@ -367,10 +386,10 @@ def figure(value: Column) -> Column:
 
 
 def surprise(actual: Column, forecast: Column, name: Column) -> Column:
-    bad = any_of(F.lower(name), BEARISH_IF_HIGHER)
-    a, f = figure(actual), figure(forecast)
-    up, down = when(bad, "bearish").otherwise("bullish"), when(bad, "bullish").otherwise("bearish")
-    return when(a > f, up).when(a < f, down).otherwise("neutral")
+    bad = bind(F.lower(name), lambda n: any_of(n, BEARISH_IF_HIGHER))
+    more = bind(F.struct(figure(actual).alias("a"), figure(forecast).alias("f")), lambda x: F.signum(x["a"] - x["f"]))
+    sign = F.coalesce(more * when(bad, -1.0).otherwise(1.0), lit(0.0))
+    return bind(sign, lambda s: when(s > 0, "bullish").when(s < 0, "bearish").otherwise("neutral"))
 
 
 def impact_score(importance: Column, kind: Column, released: Column, impact: Column) -> Column:

@@ -112,7 +112,7 @@ def _(spark, d):
  CAST((MAP {'1m': 60, '15m': 900, '1h': 3600, '4h': 14400, '1d': 86400, '1w': 604800, '2m': 86400})[freq] AS INTEGER) AS seconds,
  round(CASE freq WHEN '1m' THEN CASE WHEN coin THEN 525960.0 ELSE 98280.0 END WHEN '15m' THEN CASE WHEN coin THEN 35064.0 ELSE 6552.0 END
  WHEN '1h' THEN CASE WHEN coin THEN 8766.0 ELSE 1638.0 END WHEN '4h' THEN CASE WHEN coin THEN 2191.5 ELSE 409.5 END
- WHEN '1w' THEN 52.0 WHEN '2m' THEN CASE WHEN coin THEN 262980.0 ELSE 49140.0 END ELSE CASE WHEN coin THEN 365.25 ELSE 252.0 END END, 6) AS per_year FROM f""")
+ WHEN '1w' THEN 52.0::DOUBLE WHEN '2m' THEN CASE WHEN coin THEN 262980.0 ELSE 49140.0 END ELSE CASE WHEN coin THEN 365.25 ELSE 252.0 END END, 6) AS per_year FROM f""")
 def _(spark, d):
     raw = F.expr("element_at(array('m1', '15分钟', ' H1', '4小时', 'Daily', 'weekly', '2m'), int(p_partkey % 7) + 1)")
     f = M.frequency(raw)
@@ -123,7 +123,7 @@ def _(spark, d):
 
 @query("p11_unrealized_pnl", with_sql("positions", "marks") + """SELECT strategy_id, symbol, side,
  round(CASE WHEN mark > 0 THEN CASE WHEN side = 'short' THEN entry - mark ELSE mark - entry END * size ELSE 0 END, 4) AS pnl,
- round(entry * size, 4) AS notional, round(CASE WHEN strategy_id % 2 = 0 THEN entry * size / 5 ELSE entry * size END, 4) AS margin,
+ round(entry * size, 6) AS notional, round(CASE WHEN strategy_id % 2 = 0 THEN entry * size / 5 ELSE entry * size END, 6) AS margin,
  round(CASE WHEN mark > 0 THEN CASE WHEN side = 'short' THEN entry - mark ELSE mark - entry END * size ELSE 0 END
  / (entry * size) * 100 * CASE WHEN strategy_id % 2 = 0 THEN 5 ELSE 1 END, 6) AS pct
  FROM positions LEFT JOIN marks USING (symbol)""")
@@ -131,8 +131,8 @@ def _(spark, d):
     p = positions(spark, d).join(marks(spark, d), "symbol", "left")
     pnl = M.unrealized_pnl(c("side"), c("entry"), c("mark"), c("size"))
     kind, n = when(c("strategy_id") % 2 == 0, "swap").otherwise("spot"), M.notional(c("entry"), c("size"))
-    return p.select("strategy_id", "symbol", "side", F.round(pnl, 4).alias("pnl"), F.round(n, 4).alias("notional"),
-                    F.round(M.margin(n, lit(5.0), kind), 4).alias("margin"),
+    return p.select("strategy_id", "symbol", "side", F.round(pnl, 4).alias("pnl"), F.round(n, 6).alias("notional"),
+                    F.round(M.margin(n, lit(5.0), kind), 6).alias("margin"),
                     F.round(M.pnl_percent(c("entry"), c("size"), pnl, lit(5.0), kind), 6).alias("pct"))
 
 

@@ -114,7 +114,7 @@ def trades(spark, d) -> DataFrame:
                     F.lpad(c("l_suppkey").cast("string"), 10, "0")).alias("id"),
         (c("o_custkey") % 50).alias("strategy_id"), coin.alias("symbol"), kind.alias("type"),
         c("l_quantity").alias("amount"), price.alias("price"), (c("l_tax") * price + 0.0).alias("commission"),
-        F.when(exit_, F.round((c("l_discount") - 0.05) * c("l_extendedprice"), 2) + 0.0).alias("profit"),
+        F.when(exit_, F.floor((c("l_discount") - 0.05) * c("l_extendedprice") * 100) / 100.0).alias("profit"),
         seconds("l_shipdate").alias("t"))
 
 
@@ -125,7 +125,7 @@ cte("trades", """SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_l
  WHEN 'AO' THEN 'open_short' WHEN 'NO' THEN 'reduce_long' WHEN 'RO' THEN 'close_short' END AS type,
  l_quantity AS amount, l_extendedprice / l_quantity AS price, l_tax * (l_extendedprice / l_quantity) + 0.0 AS commission,
  CASE WHEN l_returnflag = 'R' OR (l_returnflag = 'N' AND l_linestatus = 'O')
- THEN round((l_discount - 0.05) * l_extendedprice, 2) + 0.0 END AS profit,
+ THEN floor((l_discount - 0.05) * l_extendedprice * 100) / 100.0 + 0.0 END AS profit,
  CAST(epoch(l_shipdate) AS BIGINT) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 
 
@@ -199,7 +199,7 @@ def fundamentals(spark, d) -> DataFrame:
     quarter = F.trunc(c("l_shipdate").cast("date"), "quarter")
     g = li.groupBy(c("l_suppkey").cast("string").alias("symbol"), quarter.alias("q")).agg(
         F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.sum("l_quantity").alias("qty"),
-        F.round(F.sum(c("l_extendedprice") * c("l_discount")), 2).alias("debt"), F.count(F.lit(1)).alias("n"))
+        F.round(F.sum(c("l_extendedprice") * c("l_discount")), 4).alias("debt"), F.count(F.lit(1)).alias("n"))
     end = F.date_sub(F.add_months("q", 3), 1)
     return g.select("symbol", end.alias("period_end"), F.date_add(end, 45).alias("available_at"),
                     (c("revenue") * 0.1).alias("net_income"), (c("revenue") * 2.0).alias("shareholder_equity"),
@@ -213,4 +213,33 @@ cte("fundamentals", """SELECT symbol, period_end, period_end + 45 AS available_a
  revenue * 0.05 AS free_cash_flow, CASE WHEN n % 7 <> 0 THEN qty / 100.0 - 1.0 END AS revenue_growth FROM (
  SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 3 MONTH AS DATE) - 1 AS period_end,
  round(sum(l_extendedprice), 2) AS revenue, sum(l_quantity) AS qty,
- round(sum(l_extendedprice * l_discount), 2) AS debt, count(*) AS n FROM lineitem GROUP BY 1, 2)""")
+ round(sum(l_extendedprice * l_discount), 4) AS debt, count(*) AS n FROM lineitem GROUP BY 1, 2)""")
+
+
+def calendar(spark, d) -> DataFrame:
+    """Sessions: week days with orders, 09:00 to 16:00 with a break at noon."""
+    from tidemark.functions.ordered import number
+    day = F.floor(seconds("o_orderdate") / DAY)
+    days = table(spark, d, "orders").select(day.alias("day")).distinct().where((F.col("day") + 3) % 7 < 5)
+    days = days.withColumn("market", F.lit("X"))
+    days = number(days, ["market"], ["day"], F.floor(F.col("day") / 4096), "ordinal")
+    at = lambda h: F.col("day") * DAY + h * HOUR
+    return days.select("market", "day", "ordinal", at(9).alias("opens"), at(16).alias("closes"),
+                       at(12).alias("break_start"), at(13).alias("break_end"))
+
+
+cte("calendar", """SELECT 'X' AS market, day, row_number() OVER (ORDER BY day) - 1 AS ordinal, day * 86400 + 32400 AS opens,
+ day * 86400 + 57600 AS closes, day * 86400 + 43200 AS break_start, day * 86400 + 46800 AS break_end FROM (
+ SELECT DISTINCT CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS day FROM orders) WHERE (day + 3) % 7 < 5""")
+
+
+def payments(spark, d) -> DataFrame:
+    """Funding payments per symbol (one symbol has no owner)."""
+    c = F.col
+    coin = F.element_at(F.array(*[F.lit(x + "/USDT") for x in (*COINS, "ADA")]), (c("o_custkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select(c("o_orderkey").alias("id"), coin.alias("symbol"), (c("o_totalprice") / 10000 - 15).alias("amount"),
+                                            seconds("o_orderdate").alias("t"), (c("o_custkey") % 50).alias("strategy_id"))
+
+
+cte("payments", """SELECT o_orderkey AS id, (['BTC','ETH','SOL','XRP','DOGE','ADA'])[o_custkey % 6 + 1] || '/USDT' AS symbol,
+ o_totalprice / 10000 - 15 AS amount, CAST(epoch(o_orderdate) AS BIGINT) AS t, o_custkey % 50 AS strategy_id FROM orders""")
