@@ -46,12 +46,24 @@ _FOLD = {
 }
 
 
-def scan(df: DataFrame, keys, order, grain: Column, **specs) -> DataFrame:
+def _shared(rows: DataFrame, by) -> tuple[DataFrame, Column]:
+    """Two uses of one shuffle of ``rows``, for rows that are expensive to make.
+
+    Spark reuses a shuffle only when both sides want the same columns, so the second use
+    keeps all columns alive through a count that never filters anything out.
+    """
+    placed = rows.repartition(*by)
+    seen = F.count(F.when(F.xxhash64(*rows.columns) != 0, 1))
+    return placed, seen
+
+
+def scan(df: DataFrame, keys, order, grain: Column, reuse: bool = False, **specs) -> DataFrame:
     """Add running aggregates per key in ``order``.
 
     Each spec is ``name=(op, column)`` or ``(op, column, -1)`` to leave the current row
     out; ``op`` is sum, count, product, max, min or last (last non-null value).
-    Keys must not be null.
+    Keys must not be null.  ``reuse`` shuffles the rows once for both levels instead of
+    making them twice: right for a long plan, wrong for a plain table scan.
     """
     keys, order = list(keys), list(order)
     by = keys + ["_b"]
@@ -73,7 +85,13 @@ def scan(df: DataFrame, keys, order, grain: Column, **specs) -> DataFrame:
         carried[f"_c_{name}"] = _FOLD[op](F.col(f"_t_{name}")).over(above)
         value = _merge(op, F.col(f"_c_{name}"), F.col(f"_h_{name}"))
         result[name] = F.coalesce(value, F.lit(0).cast("long")) if op == "count" else value
-    heads = rows.groupBy(*by).agg(*totals).withColumns(carried).select(*by, *carried)
+    if reuse:
+        rows, seen = _shared(rows, by)
+        totals.append(seen.alias("_seen"))
+    heads = rows.groupBy(*by).agg(*totals)
+    if reuse:
+        heads = heads.where("_seen >= 0")
+    heads = heads.withColumns(carried).select(*by, *carried)
     out = rows.withColumns(here).join(heads, by)
     return out.select(*df.columns, *[c.alias(n) for n, c in result.items() if n not in df.columns])
 
@@ -118,3 +136,53 @@ class Framed:
 
     def own(self, df: DataFrame) -> DataFrame:
         return df.where("_own").drop("_own", "_chunk")
+
+
+def path(df: DataFrame, keys, order, grain: Column, step: Column, start: Column | float = 0.0,
+         product: bool = False, value: str = "equity", peak: str = "peak", low: str | None = None,
+         from_start: bool = True, reuse: bool = False, sums: dict | None = None) -> DataFrame:
+    """Running value from steps with its running peak (and low), in one pass.
+
+    ``value`` is start plus the sum of steps, or with ``product`` start times the product of
+    ``1 + step``; ``peak`` and ``low`` include the start if ``from_start``.  The peak over earlier chunks
+    needs only one row per chunk: its total and its largest prefix.  ``low`` adds the
+    running minimum and, as ``<low>_before``, the minimum before the row; ``sums`` adds
+    further running sums in the same pass.
+    """
+    keys, order = list(keys), list(order)
+    by = keys + ["_b"]
+    start = F.lit(start) if not isinstance(start, Column) else start
+    extra = sums or {}
+    rows = df.withColumns({"_b": grain, "_x": (1.0 + step) if product else step, "_s": start,
+                           **{f"_e_{n}": x for n, x in extra.items()}}).where(F.col("_b").isNotNull())
+    order_w = Window.partitionBy(*by).orderBy(*order)
+    w, prior = order_w.rowsBetween(FIRST, HERE), order_w.rowsBetween(FIRST, -1)
+    above = Window.partitionBy(*keys).orderBy("_b").rowsBetween(FIRST, -1)
+    fold, unit = (F.product, 1.0) if product else (F.sum, 0.0)
+    join = (lambda a, b: a * b) if product else (lambda a, b: a + b)
+    totals = [F.sum(f"_e_{n}").alias(f"_u_{n}") for n in extra]
+    if reuse:
+        rows, seen = _shared(rows, by)
+        totals.append(seen.alias("_seen"))
+    rows = rows.withColumn("_p", fold("_x").over(w))
+    heads = rows.groupBy(*by).agg(fold("_x").alias("_t"), F.max("_p").alias("_hi"), F.min("_p").alias("_lo"), *totals)
+    if reuse:
+        heads = heads.where("_seen >= 0")
+    heads = heads.withColumn("_base", F.coalesce(fold("_t").over(above), F.lit(unit)))
+    heads = heads.withColumns({"_top": F.max(join(F.col("_base"), F.col("_hi"))).over(above),
+                               "_bot": F.min(join(F.col("_base"), F.col("_lo"))).over(above),
+                               **{f"_v_{n}": F.coalesce(F.sum(f"_u_{n}").over(above), F.lit(0.0)) for n in extra}})
+    heads = heads.select(*by, "_base", "_top", "_bot", *[f"_v_{n}" for n in extra])
+    c = F.col
+    local = {"_ph": F.max("_p").over(w), **{f"_w_{n}": F.sum(f"_e_{n}").over(w) for n in extra}}
+    if low:
+        local.update({"_pl": F.min("_p").over(w), "_pb": F.min("_p").over(prior)})
+    out = rows.withColumns(local).join(heads, by)
+    begin = c("_s") if from_start else F.lit(None)
+    made = {value: join(c("_s"), join(c("_base"), c("_p"))),
+            peak: F.greatest(join(c("_s"), c("_top")), join(c("_s"), join(c("_base"), c("_ph"))), begin),
+            **{n: c(f"_v_{n}") + c(f"_w_{n}") for n in extra}}
+    if low:
+        made[low] = F.least(join(c("_s"), c("_bot")), join(c("_s"), join(c("_base"), c("_pl"))), begin)
+        made[f"{low}_before"] = F.least(join(c("_s"), c("_bot")), join(c("_s"), join(c("_base"), c("_pb"))), begin)
+    return out.select(*[n for n in df.columns if n not in made], *[x.alias(n) for n, x in made.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.market import unrealized_pnl
+from tidemark.functions.ordered import path, scan
 from tidemark.model import div
 
 c = F.col
@@ -91,3 +92,184 @@ def latest(df: DataFrame, key, order, cols, first: bool = False) -> DataFrame:
     return df.groupBy(*keys).agg(pick(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+
+
+def ledger_grain(time: str = "t", span: int = 30 * 86400) -> Column:
+    """Chunks of a ledger: spans of time (thirty days unless told otherwise)."""
+    return F.floor(c(time) / span)
+
+
+def equity_step() -> Column:
+    """Entries debit their commission, exits add gross profit minus the exit commission."""
+    fee = F.coalesce("commission", F.lit(0.0))
+    return F.when(c("profit").isNotNull(), c("profit") - fee).otherwise(-fee)
+
+
+def equity_path(trades: DataFrame, keys, start: Column, step: Column | None = None, order=("t", "id")) -> DataFrame:
+    """Trades with running equity and running peak."""
+    return path(trades, keys, order, ledger_grain(order[0]), equity_step() if step is None else step, start)
+
+
+def performance(trades: DataFrame, key: str = "strategy_id", capital: str = "capital") -> DataFrame:
+    """Performance block of the closing rows (one row per key; trades carry the capital).
+
+    The percentage divides by the final peak; without capital the peak starts at the first
+    equity instead of the capital.
+    """
+    start = F.coalesce(capital, F.lit(0.0))
+    x = trades.where(c("profit").isNotNull()).withColumn("net", equity_step())
+    p = path(x, [key], ["t", "id"], ledger_grain(), c("net"), start, from_start=False)
+    p = p.withColumn("peak", F.when(start > 0, F.greatest("peak", start)).otherwise(c("peak")))
+    win, loss = c("net") > 0, c("net") < 0
+    main = p.groupBy(key).agg(
+        F.max(start).alias("capital"), F.count(F.lit(1)).alias("total_trades"), F.count_if(win).alias("winning"),
+        F.count_if(loss).alias("losing"), F.sum(F.when(win, c("net")).otherwise(0.0)).alias("total_profit"),
+        F.abs(F.sum(F.when(loss, c("net")).otherwise(0.0))).alias("total_loss"), F.avg("net").alias("avg_trade"),
+        F.max("net").alias("max_win"), F.min("net").alias("max_loss"), F.max(c("peak") - c("equity")).alias("max_drawdown"),
+        F.max("peak").alias("_top"))
+    days = x.groupBy(key, F.floor(c("t") / 86400).alias("_d")).agg(F.sum("net").alias("_n")).groupBy(key).agg(
+        F.max("_n").alias("best_day"), F.min("_n").alias("worst_day"))
+    zero, dd, gain = F.lit(0.0), c("max_drawdown"), c("_top") - c("capital")
+    pct = F.when(c("_top") > 0, dd / c("_top") * 100).when(gain > 0, dd / gain * 100).otherwise(0.0)
+    return main.join(days, key).select(
+        key, "capital", "total_trades", "winning", "losing", "total_profit", "total_loss",
+        F.coalesce(div(c("winning") * 100.0, c("winning") + c("losing")), zero).alias("win_rate"),
+        F.when(c("total_loss") > 0, c("total_profit") / c("total_loss")).otherwise(c("total_profit")).alias("profit_factor"),
+        F.coalesce(div(c("total_profit"), c("winning")), zero).alias("avg_win"),
+        F.coalesce(div(c("total_loss"), c("losing")), zero).alias("avg_loss"), "avg_trade", "max_win", "max_loss",
+        "max_drawdown", F.least(pct, F.lit(10000.0)).alias("max_drawdown_pct"), "best_day", "worst_day")
+
+
+def strategy_stats(trades: DataFrame, strategies: DataFrame) -> DataFrame:
+    """Performance per existing strategy with total PnL and return on capital."""
+    t = trades.join(strategies.select("strategy_id", "capital"), "strategy_id")
+    total = t.groupBy("strategy_id").agg(F.sum(equity_step()).alias("total_pnl"))
+    df = performance(t).join(total, "strategy_id")
+    roi = F.when(c("capital") > 0, c("total_pnl") / c("capital") * 100).otherwise(0.0)
+    return df.withColumn("roi", roi)
+
+
+def longest_run(df: DataFrame, keys, order, grain: Column, hit: Column, reset: Column, out: str) -> DataFrame:
+    """Longest run of ``hit`` rows between ``reset`` rows; other rows neither extend nor end it."""
+    x = df.withColumns({"_hit": hit, "_cut": F.when(reset, 1).otherwise(0)})
+    x = scan(x, keys, order, grain, _isle=("sum", "_cut"))
+    n = x.where("_hit").groupBy(*keys, "_isle").agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(*keys).agg(F.max("_n").alias(out))
+
+
+def review(trades: DataFrame, strategies: DataFrame, positions: DataFrame, marks: DataFrame) -> DataFrame:
+    """Review block of a strategy's window: counts, expectancy, fees, drawdown, loss streak."""
+    from tidemark.functions.market import is_exit
+    t = trades.join(strategies.select("strategy_id", "capital"), "strategy_id")
+    closing = is_exit(c("type")) | c("profit").isNotNull()
+    pnl = F.when(closing, c("profit"))
+    start = F.greatest(F.coalesce("capital", F.lit(0.0)), F.lit(0.0))
+    p = equity_path(t, ["strategy_id"], start)
+    g = p.groupBy("strategy_id").agg(
+        F.max("capital").alias("capital"), F.count(F.lit(1)).alias("trade_events"), F.count_if(~is_exit(c("type"))).alias("opening_events"),
+        F.count_if(closing).alias("closing_events"), F.count_if(pnl > 0).alias("wins"), F.count_if(pnl < 0).alias("losses"),
+        F.sum(F.when(pnl > 0, pnl).otherwise(0.0)).alias("gross_profit"), F.abs(F.sum(F.when(pnl < 0, pnl).otherwise(0.0))).alias("gross_loss"),
+        F.avg(pnl).alias("expectancy"), F.max(pnl).alias("max_win"), F.min(pnl).alias("max_loss"),
+        F.sum(equity_step()).alias("net_pnl"), F.max(c("peak") - c("equity")).alias("max_drawdown"), F.max("peak").alias("_top"),
+        F.sum("commission").alias("fees"), F.sum(c("price") * c("amount")).alias("notional"))
+    streak = longest_run(t.where(pnl.isNotNull() & (pnl != 0)), ["strategy_id"], ["t", "id"], ledger_grain(), c("profit") < 0, c("profit") > 0,
+                         "loss_streak")
+    open_ = position_totals(positions, marks).select("strategy_id", "unrealized", "open_positions")
+    df = g.join(streak, "strategy_id", "left").join(open_, "strategy_id", "left")
+    zero = F.lit(0.0)
+    return df.select(
+        "strategy_id", "trade_events", "opening_events", "closing_events", "wins", "losses",
+        F.coalesce(div(c("wins") * 100.0, c("wins") + c("losses")), zero).alias("win_rate"),
+        F.when(c("gross_loss") > 0, c("gross_profit") / c("gross_loss")).otherwise(c("gross_profit")).alias("profit_factor"),
+        "expectancy", "max_win", "max_loss", "net_pnl", "max_drawdown",
+        F.when(c("_top") > 0, c("max_drawdown") / c("_top") * 100).otherwise(0.0).alias("max_drawdown_pct"),
+        F.when(c("capital") > 0, c("net_pnl") / c("capital") * 100).otherwise(0.0).alias("return_pct"),
+        "fees", F.when(c("notional") > 0, c("fees") / c("notional") * 100).otherwise(0.0).alias("fee_to_notional_pct"),
+        F.when(F.abs("net_pnl") > 1e-9, c("fees") / F.abs("net_pnl")).otherwise(0.0).alias("fee_to_pnl"),
+        F.coalesce("loss_streak", F.lit(0)).alias("loss_streak"), F.coalesce("open_positions", F.lit(0)).alias("open_positions"),
+        F.coalesce("unrealized", zero).alias("unrealized"))
+
+
+def exit_reasons(trades: DataFrame, key: str, reason: Column, top: int = 8) -> DataFrame:
+    """Most common exit reasons per key: counts first, so the ranking sees few rows."""
+    from pyspark.sql import Window
+
+    from tidemark.functions.market import is_exit
+    n = trades.where(is_exit(c("type")) | c("profit").isNotNull()).groupBy(key, reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(key).orderBy(c("n").desc(), "reason")
+    return n.withColumn("rank", F.row_number().over(w)).where(c("rank") <= top)
+
+
+def curve_summary(points: DataFrame, keys, order, grain: Column, value: str, initial: Column) -> DataFrame:
+    """Latest value, return and drawdown (amount and % tracked apart) of an equity curve."""
+    x = points.withColumn("_i", F.when(initial > 0, initial).otherwise(1000.0))
+    x = scan(x, keys, order, grain, _run=("max", value)).withColumn("_run", F.greatest("_run", "_i"))
+    fall = c("_run") - c(value)
+    g = x.groupBy(*keys).agg(F.max("_i").alias("initial"), F.max_by(value, F.struct(*order)).alias("latest"), F.count(F.lit(1)).alias("points"),
+                             F.max(fall).alias("max_drawdown"), F.max(F.when(c("_run") > 0, fall / c("_run") * 100)).alias("max_drawdown_pct"))
+    return g.withColumns({"total_return": c("latest") - c("initial"), "total_return_pct": (c("latest") - c("initial")) / c("initial") * 100})
+
+
+def pnl_calendar(trades: DataFrame) -> DataFrame:
+    """Months with their days, total, win and lose days."""
+    day = F.to_date(F.timestamp_seconds("t"))
+    d = trades.groupBy(day.alias("day")).agg(F.sum(equity_step()).alias("p"))
+    return d.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.date_format("day", "dd"), F.round("p", 2))))).alias("days"),
+        F.sum("p").alias("total"), F.count_if(c("p") > 0).alias("win_days"), F.count_if(c("p") < 0).alias("lose_days"))
+
+
+def pnl_by_hour(trades: DataFrame) -> DataFrame:
+    """All 24 hours, with zero where nothing was traded."""
+    h = trades.groupBy(F.hour(F.timestamp_seconds("t")).cast("long").alias("hour")).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(equity_step()).alias("profit"))
+    hours = trades.sparkSession.range(24).select(c("id").alias("hour"))
+    return hours.join(h, "hour", "left").select("hour", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("profit", F.lit(0.0)).alias("profit"))
+
+
+def pnl_rollup(trades: DataFrame) -> DataFrame:
+    """Day, month and hour totals in one pass (grouping sets)."""
+    ts = F.timestamp_seconds("t")
+    x = trades.select(F.date_format(ts, "yyyy-MM-dd").alias("day"), F.date_format(ts, "yyyy-MM").alias("month"),
+                      F.hour(ts).alias("hour"), equity_step().alias("p"))
+    g = x.groupingSets([["day"], ["month"], ["hour"]], "day", "month", "hour").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("profit"))
+    level = F.when(c("day").isNotNull(), "day").when(c("month").isNotNull(), "month").otherwise("hour")
+    return g.select(level.alias("level"), F.coalesce("day", "month", c("hour").cast("string")).alias("bucket"), "n", "profit")
+
+
+# --- FIFO and average-cost lots ---------------------------------------------------------
+
+def allocate_fifo(trades: DataFrame, keys=("symbol",), order=("t", "id"), unit: float = 4096.0) -> DataFrame:
+    """Exits with ``open_commission``: the entry fees of the units they close, first in first out.
+
+    Entries lie end to end on a quantity axis, each up to the running sum of entries; exits
+    consume the axis from the left, each up to that sum less the inventory it leaves (what it
+    asks beyond the inventory falls away).  The fees of the axis up to a point are the running
+    fees of the lot the point lies in less the lot's part beyond the point, so an exit pays the
+    difference between its two ends.  The lot of a point is the next entry on the axis: a
+    running "last" read from the right, over chunks of ``unit`` quantity.  No queue, no range
+    join, and a hot ledger spreads over its chunks.
+    """
+    from tidemark.functions.market import is_exit, leg
+    keys = [*keys, "leg"]
+    x = trades.withColumn("leg", leg(c("type"))).where("leg <> ''").withColumn("_exit", is_exit(c("type")))
+    x = x.where(~c("_exit") | c("profit").isNotNull()).where(c("amount") > 1e-12)
+    signed = F.when(c("_exit"), -c("amount")).otherwise(c("amount"))
+    only = lambda v: F.when(~c("_exit"), v).otherwise(0.0)
+    x = path(x, keys, order, ledger_grain(order[0]), signed, 0.0, value="_sum", peak="_top", low="_low",
+             sums={"_in": only(c("amount")), "_fees": only(c("commission"))})
+    # inventory is the running sum above its running minimum
+    end = c("_in") - (c("_sum") - c("_low"))
+    taken = F.least(c("amount"), c("_sum") + c("amount") - c("_low_before"))
+    lot = F.struct(c("_in").alias("end"), c("_fees").alias("fees"), (c("commission") / c("amount")).alias("unit"))
+    cuts = F.when(c("_exit"), F.array(F.struct((end - taken).alias("at"), F.lit(-1.0).alias("sign")), F.struct(end.alias("at"), F.lit(1.0).alias("sign")))
+                  ).otherwise(F.array(F.struct(c("_in").alias("at"), F.lit(0.0).alias("sign"))))
+    x = x.select(*keys, F.struct(*trades.columns).alias("_row"), F.when(~c("_exit"), lot).alias("_lot"), F.explode(cuts).alias("_cut"))
+    x = x.select(*keys, (-c("_cut.at")).alias("_neg"), c("_lot").isNull().alias("_point"), c("_cut.sign").alias("_sign"),
+                 *[c(f"_row.{o}").alias(f"_o{i}") for i, o in enumerate(order)], "_lot", F.when(c("_lot").isNull(), c("_row")).alias("_row"))
+    x = scan(x, keys, ["_neg", "_point", "_sign", *[f"_o{i}" for i in range(len(order))]], F.floor(c("_neg") / unit), reuse=True,
+             _next=("last", c("_lot")))
+    upto = F.coalesce(c("_next.fees") - (c("_next.end") + c("_neg")) * c("_next.unit"), F.lit(0.0))
+    x = x.where("_point").groupBy(*keys, *[f"_o{i}" for i in range(len(order))]).agg(
+        F.any_value("_row").alias("_row"), F.sum(c("_sign") * upto).alias("open_commission"))
+    return x.select("_row.*", "open_commission")

@@ -113,7 +113,7 @@ def trades(spark, d) -> DataFrame:
                     F.lpad(c("l_partkey").cast("string"), 10, "0"),
                     F.lpad(c("l_suppkey").cast("string"), 10, "0")).alias("id"),
         (c("o_custkey") % 50).alias("strategy_id"), coin.alias("symbol"), kind.alias("type"),
-        c("l_quantity").alias("amount"), price.alias("price"), (c("l_tax") * price + 0.0).alias("commission"),
+        c("l_quantity").alias("amount"), price.alias("price"), (F.floor(c("l_tax") * price) / 100.0 * c("l_quantity")).alias("commission"),
         F.when(exit_, F.floor((c("l_discount") - 0.05) * c("l_extendedprice") * 100) / 100.0).alias("profit"),
         seconds("l_shipdate").alias("t"))
 
@@ -123,7 +123,7 @@ cte("trades", """SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_l
  (['BTC','ETH','SOL','XRP','DOGE'])[l_partkey % 5 + 1] || '/USDT' AS symbol,
  CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'open_long' WHEN 'NF' THEN 'add_long' WHEN 'RF' THEN 'close_long'
  WHEN 'AO' THEN 'open_short' WHEN 'NO' THEN 'reduce_long' WHEN 'RO' THEN 'close_short' END AS type,
- l_quantity AS amount, l_extendedprice / l_quantity AS price, l_tax * (l_extendedprice / l_quantity) + 0.0 AS commission,
+ l_quantity AS amount, l_extendedprice / l_quantity AS price, floor(l_tax * (l_extendedprice / l_quantity)) / 100.0 * l_quantity + 0.0 AS commission,
  CASE WHEN l_returnflag = 'R' OR (l_returnflag = 'N' AND l_linestatus = 'O')
  THEN floor((l_discount - 0.05) * l_extendedprice * 100) / 100.0 + 0.0 END AS profit,
  CAST(epoch(l_shipdate) AS BIGINT) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
