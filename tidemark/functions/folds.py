@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -127,3 +127,32 @@ class Chunk:
         for name, expr in self.steps:
             df = df.withColumn(name, expr)
         return df
+
+
+def chunk_entries(heads: DataFrame, keys, start: Column, step) -> DataFrame:
+    """State entering each chunk, from one summary ``m`` per chunk ``_k``: (keys, _k, e)."""
+    g = heads.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "m"))).alias("h"))
+    g = g.select(*keys, F.col("h._k").alias("k"), F.concat(F.array(start), run(F.col("h"), start, step)).alias("s"))
+    g = g.select(*keys, F.explode(F.arrays_zip("k", "s")).alias("e")).where("e.k IS NOT NULL")
+    return g.select(*keys, F.col("e.k").alias("_k"), F.col("e.s").alias("e"))
+
+
+def affine(df: DataFrame, keys, order, grain: Column, a: Column, b: Column, out: str) -> DataFrame:
+    """``y = a * y_before + b`` per key in order, from 0; adds ``out`` (after) and ``out_before``.
+
+    Affine maps compose, so a chunk is one pair (A, B): pairs are folded per key, then all
+    chunks run at once.
+    """
+    keys = list(keys)
+    item = F.struct(*order, a.alias("_a"), b.alias("_b2"), F.struct(*df.columns).alias("row"))
+    g = df.groupBy(*keys, grain.alias("_k")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    unit = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    pair = F.aggregate("rows", unit, lambda s, x: F.struct(
+        (x["_a"] * s["a"]).alias("a"), (x["_a"] * s["b"] + x["_b2"]).alias("b")))
+    zero = F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("p"))
+    entry = chunk_entries(g.select(*keys, "_k", pair.alias("m")), keys, zero, lambda s, x: F.struct(
+        (x["m"]["a"] * s["y"] + x["m"]["b"]).alias("y"), s["y"].alias("p")))
+    done = g.join(entry, [*keys, "_k"]).select("rows", run(F.col("rows"), F.col("e"), lambda s, x: F.struct(
+        (x["_a"] * s["y"] + x["_b2"]).alias("y"), s["y"].alias("p"))).alias("s"))
+    return done.select(F.explode(F.arrays_zip("rows", "s")).alias("z")).select(
+        "z.rows.row.*", F.col("z.s.y").alias(out), F.col("z.s.p").alias(f"{out}_before"))

@@ -273,3 +273,54 @@ def allocate_fifo(trades: DataFrame, keys=("symbol",), order=("t", "id"), unit:
     x = x.where("_point").groupBy(*keys, *[f"_o{i}" for i in range(len(order))]).agg(
         F.any_value("_row").alias("_row"), F.sum(c("_sign") * upto).alias("open_commission"))
     return x.select("_row.*", "open_commission")
+
+
+def virtual_fills(fills: DataFrame, keys=("strategy_id", "symbol"), order=("t", "id")) -> DataFrame:
+    """Average-cost positions from fills: size, entry price, filled quantity, realised PnL, status.
+
+    The size is a running sum held at zero (an exit cannot close more than is open), the
+    entry price is affine in the entry price before.
+    """
+    from tidemark.functions.folds import affine
+    from tidemark.functions.market import ENTRIES, EXITS, leg
+    keys = [*keys, "leg"]
+    action = F.lower(F.trim("type"))
+    entry, exit_ = action.isin(*ENTRIES), action.isin(*EXITS)
+    good = c("price") > 0
+    x = fills.withColumn("leg", leg(c("type")))
+    signed = F.when(entry & good & (c("amount") > 0), c("amount")).when(
+        exit_ & good, F.when(c("amount") > 0, -c("amount")).otherwise(-1e300)).otherwise(0.0)
+    x = path(x, keys, order, ledger_grain(order[0]), signed, 0.0, value="_sum", peak="_top", low="_low")
+    x = x.withColumn("size", c("_sum") - c("_low")).withColumn("_held", c("_sum") - signed - c("_low_before"))
+    x = x.withColumn("fill", F.when(entry & (signed > 0), c("amount")).when(exit_ & good, c("_held") - c("size")).otherwise(0.0))
+    adds = entry & (signed > 0)
+    a = F.when(adds, c("_held") / c("size")).otherwise(1.0)
+    b = F.when(adds, c("amount") * c("price") / c("size")).otherwise(0.0)
+    x = affine(x, keys, order, ledger_grain(order[0]), a, b, "entry")
+    side = F.when(c("leg") == "short", -1.0).otherwise(1.0)
+    pnl = F.when(exit_, (c("price") - c("entry")) * side * c("fill")).otherwise(0.0)
+    status = F.when(adds, "filled").when(exit_ & (c("fill") > 0), "filled").when(exit_, "no_position").otherwise("rejected")
+    return x.select(*fills.columns, "leg", "fill", "size", "entry", pnl.alias("realized"), status.alias("status"))
+
+
+def virtual_curve(trades: DataFrame, unrealized: DataFrame, key: str = "strategy_id") -> DataFrame:
+    """Equity after each fill, and the live value with open positions as the last point."""
+    p = equity_path(trades, [key], c("capital")).select(key, "t", "id", "equity")
+    last = p.groupBy(key).agg(F.max("t").alias("t"), F.max_by("equity", F.struct("t", "id")).alias("_e"))
+    live = last.join(unrealized.select(key, "unrealized"), key).where(F.abs("unrealized") > 1e-12)
+    live = live.select(key, (c("t") + 1).alias("t"), F.lit("~live").alias("id"), (c("_e") + c("unrealized")).alias("equity"))
+    return p.unionByName(live)
+
+
+def fee_increments(updates: DataFrame, order_key: str, order, grain: Column, fees: str = "fees") -> DataFrame:
+    """New fees per update from cumulative fees per currency, stored as one amount and currency.
+
+    One currency keeps its amount, several become MIXED with amount zero.
+    """
+    x = updates.select(order_key, *order, F.explode(fees).alias("ccy", "amount"))
+    x = scan(x, [order_key, "ccy"], order, grain, _was=("last", "amount", -1))
+    x = x.withColumn("add", c("amount") - F.coalesce("_was", F.lit(0.0))).where(F.abs("add") > 1e-12)
+    g = x.groupBy(order_key, *order).agg(F.count(F.lit(1)).alias("_n"), F.max("ccy").alias("_c"), F.max("add").alias("_a"))
+    one = c("_n") == 1
+    return g.select(order_key, *order, F.when(one, c("_a")).otherwise(0.0).alias("fee"),
+                    F.when(one, F.when(c("_c") == "UNKNOWN", "").otherwise(c("_c"))).otherwise("MIXED").alias("currency"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.folds import run
+from tidemark.functions.folds import chunk_entries, run
 from tidemark.model import Panel
 
 INF = float("inf")
@@ -24,14 +24,6 @@ def _move(y: Column, band: Column) -> Column:
     return F.when((y < band["lo"]) | (y > band["hi"]), band["r"]).otherwise(y)
 
 
-def _entries(heads: DataFrame, keys, start: Column, step) -> DataFrame:
-    """Value entering each chunk, from one summary row per chunk: (keys, _k, e)."""
-    g = heads.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "m"))).alias("h"))
-    g = g.select(*keys, F.col("h._k").alias("k"), F.concat(F.array(start), run(F.col("h"), start, step)).alias("s"))
-    g = g.select(*keys, F.explode(F.arrays_zip("k", "s")).alias("e")).where("e.k IS NOT NULL")
-    return g.select(*keys, F.col("e.k").alias("_k"), F.col("e.s").alias("e"))
-
-
 def _exits(name: str) -> Column:
     """Rows where the running band narrows, with the value at the chunk end after a reset there."""
     zero = F.struct(F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"), F.lit(False).alias("new"))
@@ -69,7 +61,7 @@ def supertrend(panel: Panel, period: int = 10, multiplier: float = 3.0, output:
          .agg(F.array_sort(F.collect_list(item)).alias("rows")))
 
     heads = g.select(*keys, "_k", F.struct(*[_exits(b).alias(b) for b in BANDS]).alias("m"))
-    before = _entries(heads, keys, F.struct(*[F.lit(-INF).alias(b) for b in BANDS]), lambda p, x: F.struct(
+    before = chunk_entries(heads, keys, F.struct(*[F.lit(-INF).alias(b) for b in BANDS]), lambda p, x: F.struct(
         *[_after(p[b], x["m"][b]).alias(b) for b in BANDS]))
     bands = g.join(before, [*keys, "_k"]).select(*keys, "_k", "rows", run(
         c("rows"), c("e"), lambda p, x: F.struct(*[_move(p[b], x[b]).alias(b) for b in BANDS])).alias("s"))
@@ -82,7 +74,7 @@ def supertrend(panel: Panel, period: int = 10, multiplier: float = 3.0, output:
     sides = bands.select(*keys, "_k", F.arrays_zip("rows", "s").alias("z")).select(
         *keys, "_k", "z", run(c("z"), both, lambda p, x: F.struct(
             turn(p["p"], x).alias("p"), turn(p["n"], x).alias("n"))).alias("d"))
-    entry = _entries(sides.select(*keys, "_k", F.element_at("d", -1).alias("m")), keys,
+    entry = chunk_entries(sides.select(*keys, "_k", F.element_at("d", -1).alias("m")), keys,
                      F.struct(F.lit(1).alias("d")), lambda p, x: F.struct(
                          F.when(p["d"] > 0, x["m"]["p"]).otherwise(x["m"]["n"]).alias("d")))
     rows = sides.join(entry, [*keys, "_k"]).select(

@@ -243,3 +243,66 @@ def payments(spark, d) -> DataFrame:
 
 cte("payments", """SELECT o_orderkey AS id, (['BTC','ETH','SOL','XRP','DOGE','ADA'])[o_custkey % 6 + 1] || '/USDT' AS symbol,
  o_totalprice / 10000 - 15 AS amount, CAST(epoch(o_orderdate) AS BIGINT) AS t, o_custkey % 50 AS strategy_id FROM orders""")
+
+
+REGIMES = ("trend_up", "trend_down", "range", "volatile")
+
+
+def closed_trades(spark, d) -> DataFrame:
+    """Closed research trades of twenty runs, money in whole units."""
+    c = F.col
+    li = table(spark, d, "lineitem")
+    gross = F.floor((c("l_discount") - 0.05) * c("l_extendedprice")).cast("double")
+    cost = F.floor(c("l_tax") * c("l_extendedprice") * 0.2).cast("double")
+    return li.select(
+        (c("l_suppkey") % 20).alias("run"), seconds("l_shipdate").alias("t"),
+        F.concat_ws("-", F.lpad(c("l_orderkey").cast("string"), 12, "0"), c("l_linenumber").cast("string"),
+                    F.lpad(c("l_partkey").cast("string"), 10, "0"), F.lpad(c("l_suppkey").cast("string"), 10, "0")).alias("id"),
+        gross.alias("gross"), cost.alias("cost"), (gross - cost).alias("net"), c("l_discount").alias("mae"), (c("l_tax") * 2 + 0.0).alias("mfe"),
+        c("l_quantity").alias("holding"), F.element_at(F.array(*[F.lit(r) for r in REGIMES]), (c("l_linenumber") % 4 + 1)).alias("regime"))
+
+
+cte("rt", """SELECT l_suppkey % 20 AS run, CAST(epoch(l_shipdate) AS BIGINT) AS t, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_linenumber || '-' || lpad(CAST(l_partkey AS VARCHAR), 10, '0')
+ || '-' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS id, floor((l_discount - 0.05) * l_extendedprice) AS gross, floor(l_tax * l_extendedprice * 0.2) AS cost,
+ floor((l_discount - 0.05) * l_extendedprice) - floor(l_tax * l_extendedprice * 0.2) AS net, l_discount AS mae, l_tax * 2 + 0.0 AS mfe, l_quantity AS holding,
+ (['trend_up', 'trend_down', 'range', 'volatile'])[l_linenumber % 4 + 1] AS regime FROM lineitem""")
+
+
+def score_matrix(spark, d) -> DataFrame:
+    """In-sample and out-of-sample scores of twelve configs over eight splits."""
+    c = F.col
+    p = table(spark, d, "part")
+    return p.groupBy((c("p_partkey") % 12).alias("config"), (F.floor(c("p_partkey") / 12) % 8).alias("split")).agg(
+        (F.sum(c("p_partkey") * 7919 % 1009) % 997 / 997.0).alias("ins"), (F.sum(c("p_partkey") * 104729 % 1013) % 991 / 991.0).alias("oos"))
+
+
+cte("sm", """SELECT p_partkey % 12 AS config, p_partkey // 12 % 8 AS split, sum(p_partkey * 7919 % 1009) % 997 / 997.0 AS ins,
+ sum(p_partkey * 104729 % 1013) % 991 / 991.0 AS oos FROM part GROUP BY 1, 2""")
+
+
+def trials(spark, d) -> DataFrame:
+    """Parameter trials with a score; every seventh is pruned."""
+    c = F.col
+    k = c("p_partkey")
+    params = F.create_map(F.lit("fast"), (k % 9).cast("double"), F.lit("slow"), (k % 25).cast("double"), F.lit("stop"), (k % 4).cast("double"))
+    return table(spark, d, "part").select(k.alias("trial"), params.alias("params"), (k * 7919 % 1009 / 10.0).alias("score"), (k % 7 == 0).alias("pruned"))
+
+
+def decisions(spark, d) -> DataFrame:
+    """Past decisions with confidence, realised return and the raw JSON result."""
+    c = F.col
+    o = table(spark, d, "orders")
+    ret = c("o_totalprice") % 2000 / 100 - 10
+    dec = F.element_at(F.array(F.lit("BUY"), F.lit("SELL"), F.lit("HOLD")), (c("o_orderkey") % 3 + 1).cast("int"))
+    raw = F.when(c("o_custkey") % 5 == 0, F.lit("{bad")).when(c("o_custkey") % 5 == 1, F.to_json(F.struct(F.struct(F.struct(
+        F.lower("o_orderpriority").alias("trend")).alias("risk_context")).alias("consensus")))).otherwise(
+        F.to_json(F.struct(F.struct(c("o_orderstatus").alias("market_regime")).alias("consensus"))))
+    df = o.select(c("o_orderkey").alias("id"), (c("o_custkey") % 4).alias("market"), dec.alias("decision"), (50 + c("o_orderkey") % 50).alias("confidence"),
+                  ret.alias("ret"), (c("o_custkey") % 61 - 30).cast("double").alias("score"), raw.alias("raw"), seconds("o_orderdate").alias("t"))
+    return df.withColumn("correct", F.when(c("decision") == "BUY", c("ret") > 2).when(c("decision") == "SELL", c("ret") < -2).otherwise(F.abs("ret") <= 5))
+
+
+cte("dec0", """SELECT o_orderkey AS id, o_custkey % 4 AS market, (['BUY','SELL','HOLD'])[o_orderkey % 3 + 1] AS decision, 50 + o_orderkey % 50 AS confidence,
+ o_totalprice % 2000 / 100 - 10 AS ret, CAST(o_custkey % 61 - 30 AS DOUBLE) AS score, CASE WHEN o_custkey % 5 = 0 THEN 'unknown' WHEN o_custkey % 5 = 1 THEN lower(o_orderpriority) ELSE lower(o_orderstatus) END AS regime,
+ CAST(epoch(o_orderdate) AS BIGINT) AS t FROM orders""")
+cte("dec", "SELECT *, CASE decision WHEN 'BUY' THEN ret > 2 WHEN 'SELL' THEN ret < -2 ELSE abs(ret) <= 5 END AS correct FROM dec0", "dec0")
