@@ -1,6 +1,6 @@
 """Queries over the driver tables; importing the modules fills the registry."""
 
 from tidemark.functions.registry import QUERIES, SQL
-from tidemark.plans import factors, joins, ledgers, metrics, projections, sources  # noqa: F401
+from tidemark.plans import factors, features, joins, ledgers, metrics, projections, sources  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
