@@ -174,3 +174,41 @@ def sigmoid(x: Column) -> Column:
 
 EULER_GAMMA = 0.5772156649
 E_NUMBER = math.e
+
+
+def value_bucket(x: Column) -> Column:
+    """Order-preserving bucket of a number, fine near zero and logarithmic far out."""
+    return F.floor(F.asinh(x * 1000.0) * 16.0)
+
+
+def cross_ranks(df: DataFrame, keys, col: str, avg: str | None = None, first: str | None = None, tie: str | None = None,
+                size: str | None = None) -> DataFrame:
+    """Ranks of ``col`` within each group, in one pass over value buckets of the group.
+
+    ``avg`` gives tied values their mean rank, ``first`` orders ties by ``tie``, ``size`` is
+    the group size.  A group is spread over its buckets, so a large one is never sorted whole.
+    """
+    from pyspark.sql import Window
+    keys = list(keys)
+    by = [*keys, "_b"]
+    rows = df.withColumn("_b", value_bucket(c(col))).where(c("_b").isNotNull())
+    heads = rows.groupBy(*by).agg(F.count(lit(1)).alias("_n"))
+    over = Window.partitionBy(*keys)
+    heads = heads.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), lit(0)),
+        "_size": F.sum("_n").over(over)}).drop("_n")
+    w = Window.partitionBy(*by).orderBy(col)
+    made = {}
+    if avg:
+        made["_avg"] = F.rank().over(w) + (F.count(lit(1)).over(w.rangeBetween(0, 0)) - 1) / 2.0
+    if first:
+        made["_first"] = F.row_number().over(Window.partitionBy(*by).orderBy(col, tie))
+    out = rows.withColumns(made).join(heads, by)
+    res = []
+    if avg:
+        res.append((c("_before") + c("_avg")).alias(avg))
+    if first:
+        res.append((c("_before") + c("_first")).alias(first))
+    if size:
+        res.append(c("_size").alias(size))
+    return out.select(*df.columns, *res)

@@ -253,7 +253,7 @@ def _(spark, d):
 SNAP = ", ".join([emas("mf", "x", "close", 12), emas("ms", "x", "close", 26), "mm AS (SELECT ms.symbol, ms.pos, mf.y - ms.y AS line FROM ms JOIN mf USING (symbol, pos))", emas("mg", "mm", "line", 9, first=25), emas("ma", "x", "tr", 14, 1 / 14), f"""
  sq AS (SELECT x.*, round(line, 6) AS m, round(mg.y, 6) AS g, ma.y AS atr, avg(close) {w(5)} AS m5, avg(close) {w(10)} AS m10, avg(close) {w(20)} AS m20, stddev_pop(close) {w(20)} AS sd, max(high) {w(20)} AS sh, min(low) {w(20)} AS sl,
  avg(volume) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vb FROM x LEFT JOIN mm USING (symbol, pos) LEFT JOIN mg USING (symbol, pos) LEFT JOIN ma USING (symbol, pos)),
- sp AS (SELECT *, (ph + pl + prev) / 3 AS pv, {lag('m')} AS pm, {lag('g')} AS pg FROM sq), sr AS (SELECT *, (2 * pv - ph + sl + (m20 - 2 * sd)) / 3 AS sup, (2 * pv - pl + sh + (m20 + 2 * sd)) / 3 AS res FROM sp WHERE pos >= 33)"""])
+ sp AS (SELECT *, (ph + pl + prev) / 3 AS pv, {lag('m')} AS pm, {lag('g')} AS pg FROM sq), sr AS (SELECT *, (2 * pv - ph + sl + round(m20 - 2 * sd, 4)) / 3 AS sup, (2 * pv - pl + sh + round(m20 + 2 * sd, 4)) / 3 AS res FROM sp WHERE pos >= 33)"""])
 CROSS = "CASE WHEN pm <= pg AND m > g THEN 'golden_cross' WHEN pm >= pg AND m < g THEN 'death_cross' END"
 
 
