@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import number, scan
 from tidemark.functions.stats import bucket_of_rank, corr0, cross_ranks, quantiles
 from tidemark.model import Panel, div, epoch
 from tidemark.operators.joins import membership_flags
+from tidemark.session import durable
 
 c, lit, when = F.col, F.lit, F.when
 FUNDAMENTAL = {"earnings_yield": "pe_ratio", "size": "market_cap"}
@@ -50,11 +50,19 @@ def quantile_returns(pairs: DataFrame, keys, score: str, ret: str, symbol: str,
     return x.groupBy(*keys, b.alias("quantile")).agg(F.avg(ret).alias("mean_return"), F.count(lit(1)).alias("count"))
 
 
-def with_ordinals(panel: Panel) -> DataFrame:
-    """Bars with ``ord``, the ordinal of their date among all dates of the panel."""
-    dates = panel.df.select("ts").distinct()
-    dates = number(dates.withColumn("_g", lit(0)), ["_g"], ["ts"], panel.grain, "ord").select("ts", "ord")
-    return panel.df.join(dates, "ts")
+def with_ordinals(panel: Panel, start: int | None = None) -> DataFrame:
+    """Bars with ``ord``, the ordinal of their date among all dates of the panel.
+
+    The dates are a small table (one row per date); ``_first`` is the ordinal of the first
+    date at or after ``start``.
+    """
+    dates = panel.df.select("ts").distinct().withColumn("_g", lit(0))
+    w = Window.partitionBy("_g")
+    cols = {"ord": F.row_number().over(w.orderBy("ts")).cast("long") - 1}
+    dates = dates.withColumns(cols)
+    if start is not None:
+        dates = dates.withColumn("_first", F.min(when(epoch() >= start, c("ord"))).over(w))
+    return panel.df.join(dates.drop("_g"), "ts")
 
 
 def _at(col: str, row, k: int) -> Column:
@@ -88,7 +96,7 @@ def research_rows(panel: Panel, factors, horizon: int, start: int, end: int, mem
     rebalance dates are every ``horizon``-th date of the window.
     """
     names = [factors] if isinstance(factors, str) else list(factors)
-    x = with_ordinals(panel).withColumn("pos", c("ord"))
+    x = with_ordinals(panel, start).withColumn("pos", c("ord"))
     back = max([20] + [int(n.rsplit("_", 1)[-1]) for n in names if n.rsplit("_", 1)[-1].isdigit()]) + 1
     fr = panel.replace(x).frame(back, horizon + 1)
     row = fr.row
@@ -97,18 +105,10 @@ def research_rows(panel: Panel, factors, horizon: int, start: int, end: int, mem
     df = df.withColumns({**cols, "forward": div(_at("open", row, horizon + 1), _at("open", row, 1)) - 1})
     df = fr.own(df).drop("_ret1", "pos")
     t = epoch()
-    first = panel.df.where((t >= start) & (t <= end)).agg(F.min("ts").alias("ts"))
-    first = with_first_ordinal(panel, first)
-    df = df.where((epoch() >= start) & (epoch() <= end)).join(F.broadcast(first)).where((c("ord") - c("_first")) % horizon == 0).drop("_first")
+    df = df.where((t >= start) & (t <= end) & ((c("ord") - c("_first")) % horizon == 0)).drop("_first")
     return membership_flags(df, members, F.to_date("ts")).where("member")
 
 
-def with_first_ordinal(panel: Panel, first: DataFrame) -> DataFrame:
-    """One row: how many dates of the panel lie before the window."""
-    return panel.df.select("ts").join(F.broadcast(first.withColumnRenamed("ts", "_f"))).where(c("ts") < c("_f")).agg(
-        F.count_distinct("ts").alias("_first"))
-
-
 def with_industry(panel: Panel) -> Panel:
     """Industry of a bar, carried forward from the last bar that named one."""
     return panel.scan(industry_=("last", "industry")) if "industry" in panel.df.columns else panel
@@ -137,65 +137,79 @@ def group_count(rows: DataFrame, requested: int = 5) -> DataFrame:
 
 
 def ranked_sections(rows: DataFrame, requested: int = 5) -> DataFrame:
-    """Usable rows of dates that qualify, with average ranks, buckets and the rank IC."""
-    k = group_count(rows, requested)
-    ok = rows.where(c("factor").isNotNull() & c("forward").isNotNull())
-    sizes = date_sizes(rows).join(F.broadcast(k)).where((c("active") >= 3) & (c("observed") >= 3) & (c("usable") >= F.greatest(lit(3), c("groups"))))
-    x = ok.join(sizes.select("ts", "groups", "usable"), "ts")
-    x = cross_ranks(x, ["ts"], "factor", avg="rank_f", first="_first", tie="symbol")
-    x = cross_ranks(x, ["ts"], "forward", avg="rank_r")
-    ic = x.groupBy("ts").agg(corr0("rank_f", "rank_r").alias("ic"))
-    x = x.join(ic.where("ic IS NOT NULL"), "ts")
-    return x.withColumn("grp", bucket_of_rank(c("_first"), c("usable"), c("groups"), requested)).drop("_first")
+    """Usable rows of dates that qualify, with average ranks, buckets and the rank IC.
+
+    A cross-section holds one row per symbol, so windows over the date are bounded by the
+    universe whatever the history; the group count is the only value that spans dates.
+    """
+    day = Window.partitionBy("ts")
+    both = c("factor").isNotNull() & c("forward").isNotNull()
+    x = rows.join(F.broadcast(group_count(rows, requested)))
+    x = x.withColumns({"active": F.count(lit(1)).over(day), "observed": F.count("forward").over(day), "usable": F.count_if(both).over(day)})
+    x = x.where(both & (c("active") >= 3) & (c("observed") >= 3) & (c("usable") >= F.greatest(lit(3), c("groups"))))
+    average = lambda col: F.rank().over(day.orderBy(col)) + (F.count(lit(1)).over(day.orderBy(col).rangeBetween(0, 0)) - 1) / 2.0
+    x = x.withColumns({"rank_f": average("factor"), "rank_r": average("forward"), "_first": F.row_number().over(day.orderBy("factor", "symbol"))})
+    flat = (F.min("factor").over(day) == F.max("factor").over(day)) | (F.min("forward").over(day) == F.max("forward").over(day))
+    x = x.withColumn("ic", when(~flat, F.corr("rank_f", "rank_r").over(day))).where("ic IS NOT NULL")
+    x = x.withColumn("grp", bucket_of_rank(c("_first"), c("usable"), c("groups"), requested)).drop("_first")
+    return durable(x)
 
 
 def ic_series(sections: DataFrame, window: int = 20, least: int = 5) -> DataFrame:
-    """Rank IC per date with its rolling mean."""
-    s = sections.groupBy("ts").agg(F.max("ic").alias("ic"))
-    from tidemark.functions.ordered import Framed
-    fr = Framed(s.withColumn("_k", lit(0)), ["_k"], ["ts"], F.floor(epoch() / (86400 * 4096)), back=window)
-    w = fr.w(window)
-    return fr.own(fr.df.withColumn("rolling", when(F.count("ic").over(w) >= least, F.avg("ic").over(w)))).drop("_k")
+    """Rank IC per date with its rolling mean (one row per date)."""
+    w = Window.partitionBy("_k").orderBy("ts")
+    s = sections.groupBy("ts").agg(F.max("ic").alias("ic")).withColumn("_k", lit(0))
+    run = w.rowsBetween(-(window - 1), 0)
+    return s.withColumns({"pos": F.row_number().over(w) - 1, "rolling": when(F.count("ic").over(run) >= least, F.avg("ic").over(run)),
+                          "dates": F.count(lit(1)).over(Window.partitionBy("_k"))}).drop("_k")
 
 
 def ic_summary(sections: DataFrame, horizon: int, periods: float = 252.0) -> DataFrame:
     """Mean IC, annualised ICIR, positive rate and the means of both halves."""
-    s = ic_series(sections)
-    n = s.agg(F.count(lit(1)).alias("_n"))
-    x = s.join(F.broadcast(n)).withColumn("_early", c("pos") < F.greatest(lit(1), F.floor(c("_n") / 2)))
-    g = x.agg(F.count(lit(1)).alias("dates"), F.avg("ic").alias("rank_ic"), F.stddev_samp("ic").alias("_s"), F.avg(when(c("ic") > 0, 1.0).otherwise(0.0)).alias("positive_rate"),
-              F.coalesce(F.avg(when(c("_early"), c("ic"))), lit(0.0)).alias("first_half"), F.coalesce(F.avg(when(~c("_early"), c("ic"))), lit(0.0)).alias("second_half"))
+    early = c("pos") < F.greatest(lit(1), F.floor(c("dates") / 2))
+    g = ic_series(sections).agg(
+        F.count(lit(1)).alias("dates"), F.avg("ic").alias("rank_ic"), F.stddev_samp("ic").alias("_s"), F.avg(when(c("ic") > 0, 1.0).otherwise(0.0)).alias("positive_rate"),
+        F.coalesce(F.avg(when(early, c("ic"))), lit(0.0)).alias("first_half"), F.coalesce(F.avg(when(~early, c("ic"))), lit(0.0)).alias("second_half"))
     return g.withColumn("icir", when(c("_s") > 0, c("rank_ic") / c("_s") * math.sqrt(max(1.0, periods) / horizon)).otherwise(0.0)).drop("_s")
 
 
 def used_ordinals(sections: DataFrame) -> DataFrame:
-    """Ordinal of each used date."""
+    """Ordinal of each used date (one row per date)."""
     d = sections.select("ts").distinct().withColumn("_k", lit(0))
-    return number(d, ["_k"], ["ts"], F.floor(epoch() / (86400 * 4096)), "used").drop("_k")
+    return d.select("ts", (F.row_number().over(Window.partitionBy("_k").orderBy("ts")) - 1).cast("long").alias("used"))
 
 
 def rank_autocorrelation(sections: DataFrame) -> DataFrame:
-    """Correlation of a date's factor ranks with those of the date used before, on common symbols."""
-    x = sections.join(used_ordinals(sections), "ts").select("used", "symbol", (c("rank_f") / c("usable")).alias("r"))
-    prev = x.select((c("used") + 1).alias("used"), "symbol", c("r").alias("p"))
-    both = x.join(prev, ["used", "symbol"])
-    both = cross_ranks(cross_ranks(both, ["used"], "r", avg="_a"), ["used"], "p", avg="_b2")
-    g = both.groupBy("used").agg(F.count(lit(1)).alias("n"), corr0("_a", "_b2").alias("autocorr"))
+    """Correlation of a date's factor ranks with those of the date used before, on common symbols.
+
+    A symbol's rows here are its rebalance dates, few enough for one window.
+    """
+    w = Window.partitionBy("symbol").orderBy("used")
+    x = sections.select("ts", "symbol", (c("rank_f") / c("usable")).alias("r")).join(used_ordinals(sections), "ts")
+    x = x.withColumns({"p": F.lag("r").over(w), "_was": F.lag("used").over(w)}).where(c("_was") == c("used") - 1)
+    day = Window.partitionBy("used")
+    average = lambda col: F.rank().over(day.orderBy(col)) + (F.count(lit(1)).over(day.orderBy(col).rangeBetween(0, 0)) - 1) / 2.0
+    x = x.withColumns({"_a": average("r"), "_b": average("p")})
+    g = x.groupBy("used").agg(F.count(lit(1)).alias("n"), corr0("_a", "_b").alias("autocorr"))
     return g.where("n >= 3 AND autocorr IS NOT NULL")
 
 
 def group_returns(sections: DataFrame, cost_rate: float) -> DataFrame:
-    """Gross and net return, turnover and cost per group and date (first formation costs once)."""
-    x = sections.join(used_ordinals(sections), "ts")
-    size = x.groupBy("used", "ts", "grp").agg(F.count(lit(1)).alias("members"), F.avg("forward").alias("gross"))
-    w = x.select("used", "grp", "symbol").join(size.select("used", "grp", (1.0 / c("members")).alias("w")), ["used", "grp"])
-    prev = w.select((c("used") + 1).alias("used"), "grp", "symbol", c("w").alias("p"))
-    gap = w.join(prev, ["used", "grp", "symbol"], "full").groupBy("used", "grp").agg(
-        (0.5 * F.sum(F.abs(F.coalesce("w", lit(0.0)) - F.coalesce("p", lit(0.0))))).alias("_turn"))
-    initial = c("used") == 0
-    out = size.join(gap, ["used", "grp"]).withColumn("turnover", when(initial, 1.0).otherwise(c("_turn")))
-    out = out.withColumn("cost", c("turnover") * when(initial, 1.0).otherwise(2.0) * cost_rate)
-    return out.select("ts", "used", "grp", "members", "gross", (c("gross") - c("cost")).alias("net"), "turnover", "cost", initial.alias("initial"))
+    """Gross and net return, turnover and cost per group and date (first formation costs once).
+
+    One row per date and group carries its member list (bounded by the universe), so the
+    turnover against the rebalance before is a lag and two array sizes.
+    """
+    g = sections.groupBy("ts", "grp").agg(F.count(lit(1)).alias("members"), F.avg("forward").alias("gross"), F.collect_list("symbol").alias("_m"))
+    w = Window.partitionBy("grp").orderBy("ts")
+    g = g.withColumns({"_p": F.lag("_m").over(w), "used": (F.row_number().over(w) - 1).cast("long")})
+    kept = F.size(F.array_intersect("_m", "_p"))
+    new, old = 1.0 / F.size("_m"), 1.0 / F.size("_p")
+    turn = 0.5 * ((F.size("_m") - kept) * new + (F.size("_p") - kept) * old + kept * F.abs(new - old))
+    initial = c("_p").isNull()
+    g = g.withColumn("turnover", when(initial, 1.0).otherwise(turn))
+    g = g.withColumn("cost", c("turnover") * when(initial, 1.0).otherwise(2.0) * cost_rate)
+    return g.select("ts", "used", "grp", "members", "gross", (c("gross") - c("cost")).alias("net"), "turnover", "cost", initial.alias("initial"))
 
 
 def group_members(sections: DataFrame) -> DataFrame:
@@ -205,23 +219,24 @@ def group_members(sections: DataFrame) -> DataFrame:
 
 def monotonicity(groups: DataFrame) -> DataFrame:
     """Rank correlation of group number and group return per date (three groups or more)."""
-    x = cross_ranks(cross_ranks(groups, ["ts"], "gross", avg="_r"), ["ts"], "grp", avg="_g2")
-    g = x.groupBy("ts").agg(F.count(lit(1)).alias("_n"), corr0("_r", "_g2").alias("monotonicity"))
+    day = Window.partitionBy("ts")
+    rank = F.rank().over(day.orderBy("gross")) + (F.count(lit(1)).over(day.orderBy("gross").rangeBetween(0, 0)) - 1) / 2.0
+    g = groups.withColumn("_r", rank).groupBy("ts").agg(F.count(lit(1)).alias("_n"), corr0("_r", "grp").alias("monotonicity"))
     return g.where("_n >= 3 AND monotonicity IS NOT NULL").drop("_n")
 
 
 def nav_curves(groups: DataFrame) -> DataFrame:
-    """Gross and net value of one unit per group."""
-    return scan(groups, ["grp"], ["used"], F.floor(c("used") / 65536), nav_gross=("product", 1.0 + c("gross")), nav_net=("product", 1.0 + c("net")))
+    """Gross and net value of one unit per group (rows are dates times groups)."""
+    w = Window.partitionBy("grp").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return groups.withColumns({"nav_gross": F.product(1.0 + c("gross")).over(w), "nav_net": F.product(1.0 + c("net")).over(w)})
 
 
 def long_short(groups: DataFrame) -> DataFrame:
     """Top group less bottom group on common dates, both costs charged."""
-    top = groups.groupBy("ts", "used").agg(F.max_by(F.struct("gross", "cost"), "grp").alias("h"), F.min_by(F.struct("gross", "cost"), "grp").alias("l"), F.count(lit(1)).alias("_n"))
-    x = top.where("_n >= 2").select("ts", "used", (c("h.gross") - c("l.gross")).alias("gross"), (c("h.cost") + c("l.cost")).alias("cost"))
-    x = x.withColumn("_k", lit(0))
-    return scan(x, ["_k"], ["used"], F.floor(c("used") / 65536), nav_gross=("product", 1.0 + c("gross")),
-                nav_net=("product", 1.0 + c("gross") - c("cost"))).drop("_k")
+    top = groups.groupBy("ts").agg(F.max_by(F.struct("gross", "cost"), "grp").alias("h"), F.min_by(F.struct("gross", "cost"), "grp").alias("l"), F.count(lit(1)).alias("_n"))
+    x = top.where("_n >= 2").select("ts", lit(0).alias("_k"), (c("h.gross") - c("l.gross")).alias("gross"), (c("h.cost") + c("l.cost")).alias("cost"))
+    w = Window.partitionBy("_k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumns({"nav_gross": F.product(1.0 + c("gross")).over(w), "nav_net": F.product(1.0 + c("gross") - c("cost")).over(w)}).drop("_k")
 
 
 def coverage_summary(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -20,6 +20,11 @@ def T():
     return epoch().alias("t")
 
 
+def LOGS():
+    """Values grow without bound on this data, so their logarithm is shown."""
+    return [F.round(F.log10(F.abs(n)), 6).alias(n) for n in ("nav_gross", "nav_net")]
+
+
 AVG = lambda col, part: f"rank() OVER (PARTITION BY {part} ORDER BY {col}) + (count(*) OVER (PARTITION BY {part}, {col}) - 1) / 2.0"
 EDGE = "((n - 1) * (k * (1.0 / q)))"
 BUCKET = (f"1 + (SELECT count(*) FILTER (k < q AND CASE WHEN {EDGE} - floor({EDGE}) >= 0.5 THEN floor({EDGE}) + 2 - (1 - ({EDGE} - floor({EDGE}))) "
@@ -151,14 +156,14 @@ def _(spark, d):
     return X.monotonicity(groups(spark, d)).select(T(), *R(6, "monotonicity"))
 
 
-@query("x14_nav_curves", Q(GRP) + "SELECT t, CAST(grp AS INTEGER) AS grp, round(product(1 + gross) OVER w, 6) AS nav_gross, round(product(1 + gross - cost) OVER w, 6) AS nav_net FROM gr WINDOW w AS (PARTITION BY grp ORDER BY t ROWS UNBOUNDED PRECEDING)")
+@query("x14_nav_curves", Q(GRP) + "SELECT t, CAST(grp AS INTEGER) AS grp, round(log10(abs(product(1 + gross) OVER w)), 6) AS nav_gross, round(log10(abs(product(1 + gross - cost) OVER w)), 6) AS nav_net FROM gr WINDOW w AS (PARTITION BY grp ORDER BY t ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
-    return X.nav_curves(groups(spark, d)).select(T(), "grp", *R(6, "nav_gross", "nav_net"))
+    return X.nav_curves(groups(spark, d)).select(T(), "grp", *LOGS())
 
 
-@query("x15_long_short", Q(GRP + ", k AS (SELECT h.t, h.gross - l.gross AS g, h.cost + l.cost AS c FROM gr h JOIN gr l USING (t), gc WHERE h.grp = groups AND l.grp = 1)") + "SELECT t, round(product(1 + g) OVER w, 6) AS nav_gross, round(product(1 + g - c) OVER w, 6) AS nav_net FROM k WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)")
+@query("x15_long_short", Q(GRP + ", k AS (SELECT h.t, h.gross - l.gross AS g, h.cost + l.cost AS c FROM gr h JOIN gr l USING (t), gc WHERE h.grp = groups AND l.grp = 1)") + "SELECT t, round(log10(abs(product(1 + g) OVER w)), 6) AS nav_gross, round(log10(abs(product(1 + g - c) OVER w)), 6) AS nav_net FROM k WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
-    return X.long_short(groups(spark, d)).select(T(), *R(6, "nav_gross", "nav_net"))
+    return X.long_short(groups(spark, d)).select(T(), *LOGS())
 
 
 @query("x16_coverage", Q(GRP) + "SELECT round((SELECT sum(usable) / sum(observed) FROM sz WHERE active >= 3 AND observed >= 3), 6) AS coverage, round(1 - (SELECT sum(usable) / sum(observed) FROM sz WHERE active >= 3 AND observed >= 3), 6) AS missing_rate, round(avg(turnover) FILTER (used > 0), 6) AS turnover FROM gr")
