@@ -171,8 +171,8 @@ def _(spark, d):
     return B.due_days(sessions(spark, d), "market", "day", "weekly", weekday=3).select("day")
 
 
-@query("b7_schedule_monthly", with_sql("calendar", more=SESS + """, k AS (SELECT *, date_trunc('month', dt)::DATE AS m FROM ss), k1 AS (SELECT *, CAST(epoch(m + least(31, day(last_day(m))) - 1) AS BIGINT) // 86400 AS due,
- CAST(epoch((m - INTERVAL 1 MONTH)::DATE + least(31, day(last_day((m - INTERVAL 1 MONTH)::DATE))) - 1) AS BIGINT) // 86400 AS bef FROM k)""") + "SELECT day FROM k1 WHERE CASE WHEN day < due THEN was IS NOT NULL AND was < bef AND bef <= day ELSE was IS NULL OR was < due END")
+@query("b7_schedule_monthly", with_sql("calendar", more=SESS + """, k AS (SELECT *, date_trunc('month', dt)::DATE AS m FROM ss), k1 AS (SELECT *, CAST(epoch(m + CAST(least(31, day(last_day(m))) AS INTEGER) - 1) AS BIGINT) // 86400 AS due,
+ CAST(epoch((m - INTERVAL 1 MONTH)::DATE + CAST(least(31, day(last_day((m - INTERVAL 1 MONTH)::DATE))) AS INTEGER) - 1) AS BIGINT) // 86400 AS bef FROM k)""") + "SELECT day FROM k1 WHERE CASE WHEN day < due THEN was IS NOT NULL AND was < bef AND bef <= day ELSE was IS NULL OR was < due END")
 def _(spark, d):
     return B.due_days(sessions(spark, d), "market", "day", "monthly", monthday=31).select("day")
 
