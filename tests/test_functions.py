@@ -95,7 +95,8 @@ def test_support_and_resistance_match_a_plain_loop(spark):
         found = [(round(sum(g) / len(g), 8), len(g)) for g in groups]
         best = sorted((x for x in found if x[0] >= close[i] - tol), key=lambda x: (abs(x[0] - close[i]), -x[1]))[:3]
         row = got[pdf.ts[i]]
-        assert [(x["price"], x["touches"]) for x in row["resistances"]] == pytest.approx(best)
+        assert [x["price"] for x in row["resistances"]] == pytest.approx([b[0] for b in best])
+        assert [x["touches"] for x in row["resistances"]] == [b[1] for b in best]
 
 
 def test_snapshot_round_trip(spark, tmp_path):
