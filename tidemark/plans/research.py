@@ -204,9 +204,9 @@ def _fundamental(name):
         cap = c("close") * c("f.shares")
         cols = [c(f"f.{n}").alias(n) for n in ("net_income", "shareholder_equity", "total_debt", "free_cash_flow", "revenue_growth")]
         df = df.select("symbol", "ts", when(cap > 0, cap).alias("market_cap"), *cols)
-        return factor_series(p.replace(df), name).select("symbol", T(), F.round("value", 8).alias("value"))
+        return factor_series(p.replace(df), name).select("symbol", T(), F.round("value", 2 if name == "market_cap" else 8).alias("value"))
     return run
 
 
 for _n, (_id, _sql) in enumerate(FUND, start=55):
-    add(f"f{_n}_{_id}", _fundamental(_id), with_sql("bars", "fundamentals") + f"SELECT b.symbol, b.t, round({_sql}, 8) AS value FROM {ASOF} WHERE {_sql} IS NOT NULL")
+    add(f"f{_n}_{_id}", _fundamental(_id), with_sql("bars", "fundamentals") + f"SELECT b.symbol, b.t, round({_sql}, {2 if _id == 'market_cap' else 8}) AS value FROM {ASOF} WHERE {_sql} IS NOT NULL")
