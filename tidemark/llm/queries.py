@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, rules
+from tidemark.llm import chat, decontaminate, mixing, neardup, rules, substrings
 from tidemark.llm.shared import table
 
 QUERIES, SQL = {}, {}
@@ -50,3 +50,17 @@ def op9_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     bad = rules.fails(rules.BASE)
     return t.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", bad.alias("base_failed"),
                     (~bad & ~rules.fails(rules.WEB)).alias("kept"), "n_lines", "n_upper", "n_stutters", "failed_bits")
+
+
+@query
+def op8_probminhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the class of its near duplicates."""
+    c = neardup.classes(table(spark, folder, "documents"))
+    return c.select("doc_id", "class_id")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    d = substrings.dedup(table(spark, folder, "documents"))
+    return d.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
