@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, neardup, rules, substrings
+from tidemark.llm import chat, decontaminate, mixing, neardup, rules, substrings, tokens, toxicity, warc
 from tidemark.llm.shared import table
 
 QUERIES, SQL = {}, {}
@@ -64,3 +64,25 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the passages that an earlier one has."""
     d = substrings.dedup(table(spark, folder, "documents"))
     return d.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    manifest = warc.write_archives(table(spark, folder, "pages"), warc.new_folder(spark), least=0)
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document."""
+    return tokens.token_counts(table(spark, folder, "documents"))
+
+
+@query
+def op5_toxicity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents from the labelled ones that are not held out."""
+    docs = table(spark, folder, "documents")
+    out = toxicity.held_out(F.col("doc_id"))
+    s = toxicity.score(docs, docs.where(~out), table(spark, folder, "labels"))
+    return s.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.array_join("terms", " ").alias("terms"))

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.hashing import hash_words, run_hashes, signed, split_words
 from tidemark.llm.shared import written
@@ -202,5 +203,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, shard: int = SHARD_CONTEXTS, ke
     others = F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")
     rows = docs.select(others, F.col("doc_id").cast("long").alias("_id"), _md5().alias("_md5"), "text")
     both = rows.join(hits, (F.col("_id") == F.col("doc_id")) & (F.col("_md5") == F.col("text_md5")), "left").select("row", "text", "whole", "starts")
-    kind = both.schema["row"].dataType.simpleString()
-    return both.mapInArrow(strike, f"row {kind}, n_words long, n_removed long, kept string" + ", text string" * keep_whole)
+    kind = T.StructType([both.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), *(T.StructField(c, T.StringType()) for c in ["kept", "text"][: 1 + keep_whole])])
+    return both.mapInArrow(strike, kind)
