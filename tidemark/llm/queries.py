@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, neardup, rules, substrings, tokens, toxicity, warc
+from tidemark.llm import chat, decontaminate, lm, mixing, neardup, rules, substrings, tokens, toxicity, warc
 from tidemark.llm.shared import table
 
 QUERIES, SQL = {}, {}
@@ -86,3 +86,12 @@ def op5_toxicity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     out = toxicity.held_out(F.col("doc_id"))
     s = toxicity.score(docs, docs.where(~out), table(spark, folder, "labels"))
     return s.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.array_join("terms", " ").alias("terms"))
+
+
+@query
+def op7_recurrent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-likelihoods of all documents under the counts and the network of those that learn."""
+    docs = table(spark, folder, "documents")
+    out = lm.held_out(F.col("doc_id"))
+    s = lm.score(docs, docs.where(~out))
+    return s.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

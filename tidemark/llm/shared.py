@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, without lineage, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
