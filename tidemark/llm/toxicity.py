@@ -64,7 +64,8 @@ def choose_terms(examples: DataFrame, most: int = TERMS) -> list[str]:
     df = df.groupBy("term").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum((~F.col("toxic")).cast("double")).alias("b"))
     yes, no = float(n["y"]), float(n["n"] - n["y"])
     df = df.withColumn("c", yes - F.col("a")).withColumn("d", no - F.col("b")).where(F.col("a") + F.col("b") >= LEAST_DF)
-    chi2 = (yes + no) * F.pow(F.col("a") * F.col("d") - F.col("b") * F.col("c"), F.lit(2)) / ((F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * yes * no)
+    spread = (F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * yes * no  # 0 for a term of all texts, which tells nothing
+    chi2 = F.coalesce(F.try_divide((yes + no) * F.pow(F.col("a") * F.col("d") - F.col("b") * F.col("c"), F.lit(2)), spread), F.lit(0.0))
     return sorted(r[0] for r in df.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(most).select("term").collect())
 
 

@@ -129,11 +129,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest, archive of every record; the digest of a response is checked."""
+    """page_id, url, record_type, refers_to, payload_bytes, payload_digest, archive of every record.
+
+    The digest of a response is checked, and so is the number of records: a reader takes a cut file for a shorter one.
+    """
 
     def read(batches):
         for batch in batches:
-            for uri in batch.column("archive").to_pylist():
+            for uri, n in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 files, path = pa.fs.FileSystem.from_uri(uri)
                 rows = {c: [] for c in ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "archive")}
                 with files.open_input_stream(path) as source:
@@ -145,6 +148,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         size = len(payload) if kind == "response" else int(http.rpartition(b"Content-Length: ")[2])
                         for c, v in zip(rows, (_page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), kind, _page(headers.get("WARC-Refers-To")), size, told, uri), strict=True):
                             rows[c].append(v)
+                if len(rows["archive"]) != n:
+                    raise ValueError(f"{uri} has {len(rows['archive'])} of {n} records")
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("archive", pa.string())]))
 
     n = max(1, manifest.count())
