@@ -181,3 +181,14 @@ def test_op10_automaton_tells_the_earliest():
         for t in [*texts, list("abcabdcab"), list("ddd")]:
             want = [min((m for s, m in zip(texts, marks, strict=True) if any(s[j : j + window] == t[i : i + window] for j in range(len(s) - window + 1))), default=None) for i in range(len(t) - window + 1)]
             assert list(a.earliest(t, window)) == want
+
+
+def test_op8_prefixes_lose_no_pair(spark):
+    """Every pair at the similarity, of texts with and without repeated shingles, is among the pairs that the prefixes propose."""
+    rng = random.Random(9)
+    texts = near(40, 7, 60) + near(25, 8, 80) + [" ".join(rng.choice("abc") for _ in range(rng.randrange(5, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, c long, text string")
+    got = {tuple(r) for r in neardup.prefix_pairs(df).collect()}
+    w = [weights(t) for t in texts]
+    want = {(i, j) for i in range(len(w)) for j in range(i + 1, len(w)) if prob_jaccard(w[i], w[j]) >= 0.8}
+    assert want <= got and len(want) > 100

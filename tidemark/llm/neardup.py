@@ -6,9 +6,11 @@ at the first arrival later than all registers of its document. Two documents agr
 probability Jaccard similarity. Bands of registers propose pairs; each pair that counts is verified with the exact
 similarity of the whole texts.
 
-Texts that are equal are one node from the start. In a bucket every node is first compared with three of its members; what
-these links do not join into one component is then compared pair by pair, so a large bucket of copies costs a
-few comparisons per member and no link between different texts of a bucket is lost. Components are found by alternating
+Texts that are equal are one node from the start. In a bucket every node is first compared with two of its members, the one
+with most company in all its buckets and the first. Where that leaves a bucket in several components, its nodes
+are searched exactly: prefixes of their shingles in order of rarity, as long as a link needs them, meet in an equi-join, and
+only pairs of different components whose prefixes meet are compared. So a large group of copies costs a few
+comparisons per member, copies below the similarity don't meet pair by pair, and no link of a bucket is lost. Components are found by alternating
 large-star and small-star steps. With 40 bands of 6 registers a pair of similarity 0.8 is missed with
 probability 5e-6.
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import MULTIPLIERS, hash_words, mixed, run_hashes, signed, split_words
@@ -131,15 +133,47 @@ def components(links: DataFrame) -> DataFrame:
         before, edges = told, written(star(star(edges, True), False), "links")
 
 
+def prefix_pairs(texts: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """Pairs (a, b) of nodes of different components ``c`` that may be links; ``texts``: node, c, text.
+
+    With similarity s, what two texts share weighs at least s of each, and where no shingle repeats in either, it
+    counts s / (1 + s) of both sizes. In any one order of shingles, here by rarity, their first common shingle then comes
+    before that much is left over in either text.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i, j in slices([len(t or "") for t in batch.column("text").to_pylist()], SLICE_CHARS):
+                part = batch.slice(i, j - i)
+                sets = [shingles(t, shingle) for t in part.column("text").to_pylist()]
+                told = [pa.array([signed(k) for k, _ in sets], pa.list_(pa.int64())), pa.array([w for _, w in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("c"), *told], ["node", "c", "h", "w"])
+
+    own = texts.select("node", "c", "text").mapInArrow(run, "node long, c long, h array<long>, w array<long>")
+    own = own.withColumn("total", F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x)).withColumn("flat", F.col("total") == F.size("h"))
+    each = written(own.select("node", "c", "total", "flat", F.inline(F.arrays_zip("h", "w"))), "near-shingles")
+    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("df > 1")
+    order = Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "h").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.join(seen, "h", "left").withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0)))
+    each = written(each.where(F.col("before") <= (1 - least) * F.col("total") + 1e-9).where("lo != hi").select("h", "node", "c", "total", "flat", "before"), "near-prefixes")
+    p, q = each.alias("p"), each.alias("q")
+    need = F.ceil((F.col("p.total") + F.col("q.total")) * (least / (1 + least)) - 1e-9)
+    enough = ~(F.col("p.flat") & F.col("q.flat")) | ((F.col("p.before") <= F.col("p.total") - need) & (F.col("q.before") <= F.col("q.total") - need))
+    met = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & enough)
+    return met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_md5, class_id and component of every row; a component is a class (ids may repeat, components don't)."""
     signed_ = written(signatures(docs, bands, rows, shingle), "near-signatures")
     nodes = signed_.groupBy("text_md5").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    lead = buckets.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min_by("node", F.xxhash64("node")).alias("z")).where("x != y")
-    met = written(buckets.join(lead, "key"), "near-buckets")
-    first = met.select("node", F.explode(F.array("x", "y", "z")).alias("other")).where("node != other")
+    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = written(buckets.join(full, "key"), "near-buckets")
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    lead = met.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("x"), F.min("node").alias("y"))
+    first = met.join(lead, "key").select("node", F.explode(F.array("x", "y")).alias("other")).where("node != other")
     first = written(first.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near-pairs")
     wanted = met.select("node").distinct().join(nodes.select("node", "text_md5", "rep"), "node")
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_md5"), "text")
@@ -147,12 +181,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     texts = written(texts, "near-texts")
     links = written(verify(first, texts, least, shingle), "near-links")
     label = written(components(links), "near-components")
-    # Buckets that the first links left in several components: their pairs across components, but for those already refused.
+    # Buckets that the first links left in several components: the pairs of their nodes that can still be links.
     known = met.select("node", "key").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     split = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    open_ = written(known.join(split, "key").select("key", "node", "c").distinct(), "near-open")
-    across = open_.alias("p").join(open_.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.node") < F.col("q.node")))
-    across = across.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    open_ = written(known.join(split, "key").select("node", "c").distinct(), "near-open")
+    across = prefix_pairs(open_.join(texts, "node"), least, shingle).join(first, ["a", "b"], "left_anti")
     more = written(verify(across, texts, least, shingle), "near-links")
     if not more.isEmpty():
         label = written(components(links.union(more)), "near-components")
