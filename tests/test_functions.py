@@ -11,8 +11,10 @@ from tidemark.functions.stats import average_ranks, bucket_of_rank, cross_ranks,
 from tidemark.model import Panel
 from tidemark.operators.factors import FactorError, factor_series, list_factors
 from tidemark.operators.features import support_resistance
-from tidemark.operators.splits import parameter_grid, split_by_constraints, walk_forward_plan
+from tidemark.operators.ledger import virtual_fills
+from tidemark.operators.splits import parameter_grid, split_by_constraints, walk_forward_folds
 from tidemark.sources.bars import BarError, collapse_duplicates, load_snapshot, read_bars_csv, save_snapshot
+from tidemark.streaming.flows import next_fill
 
 
 def bars(spark, n=160, symbols=("a", "b"), seed=3):
@@ -47,7 +49,7 @@ def test_quantiles_and_ranks_with_a_hot_group(spark):
     assert sorted(r["r"] for r in cross_ranks(df, ["k"], "v", avg="r").collect()) == want
 
 
-@pytest.mark.parametrize("n,q", [(3, 2), (11, 5), (37, 10), (100, 7)])
+@pytest.mark.parametrize("n,q", [(3, 2), (11, 5), (37, 10), (100, 7), (200, 20)])
 def test_buckets_are_those_of_qcut(spark, n, q):
     df = spark.range(1, n + 1).select(F.col("id").alias("r"), bucket_of_rank(F.col("id"), F.lit(n), q).alias("b"))
     want = pd.qcut(pd.Series(range(1, n + 1)), q, labels=False) + 1
@@ -127,12 +129,34 @@ def test_conflicting_duplicates_fail(spark):
 
 
 def test_walk_forward_plan_and_grid(spark):
-    plan = walk_forward_plan(400, 4, 0.5, 0.1, warmup=10, embargo=2)
-    assert plan["blind_start"] == 360 and plan["folds"][0]["train_end"] + 3 == plan["folds"][0]["valid_start"]
-    assert plan["folds"][-1]["valid_end"] == 357
-    with pytest.raises(ValueError):
-        walk_forward_plan(30, 2, 0.5, 0.0)
+    sizes = spark.createDataFrame([("a", 400), ("short", 30)], "k string, n long")
+    plan = {(r["fold"], r["role"]): (r["first"], r["last"]) for r in walk_forward_folds(sizes, 4, 0.5, 0.1, warmup=10, embargo=2).collect() if r["k"] == "a"}
+    assert plan[0, "blind"] == (360, 399) and plan[1, "train"][1] + 3 == plan[1, "validation"][0]
+    assert plan[4, "validation"][1] == 357 and len(plan) == 9
+    assert walk_forward_folds(sizes.where("k = 'short'"), 2, 0.5, 0.0).count() == 0
     grid = parameter_grid(spark, {"fast": [1, 2, 3], "slow": [2, 4]})
     good, bad = split_by_constraints(grid, "fast < slow")
     assert (grid.count(), good.count(), bad.count()) == (6, 4, 2)
     assert parameter_grid(spark, {"a": list(range(20)), "b": list(range(20))}, limit=50).count() == 50
+
+
+FILLS = [("open_long", 2.0, 10.0), ("close_long", 0.0, 20.0), ("open_long", 3.0, 12.0), (" ADD_long ", 1.0, 16.0), ("reduce_long", 1.5, 0.0), ("reduce_long", 1.5, 15.0),
+         ("close_long", None, 14.0), ("close_long", 1.0, 9.0), ("open_long", 0.0, 9.0), ("hold_long", 1.0, 9.0), ("open_long", 1.0, 30.0), ("close_long", 9.0, 31.0)]
+
+
+def test_fills_close_all_and_reject(spark):
+    """Batch and stream follow one rule for fills, also where an exit has no quantity or a fill no price."""
+    rows = [("s", "x", str(i).zfill(2), i, k, a, p) for i, (k, a, p) in enumerate(FILLS)]
+    df = spark.createDataFrame(rows, "strategy_id string, symbol string, id string, t long, type string, amount double, price double")
+    got = {r["id"]: r for r in virtual_fills(df, ["strategy_id", "symbol"], ("t", "id")).collect()}
+    size = entry = 0.0
+    for i, (k, a, p) in enumerate(FILLS):
+        size, entry, pnl = next_fill(k, a, p, False, size, entry)
+        r = got[str(i).zfill(2)]
+        assert (r["size"], round(r["realized"], 9)) == (size, round(pnl, 9)), (i, r)
+    assert got["01"]["fill"] == 2 and got["01"]["realized"] == 20 and got["07"]["status"] == "no_position" and got["09"]["status"] == "rejected"
+
+
+def test_nan_has_no_rank(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", -5.0), ("a", None)], "k string, v double")
+    assert sorted(r["r"] for r in cross_ranks(df, ["k"], "v", avg="r").collect()) == [1.0, 2.0]

@@ -80,7 +80,7 @@ def first_ranks(df: DataFrame, keys, col: str, tie: str, out: str = "rank") -> D
     return scan(df, keys, [col, tie], c("_g"), **{out: ("count", lit(1))}).drop("_g")
 
 
-def bucket_of_rank(rank: Column, n: Column, q: Column | int, most: int = 10) -> Column:
+def bucket_of_rank(rank: Column, n: Column, q: Column | int) -> Column:
     """Quantile bucket 1..q of rank 1..n: equal-frequency edges by linear interpolation.
 
     This is not ``ntile``: edge k lies at position (n - 1) * k / q and a rank belongs to the
@@ -89,15 +89,13 @@ def bucket_of_rank(rank: Column, n: Column, q: Column | int, most: int = 10) ->
     q = lit(q) if isinstance(q, int) else q
 
     def edge(k):
-        p = (lit(float(k)) * (lit(1.0) / q)) * 100.0 / 100.0
+        p = (k.cast("double") * (lit(1.0) / q)) * 100.0 / 100.0
         pos = (n - 1) * p
         frac = pos - F.floor(pos)
         return when(frac >= 0.5, F.floor(pos) + 2 - (1 - frac)).otherwise(F.floor(pos) + 1 + frac)
 
-    out = lit(1)
-    for k in range(1, most):
-        out = out + when((lit(k) < q) & (edge(k) < rank), 1).otherwise(0)
-    return out
+    edges = F.sequence(lit(0), F.greatest(q.cast("int") - 1, lit(0)))
+    return F.size(F.filter(edges, lambda k: (k == 0) | (edge(k) < rank)))
 
 
 def corr0(a: str, b: str) -> Column:
@@ -191,7 +189,7 @@ def cross_ranks(df: DataFrame, keys, col: str, avg: str | None = None, first: st
     from pyspark.sql import Window
     keys = list(keys)
     by = [*keys, "_b"]
-    rows = df.withColumn("_b", value_bucket(c(col))).where(c("_b").isNotNull())
+    rows = df.where(~F.isnan(c(col).cast("double"))).withColumn("_b", value_bucket(c(col))).where(c("_b").isNotNull())  # null and NaN have no rank
     heads = rows.groupBy(*by).agg(F.count(lit(1)).alias("_n"))
     over = Window.partitionBy(*keys)
     heads = heads.withColumns({

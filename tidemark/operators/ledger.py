@@ -118,16 +118,17 @@ def performance(trades: DataFrame, key: str = "strategy_id", capital: str = "cap
     """
     start = F.coalesce(capital, F.lit(0.0))
     x = trades.where(c("profit").isNotNull()).withColumn("net", equity_step())
+    money = lambda col: F.sum(col.cast("decimal(28,8)")).cast("double")  # noqa: E731  exact, so no order of rows changes it
     p = path(x, [key], ["t", "id"], ledger_grain(), c("net"), start, from_start=False)
     p = p.withColumn("peak", F.when(start > 0, F.greatest("peak", start)).otherwise(c("peak")))
     win, loss = c("net") > 0, c("net") < 0
     main = p.groupBy(key).agg(
         F.max(start).alias("capital"), F.count(F.lit(1)).alias("total_trades"), F.count_if(win).alias("winning"),
-        F.count_if(loss).alias("losing"), F.sum(F.when(win, c("net")).otherwise(0.0)).alias("total_profit"),
-        F.abs(F.sum(F.when(loss, c("net")).otherwise(0.0))).alias("total_loss"), F.avg("net").alias("avg_trade"),
+        F.count_if(loss).alias("losing"), money(F.when(win, c("net")).otherwise(0.0)).alias("total_profit"),
+        F.abs(money(F.when(loss, c("net")).otherwise(0.0))).alias("total_loss"), (money(c("net")) / F.count("net")).alias("avg_trade"),
         F.max("net").alias("max_win"), F.min("net").alias("max_loss"), F.max(c("peak") - c("equity")).alias("max_drawdown"),
         F.max("peak").alias("_top"))
-    days = x.groupBy(key, F.floor(c("t") / 86400).alias("_d")).agg(F.sum("net").alias("_n")).groupBy(key).agg(
+    days = x.groupBy(key, F.floor(c("t") / 86400).alias("_d")).agg(money(c("net")).alias("_n")).groupBy(key).agg(
         F.max("_n").alias("best_day"), F.min("_n").alias("worst_day"))
     zero, dd, gain = F.lit(0.0), c("max_drawdown"), c("_top") - c("capital")
     pct = F.when(c("_top") > 0, dd / c("_top") * 100).when(gain > 0, dd / gain * 100).otherwise(0.0)
@@ -288,17 +289,19 @@ def virtual_fills(fills: DataFrame, keys=("strategy_id", "symbol"), order=("t",
     entry, exit_ = action.isin(*ENTRIES), action.isin(*EXITS)
     good = c("price") > 0
     x = fills.withColumn("leg", leg(c("type")))
-    signed = F.when(entry & good & (c("amount") > 0), c("amount")).when(
-        exit_ & good, F.when(c("amount") > 0, -c("amount")).otherwise(-1e300)).otherwise(0.0)
-    x = path(x, keys, order, ledger_grain(order[0]), signed, 0.0, value="_sum", peak="_top", low="_low")
-    x = x.withColumn("size", c("_sum") - c("_low")).withColumn("_held", c("_sum") - signed - c("_low_before"))
-    x = x.withColumn("fill", F.when(entry & (signed > 0), c("amount")).when(exit_ & good, c("_held") - c("size")).otherwise(0.0))
-    adds = entry & (signed > 0)
-    a = F.when(adds, c("_held") / c("size")).otherwise(1.0)
-    b = F.when(adds, c("amount") * c("price") / c("size")).otherwise(0.0)
+    wants = F.greatest(F.coalesce("amount", F.lit(0.0)), F.lit(0.0))
+    adds, flat = F.coalesce(entry & good & (wants > 0), F.lit(False)), F.coalesce(exit_ & good & (wants <= 0), F.lit(False))
+    # An exit without a quantity closes all: it ends a stretch, and the sizes begin anew after it.
+    x = scan(x, keys, order, ledger_grain(order[0]), _stretch=("count", F.when(flat, 1), -1))
+    signed = F.when(adds, wants).when(exit_ & good, -wants).otherwise(0.0)
+    x = path(x, [*keys, "_stretch"], order, ledger_grain(order[0]), signed, 0.0, value="_sum", peak="_top", low="_low")
+    x = x.withColumn("_held", c("_sum") - signed - c("_low_before")).withColumn("size", F.when(flat, 0.0).otherwise(c("_sum") - c("_low")))
+    x = x.withColumn("fill", F.when(adds, wants).when(exit_ & good, c("_held") - c("size")).otherwise(0.0))
+    a = F.when(adds, F.try_divide("_held", "size")).otherwise(1.0)
+    b = F.when(adds, F.try_divide(wants * c("price"), c("size"))).otherwise(0.0)
     x = affine(x, keys, order, ledger_grain(order[0]), a, b, "entry")
     side = F.when(c("leg") == "short", -1.0).otherwise(1.0)
-    pnl = F.when(exit_, (c("price") - c("entry")) * side * c("fill")).otherwise(0.0)
+    pnl = F.when(exit_ & (c("fill") > 0), (c("price") - c("entry")) * side * c("fill")).otherwise(0.0)
     status = F.when(adds, "filled").when(exit_ & (c("fill") > 0), "filled").when(exit_, "no_position").otherwise("rejected")
     return x.select(*fills.columns, "leg", "fill", "size", "entry", pnl.alias("realized"), status.alias("status"))
 

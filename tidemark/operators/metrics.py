@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,18 +211,17 @@ def walk_forward_summary(folds: DataFrame, keys, least: float = 0.5) -> DataFram
     return g.join(med, list(keys)).withColumn("stable", c("positive") >= least)
 
 
-def pbo_logit(scores: DataFrame, folds: int, most: int = 2000) -> DataFrame:
+def pbo_logit(scores: DataFrame, folds: int) -> DataFrame:
     """Overfitting probability: the in-sample winner's out-of-sample rank over half splits.
 
     ``scores`` holds one row per config with an array of fold scores.  Splits are bit masks
-    of the folds (the ``most`` lowest by hash when there are more), so their number is
-    bounded whatever the data.
+    of the folds, all of them: high and low bits are exploded apart, so no row holds all masks.
     """
-    half = folds // 2
-    masks = F.expr(f"slice(array_sort(transform(filter(sequence(0, {2 ** folds - 1}), m -> bit_count(m) = {half}),"
-                   f" m -> struct(if({math.comb(folds, half)} > {most}, xxhash64(m), 0) AS h, m AS m))), 1, {most})")
+    half, low = folds // 2, folds // 2
     bits = F.transform(F.sequence(lit(0), lit(folds - 1)), lambda i: F.get("scores", i))
-    x = scores.select("config", bits.alias("s"), F.explode(masks).alias("k")).select("config", "s", c("k.m").alias("mask"))
+    x = scores.select("config", bits.alias("s"), F.explode(F.sequence(lit(0), lit(2 ** (folds - low) - 1))).alias("_hi"))
+    x = x.select("config", "s", "_hi", F.explode(F.sequence(lit(0), lit(2 ** low - 1))).alias("_lo"))
+    x = x.select("config", "s", (c("_hi") * 2 ** low + c("_lo")).alias("mask")).where(F.bit_count("mask") == half)
     total = F.expr("aggregate(s, 0D, (a, v) -> a + v)")
     inside = F.expr(f"aggregate(sequence(0, {folds - 1}), 0D, (a, i) -> a + if((shiftright(mask, i) & 1) = 1, s[i], 0D))")
     x = x.select("config", "mask", (inside / half).alias("ins"), ((total - inside) / (folds - half)).alias("oos"))
@@ -402,11 +403,11 @@ def confidence_accuracy(rows: DataFrame, least: int = 5) -> DataFrame:
 
 
 def adjusted_confidence(rows: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """Scale a confidence by the accuracy of its bucket (five rows, so a broadcast).
+    """Scale a confidence by the accuracy of its bucket.
 
     The last bucket has no adjustment: its label differs from the one that is looked up.
     """
-    x = rows.withColumn("bucket", confidence_bucket(c("confidence"))).join(F.broadcast(accuracy.select("bucket", "accuracy").limit(len(CONFIDENCE))), "bucket", "left")
+    x = rows.withColumn("bucket", confidence_bucket(c("confidence"))).join(accuracy.select("bucket", "accuracy"), "bucket", "left")
     scaled = (c("confidence") * (c("accuracy") / (0.5 + (c("confidence") - 50) / 100.0))).cast("int")
     use = (c("accuracy") > 0) & (c("bucket") != "90_101")
     return x.withColumn("adjusted", F.greatest(lit(1), F.least(lit(99), when(use, scaled).otherwise(c("confidence").cast("int")))))

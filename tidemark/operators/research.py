@@ -46,7 +46,7 @@ def information_coefficient(pairs: DataFrame, keys, score: str, ret: str) -> Dat
 def quantile_returns(pairs: DataFrame, keys, score: str, ret: str, symbol: str, q: int = 5) -> DataFrame:
     keys = list(keys)
     x = cross_ranks(pairs.where(c(score).isNotNull() & c(ret).isNotNull()), keys, score, first="_r", tie=symbol, size="_n").where("_n >= 2")
-    b = bucket_of_rank(c("_r"), c("_n"), F.greatest(lit(2), F.least(lit(q), c("_n"))), q)
+    b = bucket_of_rank(c("_r"), c("_n"), F.greatest(lit(2), F.least(lit(q), c("_n"))))
     return x.groupBy(*keys, b.alias("quantile")).agg(F.avg(ret).alias("mean_return"), F.count(lit(1)).alias("count"))
 
 
@@ -151,7 +151,7 @@ def ranked_sections(rows: DataFrame, requested: int = 5) -> DataFrame:
     x = x.withColumns({"rank_f": average("factor"), "rank_r": average("forward"), "_first": F.row_number().over(day.orderBy("factor", "symbol"))})
     flat = (F.min("factor").over(day) == F.max("factor").over(day)) | (F.min("forward").over(day) == F.max("forward").over(day))
     x = x.withColumn("ic", when(~flat, F.corr("rank_f", "rank_r").over(day))).where("ic IS NOT NULL")
-    x = x.withColumn("grp", bucket_of_rank(c("_first"), c("usable"), c("groups"), requested)).drop("_first")
+    x = x.withColumn("grp", bucket_of_rank(c("_first"), c("usable"), c("groups"))).drop("_first")
     return durable(x)
 
 

@@ -44,9 +44,9 @@ def _(spark, d):
 PERF = """c AS (SELECT t.*, capital, profit - commission AS net FROM trades t JOIN strategies USING (strategy_id) WHERE profit IS NOT NULL),
  e AS (SELECT *, capital + sum(net) OVER w AS eq FROM c WINDOW w AS (PARTITION BY strategy_id ORDER BY t, id ROWS UNBOUNDED PRECEDING)),
  p AS (SELECT *, CASE WHEN capital > 0 THEN greatest(capital, max(eq) OVER w) ELSE max(eq) OVER w END AS peak FROM e WINDOW w AS (PARTITION BY strategy_id ORDER BY t, id ROWS UNBOUNDED PRECEDING)),
- dy AS (SELECT strategy_id, max(n) AS best_day, min(n) AS worst_day FROM (SELECT strategy_id, t // 86400, sum(net) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
+ dy AS (SELECT strategy_id, max(n) AS best_day, min(n) AS worst_day FROM (SELECT strategy_id, t // 86400, CAST(sum(CAST(net AS DECIMAL(28, 8))) AS DOUBLE) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
  g AS (SELECT strategy_id, max(capital) AS capital, count(*) AS total_trades, count(*) FILTER (net > 0) AS winning, count(*) FILTER (net < 0) AS losing,
- sum(CASE WHEN net > 0 THEN net ELSE 0 END) AS total_profit, -sum(CASE WHEN net < 0 THEN net ELSE 0 END) AS total_loss, avg(net) AS avg_trade, max(net) AS max_win, min(net) AS max_loss,
+ CAST(sum(CAST(CASE WHEN net > 0 THEN net ELSE 0 END AS DECIMAL(28, 8))) AS DOUBLE) AS total_profit, -CAST(sum(CAST(CASE WHEN net < 0 THEN net ELSE 0 END AS DECIMAL(28, 8))) AS DOUBLE) AS total_loss, CAST(sum(CAST(net AS DECIMAL(28, 8))) AS DOUBLE) / count(*) AS avg_trade, max(net) AS max_win, min(net) AS max_loss,
  max(peak - eq) AS max_drawdown, max(peak) AS top FROM p GROUP BY 1),
  perf AS (SELECT *, winning * 100.0 / (winning + losing) AS win_rate, total_profit / total_loss AS profit_factor, total_profit / winning AS avg_win, total_loss / losing AS avg_loss,
  CASE WHEN top > 0 THEN max_drawdown / top * 100 ELSE 0 END AS max_drawdown_pct FROM g JOIN dy USING (strategy_id))"""

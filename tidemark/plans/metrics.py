@@ -154,11 +154,11 @@ def _(spark, d):
     return X.stop_sweep(closed_trades(spark, d), ["regime"], [0.02, 0.05, 0.08]).withColumn("survival", F.round("survival", 6))
 
 
-@query("a22_cost_stress", with_sql("rt", more="g AS (SELECT run, sum(gross) AS g, sum(cost) AS k FROM rt WHERE gross > -800 GROUP BY 1), m AS (SELECT run, m, g - k * m AS net FROM g, (VALUES (1.0), (1.25), (1.5), (2.0), (3.0)) v(m))") + """
+@query("a22_cost_stress", with_sql("rt", more="g AS (SELECT run, sum(gross) AS g, sum(cost) AS k FROM rt GROUP BY 1), m AS (SELECT run, m, g - k * m AS net FROM g, (VALUES (1.0), (1.25), (1.5), (2.0), (3.0)) v(m))") + """
  SELECT run, CAST(min(CASE WHEN net <= 0 THEN m END) AS DOUBLE) AS fails_at, CASE WHEN min(CASE WHEN net <= 0 THEN m END) IS NULL THEN 'ROBUST' WHEN min(CASE WHEN net <= 0 THEN m END) <= 1.25 THEN 'EXECUTION-SENSITIVE'
  WHEN min(CASE WHEN net <= 0 THEN m END) <= 2 THEN 'MODERATE' ELSE 'RESILIENT' END AS verdict FROM m GROUP BY 1""")
 def _(spark, d):
-    return X.cost_verdict(X.cost_stress(closed_trades(spark, d).where("gross > -800"), ["run"], [1.0, 1.25, 1.5, 2.0, 3.0]), ["run"])
+    return X.cost_verdict(X.cost_stress(closed_trades(spark, d), ["run"], [1.0, 1.25, 1.5, 2.0, 3.0]), ["run"])
 
 
 @query("a23_sensitivity", """WITH p AS (SELECT p_partkey % 15 AS param, p_size % 5 AS step, avg(p_partkey * 7919 % 1009 - 300) AS score FROM part GROUP BY 1, 2), g AS (SELECT param, max(CASE WHEN step = 2 THEN score END) AS b, min(score) AS lo, avg(CASE WHEN score > 0 THEN 1.0 ELSE 0 END) AS v FROM p GROUP BY 1)

@@ -25,11 +25,17 @@ def dated(spark, d):
     return weekly(spark, d).number().df.select("symbol", "pos")
 
 
-@query("v1_walk_forward", with_sql("x") + """SELECT fold, role, count(*) AS rows, min(pos) AS first, max(pos) AS last FROM x, (VALUES (0, 'blind', 180, 1000000), (1, 'train', 0, 79), (1, 'validation', 82, 110), (2, 'train', 0, 110), (2, 'validation', 113, 141), (3, 'train', 0, 141), (3, 'validation', 144, 173)) f(fold, role, a, b)
- WHERE pos BETWEEN a AND b GROUP BY 1, 2""")
+WF = """n AS (SELECT symbol, count(*) AS n FROM x GROUP BY 1), a AS (SELECT symbol, n, n - 74 AS room, CASE WHEN n // 10 > 0 AND n - 76 >= 10 THEN least(greatest(n // 10, 10), n - 76) ELSE 0 END AS blind FROM n WHERE n >= 74),
+ b AS (SELECT *, n - blind - CASE WHEN blind > 0 THEN 2 ELSE 0 END AS e FROM a), d AS (SELECT *, least(e - 24, greatest(50, e // 2)) AS s FROM b), h AS (SELECT *, least(3, (e - s) // 12) AS m FROM d),
+ f AS (SELECT symbol, k AS fold, s + (k - 1) * ((e - s) // m) AS o, CASE WHEN k = m THEN e ELSE s + k * ((e - s) // m) END AS z FROM h, range(1, 4) r(k) WHERE k <= m),
+ w AS (SELECT symbol, fold, 'train' AS role, 0 AS a, o - 1 AS b FROM f UNION ALL SELECT symbol, fold, 'validation', o + 2, z - 1 FROM f UNION ALL SELECT symbol, 0, 'blind', n - blind, n - 1 FROM h WHERE blind > 0)"""
+
+
+@query("v1_walk_forward", with_sql("x", more=WF) + "SELECT symbol, fold, role, count(*) AS rows, min(pos) AS first, max(pos) AS last FROM x JOIN w USING (symbol) WHERE pos BETWEEN a AND b GROUP BY 1, 2, 3")
 def _(spark, d):
-    plan = {"folds": [{"fold": k, "train_end": e, "valid_start": e + 3, "valid_end": z} for k, e, z in ((1, 79, 110), (2, 110, 141), (3, 141, 173))], "blind_start": 180}
-    return V.tag_folds(dated(spark, d), "pos", plan).groupBy("fold", "role").agg(F.count(lit(1)).alias("rows"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    x = dated(spark, d)
+    spans = V.walk_forward_folds(x.groupBy("symbol").agg(F.count(lit(1)).alias("n")), 3, 0.5, 0.1, warmup=10, embargo=2)
+    return V.tag_folds(x, ["symbol"], "pos", spans).groupBy("symbol", "fold", "role").agg(F.count(lit(1)).alias("rows"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 @query("v2_rolling_folds", with_sql("x", more="n AS (SELECT symbol, count(*) AS n FROM x GROUP BY 1)") + "SELECT symbol, k AS fold, k * 20 AS is_start, k * 20 + 100 AS is_end, k * 20 + 130 AS oos_end FROM n, range(50) r(k) WHERE k * 20 + 130 <= n")
@@ -59,10 +65,9 @@ def _(spark, d):
     return V.contiguous_runs(x, ["symbol"], "pos", 4)
 
 
-@query("v5_first_leak", with_sql("x", more=SPLIT) + "SELECT split, min(CASE WHEN role = 'train' AND pos + 40 >= t0 AND pos < t0 THEN pos WHEN role = 'train' AND pos >= t1 AND pos < t1 + 5 THEN pos END) AS leak FROM z WHERE symbol = '7' GROUP BY 1")
+@query("v5_first_leak", with_sql("x", more=SPLIT) + "SELECT symbol, split, min(CASE WHEN role = 'train' AND pos + 40 >= t0 AND pos < t0 THEN pos WHEN role = 'train' AND pos >= t1 AND pos < t1 + 5 THEN pos END) AS leak FROM z GROUP BY 1, 2 HAVING count(*) FILTER (role = 'test') > 0")
 def _(spark, d):
-    x = purged(spark, d).where("symbol = '7'")
-    return V.first_leak(x, "split", "pos", 40, 5)
+    return V.first_leak(purged(spark, d), ["symbol", "split"], "pos", 40, 5)
 
 
 def hourly_returns(spark, d):
@@ -149,9 +154,9 @@ def _score_sql(cost):
     return f"SELECT trial, symbol, fold, count(*) FILTER (side <> 0) AS activity, round(avg(side * move - {cost} * abs(side)), 6) AS mean, round(avg(side * move - {cost} * abs(side)) / nullif(stddev_pop(side * move - {cost} * abs(side)), 0) * sqrt(52), 5) AS sharpe FROM s WHERE side IS NOT NULL AND move IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 2"
 
 
-@query("v12_grid_scores", with_sql("x", more=GS) + _score_sql(0.001).replace("HAVING count(*) > 2", "HAVING count(*) FILTER (side <> 0) > 2"))
+@query("v12_grid_scores", with_sql("x", more=GS) + _score_sql(0.001))
 def _(spark, d):
-    return scored(spark, d, 0.001).where("activity > 2").select("trial", "symbol", "fold", "activity", *R(6, "mean"), *R(5, "sharpe"))
+    return scored(spark, d, 0.001).select("trial", "symbol", "fold", "activity", *R(6, "mean"), *R(5, "sharpe"))
 
 
 @query("v13_cost_stressed_scores", with_sql("x", more=GS) + "SELECT trial, k AS multiplier, round(avg(side * move - 0.001 * k * abs(side)), 6) AS mean FROM s, (VALUES (1), (2), (3)) v(k) WHERE side IS NOT NULL AND move IS NOT NULL GROUP BY 1, 2")

@@ -100,10 +100,10 @@ def _(spark, d):
     return S.changed(p.df, "symbol", ["ts"], p.grain, c("close") > c("open")).select("symbol", epoch().alias("t"))
 
 
-@query("i14_radar_dedupe", "SELECT count(*) AS n FROM (SELECT DISTINCT coalesce(nullif(CASE WHEN page_id % 4 = 0 THEN '' ELSE url END, ''), lower(substr(html, 1, 400))) FROM pages)")
+@query("i14_radar_dedupe", "SELECT count(*) AS n FROM (SELECT DISTINCT coalesce(nullif(CASE WHEN page_id % 4 = 0 THEN '' ELSE url END, ''), nullif(lower(html), '')) AS k FROM pages) WHERE k IS NOT NULL")
 def _(spark, d):
-    p = table(spark, d, "pages").select("page_id", when(c("page_id") % 4 == 0, "").otherwise(c("url")).alias("url"), F.substring("html", 1, 400).alias("title"))
-    p = p.withColumn("key", F.coalesce(F.nullif("url", lit("")), F.lower("title"))).withColumn("ts", F.timestamp_seconds("page_id"))
+    p = table(spark, d, "pages").select("page_id", when(c("page_id") % 4 == 0, "").otherwise(c("url")).alias("url"), c("html").alias("title"))
+    p = p.withColumn("key", F.coalesce(F.nullif("url", lit("")), F.nullif(F.lower("title"), lit("")))).where("key IS NOT NULL").withColumn("ts", F.timestamp_seconds("page_id"))
     return S.once(p, ["key"]).agg(F.count(lit(1)).alias("n"))
 
 

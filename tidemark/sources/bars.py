@@ -114,13 +114,18 @@ def collapse_duplicates(df: DataFrame, keys=("symbol", "ts")) -> DataFrame:
     return d.select(*keys, checked.alias("bar")).select(*keys, "bar.*")
 
 
+#: Part of every id: another value gives other ids.
+SNAPSHOT_ROWS = 16384
+
+
 def snapshot_digest(panel: Panel) -> DataFrame:
     """SHA-256 per symbol: chunks of rows, then chunks in order.
 
-    The chunk borders depend on the bar step and the chunk size, which are part of the id.
+    Chunks are ``SNAPSHOT_ROWS`` steps of the bars, whatever the session's settings, so an id is of the content alone.
     """
+    chunk = F.floor(F.unix_seconds("ts") / (panel.step * SNAPSHOT_ROWS))
     row = F.concat_ws(",", F.unix_micros("ts").cast("string"), *[F.col(p).cast("string") for p in PRICES])
-    chunks = panel.df.groupBy(*panel.keys, panel.grain.alias("_b")).agg(
+    chunks = panel.df.groupBy(*panel.keys, chunk.alias("_b")).agg(
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", row.alias("r")))),
                                         lambda x: x["r"]), "\n"), 256).alias("d"))
     return chunks.groupBy(*panel.keys).agg(F.sha2(F.array_join(F.transform(

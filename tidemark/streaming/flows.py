@@ -113,22 +113,29 @@ def bursts(events: DataFrame, key: str, gap: str, delay: str = "1 hour") -> Data
 POSITION = "strategy_id long, symbol string, leg string, id string, size double, entry double, realized double"
 
 
+def next_fill(kind: str | None, amount: float | None, price: float | None, short: bool, size: float, entry: float) -> tuple[float, float, float]:
+    """Size, entry price and realised gain after one fill, with the rules of ``virtual_fills``.
+
+    An exit without a quantity closes all; a fill of an unknown kind or without a price changes nothing.
+    """
+    from tidemark.functions.market import ENTRIES, EXITS
+    kind, amount, price = (kind or "").strip().lower(), max(0.0, amount or 0.0), max(0.0, price or 0.0)
+    if kind in ENTRIES and amount > 0 and price > 0:
+        return size + amount, (size * entry + amount * price) / (size + amount), 0.0
+    if kind in EXITS and size > 0 and price > 0:
+        done = min(size, amount) if amount > 0 else size
+        return max(0.0, size - done), entry, (entry - price if short else price - entry) * done
+    return size, entry, 0.0
+
+
 def _fill(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     size, entry = state.get if state.exists else (0.0, 0.0)
-    for pdf in parts:
-        out = []
-        for r in pdf.sort_values(["t", "id"]).itertuples(index=False):
-            pnl = 0.0
-            if r.type.startswith(("open", "add")):
-                entry = (size * entry + r.amount * r.price) / (size + r.amount)
-                size += r.amount
-            else:
-                done = min(size, r.amount)
-                pnl = (entry - r.price if key[2] == "short" else r.price - entry) * done
-                size -= done
-            out.append((*key, r.id, size, entry, pnl))
-        yield pd.DataFrame(out, columns=["strategy_id", "symbol", "leg", "id", "size", "entry", "realized"])
+    out = []
+    for r in pd.concat(list(parts)).sort_values(["t", "id"]).itertuples(index=False):  # all fills of the trigger, in one order
+        size, entry, pnl = next_fill(r.type, r.amount, r.price, key[2] == "short", size, entry)
+        out.append((*key, r.id, size, entry, pnl))
     state.update((size, entry))
+    yield pd.DataFrame(out, columns=["strategy_id", "symbol", "leg", "id", "size", "entry", "realized"])
 
 
 def position_stream(fills: DataFrame) -> DataFrame:
