@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, lm, mixing, neardup, rules, substrings, tokens, toxicity, warc
 from tidemark.llm.shared import table
+from tidemark.llm.sql import SQL  # noqa: F401
 
-QUERIES, SQL = {}, {}
+QUERIES = {}
 
 
 def query(fn):
