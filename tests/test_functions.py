@@ -7,10 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.ordered import path
 from tidemark.functions.stats import average_ranks, bucket_of_rank, cross_ranks, normal_cdf, normal_ppf, quantiles
 from tidemark.model import Panel
 from tidemark.operators.factors import FactorError, factor_series, list_factors
 from tidemark.operators.features import support_resistance
+from tidemark.operators.joins import asof
 from tidemark.operators.ledger import virtual_fills
 from tidemark.operators.splits import parameter_grid, split_by_constraints, walk_forward_folds
 from tidemark.sources.bars import BarError, collapse_duplicates, load_snapshot, read_bars_csv, save_snapshot
@@ -160,3 +162,19 @@ def test_fills_close_all_and_reject(spark):
 def test_nan_has_no_rank(spark):
     df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", -5.0), ("a", None)], "k string, v double")
     assert sorted(r["r"] for r in cross_ranks(df, ["k"], "v", avg="r").collect()) == [1.0, 2.0]
+
+
+def test_asof_keeps_rows_without_key_or_time(spark):
+    left = spark.createDataFrame([(1, "a", 10), (2, "a", None), (3, None, 10), (4, "b", 10)], "id long, k string, t long")
+    right = spark.createDataFrame([("a", 5, 1.0), ("a", None, 9.0), (None, 5, 7.0), ("a", 11, 2.0)], "k string, t long, v double")
+    got = {r["id"]: r["m"] and r["m"]["v"] for r in asof(left, right, ["k"], F.col("t"), F.col("t"), 4, ["v"], "m").collect()}
+    assert got == {1: 1.0, 2: None, 3: None, 4: None}
+
+
+def test_path_keeps_null_keys_and_refuses_rows_without_a_time(spark):
+    schema = "k string, t long, x double"
+    df = spark.createDataFrame([("a", 1, 1.0), (None, 2, 1.0), (None, 9, 2.0)], schema)
+    assert sorted(r["equity"] for r in path(df, ["k"], ["t"], F.floor(F.col("t") / 4), F.col("x")).collect()) == [1.0, 1.0, 3.0]
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", None, 1.0)], schema)
+    with pytest.raises(Exception, match="no place in its path"):
+        path(df, ["k"], ["t"], F.col("t"), F.col("x")).collect()

@@ -147,14 +147,16 @@ def path(df: DataFrame, keys, order, grain: Column, step: Column, start: Column
     ``1 + step``; ``peak`` and ``low`` include the start if ``from_start``.  The peak over earlier chunks
     needs only one row per chunk: its total and its largest prefix.  ``low`` adds the
     running minimum and, as ``<low>_before``, the minimum before the row; ``sums`` adds
-    further running sums in the same pass.
+    further running sums in the same pass.  Rows of a null key are a key of their own; a row without a time fails the job.
     """
     keys, order = list(keys), list(order)
-    by = keys + ["_b"]
     start = F.lit(start) if not isinstance(start, Column) else start
     extra = sums or {}
-    rows = df.withColumns({"_b": grain, "_x": (1.0 + step) if product else step, "_s": start,
-                           **{f"_e_{n}": x for n, x in extra.items()}}).where(F.col("_b").isNotNull())
+    there = F.when(grain.isNotNull(), grain).otherwise(F.raise_error(F.lit(f"a row has no place in its path: null in {list(map(str, order))}")))
+    key = {"_key": F.struct(*keys)} if keys else {}  # not null where a key is
+    keys, by = [*key], [*key, "_b"]
+    rows = df.withColumns({**key, "_b": there, "_x": (1.0 + step) if product else step, "_s": start,
+                           **{f"_e_{n}": x for n, x in extra.items()}})
     order_w = Window.partitionBy(*by).orderBy(*order)
     w, prior = order_w.rowsBetween(FIRST, HERE), order_w.rowsBetween(FIRST, -1)
     above = Window.partitionBy(*keys).orderBy("_b").rowsBetween(FIRST, -1)

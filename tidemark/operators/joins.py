@@ -23,21 +23,26 @@ def asof(left: DataFrame, right: DataFrame, on, left_time: Column, right_time: C
 
     Times are epoch seconds; ``span`` is the length of a time chunk; ``tie`` orders right
     rows of the same time (the last wins); ``equal=False`` asks for strictly earlier rows;
-    ``forward`` looks for the first row not before the left row instead.
+    ``forward`` looks for the first row not before the left row instead.  Every left row
+    stays: one without a time or with a null key finds nothing.
     """
     on, tie = list(on), list(tie)
     sign = -1 if forward else 1
     right_first = equal
     ties = [c(t).alias(f"_k{i}") for i, t in enumerate(tie)]
-    r = right.select(*on, (right_time * sign).alias("_t"), F.lit(0 if right_first else 1).alias("_s"), *ties,
-                     F.struct(*cols).alias(name))
+    key = F.struct(*on).alias("_key")  # not null where a key is, so no row is lost
+    r = right.select(key, (right_time * sign).alias("_t"), F.lit(0 if right_first else 1).alias("_s"), *ties,
+                     F.when(right_time.isNotNull(), F.struct(*cols)).alias(name))
     blank = [F.lit(None).cast(right.schema[t].dataType).alias(f"_k{i}") for i, t in enumerate(tie)]
     lt = left.withColumn("_t", left_time * sign)
-    lo = lt.select(*on, "_t", F.lit(1 if right_first else 0).alias("_s"), *blank, F.struct(*left.columns).alias("_l"))
+    lo = lt.select(key, "_t", F.lit(1 if right_first else 0).alias("_s"), *blank, F.struct(*left.columns).alias("_l"))
     both = r.unionByName(lo, allowMissingColumns=True)
     order = ["_t", "_s", *[f"_k{i}" for i in range(len(tie))]]
-    out = scan(both, on, order, F.floor(c("_t") / span), _found=("last", c(name)))
-    return out.where("_l IS NOT NULL").select("_l.*", c("_found").alias(name))
+    out = scan(both, ["_key"], order, F.coalesce(F.floor(c("_t") / span), F.lit(0)), _found=("last", c(name)))
+    known = c("_t").isNotNull()
+    for k in on:
+        known = known & c("_key")[k].isNotNull()
+    return out.where("_l IS NOT NULL").select("_l.*", F.when(known, c("_found")).alias(name))
 
 
 def member_intervals(members: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def scored(spark, d, cost):
 
 
 def _score_sql(cost):
-    return f"SELECT trial, symbol, fold, count(*) FILTER (side <> 0) AS activity, round(avg(side * move - {cost} * abs(side)), 6) AS mean, round(avg(side * move - {cost} * abs(side)) / nullif(stddev_pop(side * move - {cost} * abs(side)), 0) * sqrt(52), 5) AS sharpe FROM s WHERE side IS NOT NULL AND move IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 2"
+    return f"SELECT trial, symbol, fold, count(*) FILTER (side <> 0) AS activity, round(avg(side * move - {cost} * abs(side)), 6) AS mean, coalesce(round(avg(side * move - {cost} * abs(side)) / nullif(stddev_pop(side * move - {cost} * abs(side)), 0) * sqrt(52), 5), 0) AS sharpe FROM s WHERE side IS NOT NULL AND move IS NOT NULL GROUP BY 1, 2, 3"
 
 
 @query("v12_grid_scores", with_sql("x", more=GS) + _score_sql(0.001))
