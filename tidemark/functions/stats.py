@@ -22,7 +22,8 @@ def _with_cuts(df: DataFrame, keys, col: str, weight: str | None = None) -> Data
     probs = [i / PARTS for i in range(1, PARTS)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(col, probs, 200).alias("_cuts"))
     out = df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))
-    return out.withColumn("_g", F.size(F.filter("_cuts", lambda x: x < c(col)))).drop("_cuts")
+    # Never null: a null check of an expression with a lambda is pushed to the side of the join that lacks ``col``.
+    return out.withColumn("_g", F.coalesce(F.size(F.filter("_cuts", lambda x: x < c(col))), lit(0))).drop("_cuts")
 
 
 def histogram_counts(df: DataFrame, keys, col: str) -> DataFrame:
