@@ -20,6 +20,7 @@ document every token is unseen; repeated rows stay; an empty table gives no rows
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -78,10 +79,10 @@ class Vocabulary:
 
     def __init__(self, words: list[tuple[bytes, int]], total: int, distinct: int, masses: dict[int, int]):
         self.total, self.distinct = total, distinct
-        self.count = dict(words)
-        head = sorted((w for w, c in words if w != END and c * HEAD >= total), key=lambda w: (-self.count[w], w))
+        count = dict(words)
+        head = sorted((w for w, c in words if w != END and c * HEAD >= total), key=lambda w: (-count[w], w))
         self.n_head = len(head)
-        mass = np.array([self.count[w] for w in head], dtype=float)
+        mass = np.array([count[w] for w in head], dtype=float)
         cut = np.minimum((np.cumsum(mass) - mass) / max(mass.sum(), 1) * HEAD_CLASSES, HEAD_CLASSES - 1).astype(int) if self.n_head else np.zeros(0, int)
         names = np.unique(cut)
         #: Of each head class the first word and the one after its last; head words are in the order of classes.
@@ -91,8 +92,8 @@ class Vocabulary:
         tails = np.array([masses.get(b, 0) for b in range(TAIL_CLASSES)], dtype=float)
         self.tail_log = -np.log10(tails + 1)
         self.inputs = {w: i for i, w in enumerate(head)} | {END: self.n_head + TAIL_CLASSES}
-        self.log = {w: np.log10(c + 1) for w, c in words}
-        class_mass = np.concatenate([np.add.reduceat(mass, self.first) if self.n_head else mass, tails + 1, [self.count.get(END, 0) + 1]])
+        self.log = {w: math.log10(c + 1) for w, c in words}
+        class_mass = np.concatenate([np.add.reduceat(mass, self.first) if self.n_head else mass, tails + 1, [count.get(END, 0) + 1]])
         self.class_bias = np.log(class_mass / class_mass.sum()).astype(np.float32)
         self.word_bias = np.log(mass / np.maximum(1, np.concatenate([[m] * (b - a) for m, a, b in zip(class_mass, self.first, self.last, strict=False)])) if self.n_head else mass).astype(np.float32)
 
