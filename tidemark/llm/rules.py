@@ -117,6 +117,10 @@ def ablation(table: DataFrame, chosen: Policy, rules: tuple[Rule, ...] = RULES)
 
 
 def keep(docs: DataFrame, text: str = "text", chosen: Policy = WEB) -> DataFrame:
-    """The documents that a policy keeps, with all their columns; judged within the row, nothing is joined."""
-    judged = ledger(docs, F.struct(*(docs[c] for c in docs.columns)), docs[text])
-    return judged.where(~fails(chosen)).select("key.*")
+    """The documents that a policy keeps, with all their columns; judged within the row, nothing is joined.
+
+    The row number is always true of its condition. It keeps the filter above the ledger: pushed below, each rule would
+    work out its measurements, and the words, anew.
+    """
+    judged = ledger(docs, F.struct(*(docs[c] for c in docs.columns)), docs[text]).withColumn("row", F.monotonically_increasing_id())
+    return judged.where(~fails(chosen) & (F.col("row") >= 0)).select("key.*")
