@@ -47,11 +47,15 @@ def _md5() -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
-    """text_md5, text, yes, no: distinct labelled texts with their votes, at most ``most``."""
+    """doc_id, text_md5, text, yes, no: distinct labelled texts with their votes, at most ``most``."""
     y = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("y"))
-    both = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id")).withColumn("text_md5", _md5())
-    votes = both.groupBy("text_md5").agg(F.min("doc_id").alias("doc_id"), F.sum((F.col("y") > 0).cast("long")).alias("yes"), F.sum((F.col("y") <= 0).cast("long")).alias("no"), F.first("text").alias("text"))
-    return votes.orderBy(F.xxhash64("text_md5"), "text_md5").limit(most)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _md5().alias("text_md5"))
+    votes = own.join(y, F.col("doc_id") == F.col("_id")).groupBy("text_md5")
+    votes = votes.agg(F.min("doc_id").alias("first"), F.sum((F.col("y") > 0).cast("long")).alias("yes"), F.sum((F.col("y") <= 0).cast("long")).alias("no"))
+    chosen = votes.orderBy(F.xxhash64("text_md5"), "text_md5").limit(most).withColumnRenamed("text_md5", "_md5")
+    # At most ``most`` ids, so they go to the texts and not the texts to them.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _md5().alias("text_md5"), "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("first")) & (F.col("text_md5") == F.col("_md5")))
+    return texts.dropDuplicates(["text_md5"]).select("doc_id", "text_md5", "text", "yes", "no")
 
 
 def choose_terms(examples: DataFrame, most: int = TERMS) -> list[str]:
@@ -99,34 +103,45 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         order = np.lexsort((row, term))
         row, weight, cut = row[order], weight[order], np.searchsorted(term[order], np.arange(n_terms + 1))
-        #: Per term: blocks with postings, the largest weight of each, where its postings begin, then rows and weights.
+        #: Per term: blocks with postings and the largest weight of each; then the block, example and weight of each posting.
         self.lists = []
         for t in range(n_terms):
             r, w = row[cut[t] : cut[t + 1]], weight[cut[t] : cut[t + 1]]
             b, first = np.unique(r // block, return_index=True)
-            self.lists.append((b, np.maximum.reduceat(w, first) if len(w) else w, np.append(first, len(r)), r, w))
+            self.lists.append((b, np.maximum.reduceat(w, first) if len(w) else w, r // block, r, w))
         self.scored = 0
 
+    def _score(self, terms, weights, wanted: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of the wanted blocks."""
+        out = np.zeros(self.blocks * self.block)
+        for t, w in zip(terms, weights, strict=True):
+            _, _, where, rows, values = self.lists[t]
+            own = wanted[where]
+            out[rows[own]] += w * values[own]
+        self.scored += int(wanted.sum())
+        return out
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k largest (cosine, example), equal cosines by the smaller example; only cosines above 0."""
+        """The k largest (cosine, example), equal cosines by the smaller example; only cosines above 0.
+
+        The most promising blocks give k cosines; of the other blocks those are scored that could reach the last of them.
+        """
         reach = np.zeros(self.blocks)
         for t, w in zip(terms, weights, strict=True):
             b, top = self.lists[t][:2]
             reach[b] += w * top
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-reach, kind="stable"):
-            if reach[b] <= 0 or len(best) == k and reach[b] < -best[-1][0] - 1e-12:
-                break
-            self.scored += 1
-            score = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                own, _, start, rows, values = self.lists[t]
-                i = np.searchsorted(own, b)
-                if i < len(own) and own[i] == b:
-                    s = slice(start[i], start[i + 1])
-                    score[rows[s] - b * self.block] += w * values[s]
-            best = sorted([*best, *((-round(float(score[j]), 12), int(b * self.block + j)) for j in np.flatnonzero(score))])[:k]
-        return [(-s, i) for s, i in best]
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-reach, kind="stable")[: -(-k // self.block) + 1]] = True
+        score = self._score(terms, weights, first & (reach > 0))
+        floor = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        more = ~first & (reach > 0) & (reach >= floor - 1e-9)
+        if more.any():
+            score += self._score(terms, weights, more)
+        score = np.round(score, 12)
+        floor = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        near = np.flatnonzero((score >= floor) & (score > 0))
+        near = near[np.lexsort((near, -score[near]))[:k]]
+        return list(zip(score[near].tolist(), near.tolist(), strict=True))
 
 
 def unit(ids, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +177,8 @@ def score(docs: DataFrame, train: DataFrame, labels: DataFrame, neighbours: int
                 if key not in known:
                     near = search.nearest(*unit(ids, counts, idf), neighbours) if ids else []
                     w = [1 / (1.05 - s) for s, _ in near]
-                    good = sum(x * votes[i][1] for x, (_, i) in zip(w, near, strict=True)) + prior
-                    every = sum(x * (votes[i][1] + votes[i][2]) for x, (_, i) in zip(w, near, strict=True)) + 1
+                    good = math.fsum(x * votes[i][1] for x, (_, i) in zip(w, near, strict=True)) + prior
+                    every = math.fsum(x * (votes[i][1] + votes[i][2]) for x, (_, i) in zip(w, near, strict=True)) + 1
                     if len(known) > 100_000:
                         known.clear()
                     known[key] = (good / every if near else none, [{"doc_id": votes[i][0], "cosine": s, "yes": votes[i][1], "no": votes[i][2]} for s, i in near])
