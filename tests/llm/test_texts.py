@@ -186,6 +186,13 @@ def test_op7_odd_texts(docs):
     assert lm.score(d.limit(0), d).count() == 0 and all(r.n_known == 0 for r in lm.score(d, d.limit(0)).collect())
 
 
+def test_op7_every_learning_document_moves_the_network(docs):
+    rows = [(i, f"the cat number {i} sat on the mat") for i in range(5)] + [(None, "the cat sat")]
+    v = lm.vocabulary(lm.token_counts(docs(*rows)))
+    for row in rows:
+        assert not np.array_equal(lm.fit(docs(row), v)["cb"], v.class_bias), row
+
+
 def small_model():
     words = [(f"w{i}".encode(), 400 // (i + 1)) for i in range(60)] + [(f"rare{i}".encode(), 1) for i in range(50)] + [(lm.END, 30)]
     total = sum(c for _, c in words) * 3

@@ -8,8 +8,8 @@ the share of one unseen word in their class. The network is a GRU whose input is
 
 Fitting: rounds of truncated backpropagation in the tasks, each from the common weights over its own documents, state
 carried from window to window; then the weights are averaged, block by block, in Spark. The output starts as the unigram
-model. The rounds read ``FIT_SHARE`` of the learning documents, chosen by hash of the text, a share that grows with the
-input; counts, classes and tails come from all of them. Scoring reads every text whole, carrying state across windows.
+model. The rounds share out all learning documents by hash of id and text, so each is learned once, copies of a text under
+other ids in other rounds. Scoring reads every text whole, carrying state across windows.
 
 What is broadcast is bounded: words with at least 1 / ``KNOWN`` of all tokens are at most ``KNOWN`` words. The counts of other
 words are joined to the documents that hold them; no such word has more than that share of the rows.
@@ -34,7 +34,7 @@ from tidemark.llm.shared import slices, written
 
 HEAD, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 2048, 32, 32, 16
 KNOWN = 1 << 18
-FIT_SHARE, ROUNDS, LANES, STEPS, RATE = 12, 3, 96, 16, 0.1  # one in FIT_SHARE; documents side by side, steps of a window
+ROUNDS, LANES, STEPS, RATE = 3, 96, 16, 0.1  # documents side by side, steps of a window
 END = b""
 SLICE_CHARS, PART, FLUSH = 6_000_000, 8192, 400_000
 
@@ -261,8 +261,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([(bytes(r["word"]), r["c"]) for r in known], total, n["v"], {r["b"]: r["m"] for r in tails})
 
 
-def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = FIT_SHARE) -> dict[str, np.ndarray]:
-    """The weights after some rounds over a share of the documents; of a fixed size, whatever the input."""
+def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """The weights after some rounds that cover the documents once; of a fixed size, whatever the input."""
     p, sc = initial(v), docs.sparkSession.sparkContext
     shapes = [(k, x.shape, x.size) for k, x in p.items()]
     words = sc.broadcast(v)
@@ -286,7 +286,7 @@ def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = FIT_S
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"part": pdf["part"][:1], "w": [np.average(np.stack(pdf["w"]), axis=0, weights=pdf["tokens"])]})
 
-        chosen = F.pmod(F.xxhash64("text"), F.lit(rounds * share)) == number
+        chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == number
         rows = docs.where(chosen).select("text").mapInArrow(run, "part int, tokens long, w array<double>").groupBy("part").applyInPandas(mean, "part int, w array<double>").collect()
         if rows:
             flat, at, p = np.concatenate([r["w"] for r in sorted(rows, key=lambda r: r["part"])]).astype(np.float32), 0, {}
