@@ -107,6 +107,14 @@ def test_op2_partial_short_null_and_repeated(spark, docs):
     assert decontaminate.contained(docs(*d).limit(0), items).count() == 0 == decontaminate.contained(docs(*d), items.limit(0)).count()
 
 
+def test_op2_clean_keeps_other_texts_of_the_same_id(spark, docs):
+    item = " ".join(f"w{i}" for i in range(30))
+    d = docs((None, f"x {item} y"), (None, "nothing of it here"), (None, None), (1, item), (1, "another text"), (1, "another text"), (2, item), extra=True)
+    got = decontaminate.clean(d, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == d.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("1", "another text")] * 2 + [("None", "None"), ("None", "nothing of it here")]
+
+
 def mixed(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     """Targets by sharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s))

@@ -49,8 +49,8 @@ def signatures(items: DataFrame, containment: float = CONTAINMENT, shingle: int
     return one.select("item_id", "length", "size", "partition", F.slice(hashes, 1, k).alias("signature"), F.transform("grams", lambda g: F.array_join(g, " ")).alias("grams"))
 
 
-def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles, containment: the items that a document holds."""
+def _held(docs: DataFrame, items: DataFrame, containment: float, shingle: int) -> DataFrame:
+    """doc_id, text_md5, item_id, n_shared, n_shingles, containment: the items that a text holds."""
     sig = signatures(items, containment, shingle)
     short = sorted(r[0] for r in sig.where(F.col("length") < shingle).select("length").distinct().collect())  # at most four numbers
     doc = docs.select(F.col("doc_id"), F.col("text"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
@@ -61,16 +61,22 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     # Verification: the items found for a document, against the shingles of its whole text.
     per_doc = pairs.join(sig.select(F.col("item_id").alias("_item"), "length", "grams").dropDuplicates(), F.col("item_id").eqNullSafe(F.col("_item"))).groupBy("doc_id", "text_md5")
     per_doc = per_doc.agg(F.collect_set(F.struct("item_id", "length", "grams")).alias("candidates")).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "candidates")
-    both = doc.join(per_doc, (F.col("text_md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", tokens(F.col("text")).alias("w"), "candidates")
-    both = both.select("doc_id", F.array_distinct(F.concat(*(_texts("w", n) for n in [shingle, *short]))).alias("shingles"), "candidates")
-    checked = both.select("doc_id", F.inline(F.transform("candidates", lambda c: F.struct(
+    both = doc.join(per_doc, (F.col("text_md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text_md5", tokens(F.col("text")).alias("w"), "candidates")
+    both = both.select("doc_id", "text_md5", F.array_distinct(F.concat(*(_texts("w", n) for n in [shingle, *short]))).alias("shingles"), "candidates")
+    checked = both.select("doc_id", "text_md5", F.inline(F.transform("candidates", lambda c: F.struct(
         c["item_id"].alias("item_id"), F.size(F.array_intersect("shingles", c["grams"])).cast("long").alias("n_shared"), F.size(c["grams"]).cast("long").alias("n_shingles")))))
-    checked = checked.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.col("n_shingles") * containment - 1e-9)
+    return checked.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.col("n_shingles") * containment - 1e-9)
+
+
+def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles, containment: the items that a document holds."""
+    checked = _held(docs, items, containment, shingle)
     best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shared", "n_shingles")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_shared", "b.n_shingles", "b.containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle: int = SHINGLE) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    bad = contained(docs, items, containment, shingle).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that hold no item, with all their columns; a document is its id and its text, as ids may be null or repeated."""
+    bad = _held(docs, items, containment, shingle).select(F.col("doc_id").alias("_bad"), F.col("text_md5").alias("_md5")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_bad")) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("_md5"))
+    return docs.join(bad, same, "left_anti")
