@@ -153,6 +153,15 @@ def test_op5_odd_inputs(spark, docs):
     assert toxicity.score(d.limit(0), d.where("doc_id < 60"), labels).count() == 0
 
 
+def test_op5_small_tables_have_vectors(spark):
+    """Rare words count too: with 87 labels no word has a document count and a chi-square to be chosen by."""
+    got = QUERIES["op5_toxicity_neighbours"](spark, SMALL).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    assert len({r.score for r in got}) > len(got) / 2 and all(r.terms for r in got if len(toxicity.TERM.findall(texts[r.doc_id] or "")) > 100)
+    assert all(r.score > 0.3 for r in got if y.get(r.doc_id) and not r.held_out)
+
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -1,7 +1,8 @@
 """Toxicity of whole texts from their nearest labelled examples.
 
-Texts are vectors of TF-IDF weights over the terms that the labels single out: words whose document counts in the two
-classes differ by chi-square. Examples are labelled texts; those with equal vectors are one example with their votes.
+Texts are vectors over all words of the examples. A word weighs TF-IDF times the chi-square of its document counts in the two
+classes: without it, neighbours are texts of the same language and subject, whatever their label. No word is left out, be it
+rare, but one that tells nothing (chi-square 0). Examples are labelled texts; those with equal vectors are one example with their votes.
 The nearest examples by cosine are found exactly in an inverted index: postings of a term are cut into blocks of examples,
 each with its largest weight, and a block is scored only if the weights it could reach add up to more than the neighbours
 already found. Neighbours vote by label, weighted by distance, shrunk towards the rate among all examples; so a score is an
@@ -12,13 +13,14 @@ index it broadcasts is bounded; document frequencies are counted over all docume
 
 Defined results: a text without any of the terms (also null or empty) gets the rate among such examples; without labels every
 score is 0; labels that are null are ignored, of several labels of a document the largest counts; equal similarities
-go to the smaller example; repeated rows stay; an empty table gives no rows; further columns are ignored.
+go to the smaller example (by heaviest term, then doc_id); repeated rows stay; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 4096, 25, 64
-LEAST_DF, LEAST_CHI2 = 5, 30.0
+EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 25, 64
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -58,23 +59,24 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFr
     return texts.dropDuplicates(["text_md5"]).select("doc_id", "text_md5", "text", "yes", "no")
 
 
-def choose_terms(examples: DataFrame, most: int = TERMS) -> list[str]:
-    """The terms whose counts differ most between the classes."""
+def weigh_terms(examples: DataFrame) -> dict[str, float]:
+    """The chi-square of every word of the examples whose counts differ between the classes."""
     t = examples.select("doc_id", "text_md5", "text", (F.col("yes") >= F.col("no")).alias("toxic"))
     n = t.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("y")).first()
     if not n["n"] or not n["y"] or n["y"] == n["n"]:
-        return []
+        return {}
     df = t.mapInArrow(lambda b: _terms(b, ("toxic",)), "toxic boolean, terms array<string>").select("toxic", F.explode("terms").alias("term"))
     df = df.groupBy("term").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum((~F.col("toxic")).cast("double")).alias("b"))
     yes, no = float(n["y"]), float(n["n"] - n["y"])
-    df = df.withColumn("c", yes - F.col("a")).withColumn("d", no - F.col("b")).where(F.col("a") + F.col("b") >= LEAST_DF)
+    df = df.withColumn("c", yes - F.col("a")).withColumn("d", no - F.col("b"))
     spread = (F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * yes * no  # 0 for a term of all texts, which tells nothing
     chi2 = F.coalesce(F.try_divide((yes + no) * F.pow(F.col("a") * F.col("d") - F.col("b") * F.col("c"), F.lit(2)), spread), F.lit(0.0))
-    return sorted(r[0] for r in df.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(most).select("term").collect())
+    told = df.select("term", chi2.alias("chi2")).where("chi2 > 0").toArrow()
+    return dict(sorted(zip(told["term"].to_pylist(), told["chi2"].to_pylist(), strict=True)))
 
 
 def profiles(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, ids and counts of the chosen terms in every text. ``terms`` has at most ``TERMS`` entries."""
+    """doc_id, ids and counts of the terms in every text."""
     number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(batches):
@@ -82,16 +84,19 @@ def profiles(docs: DataFrame, terms: list[str]) -> DataFrame:
         for batch in batches:
             ids, counts = [], []
             for text in batch.column("text"):
-                found = {}
-                for i in filter(None.__ne__, map(known.get, TERM.findall((text.as_py() or "").lower()))):
-                    found[i] = found.get(i, 0) + 1
-                ids.append(sorted(found))
-                counts.append([found[i] for i in ids[-1]])
+                found = sorted((known[t], n) for t, n in Counter(TERM.findall((text.as_py() or "").lower())).items() if t in known)
+                ids.append([i for i, _ in found])
+                counts.append([n for _, n in found])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "ids", "counts"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, counts array<int>")
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all runs start .. start + size - 1."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class BlockMaxIndex:
     """Inverted index over unit vectors; exact nearest neighbours by cosine with block-max pruning."""
 
@@ -102,41 +107,40 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, int)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         order = np.lexsort((row, term))
-        row, weight, cut = row[order], weight[order], np.searchsorted(term[order], np.arange(n_terms + 1))
-        #: Per term: blocks with postings and the largest weight of each; then the block, example and weight of each posting.
-        self.lists = []
-        for t in range(n_terms):
-            r, w = row[cut[t] : cut[t + 1]], weight[cut[t] : cut[t + 1]]
-            b, first = np.unique(r // block, return_index=True)
-            self.lists.append((b, np.maximum.reduceat(w, first) if len(w) else w, r // block, r, w))
+        term, self.rows, self.values = term[order], row[order].astype(np.int32), weight[order]
+        #: Postings in the order of term and example; runs of one term in one block, with start, size and largest weight; runs of each term.
+        where = self.rows // block
+        self.start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (where[1:] != where[:-1])])) if len(term) else np.zeros(0, int)
+        self.size = np.diff(np.append(self.start, len(term)))
+        self.where = where[self.start]
+        self.top = np.maximum.reduceat(self.values, self.start) if len(term) else np.zeros(0)
+        self.cut = np.searchsorted(term[self.start], np.arange(n_terms + 1))
         self.scored = 0
 
-    def _score(self, terms, weights, wanted: np.ndarray) -> np.ndarray:
-        """Cosines with the examples of the wanted blocks."""
-        out = np.zeros(self.blocks * self.block)
-        for t, w in zip(terms, weights, strict=True):
-            _, _, where, rows, values = self.lists[t]
-            own = wanted[where]
-            out[rows[own]] += w * values[own]
+    def _score(self, runs: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of the wanted blocks; ``weights`` are those of the runs' terms."""
+        own = wanted[self.where[runs]]
+        runs, weights = runs[own], weights[own]
+        at = _ranges(self.start[runs], self.size[runs])
         self.scored += int(wanted.sum())
-        return out
+        return np.bincount(self.rows[at], np.repeat(weights, self.size[runs]) * self.values[at], self.blocks * self.block)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k largest (cosine, example), equal cosines by the smaller example; only cosines above 0.
 
         The most promising blocks give k cosines; of the other blocks those are scored that could reach the last of them.
         """
-        reach = np.zeros(self.blocks)
-        for t, w in zip(terms, weights, strict=True):
-            b, top = self.lists[t][:2]
-            reach[b] += w * top
+        terms = np.asarray(terms, dtype=np.int64)
+        each = self.cut[terms + 1] - self.cut[terms]
+        runs, weights = _ranges(self.cut[terms], each), np.repeat(weights, each)
+        reach = np.bincount(self.where[runs], weights * self.top[runs], self.blocks)
         first = np.zeros(self.blocks, bool)
         first[np.argsort(-reach, kind="stable")[: -(-k // self.block) + 1]] = True
-        score = self._score(terms, weights, first & (reach > 0))
+        score = self._score(runs, weights, first & (reach > 0))
         floor = np.partition(score, -k)[-k] if len(score) > k else 0.0
         more = ~first & (reach > 0) & (reach >= floor - 1e-9)
         if more.any():
-            score += self._score(terms, weights, more)
+            score += self._score(runs, weights, more)
         score = np.round(score, 12)
         floor = np.partition(score, -k)[-k] if len(score) > k else 0.0
         near = np.flatnonzero((score >= floor) & (score > 0))
@@ -154,37 +158,44 @@ def score(docs: DataFrame, train: DataFrame, labels: DataFrame, neighbours: int
     """doc_id, score, terms, neighbours (doc_id, cosine, yes, no) of every row of ``docs``; examples come from ``train``."""
     spark = docs.sparkSession
     examples = written(labelled(train, labels), "toxic-examples")
-    terms = choose_terms(examples)
+    chi2 = weigh_terms(examples)
+    terms = list(chi2)
     found = written(profiles(docs, terms), "toxic-profiles")
-    n_docs = found.count()
-    df = {r[0]: r[1] for r in found.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1))).collect()}
-    idf = np.array([math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
+    n_docs, df = found.count(), np.zeros(len(terms))
+    told = found.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    df[told["i"].to_numpy()] = told["n"].to_numpy()
+    weight = (np.log((1 + n_docs) / (1 + df)) + 1) * np.array(list(chi2.values()))
     own = profiles(examples, terms).join(examples.select(F.col("doc_id").alias("_id"), "yes", "no").dropDuplicates(["_id"]), F.col("doc_id").eqNullSafe(F.col("_id")))
-    rows = own.groupBy("ids", "counts").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.min("doc_id").alias("doc_id")).orderBy("ids", "counts").collect()  # at most EXAMPLES
-    full, empty = [r for r in rows if r["ids"]], [r for r in rows if not r["ids"]]
-    yes, total = sum(r["yes"] for r in rows), sum(r["yes"] + r["no"] for r in rows)
+    rows = own.groupBy("ids", "counts").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.min("doc_id").alias("doc_id")).toArrow()  # at most EXAMPLES
+    votes = list(zip(*(rows[c].to_pylist() for c in ("doc_id", "yes", "no")), strict=True))
+    vectors = [unit(i.values.to_numpy(), n.values.to_numpy(), weight) for i, n in zip(rows["ids"], rows["counts"], strict=True)]
+    yes, total = sum(y for _, y, _ in votes), sum(y + n for _, y, n in votes)
     prior = yes / total if total else 0.0
-    none = (sum(r["yes"] for r in empty) + prior) / (sum(r["yes"] + r["no"] for r in empty) + 1)
-    index = spark.sparkContext.broadcast((BlockMaxIndex([unit(r["ids"], r["counts"], idf) for r in full], len(terms)), [(r["doc_id"], r["yes"], r["no"]) for r in full]))
+    empty = [v for v, (t, _) in zip(votes, vectors, strict=True) if not len(t)]
+    none = (sum(y for _, y, _ in empty) + prior) / (sum(y + n for _, y, n in empty) + 1)
+    # Examples with the same heaviest term lie side by side, so that few blocks hold what a text could be near to.
+    full = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (vectors[i][0][vectors[i][1].argmax()], votes[i][0] is not None, votes[i][0] or 0, vectors[i][0].tobytes()))
+    index = spark.sparkContext.broadcast((BlockMaxIndex([vectors[i] for i in full], len(terms)), [votes[i] for i in full], weight, terms))
 
     def run(batches):
-        search, votes = index.value
-        known: dict[tuple, tuple[float, list]] = {}
+        search, votes, weight, terms = index.value
+        names = pa.array(terms, pa.string())
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("yes", pa.int64()), ("no", pa.int64())]))
         for batch in batches:
-            out, told = [], []
-            for ids, counts in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (*ids, *counts)
+            out, told, known = [], [], {}
+            for own, n in zip(batch.column("ids"), batch.column("counts"), strict=True):
+                ids, counts = own.values.to_numpy(), n.values.to_numpy()
+                key = (ids.tobytes(), counts.tobytes())
                 if key not in known:
-                    near = search.nearest(*unit(ids, counts, idf), neighbours) if ids else []
+                    near = search.nearest(*unit(ids, counts, weight), neighbours) if len(ids) and votes else []
                     w = [1 / (1.05 - s) for s, _ in near]
                     good = math.fsum(x * votes[i][1] for x, (_, i) in zip(w, near, strict=True)) + prior
                     every = math.fsum(x * (votes[i][1] + votes[i][2]) for x, (_, i) in zip(w, near, strict=True)) + 1
-                    if len(known) > 100_000:
-                        known.clear()
                     known[key] = (good / every if near else none, [{"doc_id": votes[i][0], "cosine": s, "yes": votes[i][1], "no": votes[i][2]} for s, i in near])
                 out.append(known[key][0])
                 told.append(known[key][1])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("yes", pa.int64()), ("no", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), pa.array([[terms[i] for i in x] for x in batch.column("ids").to_pylist()], pa.list_(pa.string())), pa.array(told, kind)], ["doc_id", "score", "terms", "neighbours"])
+            sizes = [len(x) for x in batch.column("ids")]
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), names.take(batch.column("ids").flatten()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), words, pa.array(told, kind)], ["doc_id", "score", "terms", "neighbours"])
 
     return found.mapInArrow(run, "doc_id long, score double, terms array<string>, neighbours array<struct<doc_id:long,cosine:double,yes:long,no:long>>")
