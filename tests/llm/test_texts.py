@@ -162,6 +162,14 @@ def test_op5_small_tables_have_vectors(spark):
     assert all(r.score > 0.3 for r in got if y.get(r.doc_id) and not r.held_out)
 
 
+def test_op5_votes_stay_with_their_text(spark, docs):
+    """Both texts of doc_id 1 are examples; one is also the text of doc_id 50, whose label gives it a further vote."""
+    rows = [(1, "you fool"), (1, "nice day"), (50, "nice day"), (2, "fool"), (3, "nice")]
+    labels = spark.createDataFrame([(1, 1), (50, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    got = {r.terms[0]: r.neighbours[0] for r in toxicity.score(docs(*rows), docs(*rows), labels).where("size(terms) = 2").collect()}
+    assert {t: (n.yes, n.no) for t, n in got.items()} == {"fool": (1, 0), "day": (1, 1)}
+
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

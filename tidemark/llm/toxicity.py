@@ -75,8 +75,8 @@ def weigh_terms(examples: DataFrame) -> dict[str, float]:
     return dict(sorted(zip(told["term"].to_pylist(), told["chi2"].to_pylist(), strict=True)))
 
 
-def profiles(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, ids and counts of the terms in every text."""
+def profiles(docs: DataFrame, terms: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``more`` (long columns), ids and counts of the terms in every text."""
     number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(batches):
@@ -87,9 +87,10 @@ def profiles(docs: DataFrame, terms: list[str]) -> DataFrame:
                 found = sorted((known[t], n) for t, n in Counter(TERM.findall((text.as_py() or "").lower())).items() if t in known)
                 ids.append([i for i, _ in found])
                 counts.append([n for _, n in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [*own, "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, counts array<int>")
+    own = ("doc_id", *more)
+    return docs.select(F.col("doc_id").cast("long"), *more, "text").mapInArrow(run, ", ".join(f"{c} long" for c in own) + ", ids array<int>, counts array<int>")
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -165,7 +166,7 @@ def score(docs: DataFrame, train: DataFrame, labels: DataFrame, neighbours: int
     told = found.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).toArrow()
     df[told["i"].to_numpy()] = told["n"].to_numpy()
     weight = (np.log((1 + n_docs) / (1 + df)) + 1) * np.array(list(chi2.values()))
-    own = profiles(examples, terms).join(examples.select(F.col("doc_id").alias("_id"), "yes", "no").dropDuplicates(["_id"]), F.col("doc_id").eqNullSafe(F.col("_id")))
+    own = profiles(examples, terms, ("yes", "no"))
     rows = own.groupBy("ids", "counts").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.min("doc_id").alias("doc_id")).toArrow()  # at most EXAMPLES
     votes = list(zip(*(rows[c].to_pylist() for c in ("doc_id", "yes", "no")), strict=True))
     vectors = [unit(i.values.to_numpy(), n.values.to_numpy(), weight) for i, n in zip(rows["ids"], rows["counts"], strict=True)]
