@@ -21,9 +21,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,25 +61,24 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFr
     return texts.dropDuplicates(["text_md5"]).select("doc_id", "text_md5", "text", "yes", "no")
 
 
-def weigh_terms(examples: DataFrame) -> dict[str, float]:
-    """The chi-square of every word of the examples whose counts differ between the classes."""
+def weigh_terms(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Every word of the examples whose counts differ between the classes, and its chi-square."""
     t = examples.select("doc_id", "text_md5", "text", (F.col("yes") >= F.col("no")).alias("toxic"))
     n = t.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("y")).first()
     if not n["n"] or not n["y"] or n["y"] == n["n"]:
-        return {}
+        return [], np.zeros(0)
     df = t.mapInArrow(lambda b: _terms(b, ("toxic",)), "toxic boolean, terms array<string>").select("toxic", F.explode("terms").alias("term"))
     df = df.groupBy("term").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum((~F.col("toxic")).cast("double")).alias("b"))
     yes, no = float(n["y"]), float(n["n"] - n["y"])
     df = df.withColumn("c", yes - F.col("a")).withColumn("d", no - F.col("b"))
     spread = (F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * yes * no  # 0 for a term of all texts, which tells nothing
     chi2 = F.coalesce(F.try_divide((yes + no) * F.pow(F.col("a") * F.col("d") - F.col("b") * F.col("c"), F.lit(2)), spread), F.lit(0.0))
-    told = df.select("term", chi2.alias("chi2")).where("chi2 > 0").toArrow()
-    return dict(sorted(zip(told["term"].to_pylist(), told["chi2"].to_pylist(), strict=True)))
+    told = df.select("term", chi2.alias("chi2")).where("chi2 > 0").toArrow().sort_by("term")
+    return told["term"].to_pylist(), told["chi2"].to_numpy()
 
 
-def profiles(docs: DataFrame, terms: list[str], more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``more`` (long columns), ids and counts of the terms in every text."""
-    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+def profiles(docs: DataFrame, number: Broadcast, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``more`` (long columns), ids and counts in every text of the terms that ``number`` has."""
 
     def run(batches):
         known = number.value
@@ -155,32 +156,53 @@ def unit(ids, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, w / math.sqrt((w * w).sum()) if len(t) else w
 
 
+class Examples:
+    """The examples as they are sent: counts of words one after another. Each Python process makes the index once."""
+
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray, weight: np.ndarray, votes: list[tuple]):
+        self.sizes, self.ids, self.counts, self.weight, self.votes = sizes, ids, counts, weight, votes
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        cuts = np.cumsum(self.sizes)[:-1]
+        own = zip(np.split(self.ids, cuts), np.split(self.counts, cuts), strict=True) if len(self.sizes) else ()
+        return BlockMaxIndex([unit(i, n, self.weight) for i, n in own], len(self.weight))
+
+
 def score(docs: DataFrame, train: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score, terms, neighbours (doc_id, cosine, yes, no) of every row of ``docs``; examples come from ``train``."""
     spark = docs.sparkSession
     examples = written(labelled(train, labels), "toxic-examples")
-    chi2 = weigh_terms(examples)
-    terms = list(chi2)
-    found = written(profiles(docs, terms), "toxic-profiles")
+    terms, chi2 = weigh_terms(examples)
+    number = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    found = written(profiles(docs, number), "toxic-profiles")
     n_docs, df = found.count(), np.zeros(len(terms))
     told = found.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).toArrow()
     df[told["i"].to_numpy()] = told["n"].to_numpy()
-    weight = (np.log((1 + n_docs) / (1 + df)) + 1) * np.array(list(chi2.values()))
-    own = profiles(examples, terms, ("yes", "no"))
+    weight = (np.log((1 + n_docs) / (1 + df)) + 1) * chi2
+    own = profiles(examples, number, ("yes", "no"))
     rows = own.groupBy("ids", "counts").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.min("doc_id").alias("doc_id")).toArrow()  # at most EXAMPLES
     votes = list(zip(*(rows[c].to_pylist() for c in ("doc_id", "yes", "no")), strict=True))
-    vectors = [unit(i.values.to_numpy(), n.values.to_numpy(), weight) for i, n in zip(rows["ids"], rows["counts"], strict=True)]
+    sizes = np.array([len(x) for x in rows["ids"]], dtype=np.int64)
+    flat = [pa.chunked_array([x.flatten() for x in rows[c].chunks], pa.int32()).to_numpy() for c in ("ids", "counts")]
+    start = np.cumsum(sizes) - sizes
     yes, total = sum(y for _, y, _ in votes), sum(y + n for _, y, n in votes)
     prior = yes / total if total else 0.0
-    empty = [v for v, (t, _) in zip(votes, vectors, strict=True) if not len(t)]
+    empty = [v for v, n in zip(votes, sizes, strict=True) if not n]
     none = (sum(y for _, y, _ in empty) + prior) / (sum(y + n for _, y, n in empty) + 1)
+
+    def place(i):
+        ids, counts = (x[start[i] : start[i] + sizes[i]] for x in flat)
+        return ids[((1 + np.log(counts)) * weight[ids]).argmax()], votes[i][0] is not None, votes[i][0] or 0, ids.tobytes()
+
     # Examples with the same heaviest term lie side by side, so that few blocks hold what a text could be near to.
-    full = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (vectors[i][0][vectors[i][1].argmax()], votes[i][0] is not None, votes[i][0] or 0, vectors[i][0].tobytes()))
-    index = spark.sparkContext.broadcast((BlockMaxIndex([vectors[i] for i in full], len(terms)), [votes[i] for i in full], weight, terms))
+    full = np.array(sorted(np.flatnonzero(sizes), key=place), dtype=np.int64)
+    at = _ranges(start[full], sizes[full])
+    sent = spark.sparkContext.broadcast(Examples(sizes[full], flat[0][at], flat[1][at], weight, [votes[i] for i in full]))
 
     def run(batches):
-        search, votes, weight, terms = index.value
-        names = pa.array(terms, pa.string())
+        search, votes, weight = sent.value.index, sent.value.votes, sent.value.weight
+        names = pa.array(list(number.value), pa.string())
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("yes", pa.int64()), ("no", pa.int64())]))
         for batch in batches:
             out, told, known = [], [], {}
