@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lm, mixing, neardup, rules, substrings, tokens, toxicity, warc
-from tidemark.llm.shared import table
+from tidemark.llm import chat, decontaminate, hardneg, lm, mixing, neardup, periodic, prefixtree, rules, substrings, tokens, toxicity, warc
+from tidemark.llm.shared import table, words
 from tidemark.llm.sql import SQL  # noqa: F401
 
 QUERIES = {}
@@ -96,3 +96,36 @@ def op7_recurrent_lm(spark: SparkSession, folder: str) -> DataFrame:
     out = lm.held_out(F.col("doc_id"))
     s = lm.score(docs, docs.where(~out))
     return s.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth row, in whole numbers of 1/256."""
+    e = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    fine = hardneg.usable(e, F.col("vec_id"), F.col("embedding"), label)
+    whole = fine.select("vec_id", "label", F.transform("vector", lambda x: F.floor(256 * x).cast("double")).alias("vector"))
+    return hardneg.mine(whole, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every text, after every tenth text by hash was made periodic from some word on."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    planted = docs.withColumn("w", words(F.when(F.col("h") % 10 == 0, F.col("text")))).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.col("g") % F.nullif(F.size("w"), F.lit(0)))
+    planted = planted.withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(F.sequence(F.col("a"), F.size("w") - 1), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    text = F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " "))
+    found = periodic.find_runs(planted.select("doc_id", text.alias("text")))
+    by = lambda r, s: r["length"] * s["period"] - s["length"] * r["period"]
+    order = lambda r, s: F.when(by(r, s) != 0, -F.signum(by(r, s))).when(r["start"] != s["start"], F.signum(r["start"] - s["start"])).otherwise(F.signum(r["period"] - s["period"])).cast("int")
+    top = F.get(F.array_sort("runs", order), F.lit(0))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"),
+                        ((1000 * top["length"] - (1000 * top["length"]) % top["period"]) / top["period"]).cast("long").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its number of shingles and the component of its links."""
+    return prefixtree.linked(table(spark, folder, "documents"))

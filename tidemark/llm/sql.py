@@ -46,4 +46,38 @@ x AS (SELECT doc_id, count(*) AS n_removed FROM c GROUP BY 1),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d),
 y AS (SELECT doc_id, string_agg(w[j], ' ' ORDER BY j) AS kept FROM p ANTI JOIN c USING (doc_id, j) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op12_periodic_runs": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda s, b:
+ list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS BIGINT)) AS u FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, xor(u, 4294967295) AS h, xor(u, 4294967295) // 10 AS g FROM d),
+a AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM h),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM a),
+k AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM t),
+e AS (SELECT doc_id, k.i, l.i - k.i AS p FROM k JOIN k l USING (doc_id, x) WHERE l.i > k.i AND 3 * (l.i - k.i) <= k.n),
+f AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM e),
+s AS (SELECT doc_id, p, min(i) AS s, max(i) + p + 1 AS e FROM f GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(24, 3 * p)),
+r AS (SELECT doc_id, s, e - s AS n, min(p) AS p FROM s GROUP BY doc_id, s, e),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || p || chr(10), '' ORDER BY s, p) AS told FROM r GROUP BY 1),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n / p DESC, s, p) = 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + n)) AS i FROM r),
+y AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM k ANTI JOIN c USING (doc_id, i) GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.p AS period, 1000 * b.n // b.p AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN o USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN y USING (doc_id)""",
+    "op13_prefix_tree_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
 }
