@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ordered import Cut, placed_rows, plain_keys
+
 BLOCK = 64
 
 
@@ -137,15 +139,17 @@ def chunk_entries(heads: DataFrame, keys, start: Column, step) -> DataFrame:
     return g.select(*keys, F.col("e.k").alias("_k"), F.col("e.s").alias("e"))
 
 
-def affine(df: DataFrame, keys, order, grain: Column, a: Column, b: Column, out: str) -> DataFrame:
+def affine(df: DataFrame, keys, order, grain: Column | Cut, a: Column, b: Column, out: str) -> DataFrame:
     """``y = a * y_before + b`` per key in order, from 0; adds ``out`` (after) and ``out_before``.
 
     Affine maps compose, so a chunk is one pair (A, B): pairs are folded per key, then all
-    chunks run at once.
+    chunks run at once.  Rows of a null key are a key of their own.
     """
-    keys = list(keys)
     item = F.struct(*order, a.alias("_a"), b.alias("_b2"), F.struct(*df.columns).alias("row"))
-    g = df.groupBy(*keys, grain.alias("_k")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    made = plain_keys(df, keys)
+    placed = placed_rows(df, keys, grain).withColumns({**made, "_item": item}).withColumnRenamed("_b", "_k")
+    keys, item = [*made], F.col("_item")
+    g = placed.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(item)).alias("rows"))
     unit = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
     pair = F.aggregate("rows", unit, lambda s, x: F.struct(
         (x["_a"] * s["a"]).alias("a"), (x["_a"] * s["b"] + x["_b2"]).alias("b")))

@@ -12,12 +12,20 @@ works on *chunks* of a key:
 
 ``grain`` is an order-preserving bucket of the ordering columns (for bars: a span of
 time holding at most ``chunkRows`` bars), which keeps the groups of :func:`scan` small.
+Where nothing bounds the rows of a span (ledgers, ticks) it is a :class:`Cut`, which
+counts them and cuts the dense ones finer.
+
+No row is lost: rows of a null key are a key of their own, and a row that has no place
+in the order (a null grain) fails the job.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import chunk_rows
 
@@ -57,17 +65,100 @@ def _shared(rows: DataFrame, by) -> tuple[DataFrame, Column]:
     return placed, seen
 
 
-def scan(df: DataFrame, keys, order, grain: Column, reuse: bool = False, **specs) -> DataFrame:
+def _stand_in(kind: T.DataType) -> Column | None:
+    if isinstance(kind, T.NumericType):
+        return F.lit(0).cast(kind)
+    return {"string": F.lit(""), "boolean": F.lit(False), "date": F.date_from_unix_date(F.lit(0)), "timestamp": F.timestamp_seconds(F.lit(0))}.get(kind.typeName())
+
+
+def plain_keys(df: DataFrame, keys) -> dict[str, Column]:
+    """Columns that stand for the keys in windows and joins and are never null, so that plain equality loses no row."""
+    made, nulls = {}, F.lit(0)
+    for i, k in enumerate(keys):
+        field = df.schema[k]
+        instead = _stand_in(field.dataType)
+        if not field.nullable:
+            made[f"_q{i}"] = F.col(k)
+        elif instead is None:
+            made[f"_q{i}"] = F.struct(k)
+        else:
+            made[f"_q{i}"] = F.coalesce(k, instead)
+            nulls = nulls + F.when(F.col(k).isNull(), 1 << i).otherwise(0)
+    if any(df.schema[k].nullable for k in keys):
+        made["_qn"] = nulls
+    return made
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Chunks of a numeric order column (seconds, a quantity): spans of ``span``, and finer ones where a key is dense."""
+
+    at: str
+    span: float
+
+
+#: Dense spans that are sent to all tasks; more are joined by a shuffle.
+MANY = 10_000
+
+
+def _floor(at: str, size) -> Column:
+    return F.floor(F.col(at) / size) * size
+
+
+def chunked(df: DataFrame, keys, cut: Cut, name: str = "_b", times: int = 5) -> DataFrame:
+    """Adds the start of the span that a row lies in, such that no span of a key holds more than ``chunkRows`` rows.
+
+    Spans with more rows are cut in 64, up to ``times`` times or down to one second; only the dense spans of one level are looked at for the
+    next. Rows of one second stay together. Counting runs as a job of its own, over the columns it needs; without dense spans nothing is joined.
+    """
+    most, size = chunk_rows(df.sparkSession), cut.span
+    there = F.when(F.col(cut.at).isNotNull(), _floor(cut.at, size)).otherwise(F.raise_error(F.lit(f"a row has no place in its order: null in {cut.at}")))
+    out, by = df.withColumn(name, there), plain_keys(df, keys)
+    whole = isinstance(cut.span, int)
+    left = out
+    for _ in range(times):
+        dense = left.withColumns(by).groupBy(*by, name).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n")
+        some = dense.limit(MANY + 1).collect()
+        if not some or whole and size == 1:
+            break
+        finer = max(size // 64, 1) if whole else size / 64
+        small = len(some) <= MANY
+        dense = F.broadcast(df.sparkSession.createDataFrame(some, dense.schema)) if small else dense
+        dense = dense.select(*[F.col(c).alias(f"_d{c}") for c in by], F.col(name).alias("_d"))
+        same = F.col(name) == F.col("_d")
+        for c in by:
+            same = same & (by[c] == F.col(f"_d{c}"))
+        out = out.join(dense, same, "left").withColumn(name, F.when(F.col("_d").isNotNull(), _floor(cut.at, finer)).otherwise(F.col(name))).select(*df.columns, name)
+        left = left.join(dense, same, "left_semi").withColumn(name, _floor(cut.at, finer))
+        size = finer
+    return out
+
+
+def cut_once(df: DataFrame, keys, grain: Column | Cut, name: str = "_span") -> tuple[DataFrame, Column]:
+    """The rows with their chunk in a column, for callers that use it several times."""
+    if not isinstance(grain, Cut):
+        return df, grain
+    return chunked(df, keys, grain, name), F.col(name)
+
+
+def placed_rows(df: DataFrame, keys, grain: Column | Cut) -> DataFrame:
+    """Rows with the chunk ``_b`` they lie in."""
+    if isinstance(grain, Cut):
+        return chunked(df, keys, grain)
+    return df.withColumn("_b", F.when(grain.isNotNull(), grain).otherwise(F.raise_error(F.lit("a row has no place in its order: its grain is null"))))
+
+
+def scan(df: DataFrame, keys, order, grain: Column | Cut, reuse: bool = False, **specs) -> DataFrame:
     """Add running aggregates per key in ``order``.
 
     Each spec is ``name=(op, column)`` or ``(op, column, -1)`` to leave the current row
     out; ``op`` is sum, count, product, max, min or last (last non-null value).
-    Keys must not be null.  ``reuse`` shuffles the rows once for both levels instead of
+    Rows of a null key are a key of their own; a row with a null grain fails the job.  ``reuse`` shuffles the rows once for both levels instead of
     making them twice: right for a long plan, wrong for a plain table scan.
     """
-    keys, order = list(keys), list(order)
-    by = keys + ["_b"]
-    rows = df.withColumn("_b", grain).where(F.col("_b").isNotNull())
+    order, made = list(order), plain_keys(df, keys)
+    rows = placed_rows(df, keys, grain).withColumns(made) if made else placed_rows(df, keys, grain)
+    keys, by = [*made], [*made, "_b"]
     local = Window.partitionBy(*by).orderBy(*order)
     above = Window.partitionBy(*keys).orderBy("_b").rowsBetween(FIRST, -1)
     here, totals, carried, result = {}, [], {}, {}
@@ -96,7 +187,7 @@ def scan(df: DataFrame, keys, order, grain: Column, reuse: bool = False, **specs
     return out.select(*df.columns, *[c.alias(n) for n, c in result.items() if n not in df.columns])
 
 
-def number(df: DataFrame, keys, order, grain: Column, name: str = "pos") -> DataFrame:
+def number(df: DataFrame, keys, order, grain: Column | Cut, name: str = "pos") -> DataFrame:
     """Zero-based position of a row inside its key."""
     out = scan(df, keys, order, grain, **{name: ("count", F.lit(1))})
     return out.withColumn(name, F.col(name) - 1)
@@ -138,7 +229,7 @@ class Framed:
         return df.where("_own").drop("_own", "_chunk")
 
 
-def path(df: DataFrame, keys, order, grain: Column, step: Column, start: Column | float = 0.0,
+def path(df: DataFrame, keys, order, grain: Column | Cut, step: Column, start: Column | float = 0.0,
          product: bool = False, value: str = "equity", peak: str = "peak", low: str | None = None,
          from_start: bool = True, reuse: bool = False, sums: dict | None = None) -> DataFrame:
     """Running value from steps with its running peak (and low), in one pass.
@@ -152,10 +243,10 @@ def path(df: DataFrame, keys, order, grain: Column, step: Column, start: Column
     keys, order = list(keys), list(order)
     start = F.lit(start) if not isinstance(start, Column) else start
     extra = sums or {}
-    there = F.when(grain.isNotNull(), grain).otherwise(F.raise_error(F.lit(f"a row has no place in its path: null in {list(map(str, order))}")))
-    key = {"_key": F.struct(*keys)} if keys else {}  # not null where a key is
-    keys, by = [*key], [*key, "_b"]
-    rows = df.withColumns({**key, "_b": there, "_x": (1.0 + step) if product else step, "_s": start,
+    made_keys = plain_keys(df, keys)
+    placed = placed_rows(df, keys, grain)
+    keys, by = [*made_keys], [*made_keys, "_b"]
+    rows = placed.withColumns({**made_keys, "_x": (1.0 + step) if product else step, "_s": start,
                            **{f"_e_{n}": x for n, x in extra.items()}})
     order_w = Window.partitionBy(*by).orderBy(*order)
     w, prior = order_w.rowsBetween(FIRST, HERE), order_w.rowsBetween(FIRST, -1)

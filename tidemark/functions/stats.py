@@ -1,7 +1,7 @@
 """Exact quantiles, ranks and buckets on groups of any size, and the normal distribution.
 
 A group is first reduced to its distinct values with counts; cumulative counts over those
-come from the two-level scan, cut by approximate quantiles.  No task sees a whole group.
+come from the two-level scan, cut by counted ranges of values (``ordered.Cut``).  No task sees a whole group.
 """
 
 from __future__ import annotations
@@ -11,27 +11,31 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import scan
+from tidemark.functions.ordered import Cut, chunked, scan
 
 c, lit, when = F.col, F.lit, F.when
-PARTS = 32
+#: First width of the ranges on the axis of :func:`value_axis`, which spans about 25,000.
+WIDE = 4096.0
 
 
-def _with_cuts(df: DataFrame, keys, col: str, weight: str | None = None) -> DataFrame:
-    """Add ``_g``: the number of approximate quantiles of the group below the value."""
-    probs = [i / PARTS for i in range(1, PARTS)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(col, probs, 200).alias("_cuts"))
-    out = df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))
-    # Never null: a null check of an expression with a lambda is pushed to the side of the join that lacks ``col``.
-    return out.withColumn("_g", F.coalesce(F.size(F.filter("_cuts", lambda x: x < c(col))), lit(0))).drop("_cuts")
+def value_axis(x: Column) -> Column:
+    """Order-preserving place of a number, fine near zero and logarithmic far out; NaN stands last, as in Spark's order."""
+    x = x.cast("double")
+    return when(F.isnan(x), 3e5).otherwise(F.greatest(F.least(F.asinh(x * 1000.0) * 16.0, lit(2e5)), lit(-2e5)))
+
+
+def _cut_by_value(df: DataFrame, keys, col: str) -> tuple[DataFrame, Column]:
+    """Rows with ``_g``: the range of values they lie in, as many for a group as its rows ask for."""
+    x = chunked(df.withColumn("_u", value_axis(c(col))), keys, Cut("_u", WIDE), "_g", times=9)
+    return x.drop("_u"), c("_g")
 
 
 def histogram_counts(df: DataFrame, keys, col: str) -> DataFrame:
     """Distinct values with ``n``, the running count ``cum`` and the group's ``total``."""
     keys = list(keys)
     h = df.where(c(col).isNotNull()).groupBy(*keys, col).agg(F.count(lit(1)).alias("n"))
-    h = scan(_with_cuts(h, keys, col), keys, [col], c("_g"), cum=("sum", "n"))
-    return h.drop("_g")
+    h, range_ = _cut_by_value(h, keys, col)
+    return scan(h, keys, [col], range_, cum=("sum", "n")).drop("_g")
 
 
 def quantiles(df: DataFrame, keys, col: str, probs: dict[str, float], rule: str = "linear") -> DataFrame:
@@ -77,8 +81,8 @@ def average_ranks(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
 
 def first_ranks(df: DataFrame, keys, col: str, tie: str, out: str = "rank") -> DataFrame:
     """Add ranks 1..n; equal values are ordered by ``tie``."""
-    df = _with_cuts(df, list(keys), col)
-    return scan(df, keys, [col, tie], c("_g"), **{out: ("count", lit(1))}).drop("_g")
+    x, range_ = _cut_by_value(df.where(c(col).isNotNull()), list(keys), col)
+    return scan(x, keys, [col, tie], range_, **{out: ("count", lit(1))}).drop("_g")
 
 
 def bucket_of_rank(rank: Column, n: Column, q: Column | int) -> Column:
@@ -175,22 +179,18 @@ EULER_GAMMA = 0.5772156649
 E_NUMBER = math.e
 
 
-def value_bucket(x: Column) -> Column:
-    """Order-preserving bucket of a number, fine near zero and logarithmic far out."""
-    return F.floor(F.asinh(x * 1000.0) * 16.0)
-
-
 def cross_ranks(df: DataFrame, keys, col: str, avg: str | None = None, first: str | None = None, tie: str | None = None,
                 size: str | None = None) -> DataFrame:
-    """Ranks of ``col`` within each group, in one pass over value buckets of the group.
+    """Ranks of ``col`` within each group, in one pass over ranges of its values.
 
     ``avg`` gives tied values their mean rank, ``first`` orders ties by ``tie``, ``size`` is
-    the group size.  A group is spread over its buckets, so a large one is never sorted whole.
+    the group size.  A group is spread over its ranges, so a large one is never sorted whole; null and NaN have no rank.
     """
     from pyspark.sql import Window
     keys = list(keys)
     by = [*keys, "_b"]
-    rows = df.where(~F.isnan(c(col).cast("double"))).withColumn("_b", value_bucket(c(col))).where(c("_b").isNotNull())  # null and NaN have no rank
+    rows, range_ = _cut_by_value(df.where(c(col).isNotNull() & ~F.isnan(c(col).cast("double"))), keys, col)
+    rows = rows.withColumn("_b", range_)
     heads = rows.groupBy(*by).agg(F.count(lit(1)).alias("_n"))
     over = Window.partitionBy(*keys)
     heads = heads.withColumns({

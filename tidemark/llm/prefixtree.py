@@ -7,7 +7,7 @@ of its own rest and the longest rest below) is too small for the smallest set th
 its component already.
 
 Who meets in which tree: two linked sets share one of their n - ceil(s n) + 1 rarest shingles (s: the similarity).
-First, in hash order, a set stays open only if enough of its first shingles (a fifth and a tenth of them) occur in another set.
+First, in hash order, a set stays open only if enough of its first shingles (a quarter of them) occur in another set.
 Then the shingles of open sets are counted exactly, and their rarest ones tell groups. Each group follows its member with most company (its leader);
 sets of one leader go to chunks of at most ``chunk`` sets, each joined with itself in a tree. Where groups still span components, each of their sets
 probes the chunks of the other members, in blocks. So a pair of linked sets is either met in a tree or already in one component: no link
@@ -47,14 +47,17 @@ def _head(n: int, percent: int) -> tuple[int, int]:
     """How many shingles of a set of n tell whether it is open, and how many of them must occur elsewhere.
 
     Two linked sets share at least ceil(s n) shingles of each, so the first k they share stand among the first n - ceil(s n) + k
-    of both; k is a tenth of the smaller set at least, which has ceil(s n) shingles or more.
+    of both; k is a twentieth of the smaller set at least, which has ceil(s n) shingles or more.
     """
     least = -(-percent * n // 100)
-    return min(n, n - least + max(1, n // 10)), max(1, least // 10)
+    return min(n, n - least + max(1, n // 20)), max(1, least // 20)
 
 
 def sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_md5, key (digest of the set), n, head and need of every document."""
+    """doc_id, text_md5, key (digest of the set), n, head and need of every document.
+
+    Heads hold 48 bits of each hash, which is less to move: where two hashes look alike, a set more stays open, and none is closed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,16 +67,19 @@ def sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> Dat
                 told = [_head(len(x), percent) if len(x) else (0, 0) for x in own]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(i, j - i), batch.column("text_md5").slice(i, j - i), pa.array([md5(x.tobytes()).digest() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()),
-                    pa.array([x[:k] for x, (k, _) in zip(own, told, strict=True)], pa.list_(pa.int64())), pa.array([k for _, k in told], pa.int64())], ["doc_id", "text_md5", "key", "n", "head", "need"])
+                    pa.array([x[:k] >> 16 for x, (k, _) in zip(own, told, strict=True)], pa.list_(pa.int64())), pa.array([k for _, k in told], pa.int64())], ["doc_id", "text_md5", "key", "n", "head", "need"])
 
     return docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), "text").mapInArrow(run, "doc_id long, text_md5 string, key binary, n long, head array<long>, need long")
 
 
-def open_sets(nodes: DataFrame) -> DataFrame:
-    """node of the sets that can be linked at all, by their heads (node, head, need)."""
-    each = nodes.select("node", "need", F.explode("head").alias("h"))
+def open_sets(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of nodes (node, key, pick), those whose sets can be linked at all, by their heads; a repeated row only makes its set stay."""
+    there = (F.col("key") == F.col("_key")) & (F.col("text_md5") == F.col("pick.text_md5")) & F.col("doc_id").eqNullSafe(F.col("pick.doc_id"))
+    heads = own.join(nodes.select("node", F.col("key").alias("_key"), "pick"), there)
+    each = heads.select("node", F.explode("head").alias("h"))
     shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
-    return each.join(shared, "h").groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("node")
+    met = each.join(shared, "h").groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    return nodes.join(met, "node").where("k >= need").select("node", "pick")
 
 
 def coded(texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -194,14 +200,17 @@ def join(sets_: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFr
     first = written(inside.groupBy("leader", "part").applyInPandas(own, "a long, b long"), "prefixtree-links")
     label = written(components(first), "prefixtree-components")
     # Groups that still span components: each set probes the chunks of the other members.
-    known = met.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).join(home.select("node", "leader", "part"), "node")
-    known = written(known.select("code", "node", "n", "c", "leader", "part"), "prefixtree-known")
-    there = known.groupBy("code", "leader", "part").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    spans = there.groupBy("code").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("code")
-    k, t = known.alias("k"), there.join(spans, "code").alias("t")
-    other = ((F.col("k.c") != F.col("t.lo")) | (F.col("k.c") != F.col("t.hi"))) & ((F.col("k.leader") != F.col("t.leader")) | (F.col("k.part") != F.col("t.part")))
+    # Of two components the smaller one (by sets, then number) probes, so outliers look into the chunks of a large one and not the other way round.
+    weight = label.groupBy("component").agg(F.count(F.lit(1)).alias("sets"))
+    label = label.join(weight, "component").select("node", "component", "sets")
+    known = met.join(label, "node", "left").withColumn("c", F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), F.coalesce("component", "node").alias("id")))
+    known = written(known.join(home.select("node", "leader", "part"), "node").select("code", "node", "n", "c", "leader", "part"), "prefixtree-known")
+    there = known.groupBy("code", "leader", "part").agg(F.max("c").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    lowest = known.groupBy("code").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("code", "least", "most")
+    k, t = known.join(lowest, "code").where("c < most").alias("k"), there.join(lowest, "code").where("hi > least").alias("t")
+    other = (F.col("k.c") < F.col("t.hi")) & ((F.col("k.leader") != F.col("t.leader")) | (F.col("k.part") != F.col("t.part")))
     near = (F.col("t.n_hi") * 100 >= F.col("k.n") * percent) & (F.col("k.n") * 100 >= F.col("t.n_lo") * percent)
-    asks = written(k.join(t, (F.col("k.code") == F.col("t.code")) & other & near).select("k.node", "k.n", "k.c", "t.leader", "t.part").distinct(), "prefixtree-asks")
+    asks = written(k.join(t, (F.col("k.code") == F.col("t.code")) & other & near).select("k.node", "k.n", F.col("k.c.id").alias("c"), "t.leader", "t.part").distinct(), "prefixtree-asks")
     blocks = asks.groupBy("leader", "part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (4 * chunk)), F.ceil(F.sum("n") / (4 * CODES))).alias("blocks"))
     asks = asks.drop("n").join(blocks, ["leader", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     probes = asks.join(sets_.select("node", "n", "codes"), "node").select("leader", "part", "block", "node", "n", "codes", "c")
@@ -214,15 +223,15 @@ def join(sets_: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFr
     by = ["leader", "part", "block"]
     trees, probes = trees.toDF(*trees.columns), probes.toDF(*probes.columns)  # columns of their own, though both come from the sets
     more = written(trees.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(across, "a long, b long"), "prefixtree-links")
-    return label if more.isEmpty() else written(components(first.union(more)), "prefixtree-components")
+    return label.select("node", "component") if more.isEmpty() else written(components(first.union(more)), "prefixtree-components")
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     own = written(sets(docs, percent, shingle), "prefixtree-documents")
-    nodes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_md5")).alias("pick"), F.first("head").alias("head"), F.first("need").alias("need"))
+    nodes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_md5")).alias("pick"), F.first("need").alias("need"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "prefixtree-nodes")
-    some = nodes.select("node", "pick").join(open_sets(nodes), "node")
+    some = open_sets(own, nodes)
     texts = docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), "text")
     texts = texts.join(some, (F.col("text_md5") == F.col("pick.text_md5")) & texts["doc_id"].eqNullSafe(F.col("pick.doc_id"))).select("node", "text").dropDuplicates(["node"])
     label = join(coded(texts, percent, shingle), percent, chunk)

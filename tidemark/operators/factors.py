@@ -1,12 +1,16 @@
 """Catalogue of technical and fundamental factors over bar panels.
 
 A factor is declared once: the fields it needs, its defaults, how many earlier bars
-it looks at, the first position that has a value and the expression.  Two shapes:
+it looks at, the first position that has a value and the expression.  Three shapes:
 
 * window factors are plain expressions over bounded frames;
-* recursive factors (EMA, Wilder) are array folds over a chunk with enough earlier
+* smoothings (one EMA or Wilder average of a column) run on windows alone, over any length,
+  and go on over missing values (see ``functions.smoothing``);
+* other recursive factors are array folds over a chunk with enough earlier
   rows for the start value to vanish (see ``functions.folds``).
 
+Ids, categories, required fields, default parameters and outputs are fixed values.
+
 ``factor_series`` gives one row per bar (the value on the prefix that ends there),
 ``factor_last`` one row per symbol, ``factor_panel`` several factors side by side.
 """
@@ -21,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.folds import Chunk, memory
-from tidemark.model import Panel, div, finite
+from tidemark.functions.smoothing import smoothed
+from tidemark.model import PRICES, Panel, div, finite
 
 YEAR = math.sqrt(252.0)
 MAX_PERIOD = 5000
@@ -45,6 +50,7 @@ class Factor:
     steps: dict = field(default_factory=dict)
     outputs: tuple[str, ...] = ()
     check: Callable[[dict], bool] | None = None
+    series: Callable[[dict], dict] | None = None
 
     @property
     def factor_type(self) -> str:
@@ -122,6 +128,7 @@ def with_base(df: DataFrame, row) -> DataFrame:
         "loss": F.when(c("delta").isNotNull(), F.greatest(-c("delta"), F.lit(0.0))),
         "mfv": F.coalesce(((c("close") - c("low")) - (c("high") - c("close"))) / spread, F.lit(0.0)) * c("vol"),
         "signed": F.signum(F.coalesce(c("delta"), F.lit(0.0))) * c("vol"),
+        "_force": c("delta") * c("volume"),
     })
 
 
@@ -384,11 +391,16 @@ def _fold(id, category, direction, fields, params, first, value, back, **more):
     _add(id, category, direction, fields, params, first, value, back, kind="fold", **more)
 
 
-_fold("ema", "trend", "neutral", "close", {"period": 20}, N1,
-      lambda a, p: a.ema(a["close"], p["period"]), lambda p: mem(p["period"]))
-_fold("ema_distance", "trend", "higher_is_bullish", "close", {"period": 20}, N1,
-      lambda a, p: a.zip(a["close"], a.ema(a["close"], p["period"]), lambda x, m: div(x, m) - 1.0),
-      lambda p: mem(p["period"]))
+def _smooth(id, category, direction, fields, params, first, value, series, **more):
+    """``series`` gives named smoothings (value, how many values seed it, gain), from which ``value`` makes the result."""
+    _add(id, category, direction, fields, params, first, value, lambda p: 1, kind="smooth", series=series, **more)
+
+
+ema = lambda x, n: (x, n, 2.0 / (n + 1.0))
+wilder = lambda x, n: (x, n, 1.0 / n)
+_smooth("ema", "trend", "neutral", "close", {"period": 20}, N1, lambda v, p: v["m"], lambda p: {"m": ema("close", p["period"])})
+_smooth("ema_distance", "trend", "higher_is_bullish", "close", {"period": 20}, N1,
+        lambda v, p: div(c("close"), v["m"]) - 1.0, lambda p: {"m": ema("close", p["period"])})
 _fold("rsi", "momentum", "neutral", "close", {"period": 14}, N,
       lambda a, p: a.zip(a.wilder(a["gain"], p["period"]), a.wilder(a["loss"], p["period"]),
                          lambda g, l: F.when(l <= 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + g / l))),
@@ -457,30 +469,25 @@ def _again(a, arr, n, times):
 _fold("trix", "trend", "higher_is_bullish", "close", {"period": 15}, lambda p: 3 * p["period"],
       lambda a, p: (lambda t: a.zip(t, a.shift(t, 1), lambda x, y: div(x, y) - 1.0))(_again(a, a["close"], p["period"], 3)),
       lambda p: 3 * mem(p["period"]) + 1)
-_fold("atr", "volatility", "neutral", "high low close", {"period": 14}, N1,
-      lambda a, p: a.wilder(a["tr"], p["period"]), lambda p: wmem(p["period"]) + 1)
-_fold("atr_pct", "risk", "lower_is_bullish", "high low close", {"period": 14}, N1,
-      lambda a, p: a.zip(a.wilder(a["tr"], p["period"]), a["close"], div), lambda p: wmem(p["period"]) + 1)
+_smooth("atr", "volatility", "neutral", "high low close", {"period": 14}, N1, lambda v, p: v["r"], lambda p: {"r": wilder("tr", p["period"])})
+_smooth("atr_pct", "risk", "lower_is_bullish", "high low close", {"period": 14}, N1,
+        lambda v, p: div(v["r"], c("close")), lambda p: {"r": wilder("tr", p["period"])})
 _fold("ema_slope", "trend", "higher_is_bullish", "close", {"period": 20, "slope_period": 5},
       lambda p: p["period"] + p["slope_period"] - 1,
       lambda a, p: (lambda e: a.zip(e, a.shift(e, p["slope_period"]), lambda x, y: div(x, y) - 1.0))(
           a.ema(a["close"], p["period"])), lambda p: mem(p["period"]) + p["slope_period"])
 
 
-def _keltner(a, p):
-    mid, rng = a.ema(a["close"], p["period"]), a.wilder(a["tr"], p["atr_period"])
-    up = lambda: a.zip(mid, rng, lambda m, r: m + p["multiplier"] * r)
-    low = lambda: a.zip(mid, rng, lambda m, r: m - p["multiplier"] * r)
-    return _pick(p, upper=up, lower=low, middle=lambda: mid, position=lambda: a.zip(
-        a.zip(mid, rng, lambda m, r: F.struct((m - p["multiplier"] * r).alias("l"), (m + p["multiplier"] * r).alias("u"))),
-        a["close"], lambda b, x: _position(x, b["l"], b["u"])))
+def _keltner(v, p):
+    up, low = (v["m"] + s * p["multiplier"] * v["r"] for s in (1.0, -1.0))
+    return _pick(p, upper=lambda: up, lower=lambda: low, middle=lambda: v["m"], position=lambda: _position(c("close"), low, up))
 
 
-_fold("keltner_channels", "volatility", "neutral", "high low close",
-      {"period": 20, "atr_period": 10, "multiplier": 2.0, "output": "position"},
-      lambda p: max(p["period"], p["atr_period"]) - 1, _keltner,
-      lambda p: max(mem(p["period"]), wmem(p["atr_period"])) + 1,
-      outputs=("upper", "middle", "lower", "position"))
+_smooth("keltner_channels", "volatility", "neutral", "high low close",
+        {"period": 20, "atr_period": 10, "multiplier": 2.0, "output": "position"},
+        lambda p: max(p["period"], p["atr_period"]) - 1, _keltner,
+        lambda p: {"m": ema("close", p["period"]), "r": wilder("tr", p["atr_period"])},
+        outputs=("upper", "middle", "lower", "position"))
 # an EMA difference does not depend on where the running sum starts
 _fold("chaikin_oscillator", "volume", "higher_is_bullish", "high low close volume",
       {"fast_period": 3, "slow_period": 10}, lambda p: p["slow_period"] - 1,
@@ -538,12 +545,10 @@ def _tsi(a, p):
 _fold("tsi", "momentum", "neutral", "close", {"slow_period": 25, "fast_period": 13},
       lambda p: p["slow_period"] + p["fast_period"], _tsi,
       lambda p: mem(p["slow_period"]) + mem(p["fast_period"]) + 1)
-_fold("elder_ray", "momentum", "neutral", "high low close", {"period": 13, "output": "bull"}, N1,
-      lambda a, p: a.minus(a["high" if p["output"] == "bull" else "low"], a.ema(a["close"], p["period"])),
-      lambda p: mem(p["period"]), outputs=("bull", "bear"))
-_fold("force_index", "volume", "higher_is_bullish", "close volume", {"period": 13}, N,
-      lambda a, p: a.ema(a.zip(a["delta"], a["volume"], lambda d, v: d * v), p["period"]),
-      lambda p: mem(p["period"]) + 1)
+_smooth("elder_ray", "momentum", "neutral", "high low close", {"period": 13, "output": "bull"}, N1,
+        lambda v, p: c("high" if p["output"] == "bull" else "low") - v["m"], lambda p: {"m": ema("close", p["period"])}, outputs=("bull", "bear"))
+_smooth("force_index", "volume", "higher_is_bullish", "close volume", {"period": 13}, N, lambda v, p: v["f"],
+        lambda p: {"f": ema("_force", p["period"])})
 
 # --- supertrend: bands are Wilder folds, the carry is not linear ----------------------
 
@@ -658,6 +663,19 @@ def _folds(panel: Panel, wanted: dict[str, tuple[Factor, dict]]) -> DataFrame:
     return df.withColumns({n: F.when(c("pos") >= f.first(p), c(n)) for n, (f, p) in wanted.items()})
 
 
+def _smooths(panel: Panel, wanted: dict[str, tuple[Factor, dict]]) -> DataFrame:
+    """One smoothing for each series that the factors need, by :func:`tidemark.functions.smoothing.smoothed`."""
+    series = {n: f.series(p) for n, (f, p) in wanted.items()}
+    todo = {s: f"_y{i}" for i, s in enumerate(dict.fromkeys(s for own in series.values() for s in own.values()))}
+    df = panel.df
+    if any(x in ("tr", "_force") for x, _, _ in todo):
+        fr = panel.frame(1)
+        df = fr.own(with_base(fr.df, fr.row)).select(*panel.keys, *panel.order, *PRICES, *sorted({x for x, _, _ in todo} - {*PRICES}))
+    for (x, n, k), name in todo.items():
+        df = smoothed(df, panel.keys, panel.order, panel.grain, x, n, k, name)
+    return df.withColumns({n: f.value({v: c(todo[s]) for v, s in series[n].items()}, p) for n, (f, p) in wanted.items()})
+
+
 def factor_panel(panel: Panel, wanted: dict[str, dict] | list[str]) -> DataFrame:
     """Several factors per bar: one pass for each way of treating missing rows."""
     if not isinstance(wanted, dict):
@@ -682,7 +700,7 @@ def factor_panel(panel: Panel, wanted: dict[str, dict] | list[str]) -> DataFrame
             df = supertrend(_prepare(panel, fields), **p).withColumnRenamed("value", name)
         else:
             ready = _prepare(panel, fields)
-            df = _windows(ready, part) if kind == "window" else _folds(ready, part)
+            df = {"window": _windows, "fold": _folds, "smooth": _smooths}[kind](ready, part)
         df = df.select(*keys, *[finite(c(n)).alias(n) for n in part])
         out = df if out is None else out.join(df, keys, "full")
     return out
@@ -699,7 +717,7 @@ def factor_last(panel: Panel, id: str, **params) -> DataFrame:
     f = get_factor(id)
     p = settle(f, params)
     df = panel.df
-    if f.kind not in ("carry", "fundamental") and not (f.id in ("obv", "ad_line") and p["output"] == "value"):
+    if f.kind not in ("carry", "fundamental", "smooth") and not (f.id in ("obv", "ad_line") and p["output"] == "value"):
         ready = _prepare(panel, f.fields).number()
         size = ready.df.groupBy(*panel.keys).agg(F.max("pos").alias("_end"))
         need = f.first(p) + f.back(p) + 2

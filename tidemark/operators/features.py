@@ -7,6 +7,7 @@ unlike the catalogue in ``operators.factors``.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -288,23 +289,46 @@ def signal_returns(panel: Panel, signal: str, latency: int = 1, cost: float = 0.
                                      "net": F.coalesce(pos, lit(0)) * move - turn * cost}))
 
 
+LEVELS = 4
+
+
+def _levels(bars: DataFrame, size: int, width: int) -> DataFrame:
+    """symbol, _level, _node, _in: bars by spans of time, spans by spans of spans, each with the extremes of what it holds."""
+    x, parts = bars.select("symbol", epoch().alias("u"), "high", "low"), []
+    for level in range(LEVELS):
+        x = x.groupBy("symbol", F.floor(c("u") / (width if level else size)).alias("_node"))
+        x = x.agg(F.collect_list(F.struct("u", "high", "low")).alias("_in"), F.max("high").alias("high"), F.min("low").alias("low"))
+        parts.append(x.select("symbol", lit(level).alias("_level"), "_node", "_in"))
+        x = x.select("symbol", c("_node").alias("u"), "high", "low")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def excursions(trades: DataFrame, bars: DataFrame, step: int, width: int = 64) -> DataFrame:
     """Worst and best excursion of trades over the bars they were open.
 
-    Trades are cut into spans of ``width`` bars and joined by (symbol, span), so the join has
-    an equality key that splits a hot symbol.  Rows: id, symbol, entry_t, exit_t, direction, entry.
+    Bars stand in spans of ``width``, spans in spans of spans. A trade looks into the two spans of bars at its ends; the whole spans between
+    them it sees through the two spans of spans at their ends, and so on: two looks a level, whatever its length, and one
+    join by (symbol, level, node). Rows: id, symbol, entry_t, exit_t, direction, entry.
     """
-    size = step * width
-    t = trades.withColumn("_g", F.explode(F.sequence(F.floor(c("entry_t") / size), F.floor(c("exit_t") / size))))
-    b = bars.select("symbol", epoch().alias("_t"), "high", "low").withColumn("_g", F.floor(c("_t") / size))
-    j = t.join(b, ["symbol", "_g"]).where((c("_t") >= c("entry_t")) & (c("_t") <= c("exit_t")))
-    g = j.groupBy("id").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"))
-    x = trades.join(g, "id", "left")
-    up = c("direction") > 0
-    best = when(up, F.greatest("_hi", "entry") - c("entry")).otherwise(c("entry") - F.least("_lo", "entry"))
-    worst = when(up, c("entry") - F.least("_lo", "entry")).otherwise(F.greatest("_hi", "entry") - c("entry"))
+    size, looks = step * width, []
+    low, high = c("entry_t"), c("exit_t")
+    for level in range(LEVELS):
+        a, b = F.floor(low / (width if level else size)), F.floor(high / (width if level else size))
+        nodes = F.sequence(a, b) if level == LEVELS - 1 else F.array_distinct(F.array(a, b))
+        one = F.transform(nodes, lambda n, level=level, low=low, high=high: F.struct(lit(level).alias("_level"), n.alias("_node"), low.cast("long").alias("_lo"), high.cast("long").alias("_hi")))
+        looks.append(when(low <= high, one))
+        low, high = a + 1, b - 1
+    looks = F.flatten(F.array_compact(F.array(*looks)))
+    t = trades.select(F.struct(*trades.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"), "symbol", F.explode_outer(looks).alias("_look")).select("_row", "_id", "symbol", "_look.*")
+    inside = F.filter("_in", lambda x: (x["u"] >= c("_lo")) & (x["u"] <= c("_hi")))
+    t = t.join(_levels(bars, size, width), ["symbol", "_level", "_node"], "left").select("_row", "_id", inside.alias("_in"))
+    t = t.select("_row", "_id", F.array_max(F.transform("_in", lambda x: x["high"])).alias("_h"), F.array_min(F.transform("_in", lambda x: x["low"])).alias("_l"))
+    x = t.groupBy("_id").agg(F.first("_row").alias("_row"), F.max("_h").alias("_h"), F.min("_l").alias("_l"))
+    up, entry = c("_row.direction") > 0, c("_row.entry")
+    best = when(up, F.greatest("_h", entry) - entry).otherwise(entry - F.least("_l", entry))
+    worst = when(up, entry - F.least("_l", entry)).otherwise(F.greatest("_h", entry) - entry)
     zero = lit(0.0)
-    return x.select(*trades.columns, F.coalesce(div(worst, c("entry")), zero).alias("mae"), F.coalesce(div(best, c("entry")), zero).alias("mfe"))
+    return x.select("_row.*", F.coalesce(div(worst, entry), zero).alias("mae"), F.coalesce(div(best, entry), zero).alias("mfe"))
 
 
 # --- chart indicators and evidence --------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import scan
+from tidemark.functions.ordered import Cut, scan
 
 c = F.col
 DAY = 86400
@@ -30,18 +30,19 @@ def asof(left: DataFrame, right: DataFrame, on, left_time: Column, right_time: C
     sign = -1 if forward else 1
     right_first = equal
     ties = [c(t).alias(f"_k{i}") for i, t in enumerate(tie)]
-    key = F.struct(*on).alias("_key")  # not null where a key is, so no row is lost
-    r = right.select(key, (right_time * sign).alias("_t"), F.lit(0 if right_first else 1).alias("_s"), *ties,
+    keys = [c(k).alias(f"_on{i}") for i, k in enumerate(on)]
+    r = right.select(*keys, (right_time * sign).alias("_t"), F.lit(0 if right_first else 1).alias("_s"), *ties,
                      F.when(right_time.isNotNull(), F.struct(*cols)).alias(name))
     blank = [F.lit(None).cast(right.schema[t].dataType).alias(f"_k{i}") for i, t in enumerate(tie)]
     lt = left.withColumn("_t", left_time * sign)
-    lo = lt.select(key, "_t", F.lit(1 if right_first else 0).alias("_s"), *blank, F.struct(*left.columns).alias("_l"))
-    both = r.unionByName(lo, allowMissingColumns=True)
+    lo = lt.select(*keys, "_t", F.lit(1 if right_first else 0).alias("_s"), *blank, F.struct(*left.columns).alias("_l"))
+    both = r.unionByName(lo, allowMissingColumns=True).withColumn("_at", F.coalesce("_t", F.lit(0)))
+    names = [f"_on{i}" for i in range(len(on))]
     order = ["_t", "_s", *[f"_k{i}" for i in range(len(tie))]]
-    out = scan(both, ["_key"], order, F.coalesce(F.floor(c("_t") / span), F.lit(0)), _found=("last", c(name)))
+    out = scan(both, names, order, Cut("_at", span), _found=("last", c(name)))
     known = c("_t").isNotNull()
-    for k in on:
-        known = known & c("_key")[k].isNotNull()
+    for k in names:
+        known = known & c(k).isNotNull()
     return out.where("_l IS NOT NULL").select("_l.*", F.when(known, c("_found")).alias(name))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.market import unrealized_pnl
-from tidemark.functions.ordered import path, scan
+from tidemark.functions.ordered import Cut, cut_once, path, scan
 from tidemark.model import div
 
 c = F.col
@@ -94,9 +94,9 @@ def latest(df: DataFrame, key, order, cols, first: bool = False) -> DataFrame:
 
 
 
-def ledger_grain(time: str = "t", span: int = 30 * 86400) -> Column:
-    """Chunks of a ledger: spans of time (thirty days unless told otherwise)."""
-    return F.floor(c(time) / span)
+def ledger_grain(time: str = "t", span: int = 30 * 86400) -> Cut:
+    """Chunks of a ledger: spans of time (thirty days unless told otherwise), shorter where a key has too many rows."""
+    return Cut(time, span)
 
 
 def equity_step() -> Column:
@@ -105,9 +105,9 @@ def equity_step() -> Column:
     return F.when(c("profit").isNotNull(), c("profit") - fee).otherwise(-fee)
 
 
-def equity_path(trades: DataFrame, keys, start: Column, step: Column | None = None, order=("t", "id")) -> DataFrame:
+def equity_path(trades: DataFrame, keys, start: Column, step: Column | None = None, order=("t", "id"), grain: Column | Cut | None = None) -> DataFrame:
     """Trades with running equity and running peak."""
-    return path(trades, keys, order, ledger_grain(order[0]), equity_step() if step is None else step, start)
+    return path(trades, keys, order, ledger_grain(order[0]) if grain is None else grain, equity_step() if step is None else step, start)
 
 
 def performance(trades: DataFrame, key: str = "strategy_id", capital: str = "capital") -> DataFrame:
@@ -150,7 +150,7 @@ def strategy_stats(trades: DataFrame, strategies: DataFrame) -> DataFrame:
     return df.withColumn("roi", roi)
 
 
-def longest_run(df: DataFrame, keys, order, grain: Column, hit: Column, reset: Column, out: str) -> DataFrame:
+def longest_run(df: DataFrame, keys, order, grain: Column | Cut, hit: Column, reset: Column, out: str) -> DataFrame:
     """Longest run of ``hit`` rows between ``reset`` rows; other rows neither extend nor end it."""
     x = df.withColumns({"_hit": hit, "_cut": F.when(reset, 1).otherwise(0)})
     x = scan(x, keys, order, grain, _isle=("sum", "_cut"))
@@ -165,7 +165,8 @@ def review(trades: DataFrame, strategies: DataFrame, positions: DataFrame, marks
     closing = is_exit(c("type")) | c("profit").isNotNull()
     pnl = F.when(closing, c("profit"))
     start = F.greatest(F.coalesce("capital", F.lit(0.0)), F.lit(0.0))
-    p = equity_path(t, ["strategy_id"], start)
+    t, grain = cut_once(t, ["strategy_id"], ledger_grain())
+    p = equity_path(t, ["strategy_id"], start, grain=grain)
     g = p.groupBy("strategy_id").agg(
         F.max("capital").alias("capital"), F.count(F.lit(1)).alias("trade_events"), F.count_if(~is_exit(c("type"))).alias("opening_events"),
         F.count_if(closing).alias("closing_events"), F.count_if(pnl > 0).alias("wins"), F.count_if(pnl < 0).alias("losses"),
@@ -173,7 +174,7 @@ def review(trades: DataFrame, strategies: DataFrame, positions: DataFrame, marks
         F.avg(pnl).alias("expectancy"), F.max(pnl).alias("max_win"), F.min(pnl).alias("max_loss"),
         F.sum(equity_step()).alias("net_pnl"), F.max(c("peak") - c("equity")).alias("max_drawdown"), F.max("peak").alias("_top"),
         F.sum("commission").alias("fees"), F.sum(c("price") * c("amount")).alias("notional"))
-    streak = longest_run(t.where(pnl.isNotNull() & (pnl != 0)), ["strategy_id"], ["t", "id"], ledger_grain(), c("profit") < 0, c("profit") > 0,
+    streak = longest_run(t.where(pnl.isNotNull() & (pnl != 0)), ["strategy_id"], ["t", "id"], grain, c("profit") < 0, c("profit") > 0,
                          "loss_streak")
     open_ = position_totals(positions, marks).select("strategy_id", "unrealized", "open_positions")
     df = g.join(streak, "strategy_id", "left").join(open_, "strategy_id", "left")
@@ -292,14 +293,15 @@ def virtual_fills(fills: DataFrame, keys=("strategy_id", "symbol"), order=("t",
     wants = F.greatest(F.coalesce("amount", F.lit(0.0)), F.lit(0.0))
     adds, flat = F.coalesce(entry & good & (wants > 0), F.lit(False)), F.coalesce(exit_ & good & (wants <= 0), F.lit(False))
     # An exit without a quantity closes all: it ends a stretch, and the sizes begin anew after it.
-    x = scan(x, keys, order, ledger_grain(order[0]), _stretch=("count", F.when(flat, 1), -1))
+    x, grain = cut_once(x, keys, ledger_grain(order[0]))
+    x = scan(x, keys, order, grain, _stretch=("count", F.when(flat, 1), -1))
     signed = F.when(adds, wants).when(exit_ & good, -wants).otherwise(0.0)
-    x = path(x, [*keys, "_stretch"], order, ledger_grain(order[0]), signed, 0.0, value="_sum", peak="_top", low="_low")
+    x = path(x, [*keys, "_stretch"], order, grain, signed, 0.0, value="_sum", peak="_top", low="_low")
     x = x.withColumn("_held", c("_sum") - signed - c("_low_before")).withColumn("size", F.when(flat, 0.0).otherwise(c("_sum") - c("_low")))
     x = x.withColumn("fill", F.when(adds, wants).when(exit_ & good, c("_held") - c("size")).otherwise(0.0))
     a = F.when(adds, F.try_divide("_held", "size")).otherwise(1.0)
     b = F.when(adds, F.try_divide(wants * c("price"), c("size"))).otherwise(0.0)
-    x = affine(x, keys, order, ledger_grain(order[0]), a, b, "entry")
+    x = affine(x, keys, order, grain, a, b, "entry")
     side = F.when(c("leg") == "short", -1.0).otherwise(1.0)
     pnl = F.when(exit_ & (c("fill") > 0), (c("price") - c("entry")) * side * c("fill")).otherwise(0.0)
     status = F.when(adds, "filled").when(exit_ & (c("fill") > 0), "filled").when(exit_, "no_position").otherwise("rejected")

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import path, scan
+from tidemark.functions.ordered import Cut, cut_once, path, scan
 from tidemark.functions.stats import EULER_GAMMA, normal_cdf, normal_ppf, quantiles, sigmoid
 from tidemark.model import div
 from tidemark.operators.ledger import ledger_grain, longest_run
@@ -111,9 +109,10 @@ def reconcile(executions: DataFrame, reported: DataFrame, cash: float, fee_rate:
                      F.coalesce("quantity", lit(0.0)).alias("quantity"), F.coalesce("spent", lit(0.0)).alias("spent"), gap.alias("position_mismatch"))
 
 
-def metric_bundle(trades: DataFrame, keys, order, grain: Column, start: float, ppy: float) -> DataFrame:
+def metric_bundle(trades: DataFrame, keys, order, grain: Column | Cut, start: float, ppy: float) -> DataFrame:
     """Research metrics of closed trades and the equity they make."""
     keys = list(keys)
+    trades, grain = cut_once(trades, keys, grain)
     x = trades.withColumn("_r", c("net") / start)
     x = path(x, keys, order, grain, c("net"), start, from_start=False)
     x = x.withColumn("_dd", when(c("peak") > 0, (c("peak") - c("equity")) / c("peak")).otherwise(0.0))
@@ -153,7 +152,7 @@ def distribution(df: DataFrame, keys, col: str) -> DataFrame:
     return quantiles(df, keys, col, DIST).join(g, keys)
 
 
-def regime_slices(trades: DataFrame, keys, order, grain: Column, start: float) -> DataFrame:
+def regime_slices(trades: DataFrame, keys, order, grain: Column | Cut, start: float) -> DataFrame:
     """Quality per regime; the drawdown runs over the regime's own trades."""
     keys = list(keys)
     r = c("net") / start

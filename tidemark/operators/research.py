@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ordered import Framed, number, scan
 from tidemark.functions.stats import bucket_of_rank, corr0, cross_ranks, quantiles
 from tidemark.model import Panel, div, epoch
 from tidemark.operators.joins import membership_flags
@@ -56,13 +57,11 @@ def with_ordinals(panel: Panel, start: int | None = None) -> DataFrame:
     The dates are a small table (one row per date); ``_first`` is the ordinal of the first
     date at or after ``start``.
     """
-    dates = panel.df.select("ts").distinct().withColumn("_g", lit(0))
-    w = Window.partitionBy("_g")
-    cols = {"ord": F.row_number().over(w.orderBy("ts")).cast("long") - 1}
-    dates = dates.withColumns(cols)
+    dates = number(panel.df.select("ts").distinct(), [], ["ts"], dates_grain(), "ord")
     if start is not None:
-        dates = dates.withColumn("_first", F.min(when(epoch() >= start, c("ord"))).over(w))
-    return panel.df.join(dates.drop("_g"), "ts")
+        first = dates.where(epoch() >= start).agg(F.min("ord").alias("_first")).withColumn("_k", lit(0))  # one row
+        dates = dates.withColumn("_k", lit(0)).join(F.broadcast(first), "_k").drop("_k")
+    return panel.df.join(dates, "ts")
 
 
 def _at(col: str, row, k: int) -> Column:
@@ -157,11 +156,17 @@ def ranked_sections(rows: DataFrame, requested: int = 5) -> DataFrame:
 
 def ic_series(sections: DataFrame, window: int = 20, least: int = 5) -> DataFrame:
     """Rank IC per date with its rolling mean (one row per date)."""
-    w = Window.partitionBy("_k").orderBy("ts")
-    s = sections.groupBy("ts").agg(F.max("ic").alias("ic")).withColumn("_k", lit(0))
-    run = w.rowsBetween(-(window - 1), 0)
-    return s.withColumns({"pos": F.row_number().over(w) - 1, "rolling": when(F.count("ic").over(run) >= least, F.avg("ic").over(run)),
-                          "dates": F.count(lit(1)).over(Window.partitionBy("_k"))}).drop("_k")
+    s = sections.groupBy("ts").agg(F.max("ic").alias("ic"))
+    fr = Framed(s, [], ["ts"], dates_grain(), back=window - 1)
+    run = fr.w(window)
+    s = fr.own(fr.df.withColumn("rolling", when(F.count("ic").over(run) >= least, F.avg("ic").over(run))))
+    total = sections.agg(F.count_distinct("ts").alias("dates")).withColumn("_k", lit(0))
+    return s.withColumn("_k", lit(0)).join(F.broadcast(total), "_k").drop("_k")  # one row
+
+
+def dates_grain() -> Column:
+    """Chunks of an axis of dates without a key: a task sees the dates of a year, and one row a year is carried on."""
+    return F.year("ts")
 
 
 def ic_summary(sections: DataFrame, horizon: int, periods: float = 252.0) -> DataFrame:
@@ -175,8 +180,7 @@ def ic_summary(sections: DataFrame, horizon: int, periods: float = 252.0) -> Dat
 
 def used_ordinals(sections: DataFrame) -> DataFrame:
     """Ordinal of each used date (one row per date)."""
-    d = sections.select("ts").distinct().withColumn("_k", lit(0))
-    return d.select("ts", (F.row_number().over(Window.partitionBy("_k").orderBy("ts")) - 1).cast("long").alias("used"))
+    return number(sections.select("ts").distinct(), [], ["ts"], dates_grain(), "used")
 
 
 def rank_autocorrelation(sections: DataFrame) -> DataFrame:
@@ -234,9 +238,8 @@ def nav_curves(groups: DataFrame) -> DataFrame:
 def long_short(groups: DataFrame) -> DataFrame:
     """Top group less bottom group on common dates, both costs charged."""
     top = groups.groupBy("ts").agg(F.max_by(F.struct("gross", "cost"), "grp").alias("h"), F.min_by(F.struct("gross", "cost"), "grp").alias("l"), F.count(lit(1)).alias("_n"))
-    x = top.where("_n >= 2").select("ts", lit(0).alias("_k"), (c("h.gross") - c("l.gross")).alias("gross"), (c("h.cost") + c("l.cost")).alias("cost"))
-    w = Window.partitionBy("_k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumns({"nav_gross": F.product(1.0 + c("gross")).over(w), "nav_net": F.product(1.0 + c("gross") - c("cost")).over(w)}).drop("_k")
+    x = top.where("_n >= 2").select("ts", (c("h.gross") - c("l.gross")).alias("gross"), (c("h.cost") + c("l.cost")).alias("cost"))
+    return scan(x, [], ["ts"], dates_grain(), nav_gross=("product", 1.0 + c("gross")), nav_net=("product", 1.0 + c("gross") - c("cost")))
 
 
 def coverage_summary(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.folds import chunk_entries, run
+from tidemark.functions.smoothing import smoothed
 from tidemark.model import Panel
 
 INF = float("inf")
@@ -45,19 +46,18 @@ def _after(y: Column, exits: Column) -> Column:
 def supertrend(panel: Panel, period: int = 10, multiplier: float = 3.0, output: str = "direction",
                chunk: int = 2048) -> DataFrame:
     """Trend direction (1, -1) or the active band, from bar ``period`` on."""
-    from tidemark.operators.factors import fold_frame, wmem
+    from tidemark.operators.factors import with_base
 
     c, keys = F.col, list(panel.keys)
-    df = fold_frame(panel, wmem(period) + 1, {"prev_close": lambda w: c("prev")},
-                    lambda a: {"atr": a.wilder(a["tr"], period)}, extra=("high", "low", "close", "prev_close"))
-    mid, first = (c("high") + c("low")) / 2.0, c("pos") == period - 1
+    fr = panel.frame(1)
+    df = fr.own(with_base(fr.df, fr.row)).select(*keys, *panel.order, "pos", "high", "low", "close", c("prev").alias("prev_close"), "tr")
+    df = smoothed(df, keys, panel.order, panel.grain, "tr", period, 1.0 / period, "atr", "ranges")
+    mid, first = (c("high") + c("low")) / 2.0, (c("ranges") == period) & c("tr").isNotNull()
     up, low = mid + multiplier * c("atr"), mid - multiplier * c("atr")
-    start = F.when(first, INF)
-    item = F.struct(
-        "pos", *panel.order, "close", first.alias("first"),
-        F.struct(F.coalesce(start, "prev_close").alias("lo"), up.alias("hi"), up.alias("r")).alias("u"),
-        F.struct(F.coalesce(start, low).alias("lo"), c("prev_close").alias("hi"), low.alias("r")).alias("l"))
-    g = (df.where(c("pos") >= period - 1).groupBy(*keys, F.floor(c("pos") / chunk).alias("_k"))
+    start, known = F.when(first, INF), mid.isNotNull()  # a missing bar moves no band
+    band = lambda lo, hi, r: F.struct(F.when(known, lo).otherwise(-INF).alias("lo"), F.when(known, hi).otherwise(INF).alias("hi"), r.alias("r"))
+    item = F.struct("pos", *panel.order, "close", first.alias("first"), band(F.coalesce(start, "prev_close"), up, up).alias("u"), band(F.coalesce(start, low), c("prev_close"), low).alias("l"))
+    g = (df.where(c("atr").isNotNull()).groupBy(*keys, F.floor(c("pos") / chunk).alias("_k"))
          .agg(F.array_sort(F.collect_list(item)).alias("rows")))
 
     heads = g.select(*keys, "_k", F.struct(*[_exits(b).alias(b) for b in BANDS]).alias("m"))
@@ -82,5 +82,5 @@ def supertrend(panel: Panel, period: int = 10, multiplier: float = 3.0, output:
     side = F.when(c("side") > 0, c("r.d.p")).otherwise(c("r.d.n"))
     value = side.cast("double") if output == "direction" else F.when(
         side > 0, c("r.z.s.l")).otherwise(c("r.z.s.u"))
-    return rows.where(c("r.z.rows.pos") >= period).select(
+    return rows.where((c("r.z.rows.pos") >= period) & ~c("r.z.rows.first")).select(
         *keys, *[c(f"r.z.rows.{o}").alias(o) for o in panel.order], value.alias("value"))

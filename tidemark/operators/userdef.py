@@ -1,9 +1,13 @@
-"""User-defined indicators, their causality test, and aggregate builders."""
+"""User-defined indicators, their declared parameters and sweeps, their causality test, and aggregate builders."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import inspect
+import itertools
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,83 @@ def indicator(panel: Panel, fn: Callable[[pd.DataFrame], pd.DataFrame], outputs:
     return fr.df.select(*cols).groupBy(*panel.keys, "_chunk").applyInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class Declared:
+    """A parameter of an indicator: its default, and the values a sweep takes (none: it stays at the default)."""
+
+    default: int | float | str | bool
+    values: tuple = ()
+
+
+def choices(default, *values) -> Declared:
+    """Values in the order given, each once."""
+    return Declared(default, tuple(dict.fromkeys(values)))
+
+
+def span(default: float, low: float, high: float, step: float, most: int = 1024) -> Declared:
+    """Values from ``low`` to ``high``, both ends included; whole numbers if the default is one.
+
+    A step of zero or away from ``high`` gives no sweep. More than ``most`` values are an error.
+    """
+    if step == 0 or (high - low) * step < 0:
+        return Declared(default)
+    n = int((high - low) / step + 1e-9) + 1
+    if n > most:
+        raise ValueError(f"a sweep of {n} values, at most {most} are allowed")
+    whole = isinstance(default, int) and not isinstance(default, bool)
+    return choices(default, *(round(low + k * step) if whole else round(low + k * step, 8) for k in range(n)))
+
+
+def declared(fn: Callable) -> dict[str, Declared]:
+    """The parameters of an indicator: its keyword arguments; a plain default is a parameter without a sweep."""
+    out = {}
+    for name, p in list(inspect.signature(fn).parameters.items())[1:]:
+        if p.default is p.empty:
+            raise ValueError(f"parameter {name} has no default")
+        out[name] = p.default if isinstance(p.default, Declared) else Declared(p.default)
+    return out
+
+
+def trials(fn: Callable, sweep: dict[str, Sequence] | None = None, fixed: dict | None = None, most: int = 4096) -> list[dict]:
+    """One dictionary of values per combination of the declared (or here given) values."""
+    known, sweep, fixed = declared(fn), sweep or {}, fixed or {}
+    strange = {*sweep, *fixed} - {*known}
+    if strange:
+        raise ValueError(f"unknown parameters {sorted(strange)}")
+    axes = {n: [fixed[n]] if n in fixed else list(sweep.get(n, p.values)) or [p.default] for n, p in known.items()}
+    if (n := np.prod([len(v) for v in axes.values()], dtype=object)) > most:
+        raise ValueError(f"{n} combinations, at most {most} are allowed: give fewer values or fix parameters")
+    return [dict(zip(axes, values, strict=True)) for values in itertools.product(*axes.values())]
+
+
+def swept(panel: Panel, fn: Callable, outputs: dict[str, str], lookback: int, sweep: dict[str, Sequence] | None = None, fixed: dict | None = None, block: int = 16) -> DataFrame:
+    """``fn`` for every combination of its declared parameters: rows with ``trial``, the parameters and the outputs.
+
+    All trials share one scan and one shuffle of the bars: a chunk of bars goes to one task per ``block`` trials, so many trials run side by side.
+    """
+    todo = trials(fn, sweep, fixed)
+    fr = panel.frame(lookback)
+    blocks = -(-len(todo) // block)
+    cols = [*panel.keys, *panel.order, *PRICES, "pos"]
+    types = {f.name: f.dataType.simpleString() for f in fr.df.select(*cols).schema}
+    kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
+    named = {n: kinds[float if {type(t[n]) for t in todo} == {int, float} else type(todo[0][n])] for n in todo[0]}
+    schema = ", ".join(f"{n} {t}" for n, t in {**types, "trial": "long", **named, **outputs}.items())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos").reset_index(drop=True)
+        first = int(pdf["_block"].iloc[0]) * block
+        out = []
+        for k, values in enumerate(todo[first : first + block], first):
+            made = fn(pdf[cols], **values)
+            own = pdf.assign(trial=k, **values, **{n: made[n].to_numpy() for n in outputs})
+            out.append(own.loc[own["_own"], [*types, "trial", *named, *outputs]])
+        return pd.concat(out)
+
+    x = fr.df.select(*cols, "_own", "_chunk", F.explode(F.sequence(lit(0), lit(blocks - 1))).alias("_block"))
+    return x.groupBy(*panel.keys, "_chunk", "_block").applyInPandas(run, schema)
+
+
 def causality_report(panel: Panel, fn, outputs: dict[str, str], lookback: int, cut: Column, tolerance: float = 1e-9) -> DataFrame:
     """Bars before ``cut`` whose value changes when the bars from ``cut`` on are taken away."""
     key = [*panel.keys, *panel.order]

@@ -8,7 +8,7 @@ from tidemark.functions.registry import query
 from tidemark.model import epoch
 from tidemark.operators import userdef as U
 from tidemark.operators.factors import factor_last
-from tidemark.operators.ledger import latest, ledger_grain, virtual_fills
+from tidemark.operators.ledger import latest, ledger_grain
 from tidemark.plans.joins import SUBS, subscriptions
 from tidemark.plans.sources import FAULT, envelopes
 from tidemark.plans.standins import HOUR, calendar, snapshots, table, trades, weekly, with_sql
@@ -75,7 +75,7 @@ def _(spark, d):
 @query("i8_positions", with_sql("trades", more="""o AS (SELECT *, CASE WHEN contains(type, 'long') THEN 'long' ELSE 'short' END AS leg, CASE WHEN regexp_matches(type, '^(close|reduce)_') THEN -amount ELSE amount END AS q FROM trades),
  s AS (SELECT *, sum(q) OVER (PARTITION BY strategy_id, symbol, leg ORDER BY t, id) AS s FROM o)""") + "SELECT strategy_id, symbol, leg, last(s ORDER BY t, id) - least(0, min(s)) AS size FROM s GROUP BY 1, 2, 3")
 def _(spark, d):
-    return latest(virtual_fills(trades(spark, d)), ["strategy_id", "symbol", "leg"], ["t", "id"], ["size"])
+    return latest(S.positions(trades(spark, d)), ["strategy_id", "symbol", "leg"], ["t", "id"], ["size"])
 
 
 UPD = "u AS (SELECT symbol, t, id, amount * (1 + t // 86400 % 50) AS cum FROM trades)"
@@ -100,6 +100,63 @@ def _(spark, d):
     return S.changed(p.df, "symbol", ["ts"], p.grain, c("close") > c("open")).select("symbol", epoch().alias("t"))
 
 
+def marks(spark, d):
+    return table(spark, d, "events").select(c("event_id").alias("id"), c("event_type").alias("symbol"), F.floor(F.unix_micros(c("ts").cast("timestamp")) / 1000000).alias("t"), c("value").alias("price"))
+
+
+def _kind(n):
+    return F.element_at(F.array(*[lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (n % 5 + 1).cast("int"))
+
+
+def resting(spark, d):
+    """Limit orders spread over the month of the marks."""
+    k = c("o_orderkey")
+    action = F.element_at(F.array(*[lit(x) for x in ("open_long", "close_long", "open_short", "close_short")]), (k % 4 + 1).cast("int"))
+    low = (k % 97) / lit(10.0) + 0.5
+    return table(spark, d, "orders").select(k.alias("id"), _kind(k).alias("symbol"), action.alias("action"), when(action.isin("open_long", "close_short"), low).otherwise(30.0 + low * 10.0).alias("limit"),
+                                            lit(0.0005).alias("rate"), (1704067200 + k * 7919 % 2592000).alias("t"))
+
+
+def alerts(spark, d):
+    """One alert per supplier: four kinds, armed again after nothing, six or twelve hours."""
+    k = c("s_suppkey")
+    kind = F.element_at(F.array(*[lit(x) for x in ("price_above", "price_below", "pnl_above", "pnl_below")]), (k % 4 + 1).cast("int"))
+    level = F.element_at(F.array(*[lit(x) for x in (60.0, 8.0, 120.0, -60.0)]), (k % 4 + 1).cast("int"))
+    return table(spark, d, "supplier").select(k.alias("alert_id"), _kind(k).alias("symbol"), kind.alias("kind"), (level + k % 7).alias("threshold"), when(k % 2 == 0, "long").otherwise("short").alias("side"),
+                                              (20.0 + k % 11).alias("entry"), (k % 9).cast("double").alias("size"), (k % 3 * 21600).alias("wait"))
+
+
+MARKS = """m AS (SELECT event_id AS id, event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS t, value AS price FROM events),
+ kinds AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'] AS k)"""
+RESTING = """o0 AS (SELECT o_orderkey AS id, k[o_orderkey % 5 + 1] AS symbol, (['open_long', 'close_long', 'open_short', 'close_short'])[o_orderkey % 4 + 1] AS action,
+ o_orderkey % 97 / 10.0 + 0.5 AS low, 1704067200 + o_orderkey * 7919 % 2592000 AS t FROM orders, kinds),
+ o AS (SELECT *, action IN ('open_long', 'close_short') AS buy, CASE WHEN action IN ('open_long', 'close_short') THEN low ELSE 30.0 + low * 10.0 END AS lim FROM o0),
+ p AS (SELECT o.*, m.t AS mt, m.id AS mid, price, price > 0 AND CASE WHEN buy THEN price <= lim ELSE price >= lim END AS meets FROM o JOIN m ON o.symbol = m.symbol AND m.t >= o.t - 600 AND m.t <= o.t + 21600 AND price > 0),
+ b AS (SELECT * FROM p WHERE mt < t QUALIFY row_number() OVER (PARTITION BY id ORDER BY mt DESC, mid DESC) = 1),
+ n AS (SELECT id, symbol, action, buy, lim, t AS met_t, mt, price FROM b WHERE meets),
+ l AS (SELECT id, symbol, action, buy, lim, mt AS met_t, mt, price FROM p WHERE mt >= t AND meets AND id NOT IN (SELECT id FROM n) QUALIFY row_number() OVER (PARTITION BY id ORDER BY mt, mid) = 1)"""
+ALERTS = """a AS (SELECT s_suppkey AS alert_id, k[s_suppkey % 5 + 1] AS symbol, s_suppkey % 4 AS kind, ([60.0, 8.0, 120.0, -60.0])[s_suppkey % 4 + 1] + s_suppkey % 7 AS threshold, s_suppkey % 2 = 0 AS long,
+ 20.0 + s_suppkey % 11 AS entry, s_suppkey % 9 AS size, s_suppkey % 3 * 21600 AS wait FROM supplier, kinds),
+ g AS (SELECT *, CASE WHEN long THEN price - entry ELSE entry - price END / entry * 100.0 AS pnl FROM a JOIN m USING (symbol) WHERE price > 0),
+ h AS (SELECT alert_id, wait, t, min(id) AS id FROM g WHERE CASE kind WHEN 0 THEN price >= threshold WHEN 1 THEN price <= threshold WHEN 2 THEN size > 0 AND pnl >= threshold ELSE size > 0 AND pnl <= threshold END GROUP BY ALL),
+ f AS (SELECT x.alert_id, x.wait, x.t, x.id, y.t AS next_t, y.id AS next_id FROM h x ASOF LEFT JOIN h y ON x.alert_id = y.alert_id AND x.t + x.wait <= y.t),
+ r AS (SELECT alert_id, min(t) AS t FROM h GROUP BY 1 UNION ALL SELECT f.alert_id, f.next_t FROM r JOIN f USING (alert_id, t) WHERE wait > 0 AND next_t IS NOT NULL)"""
+
+
+@query("i9_limit_matches", "WITH " + MARKS + ",\n" + RESTING + """ SELECT id, symbol, action, met_t, mt AS mark_t, price,
+ round(CASE WHEN buy THEN least(lim, price * (1.0 + 0.0005)) ELSE greatest(lim, price * (1.0 - 0.0005)) END, 6) AS fill FROM (SELECT * FROM n UNION ALL SELECT * FROM l)""")
+def _(spark, d):
+    """Resting limit orders met by marks; a mark older than ten minutes isn't offered to a new order."""
+    x = S.limit_matches(resting(spark, d), marks(spark, d), age=600, life=21600)
+    return x.select("id", "symbol", "action", "met_t", "mark_t", "price", F.round("fill", 6).alias("fill"))
+
+
+@query("i13_alert_triggers", "WITH RECURSIVE " + MARKS + ",\n" + ALERTS + " SELECT alert_id, t, id FROM r JOIN h USING (alert_id, t)")
+def _(spark, d):
+    """Threshold alerts that arm again after their interval."""
+    return S.alert_triggers(alerts(spark, d), marks(spark, d)).select("alert_id", "t", "id")
+
+
 @query("i14_radar_dedupe", "SELECT count(*) AS n FROM (SELECT DISTINCT coalesce(nullif(CASE WHEN page_id % 4 = 0 THEN '' ELSE url END, ''), nullif(lower(html), '')) AS k FROM pages) WHERE k IS NOT NULL")
 def _(spark, d):
     p = table(spark, d, "pages").select("page_id", when(c("page_id") % 4 == 0, "").otherwise(c("url")).alias("url"), c("html").alias("title"))
@@ -145,6 +202,23 @@ def _(spark, d):
     return U.indicator(weekly(spark, d), _channel, {"mid": "double"}, 10).where("pos >= 9").select("symbol", epoch().alias("t"), "mid")
 
 
+def _crossing(pdf, fast=U.span(5, 3, 7, 2), slow=U.choices(20, 10, 20), scale=100.0):
+    """Example indicator with declared parameters: distance of two moving averages of the close."""
+    a, b = (pdf["close"].rolling(n).mean() for n in (fast, slow))
+    return pdf.assign(gap=(a - b) / b * scale)
+
+
+@query("d4_parameter_sweep", with_sql("x", more="""t AS (SELECT row_number() OVER (ORDER BY fast, slow) - 1 AS trial, fast, slow FROM (VALUES (3), (5), (7)) f(fast), (VALUES (10), (20)) s(slow)),
+ v AS (SELECT symbol, t, pos, avg(close) OVER (w ROWS 2 PRECEDING) AS m3, avg(close) OVER (w ROWS 4 PRECEDING) AS m5, avg(close) OVER (w ROWS 6 PRECEDING) AS m7, avg(close) OVER (w ROWS 9 PRECEDING) AS m10, avg(close) OVER (w ROWS 19 PRECEDING) AS m20
+ FROM x WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
+ g AS (SELECT symbol, v.t, trial, fast, slow, CASE fast WHEN 3 THEN m3 WHEN 5 THEN m5 ELSE m7 END AS a, CASE slow WHEN 10 THEN m10 ELSE m20 END AS b FROM v, t WHERE pos >= slow - 1)""")
+       + "SELECT symbol, t, trial, fast, slow, round((a - b) / b * 100, 6) AS gap FROM g")
+def _(spark, d):
+    """A user indicator for all combinations of its declared parameters, in one job."""
+    x = U.swept(weekly(spark, d), _crossing, {"gap": "double"}, 20)
+    return x.where("pos >= slow - 1").select("symbol", epoch().alias("t"), "trial", "fast", "slow", F.round("gap", 6).alias("gap"))
+
+
 def _peeking(pdf):
     """A wrong indicator: it uses the next close."""
     return pdf.assign(mid=pdf["close"].shift(-1))

@@ -1,21 +1,22 @@
 """Streaming forms: bar closing, fan-out, deduplication, dead letters, state per key.
 
-Everything but the stateful functions is plain DataFrame code that gives the same rows on
-a batch and on a stream; windows close when the watermark passes their end.
+The same call gives the same rows on a batch and on a stream. Most is plain DataFrame code, and windows close when the
+watermark passes their end; what needs the rows of a key in order runs a two-level scan on a batch and a
+processor of :mod:`tidemark.streaming.stateful` on a stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions.ordered import scan
+from tidemark.functions.market import alert_hit, leg
+from tidemark.functions.ordered import Cut, scan
 from tidemark.operators.joins import fan_out, in_session
+from tidemark.operators.ledger import virtual_fills
+from tidemark.operators.resting import buys, filled_orders, met_orders, triggers
 from tidemark.sources.events import bar_event_id, decode, route
+from tidemark.streaming import stateful
 
 c, lit, when = F.col, F.lit, F.when
 
@@ -79,19 +80,62 @@ def start_router(raw: DataFrame, table: str, checkpoint: str):
     return raw.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def deltas(updates: DataFrame, key: str, order, grain: Column, quantity: str = "cumulative") -> DataFrame:
-    """Fills from cumulative quantities: an older, smaller total adds nothing."""
+def deltas(updates: DataFrame, key: str, order, grain: Column | Cut | None, quantity: str = "cumulative", time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Fills from cumulative quantities in ``order``: an older, smaller total adds nothing.  A stream needs the timestamp ``time``."""
+    if updates.isStreaming:
+        return stateful.in_order(updates.withColumn(quantity, c(quantity).cast("double")), [key], time, list(order), delay, stateful.Deltas, "filled double", quantity=quantity)
     x = scan(updates, [key], order, grain, _seen=("max", quantity, -1))
-    add = F.greatest(c(quantity) - F.coalesce("_seen", lit(0.0)), lit(0.0))
+    add = F.greatest(F.coalesce(c(quantity) - F.coalesce("_seen", lit(0.0)), lit(0.0)), lit(0.0))
     return x.withColumn("filled", add).drop("_seen")
 
 
-def changed(rows: DataFrame, key: str, order, grain: Column, fingerprint: Column) -> DataFrame:
-    """Rows whose fingerprint differs from the one before of the same key."""
+def changed(rows: DataFrame, key: str, order, grain: Column | Cut | None, fingerprint: Column, time: str = "ts", delay: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+    """Rows whose fingerprint differs from the one before of the same key.
+
+    ``initial`` (key, mark) gives a stream the last fingerprints of a batch, as :func:`last_marks` tells them.
+    """
+    if rows.isStreaming:
+        x = rows.withColumn("_f", fingerprint.cast("string"))
+        return stateful.in_order(x, [key], time, [o for o in order if o != time], delay, stateful.Changes, "", initial).drop("_f")
     x = scan(rows.withColumn("_f", fingerprint), [key], order, grain, _was=("last", F.struct("_f"), -1))
     return x.where(c("_was").isNull() | (c("_was._f") != c("_f"))).drop("_f", "_was")
 
 
+def last_marks(rows: DataFrame, key: str, order, fingerprint: Column) -> DataFrame:
+    """Last fingerprint of each key, to start a stream of changes where a batch ended."""
+    return rows.groupBy(key).agg(F.max_by(fingerprint.cast("string"), F.struct(*order)).alias("mark"))
+
+
+def alert_hits(alerts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Marks (id, symbol, t, price, and ts on a stream) that reach the threshold of an alert (alert_id, symbol, kind, threshold, side, entry, size, wait)."""
+    hit = alert_hit(c("kind"), c("price"), c("threshold"), c("side"), c("entry"), c("size"))
+    return marks.join(alerts, "symbol").where(hit).select("alert_id", *[n for n in marks.columns], "wait")
+
+
+def alert_triggers(alerts: DataFrame, marks: DataFrame, grain: Column | Cut | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Marks at which an alert goes off: once, and again after ``wait`` seconds if that is not 0."""
+    if marks.isStreaming:  # the marks carry the watermark on, whether or not they hit
+        x = alert_hits(alerts, stateful.marked(marks, "ts", delay)).withColumn("_wait", c("wait").cast("long"))
+        return stateful.in_order(x, ["alert_id"], "ts", ["id"], None, stateful.Triggers, "").drop("_wait")
+    hits = alert_hits(alerts, marks)
+    return triggers(hits, "alert_id", ["t", "id"], Cut("t", 86400) if grain is None else grain)
+
+
+def limit_matches(orders: DataFrame, marks: DataFrame, age: int = 600, life: int = 86400, delay: str = "10 minutes", salts: int = 1) -> DataFrame:
+    """Fills of resting orders (id, symbol, action, limit, rate, t) by marks (id, symbol, t, price): see ``met_orders``.
+
+    On a stream, both have a timestamp ``ts`` as well; the orders of a busy symbol can be dealt over ``salts`` keys, each of which sees all its marks.
+    """
+    if not orders.isStreaming:
+        return filled_orders(met_orders(orders, marks, age, life))
+    none = lambda kind: lit(None).cast(kind)
+    o = orders.select("symbol", F.pmod(F.xxhash64("id"), lit(salts)).alias("salt"), "ts", lit(False).alias("_mark"), c("id").cast("string").alias("id"), "action", "rate", buys().alias("buy"), c("limit").cast("double").alias("limit"), none("double").alias("price"))
+    m = marks.select("symbol", F.explode(F.sequence(lit(0).cast("long"), lit(salts - 1).cast("long"))).alias("salt"), "ts", lit(True).alias("_mark"), c("id").cast("string").alias("id"), none("string").alias("action"),
+                     none("double").alias("rate"), none("boolean").alias("buy"), none("double").alias("limit"), c("price").cast("double").alias("price"))
+    met = stateful.in_order(o.unionByName(m), ["symbol", "salt"], "ts", ["_mark", "id"], delay, stateful.RestingOrders, "met_ms long, mark_ms long", age=age, life=life)
+    return filled_orders(met).select("id", "symbol", "action", "limit", "rate", F.timestamp_millis("met_ms").alias("met_at"), F.timestamp_millis("mark_ms").alias("mark_at"), "price", "fill")
+
+
 def snapshots(points: DataFrame, keys, window: str = "5 minutes", delay: str = "10 minutes", tie: str = "id") -> DataFrame:
     """Last value per key and window."""
     g = _mark(points, "ts", delay).groupBy(F.window("ts", window).alias("w"), *keys).agg(F.max_by("equity", F.struct("ts", tie)).alias("equity"))
@@ -110,9 +154,6 @@ def bursts(events: DataFrame, key: str, gap: str, delay: str = "1 hour") -> Data
     return g.select(key, c("w.start").alias("ts"), c("w.end").alias("end"), "n")
 
 
-POSITION = "strategy_id long, symbol string, leg string, id string, size double, entry double, realized double"
-
-
 def next_fill(kind: str | None, amount: float | None, price: float | None, short: bool, size: float, entry: float) -> tuple[float, float, float]:
     """Size, entry price and realised gain after one fill, with the rules of ``virtual_fills``.
 
@@ -128,18 +169,9 @@ def next_fill(kind: str | None, amount: float | None, price: float | None, short
     return size, entry, 0.0
 
 
-def _fill(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    size, entry = state.get if state.exists else (0.0, 0.0)
-    out = []
-    for r in pd.concat(list(parts)).sort_values(["t", "id"]).itertuples(index=False):  # all fills of the trigger, in one order
-        size, entry, pnl = next_fill(r.type, r.amount, r.price, key[2] == "short", size, entry)
-        out.append((*key, r.id, size, entry, pnl))
-    state.update((size, entry))
-    yield pd.DataFrame(out, columns=["strategy_id", "symbol", "leg", "id", "size", "entry", "realized"])
-
-
-def position_stream(fills: DataFrame) -> DataFrame:
-    """Average-cost positions from a fill stream: state is one size and one price per key."""
-    from tidemark.functions.market import leg
-    return fills.withColumn("leg", leg(c("type"))).groupBy("strategy_id", "symbol", "leg").applyInPandasWithState(
-        _fill, POSITION, "size double, entry double", "append", GroupStateTimeout.NoTimeout)
+def positions(fills: DataFrame, keys=("strategy_id", "symbol"), order=("t", "id"), time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Average-cost position after each fill: size, entry, realized.  A stream needs the timestamp ``time``."""
+    if not fills.isStreaming:
+        return virtual_fills(fills, keys, order)
+    x = fills.withColumn("leg", leg(c("type"))).withColumns({n: c(n).cast("double") for n in ("amount", "price")})
+    return stateful.in_order(x, [*keys, "leg"], time, list(order), delay, stateful.Positions, "size double, entry double, realized double")
