@@ -43,10 +43,10 @@ def run(arr: Column, zero: Column, step) -> Column:
     return F.flatten(F.slice(F.aggregate(parts, F.array(F.array(zero)), block), 2, 1 << 30))
 
 
-def smooth(arr: Column, n: int, gain, start: float | None = None, value=None) -> Column:
+def smooth(arr: Column, n: int, gain, start: float | None = None, value=None, skip: bool = False) -> Column:
     """Exponential smoothing of an array, seeded with the mean of the first ``n`` values.
 
-    A null restarts the seeding.  ``gain`` is a number or a function of the element;
+    A null restarts the seeding, or with ``skip`` changes nothing.  ``gain`` is a number or a function of the element;
     ``start`` gives the state before the first value instead of a seed.
     """
     value = value or (lambda x: x)
@@ -62,12 +62,12 @@ def smooth(arr: Column, n: int, gain, start: float | None = None, value=None) ->
         v = value(x)
         seeded = p["y"].isNotNull()
         y = (
-            F.when(v.isNull(), null if start is None else p["y"])
+            F.when(v.isNull(), null if start is None and not skip else p["y"])
             .when(seeded, p["y"] + rate(x) * (v - p["y"]))
             .when(p["c"] + 1 == n, (p["s"] + v) / n)
         )
-        c = F.when(v.isNull() | seeded, 0).otherwise(p["c"] + 1)
-        s = F.when(v.isNull() | seeded, 0.0).otherwise(p["s"] + v)
+        c = F.when(v.isNull(), p["c"] if skip else F.lit(0)).when(seeded, 0).otherwise(p["c"] + 1)
+        s = F.when(v.isNull(), p["s"] if skip else F.lit(0.0)).when(seeded, 0.0).otherwise(p["s"] + v)
         return F.struct(y.alias("y"), c.alias("c"), s.alias("s"))
 
     return F.transform(run(arr, zero, step), lambda p: p["y"])
@@ -82,11 +82,12 @@ class Chunk:
     """The arrays of one chunk and the steps computed from them.
 
     Every step becomes a column of its own: an array used inside a lambda must be
-    computed before, or it would be computed again for each element.
+    computed before, or it would be computed again for each element.  With ``skip`` its
+    smoothings go on over missing values, else they start again after one.
     """
 
-    def __init__(self, fields):
-        self.fields = set(fields)
+    def __init__(self, fields, skip: bool = False):
+        self.fields, self.skip = set(fields), skip
         self.steps: list[tuple[str, Column]] = []
 
     def __getitem__(self, name: str) -> Column:
@@ -100,13 +101,13 @@ class Chunk:
         return F.col(name)
 
     def smooth(self, arr, n, gain, **more):
-        return self.let(smooth(arr, n, gain, **more))
+        return self.let(smooth(arr, n, gain, skip=self.skip, **more))
 
     def ema(self, arr, n):
-        return self.let(smooth(arr, n, 2.0 / (n + 1.0)))
+        return self.let(smooth(arr, n, 2.0 / (n + 1.0), skip=self.skip))
 
     def wilder(self, arr, n):
-        return self.let(smooth(arr, n, 1.0 / n))
+        return self.let(smooth(arr, n, 1.0 / n, skip=self.skip))
 
     def zip(self, a, b, f):
         return self.let(F.zip_with(a, b, f))

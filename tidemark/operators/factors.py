@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,7 +129,6 @@ def with_base(df: DataFrame, row) -> DataFrame:
         "loss": F.when(c("delta").isNotNull(), F.greatest(-c("delta"), F.lit(0.0))),
         "mfv": F.coalesce(((c("close") - c("low")) - (c("high") - c("close"))) / spread, F.lit(0.0)) * c("vol"),
         "signed": F.signum(F.coalesce(c("delta"), F.lit(0.0))) * c("vol"),
-        "_force": c("delta") * c("volume"),
     })
 
 
@@ -547,8 +547,9 @@ _fold("tsi", "momentum", "neutral", "close", {"slow_period": 25, "fast_period":
       lambda p: mem(p["slow_period"]) + mem(p["fast_period"]) + 1)
 _smooth("elder_ray", "momentum", "neutral", "high low close", {"period": 13, "output": "bull"}, N1,
         lambda v, p: c("high" if p["output"] == "bull" else "low") - v["m"], lambda p: {"m": ema("close", p["period"])}, outputs=("bull", "bear"))
-_smooth("force_index", "volume", "higher_is_bullish", "close volume", {"period": 13}, N, lambda v, p: v["f"],
-        lambda p: {"f": ema("_force", p["period"])})
+_fold("force_index", "volume", "higher_is_bullish", "close volume", {"period": 13}, N,
+      lambda a, p: a.ema(a.zip(a["delta"], a["volume"], lambda d, v: d * v), p["period"]),
+      lambda p: mem(p["period"]) + 1)
 
 # --- supertrend: bands are Wilder folds, the carry is not linear ----------------------
 
@@ -627,7 +628,7 @@ def _with_totals(panel: Panel) -> Panel:
 FOLD_FIELDS = ("open", "high", "low", "close", "volume", "gain", "loss", "delta", "tr", "mfv")
 
 
-def fold_frame(panel: Panel, back: int, steps: dict, outputs: Callable, extra=()) -> DataFrame:
+def fold_frame(panel: Panel, back: int, steps: dict, outputs: Callable, extra=(), skip: bool = False) -> DataFrame:
     """Run array folds per chunk.
 
     ``steps`` adds columns by window first; ``outputs`` maps the arrays of a chunk to
@@ -642,7 +643,7 @@ def fold_frame(panel: Panel, back: int, steps: dict, outputs: Callable, extra=()
     keep = [k for k in dict.fromkeys((*panel.order, *extra)) if k not in fields]
     rows = F.array_sort(F.collect_list(F.struct("pos", "_own", *keep, *fields)))
     g = df.groupBy(*panel.keys, "_chunk").agg(rows.alias("rows"))
-    chunk = Chunk(fields)
+    chunk = Chunk(fields, skip)
     results = outputs(chunk)
     g = g.select(*panel.keys, "rows", *[F.col(f"rows.{f}").alias(f) for f in fields])
     g = chunk.apply(g).select(*panel.keys, "rows", *[col.alias(n) for n, col in results.items()])
@@ -659,7 +660,7 @@ def _folds(panel: Panel, wanted: dict[str, tuple[Factor, dict]]) -> DataFrame:
     for f, p in wanted.values():
         for name, expr in f.steps.items():
             steps[name] = lambda w, expr=expr, p=p: expr(w, p)
-    df = fold_frame(panel, back, steps, lambda a: {n: f.value(a, p) for n, (f, p) in wanted.items()})
+    df = fold_frame(panel, back, steps, lambda a: {n: f.value(a, p) for n, (f, p) in wanted.items()}, skip=True)
     return df.withColumns({n: F.when(c("pos") >= f.first(p), c(n)) for n, (f, p) in wanted.items()})
 
 
@@ -668,12 +669,13 @@ def _smooths(panel: Panel, wanted: dict[str, tuple[Factor, dict]]) -> DataFrame:
     series = {n: f.series(p) for n, (f, p) in wanted.items()}
     todo = {s: f"_y{i}" for i, s in enumerate(dict.fromkeys(s for own in series.values() for s in own.values()))}
     df = panel.df
-    if any(x in ("tr", "_force") for x, _, _ in todo):
+    if any(x == "tr" for x, _, _ in todo):
         fr = panel.frame(1)
         df = fr.own(with_base(fr.df, fr.row)).select(*panel.keys, *panel.order, *PRICES, *sorted({x for x, _, _ in todo} - {*PRICES}))
     for (x, n, k), name in todo.items():
         df = smoothed(df, panel.keys, panel.order, panel.grain, x, n, k, name)
-    return df.withColumns({n: f.value({v: c(todo[s]) for v, s in series[n].items()}, p) for n, (f, p) in wanted.items()})
+    ready = lambda own: reduce(Column.__and__, [c(todo[s]).isNotNull() for s in own.values()])
+    return df.withColumns({n: F.when(ready(series[n]), f.value({v: c(todo[s]) for v, s in series[n].items()}, p)) for n, (f, p) in wanted.items()})
 
 
 def factor_panel(panel: Panel, wanted: dict[str, dict] | list[str]) -> DataFrame:

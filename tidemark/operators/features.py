@@ -303,6 +303,10 @@ def _levels(bars: DataFrame, size: int, width: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _look(level: int, low: Column, high: Column):
+    return lambda node: F.struct(lit(level).alias("_level"), node.alias("_node"), low.cast("long").alias("_lo"), high.cast("long").alias("_hi"))
+
+
 def excursions(trades: DataFrame, bars: DataFrame, step: int, width: int = 64) -> DataFrame:
     """Worst and best excursion of trades over the bars they were open.
 
@@ -315,11 +319,11 @@ def excursions(trades: DataFrame, bars: DataFrame, step: int, width: int = 64) -
     for level in range(LEVELS):
         a, b = F.floor(low / (width if level else size)), F.floor(high / (width if level else size))
         nodes = F.sequence(a, b) if level == LEVELS - 1 else F.array_distinct(F.array(a, b))
-        one = F.transform(nodes, lambda n, level=level, low=low, high=high: F.struct(lit(level).alias("_level"), n.alias("_node"), low.cast("long").alias("_lo"), high.cast("long").alias("_hi")))
-        looks.append(when(low <= high, one))
+        looks.append(when(low <= high, F.transform(nodes, _look(level, low, high))))
         low, high = a + 1, b - 1
     looks = F.flatten(F.array_compact(F.array(*looks)))
-    t = trades.select(F.struct(*trades.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"), "symbol", F.explode_outer(looks).alias("_look")).select("_row", "_id", "symbol", "_look.*")
+    t = trades.select(F.struct(*trades.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"), "symbol", looks.alias("_looks"))
+    t = t.select("_row", "_id", "symbol", F.explode_outer("_looks").alias("_look")).select("_row", "_id", "symbol", "_look.*")
     inside = F.filter("_in", lambda x: (x["u"] >= c("_lo")) & (x["u"] <= c("_hi")))
     t = t.join(_levels(bars, size, width), ["symbol", "_level", "_node"], "left").select("_row", "_id", inside.alias("_in"))
     t = t.select("_row", "_id", F.array_max(F.transform("_in", lambda x: x["high"])).alias("_h"), F.array_min(F.transform("_in", lambda x: x["low"])).alias("_l"))

@@ -139,8 +139,8 @@ ALERTS = """a AS (SELECT s_suppkey AS alert_id, k[s_suppkey % 5 + 1] AS symbol,
  20.0 + s_suppkey % 11 AS entry, s_suppkey % 9 AS size, s_suppkey % 3 * 21600 AS wait FROM supplier, kinds),
  g AS (SELECT *, CASE WHEN long THEN price - entry ELSE entry - price END / entry * 100.0 AS pnl FROM a JOIN m USING (symbol) WHERE price > 0),
  h AS (SELECT alert_id, wait, t, min(id) AS id FROM g WHERE CASE kind WHEN 0 THEN price >= threshold WHEN 1 THEN price <= threshold WHEN 2 THEN size > 0 AND pnl >= threshold ELSE size > 0 AND pnl <= threshold END GROUP BY ALL),
- f AS (SELECT x.alert_id, x.wait, x.t, x.id, y.t AS next_t, y.id AS next_id FROM h x ASOF LEFT JOIN h y ON x.alert_id = y.alert_id AND x.t + x.wait <= y.t),
- r AS (SELECT alert_id, min(t) AS t FROM h GROUP BY 1 UNION ALL SELECT f.alert_id, f.next_t FROM r JOIN f USING (alert_id, t) WHERE wait > 0 AND next_t IS NOT NULL)"""
+ f AS (SELECT x.alert_id, x.t, min(y.t) AS next_t FROM h x JOIN h y ON x.alert_id = y.alert_id AND x.wait > 0 AND x.t + x.wait <= y.t GROUP BY ALL),
+ r AS (SELECT alert_id, min(t) AS t FROM h GROUP BY 1 UNION ALL SELECT f.alert_id, f.next_t FROM r JOIN f USING (alert_id, t))"""
 
 
 @query("i9_limit_matches", "WITH " + MARKS + ",\n" + RESTING + """ SELECT id, symbol, action, met_t, mt AS mark_t, price,
@@ -212,11 +212,11 @@ def _crossing(pdf, fast=U.span(5, 3, 7, 2), slow=U.choices(20, 10, 20), scale=10
  v AS (SELECT symbol, t, pos, avg(close) OVER (w ROWS 2 PRECEDING) AS m3, avg(close) OVER (w ROWS 4 PRECEDING) AS m5, avg(close) OVER (w ROWS 6 PRECEDING) AS m7, avg(close) OVER (w ROWS 9 PRECEDING) AS m10, avg(close) OVER (w ROWS 19 PRECEDING) AS m20
  FROM x WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
  g AS (SELECT symbol, v.t, trial, fast, slow, CASE fast WHEN 3 THEN m3 WHEN 5 THEN m5 ELSE m7 END AS a, CASE slow WHEN 10 THEN m10 ELSE m20 END AS b FROM v, t WHERE pos >= slow - 1)""")
-       + "SELECT symbol, t, trial, fast, slow, round((a - b) / b * 100, 6) AS gap FROM g")
+       + "SELECT symbol, t, trial, fast, slow, round((a - b) / b * 100, 4) AS gap FROM g")
 def _(spark, d):
     """A user indicator for all combinations of its declared parameters, in one job."""
     x = U.swept(weekly(spark, d), _crossing, {"gap": "double"}, 20)
-    return x.where("pos >= slow - 1").select("symbol", epoch().alias("t"), "trial", "fast", "slow", F.round("gap", 6).alias("gap"))
+    return x.where("pos >= slow - 1").select("symbol", epoch().alias("t"), "trial", "fast", "slow", F.round("gap", 4).alias("gap"))
 
 
 def _peeking(pdf):
