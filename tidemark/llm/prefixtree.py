@@ -7,7 +7,7 @@ of its own rest and the longest rest below) is too small for the smallest set th
 its component already.
 
 Who meets in which tree: two linked sets share one of their n - ceil(s n) + 1 rarest shingles (s: the similarity).
-First, in hash order, a set stays open only if enough of its first shingles (a quarter of them) occur in another set.
+First, in hash order, a set stays open only if enough of its first shingles (three tenths of them) occur in another set.
 Then the shingles of open sets are counted exactly, and their rarest ones tell groups. Each group follows its member with most company (its leader);
 sets of one leader go to chunks of at most ``chunk`` sets, each joined with itself in a tree. Where groups still span components, each of their sets
 probes the chunks of the other members, in blocks. So a pair of linked sets is either met in a tree or already in one component: no link
@@ -47,10 +47,10 @@ def _head(n: int, percent: int) -> tuple[int, int]:
     """How many shingles of a set of n tell whether it is open, and how many of them must occur elsewhere.
 
     Two linked sets share at least ceil(s n) shingles of each, so the first k they share stand among the first n - ceil(s n) + k
-    of both; k is a twentieth of the smaller set at least, which has ceil(s n) shingles or more.
+    of both; k is a tenth of the smaller set at least, which has ceil(s n) shingles or more.
     """
     least = -(-percent * n // 100)
-    return min(n, n - least + max(1, n // 20)), max(1, least // 20)
+    return min(n, n - least + max(1, n // 10)), max(1, least // 10)
 
 
 def sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
