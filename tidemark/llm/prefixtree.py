@@ -35,6 +35,7 @@ from tidemark.llm.shared import row_key, slices, written
 
 SHINGLE, PERCENT = 5, 80
 SLICE_CHARS = 4_000_000  # of text that one step holds as arrays
+WORDS = 1 << 20  # of the bitmap of open sets, 64 bits each
 CHUNK, CODES = 256, 1_000_000  # sets and codes that a tree holds; probes come in blocks of four times as many
 
 
@@ -154,7 +155,7 @@ class PrefixTree:
 
 
 def tree_links(tree: pd.DataFrame, probes: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links that join components between the sets of a tree and probes (node, n, codes, c: component so far); a set may be both."""
+    """Components joined by links between the sets of a tree and probes (node, n, codes, c: component so far), as pairs with the smallest; a set may be both."""
     t = PrefixTree(tree["node"].tolist(), tree["n"].tolist(), [np.asarray(x) for x in tree["codes"]])
     component = dict(zip(tree["node"], tree["c"], strict=True)) | dict(zip(probes["node"], probes["c"], strict=True))
     label = np.array([component[n] for n in t.nodes], np.int64)
@@ -165,16 +166,16 @@ def tree_links(tree: pd.DataFrame, probes: pd.DataFrame, percent: int) -> list[t
             x = up[x]
         return x
 
-    out = []
+    met = set()
     for node, size, codes in zip(probes["node"], probes["n"], probes["codes"], strict=True):
         mine = component[node]
         for k in t.links(size, np.asarray(codes), percent, label, lambda mine=mine: root(mine)):
-            a, b = root(mine), int(label[k])
+            a, b = sorted((root(mine), int(label[k])))
             if a != b:
-                out.append((node, t.nodes[k]))
                 up[b] = a
                 label[label == b] = a
-    return out
+                met |= {a, b}
+    return [(x, root(x)) for x in met if root(x) != x]  # all to the smallest one, so that few rounds join them
 
 
 def join(sets_: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
@@ -226,14 +227,30 @@ def join(sets_: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFr
     return label.select("node", "component") if more.isEmpty() else written(components(first.union(more)), "prefixtree-components")
 
 
+def _place(df: DataFrame) -> DataFrame:
+    h = F.xxhash64("doc_id", "text_md5")
+    return df.withColumns({"_word": F.pmod(h, F.lit(WORDS)), "_bit": F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")})
+
+
+def bitmap(rows: DataFrame) -> DataFrame:
+    """A bit for each hash of (doc_id, text_md5), in words of 64: ``WORDS`` rows at most, whatever the input."""
+    return _place(rows).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows whose bit is set: all that the bitmap was made of, and few others as long as it is sparse. Saves shuffling the texts of closed sets."""
+    x = _place(rows).join(F.broadcast(bits), "_word").where("(_bits & shiftleft(1L, _bit)) != 0")
+    return x.select(*rows.columns)
+
+
 def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     own = written(sets(docs, percent, shingle), "prefixtree-documents")
     nodes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_md5")).alias("pick"), F.first("need").alias("need"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "prefixtree-nodes")
-    some = open_sets(own, nodes)
+    some = written(open_sets(own, nodes), "prefixtree-open-nodes")
     texts = docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), "text")
-    texts = texts.join(some, (F.col("text_md5") == F.col("pick.text_md5")) & texts["doc_id"].eqNullSafe(F.col("pick.doc_id"))).select("node", "text").dropDuplicates(["node"])
+    texts = marked(texts, bitmap(some.select("pick.*"))).join(some, (F.col("text_md5") == F.col("pick.text_md5")) & texts["doc_id"].eqNullSafe(F.col("pick.doc_id"))).select("node", "text").dropDuplicates(["node"])
     label = join(coded(texts, percent, shingle), percent, chunk)
     named = nodes.select("node", "key", "rep").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("key").alias("_key"), "component_id")
