@@ -19,9 +19,12 @@ WIDE = 4096.0
 
 
 def value_axis(x: Column) -> Column:
-    """Order-preserving place of a number, fine near zero and logarithmic far out; NaN stands last, as in Spark's order."""
+    """Order-preserving place of a number, fine near zero and logarithmic far out; NaN stands last, as in Spark's order.
+
+    ``asinh`` is taken of the size alone: of a large negative number it is the logarithm of a rounding error.
+    """
     x = x.cast("double")
-    return when(F.isnan(x), 3e5).otherwise(F.greatest(F.least(F.asinh(x * 1000.0) * 16.0, lit(2e5)), lit(-2e5)))
+    return when(F.isnan(x), 3e5).otherwise(F.signum(x) * F.least(F.asinh(F.abs(x) * 1000.0) * 16.0, lit(2e5)))
 
 
 def _cut_by_value(df: DataFrame, keys, col: str) -> tuple[DataFrame, Column]:
@@ -79,12 +82,6 @@ def average_ranks(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
     return df
 
 
-def first_ranks(df: DataFrame, keys, col: str, tie: str, out: str = "rank") -> DataFrame:
-    """Add ranks 1..n; equal values are ordered by ``tie``."""
-    x, range_ = _cut_by_value(df.where(c(col).isNotNull()), list(keys), col)
-    return scan(x, keys, [col, tie], range_, **{out: ("count", lit(1))}).drop("_g")
-
-
 def bucket_of_rank(rank: Column, n: Column, q: Column | int) -> Column:
     """Quantile bucket 1..q of rank 1..n: equal-frequency edges by linear interpolation.
 

@@ -20,18 +20,23 @@ def net(profit="profit", fee="commission") -> Column:
     return F.coalesce(c(profit), F.lit(0.0)) - F.coalesce(c(fee), F.lit(0.0))
 
 
+def money(col) -> Column:
+    """Sum of amounts to eight places: exact, so no order of rows changes it."""
+    return F.sum((c(col) if isinstance(col, str) else col).cast("decimal(28,8)")).cast("double")
+
+
 def trade_totals(trades: DataFrame, key: str = "strategy_id") -> DataFrame:
     """Realised net, completed exits and wins per strategy."""
     done = ~entry_like(c("type")) & c("profit").isNotNull()
     return trades.groupBy(key).agg(
-        F.sum(net()).alias("realized"), F.count_if(done).alias("completed_trades"),
+        money(net()).alias("realized"), F.count_if(done).alias("completed_trades"),
         F.count_if(done & (c("profit") > 0)).alias("wins"))
 
 
 def position_totals(positions: DataFrame, marks: DataFrame, key: str = "strategy_id") -> DataFrame:
     p = positions.join(marks.select("symbol", "mark"), "symbol", "left")
     pnl = unrealized_pnl(c("side"), c("entry"), c("mark"), c("size"))
-    return p.groupBy(key).agg(F.sum(F.coalesce(pnl, F.lit(0.0))).alias("unrealized"),
+    return p.groupBy(key).agg(money(F.coalesce(pnl, F.lit(0.0))).alias("unrealized"),
                               F.count_if(F.abs("size") > 0).alias("open_positions"))
 
 
@@ -39,7 +44,7 @@ def current_equity(strategies, live_trades, live_positions, funding, virtual_tra
     """Each ledger is aggregated first, then joined; the execution mode picks the source."""
     key = "strategy_id"
     name = lambda df, p: df.select(key, *[c(n).alias(f"{p}_{n}") for n in df.columns if n != key])
-    fund = funding.groupBy(key).agg(F.sum("amount").alias("funding"))
+    fund = funding.groupBy(key).agg(money("amount").alias("funding"))
     df = (strategies.join(name(trade_totals(live_trades), "l"), key, "left")
           .join(name(position_totals(live_positions, marks), "lp"), key, "left").join(fund, key, "left")
           .join(name(trade_totals(virtual_trades), "v"), key, "left")
@@ -59,8 +64,8 @@ def current_equity(strategies, live_trades, live_positions, funding, virtual_tra
 
 def reconstructed_opening(strategies, trades, funding, start: int) -> DataFrame:
     """Capital plus everything booked before ``start``."""
-    t = trades.where(c("t") < start).groupBy("strategy_id").agg(F.sum(net()).alias("_n"))
-    f = funding.where(c("t") < start).groupBy("strategy_id").agg(F.sum("amount").alias("_f"))
+    t = trades.where(c("t") < start).groupBy("strategy_id").agg(money(net()).alias("_n"))
+    f = funding.where(c("t") < start).groupBy("strategy_id").agg(money("amount").alias("_f"))
     live = F.when(F.lower("mode") == "signal", 0.0).otherwise(F.coalesce("_f", F.lit(0.0)))
     df = strategies.join(t, "strategy_id", "left").join(f, "strategy_id", "left")
     return df.select("strategy_id", (c("capital") + F.coalesce("_n", F.lit(0.0)) + live).alias("rebuilt"))
@@ -118,7 +123,6 @@ def performance(trades: DataFrame, key: str = "strategy_id", capital: str = "cap
     """
     start = F.coalesce(capital, F.lit(0.0))
     x = trades.where(c("profit").isNotNull()).withColumn("net", equity_step())
-    money = lambda col: F.sum(col.cast("decimal(28,8)")).cast("double")  # noqa: E731  exact, so no order of rows changes it
     p = path(x, [key], ["t", "id"], ledger_grain(), c("net"), start, from_start=False)
     p = p.withColumn("peak", F.when(start > 0, F.greatest("peak", start)).otherwise(c("peak")))
     win, loss = c("net") > 0, c("net") < 0
@@ -144,7 +148,7 @@ def performance(trades: DataFrame, key: str = "strategy_id", capital: str = "cap
 def strategy_stats(trades: DataFrame, strategies: DataFrame) -> DataFrame:
     """Performance per existing strategy with total PnL and return on capital."""
     t = trades.join(strategies.select("strategy_id", "capital"), "strategy_id")
-    total = t.groupBy("strategy_id").agg(F.sum(equity_step()).alias("total_pnl"))
+    total = t.groupBy("strategy_id").agg(money(equity_step()).alias("total_pnl"))
     df = performance(t).join(total, "strategy_id")
     roi = F.when(c("capital") > 0, c("total_pnl") / c("capital") * 100).otherwise(0.0)
     return df.withColumn("roi", roi)
@@ -170,10 +174,10 @@ def review(trades: DataFrame, strategies: DataFrame, positions: DataFrame, marks
     g = p.groupBy("strategy_id").agg(
         F.max("capital").alias("capital"), F.count(F.lit(1)).alias("trade_events"), F.count_if(~is_exit(c("type"))).alias("opening_events"),
         F.count_if(closing).alias("closing_events"), F.count_if(pnl > 0).alias("wins"), F.count_if(pnl < 0).alias("losses"),
-        F.sum(F.when(pnl > 0, pnl).otherwise(0.0)).alias("gross_profit"), F.abs(F.sum(F.when(pnl < 0, pnl).otherwise(0.0))).alias("gross_loss"),
+        money(F.when(pnl > 0, pnl).otherwise(0.0)).alias("gross_profit"), F.abs(money(F.when(pnl < 0, pnl).otherwise(0.0))).alias("gross_loss"),
         F.avg(pnl).alias("expectancy"), F.max(pnl).alias("max_win"), F.min(pnl).alias("max_loss"),
-        F.sum(equity_step()).alias("net_pnl"), F.max(c("peak") - c("equity")).alias("max_drawdown"), F.max("peak").alias("_top"),
-        F.sum("commission").alias("fees"), F.sum(c("price") * c("amount")).alias("notional"))
+        money(equity_step()).alias("net_pnl"), F.max(c("peak") - c("equity")).alias("max_drawdown"), F.max("peak").alias("_top"),
+        money("commission").alias("fees"), money(c("price") * c("amount")).alias("notional"))
     streak = longest_run(t.where(pnl.isNotNull() & (pnl != 0)), ["strategy_id"], ["t", "id"], grain, c("profit") < 0, c("profit") > 0,
                          "loss_streak")
     open_ = position_totals(positions, marks).select("strategy_id", "unrealized", "open_positions")

@@ -151,11 +151,12 @@ def _(spark, d):
     return B.resample_right(hourly(spark, d), 4 * HOUR).select("symbol", T(), "open", "high", "low", "close", "volume")
 
 
-@query("b6_review_window", with_sql("x", more="""w AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, min(CAST(epoch(l_shipdate) AS BIGINT)) AS a, max(CAST(epoch(l_shipdate) AS BIGINT)) AS z FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-06-01' GROUP BY 1),
+@query("b6_review_window", with_sql("x", more="""w AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, min(CAST(epoch(l_shipdate) AS BIGINT)) AS a, max(CAST(epoch(l_shipdate) AS BIGINT)) AS z FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
  v AS (SELECT symbol, a, z, greatest(604800 * 8, CAST(floor((z - a) * 0.05) AS BIGINT)) AS pad FROM w)""") + "SELECT symbol, t, close FROM x JOIN v USING (symbol) WHERE t BETWEEN a - pad AND z + pad QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC) <= 60")
 def _(spark, d):
     t = seconds("l_shipdate")
-    x = table(spark, d, "lineitem").where((t >= 852076800) & (t <= 896659200)).select(c("l_suppkey").cast("string").alias("symbol"), t.alias("entry_t"), t.alias("exit_t"))
+    x = table(spark, d, "lineitem").where("l_linestatus = 'F'").select(  # closed trades
+        c("l_suppkey").cast("string").alias("symbol"), t.alias("entry_t"), t.alias("exit_t"))
     return B.review_window(x, weekly(spark, d), 60).select("symbol", T(), "close")
 
 

@@ -277,10 +277,24 @@ def _(spark, d):
     return e.select("symbol", T(), *R(6, "return_5", "atr14", "volatility", "bollinger", "volume_ratio"), "trend", F.size("missing").alias("missing"))
 
 
-@query("w31_support_resistance")
+LEVELS = f"""px AS (SELECT *, CASE WHEN pos >= 2 AND high >= greatest(lag(high, 2) OVER o, lag(high) OVER o, lead(high) OVER o, lead(high, 2) OVER o) THEN high END AS top,
+ CASE WHEN pos >= 2 AND low <= least(lag(low, 2) OVER o, lag(low) OVER o, lead(low) OVER o, lead(low, 2) OVER o) THEN low END AS bottom,
+ greatest(coalesce(avg(CASE WHEN prev IS NOT NULL THEN tr END) {w(14)}, 0) * 0.35, close * 0.002) AS tol FROM x WINDOW o AS (PARTITION BY symbol ORDER BY pos)),
+ hx AS (SELECT symbol, t, close, tol, max(high) OVER p AS hi, min(low) OVER p AS lo, count(*) OVER p AS n, list(top) FILTER (top IS NOT NULL) OVER q AS hs, list(bottom) FILTER (bottom IS NOT NULL) OVER q AS ls
+ FROM px WINDOW p AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 118 PRECEDING AND 3 PRECEDING)),
+ vx AS (SELECT symbol, t, close, tol, 's' AS side, list_sort(list_append(coalesce(ls, []::DOUBLE[]), lo)) AS v FROM hx WHERE n >= 5 UNION ALL SELECT symbol, t, close, tol, 'r', list_sort(list_append(coalesce(hs, []::DOUBLE[]), hi)) FROM hx WHERE n >= 5),
+ gx AS (SELECT symbol, t, side, v, tol, 0 AS i, []::STRUCT(s DOUBLE, n BIGINT)[] AS g, 0 AS k FROM vx
+  UNION ALL SELECT symbol, t, side, v, tol, i + 1, CASE WHEN k = 0 THEN list_append(g, {{'s': v[i + 1], 'n': 1}}) ELSE g[:k - 1] || [{{'s': g[k].s + v[i + 1], 'n': g[k].n + 1}}] || g[k + 1:] END, 0 FROM
+   (SELECT symbol, t, side, v, tol, i, g, coalesce(list_position(list_transform(g, lambda y: abs(v[i + 1] - y.s / y.n) <= tol), true), 0) AS k FROM gx WHERE i < len(v))),
+ nx AS (SELECT symbol, t, side, array_to_string(list_transform(list_sort(list_filter(list_transform(g, lambda y: {{'d': abs(close - round(y.s / y.n, 8)), 'm': -y.n, 'p': round(y.s / y.n, 8)}}),
+  lambda y: CASE WHEN side = 's' THEN y.p <= close + vx.tol ELSE y.p >= close - vx.tol END))[:3], lambda y: CAST(floor(y.p * 10000 + 0.5) AS BIGINT) || 'x' || -y.m), ' ') AS told FROM gx JOIN vx USING (symbol, t, side) WHERE i = len(gx.v))"""
+
+
+@query("w31_support_resistance", with_sql("x", more=LEVELS, recursive=True) + """SELECT symbol, t, round(max(tol), 6) AS tolerance, max(told) FILTER (side = 's') AS supports, max(told) FILTER (side = 'r') AS resistances
+ FROM nx JOIN vx USING (symbol, t, side) GROUP BY symbol, t""")
 def _(spark, d):
     s = X.support_resistance(weekly(spark, d))
-    text = lambda x: F.array_join(F.transform(x, lambda g: F.concat_ws("x", F.round(g["price"], 4), g["touches"])), " ")
+    text = lambda x: F.array_join(F.transform(x, lambda g: F.concat_ws("x", F.floor(g["price"] * 10000 + 0.5), g["touches"])), " ")
     return s.select("symbol", T(), *R(6, "tolerance"), text(c("supports")).alias("supports"), text(c("resistances")).alias("resistances"))
 
 

@@ -112,13 +112,14 @@ def _(spark, d):
     return out.select("symbol", day.alias("day"), c("b.close").alias("close"))
 
 
-@query("j7_bounded_forward_asof", with_sql("fundamentals", more="""e AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS a FROM lineitem WHERE l_quantity >= 49),
+@query("j7_bounded_forward_asof", with_sql("fundamentals", more="""e AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, max(CAST(l_shipdate AS DATE)) AS a FROM lineitem GROUP BY l_suppkey, (year(l_shipdate) * 12 + month(l_shipdate) - 1) // 9),
  n AS (SELECT f.symbol, period_end, (SELECT min(a) FROM e WHERE e.symbol = f.symbol AND a > period_end AND a <= period_end + 120) AS a FROM fundamentals f)""") + """
  SELECT symbol, CAST(epoch(period_end) AS BIGINT) // 86400 AS period, CAST(epoch(CASE WHEN a IS NOT NULL THEN a + 1 ELSE least(period_end + 91, DATE '2001-06-01') END) AS BIGINT) // 86400 AS day,
  CASE WHEN a IS NOT NULL THEN 'reported_earnings_date' WHEN period_end + 91 <= DATE '2001-06-01' THEN 'conservative_91_day_lag' ELSE 'observed_at_sync' END AS basis FROM n""")
 def _(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity >= 49").select(
-        c("l_suppkey").cast("string").alias("symbol"), c("l_shipdate").cast("date").alias("announced")).distinct()
+    """The last shipment of a supplier's nine months stands for an announcement."""
+    part = F.floor((F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1) / 9)
+    e = table(spark, d, "lineitem").groupBy(c("l_suppkey").cast("string").alias("symbol"), part).agg(F.max(c("l_shipdate").cast("date")).alias("announced")).select("symbol", "announced")
     out = J.availability(fundamentals(spark, d).select("symbol", "period_end"), e, F.to_date(lit("2001-06-01")), span(spark, DAY))
     num = lambda x: F.unix_date(x).cast("long")
     return out.select("symbol", num("period_end").alias("period"), num("available_at").alias("day"), "basis")
