@@ -101,6 +101,14 @@ class Cut:
 MANY = 10_000
 
 
+def _or_fail(grain: Column, why: str) -> Column:
+    """The grain, or an error where it is null.
+
+    Never null for the optimizer: else a null check of a join key would be pushed down with the error in it, past filters that take the row away.
+    """
+    return F.coalesce(F.when(grain.isNotNull(), grain).otherwise(F.raise_error(F.lit(f"a row has no place in its order: {why}"))), F.lit(0))
+
+
 def _floor(at: str, size) -> Column:
     return F.floor(F.col(at) / size) * size
 
@@ -112,8 +120,7 @@ def chunked(df: DataFrame, keys, cut: Cut, name: str = "_b", times: int = 5) ->
     next. Rows of one second stay together. Counting runs as a job of its own, over the columns it needs; without dense spans nothing is joined.
     """
     most, size = chunk_rows(df.sparkSession), cut.span
-    there = F.when(F.col(cut.at).isNotNull(), _floor(cut.at, size)).otherwise(F.raise_error(F.lit(f"a row has no place in its order: null in {cut.at}")))
-    out, by = df.withColumn(name, there), plain_keys(df, keys)
+    out, by = df.withColumn(name, _or_fail(_floor(cut.at, size), f"null in {cut.at}")), plain_keys(df, keys)
     whole = isinstance(cut.span, int)
     left = out
     for _ in range(times):
@@ -128,7 +135,7 @@ def chunked(df: DataFrame, keys, cut: Cut, name: str = "_b", times: int = 5) ->
         same = F.col(name) == F.col("_d")
         for c in by:
             same = same & (by[c] == F.col(f"_d{c}"))
-        out = out.join(dense, same, "left").withColumn(name, F.when(F.col("_d").isNotNull(), _floor(cut.at, finer)).otherwise(F.col(name))).select(*df.columns, name)
+        out = out.join(dense, same, "left").withColumn(name, F.coalesce(F.when(F.col("_d").isNotNull(), _floor(cut.at, finer)).otherwise(F.col(name)), F.lit(0))).select(*df.columns, name)
         left = left.join(dense, same, "left_semi").withColumn(name, _floor(cut.at, finer))
         size = finer
     return out
@@ -145,7 +152,7 @@ def placed_rows(df: DataFrame, keys, grain: Column | Cut) -> DataFrame:
     """Rows with the chunk ``_b`` they lie in."""
     if isinstance(grain, Cut):
         return chunked(df, keys, grain)
-    return df.withColumn("_b", F.when(grain.isNotNull(), grain).otherwise(F.raise_error(F.lit("a row has no place in its order: its grain is null"))))
+    return df.withColumn("_b", _or_fail(grain, "its grain is null"))
 
 
 def scan(df: DataFrame, keys, order, grain: Column | Cut, reuse: bool = False, **specs) -> DataFrame:
