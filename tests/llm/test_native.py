@@ -60,6 +60,20 @@ def test_op1_layouts_by_fingerprint(spark):
     assert got[5] == ("prompt_completion", [("user", "p"), ("assistant", "c")]) and got[6] == (None, []) and got[7] == (None, [])
 
 
+def test_op1_further_fields_hide_no_record(spark):
+    """A further field of a message, a system prompt beside messages, columns of another layout; and unknown layouts stay as rows."""
+    df = spark.createDataFrame(
+        [(1, [("q", "user", "Ann"), ("a", "assistant", None)], None, None, None, None, None), (2, [("q", "user", None)], "be kind", None, None, None, None), (3, None, None, "what?", None, "user", "hi"),
+         (4, None, None, "what?", "that", None, None), (5, None, None, None, "only an answer", None, None), (6, None, None, None, None, None, None), (7, [("q", "user", None)], None, "what?", "that", None, None)],
+        "id long, messages array<struct<content:string,role:string,name:string>>, system string, question string, answer string, role string, text string").withColumn("fingerprinted", F.lit("x"))
+    turns = chat.canonical(df, ("id",))
+    got = {r.id: (r.layout, [(t.role, t.text) for t in r.turns]) for r in turns.collect()}
+    assert got == {1: ("messages", [("user", "q"), ("assistant", "a")]), 2: ("messages", [("system", "be kind"), ("user", "q")]), 3: ("turn_row", [("user", "hi")]), 4: ("question_answer", [("user", "what?"), ("assistant", "that")]),
+                   5: (None, []), 6: ("turn_row", [("", "")]), 7: ("messages", [("user", "q")])}
+    out = {r.id: r for r in chat.format_chats(turns, "id", []).collect()}
+    assert set(out) == set(range(1, 8)) and out[5].formatted is None and out[5].segments == [] and out[2].formatted == "### System: be kind</turn>\n### User: q</turn>\n"
+
+
 def test_op1_ties_nulls_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string"
     df = spark.createDataFrame([(None, 1, "user", "b"), (None, None, "user", "z"), (None, 1, "user", "a"), (None, 1, "user", "a")], schema)

@@ -1,13 +1,14 @@
 """Chat formatting: records of unlike layouts become canonical turns, then one template.
 
-A record's fingerprint is a hash of its nested field paths that hold a value. Mappings declare the paths they need and
-the paths that may be missing; the fingerprints of a mapping follow from that, and a record is converted by the mapping
-that its fingerprint selects. All of it is column expressions: the paths come from the schema, their presence from the row.
+A record's fingerprint is a hash of its nested field paths that hold a value, of those that some mapping names. Mappings declare the paths
+they need and the paths that may be missing; the fingerprints of a mapping follow from that, taken over its own paths, so a further field of a message or a column of
+another layout doesn't hide a record. The first mapping that a fingerprint selects converts it. All of it is column expressions: the paths come from the schema, their presence from the row.
 
 The template writes ``### Role: text</turn>\\n`` per turn. Inside roles and texts a backslash is doubled and one is put
 into ``###`` and ``</turn>``, so neither control string occurs in an escaped text and the output can be read back.
 
-Defined results: a null text or role is empty; an unknown fingerprint gives no turns and a null ``layout``; turns are
+Defined results: a null text or role is empty; an unknown fingerprint gives no turns and a null ``layout``, and a conversation of such
+records alone stays as a row whose formatted text is null; turns are
 ordered by the order column, nulls last, then by role and text (repeated rows all stay); rows of a null conversation
 form one conversation; an empty table gives no rows; columns that no mapping names are ignored.
 """
@@ -52,8 +53,8 @@ def _some(*turns: tuple[str, str]) -> str:
 
 
 MAPPINGS = (
-    Mapping("messages", ("messages[].content", "messages[].role"), _list("messages", "role", "content")),
-    Mapping("sharegpt", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),
+    Mapping("messages", ("messages[].content", "messages[].role"), "concat(" + _some(("system", "system")) + ", " + _list("messages", "role", "content") + ")", ("system",)),
+    Mapping("sharegpt", ("conversations[].from", "conversations[].value"), "concat(" + _some(("system", "system")) + ", " + _list("conversations", "from", "value") + ")", ("system",)),
     Mapping("instruction", ("instruction", "output"), "filter(array(" + _turn("system", "system") + ", struct('user' as role, concat_ws('\\n\\n', instruction, nullif(input, '')) as text), "
             + _turn("assistant", "output") + "), t -> t.text is not null)", ("input", "system")),
     Mapping("prompt_completion", ("prompt", "completion"), _some(("system", "system"), ("user", "prompt"), ("assistant", "completion")), ("system",)),
@@ -100,7 +101,11 @@ def hash_of(found) -> int:
 
 def fingerprint(records: DataFrame, ignored: tuple[str, ...] = ()) -> Column:
     """64-bit hash of the sorted nested field paths that hold a value in a record."""
-    names = sorted(p for f in records.schema.fields if f.name not in ignored for p in paths(f.dataType, f.name))
+    return _print(p for f in records.schema.fields if f.name not in ignored for p in paths(f.dataType, f.name))
+
+
+def _print(names) -> Column:
+    names = sorted(names)
     if not names:
         return F.xxhash64(F.lit(""))
     return F.xxhash64(F.concat_ws("\n", *(F.when(_present(p), F.lit(p)) for p in names)))
@@ -114,21 +119,20 @@ def canonical(records: DataFrame, ignored: tuple[str, ...] = (), mappings: tuple
     fields = {f.name: paths(f.dataType, f.name) for f in records.schema.fields if f.name not in ignored}
     known = {p for m in mappings for p in (*m.needs, *m.may)}
     fields = {name: own for name, own in fields.items() if set(own) & known}
-    have = {p for own in fields.values() for p in own}
-    out = records.select(*ignored, *fields)
-    out = out.withColumn("fingerprint", fingerprint(out, ignored))
-    layout, turns, taken = F.lit(None).cast("string"), F.array().cast(TURN), set()
-    for m in mappings:
+    have = {p for own in fields.values() for p in own} & known
+    out = records.select(*ignored, *fields).withColumn("fingerprint", _print(have))
+    layout, turns = F.lit(None).cast("string"), F.array().cast(TURN)
+    for m in reversed(mappings):  # the first one that fits stands
         may = [p for p in m.may if p in have]
         if not set(m.needs) <= have or not (m.needs or may):
             continue
-        for p in set(m.may) - have:  # a field that the table lacks reads as null
-            out = out.withColumn(p, F.lit(None).cast("string"))
-        codes = sorted({hash_of((*m.needs, *some)) for k in range(len(may) + 1) for some in combinations(may, k)} - taken)
-        taken.update(codes)
-        if codes:
-            hit = F.col("fingerprint").isin(codes)
-            layout, turns = F.when(hit, F.lit(m.name)).otherwise(layout), F.when(hit, F.expr(m.turns).cast(TURN)).otherwise(turns)
+        for p in {*m.may} - {*fields}:  # a field that the table lacks reads as null
+            out = out if p in out.columns else out.withColumn(p, F.lit(None).cast("string"))
+        codes = [hash_of((*m.needs, *some)) for k in range(len(may) + 1) for some in combinations(may, k) if m.needs or some]
+        hit = _print((*m.needs, *may)).isin(codes)
+        if not m.needs:  # a record without any value is one of its kind with nothing in it
+            hit = hit | (F.col("fingerprint") == hash_of(()))
+        layout, turns = F.when(hit, F.lit(m.name)).otherwise(layout), F.when(hit, F.expr(m.turns).cast(TURN)).otherwise(turns)
     turns = F.transform(turns, lambda t: F.struct(F.coalesce(_role(t["role"]), F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     return out.select(*ignored, "fingerprint", layout.alias("layout"), turns.alias("turns"))
 
@@ -166,16 +170,16 @@ def format_chats(turns: DataFrame, conv: str, order: list[str]) -> DataFrame:
     so one conversation has to fit a row, as its formatted text does.
     """
     n = len(order)
-    one = turns.select(conv, *order, F.posexplode("turns").alias("pos", "t"))
+    one = turns.select(conv, *order, F.posexplode_outer("turns").alias("pos", "t"))
     keys = [k for i in range(n) for k in (F.col(order[i]).isNull().alias(f"n{i}"), F.col(order[i]).alias(f"o{i}"))]
     piece = F.struct(*keys, "pos", F.col("t.role").alias("role"), F.col("t.text").alias("text"))
-    whole = one.groupBy(conv).agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    whole = one.groupBy(conv).agg(F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), piece))).alias("p"))
     shown = F.transform("p", lambda p: F.array(
         F.struct(_header(p["role"]).alias("text"), F.lit(False).alias("loss")),
         F.struct(escape(p["text"]).alias("text"), (p["role"] == "assistant").alias("loss")),
         F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss"))))
     out = whole.select(conv, F.flatten(shown).alias("segments"))
-    return out.select(conv, F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    return out.select(conv, F.when(F.size("segments") > 0, F.array_join(F.transform("segments", lambda s: s["text"]), "")).alias("formatted"), "segments")
 
 
 def read_back(formatted: Column) -> Column:
