@@ -152,7 +152,8 @@ def placed_rows(df: DataFrame, keys, grain: Column | Cut) -> DataFrame:
     """Rows with the chunk ``_b`` they lie in."""
     if isinstance(grain, Cut):
         return chunked(df, keys, grain)
-    return df.withColumn("_b", _or_fail(grain, "its grain is null"))
+    field = df.select(grain.alias("_b")).schema["_b"]  # a struct is never null
+    return df.withColumn("_b", _or_fail(grain, "its grain is null") if field.nullable else grain)
 
 
 def scan(df: DataFrame, keys, order, grain: Column | Cut, reuse: bool = False, **specs) -> DataFrame:

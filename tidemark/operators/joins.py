@@ -18,12 +18,13 @@ DAY = 86400
 
 
 def asof(left: DataFrame, right: DataFrame, on, left_time: Column, right_time: Column, span: int,
-         cols, name: str, tie=(), equal: bool = True, forward: bool = False) -> DataFrame:
+         cols, name: str, tie=(), equal: bool = True, forward: bool = False, bounded: bool = False) -> DataFrame:
     """Attach to each left row the last right row not after it, as struct ``name``.
 
     Times are epoch seconds; ``span`` is the length of a time chunk; ``tie`` orders right
     rows of the same time (the last wins); ``equal=False`` asks for strictly earlier rows;
-    ``forward`` looks for the first row not before the left row instead.  Every left row
+    ``forward`` looks for the first row not before the left row instead; ``bounded`` says that no key has
+    more rows in a span than a chunk holds (bars, reports), so that they needn't be counted.  Every left row
     stays: one without a time or with a null key finds nothing.
     """
     on, tie = list(on), list(tie)
@@ -39,7 +40,7 @@ def asof(left: DataFrame, right: DataFrame, on, left_time: Column, right_time: C
     both = r.unionByName(lo, allowMissingColumns=True).withColumn("_at", F.coalesce("_t", F.lit(0)))
     names = [f"_on{i}" for i in range(len(on))]
     order = ["_t", "_s", *[f"_k{i}" for i in range(len(tie))]]
-    out = scan(both, names, order, Cut("_at", span), _found=("last", c(name)))
+    out = scan(both, names, order, F.floor(c("_at") / span) if bounded else Cut("_at", span), _found=("last", c(name)))
     known = c("_t").isNotNull()
     for k in names:
         known = known & c(k).isNotNull()

@@ -26,7 +26,7 @@ def reports_on_bars(spark, d):
     cols = [x for x in f.columns if x != "symbol"]
     p = weekly(spark, d)
     return J.asof(p.df, f, ["symbol"], F.floor(epoch() / DAY) * DAY, F.unix_date("available_at").cast("long") * DAY,
-                  span(spark, WEEK), cols, "f", tie=["period_end"])
+                  span(spark, WEEK), cols, "f", tie=["period_end"], bounded=True)
 
 
 ASOF = "bars b ASOF LEFT JOIN fundamentals f ON b.symbol = f.symbol AND b.t >= CAST(epoch(f.available_at) AS BIGINT)"
@@ -108,7 +108,7 @@ def _(spark, d):
 def _(spark, d):
     f = fundamentals(spark, d).select("symbol", "available_at")
     day = F.unix_date("available_at").cast("long")
-    out = J.asof(f, weekly(spark, d).df, ["symbol"], day * DAY, F.floor(epoch() / DAY) * DAY, span(spark, WEEK), ["close"], "b")
+    out = J.asof(f, weekly(spark, d).df, ["symbol"], day * DAY, F.floor(epoch() / DAY) * DAY, span(spark, WEEK), ["close"], "b", bounded=True)
     return out.select("symbol", day.alias("day"), c("b.close").alias("close"))
 
 
@@ -135,7 +135,7 @@ def coarse(spark, d, step=4 * HOUR):
  ASOF LEFT JOIN q ON h.symbol = q.symbol AND h.t + 3600 >= q.vis""")
 def _(spark, d):
     slow = coarse(spark, d).select("symbol", epoch().alias("open_t"), "close")
-    out = J.asof(hourly(spark, d).df, slow, ["symbol"], epoch() + HOUR, c("open_t") + 4 * HOUR, span(spark, HOUR), ["open_t", "close"], "s")
+    out = J.asof(hourly(spark, d).df, slow, ["symbol"], epoch() + HOUR, c("open_t") + 4 * HOUR, span(spark, HOUR), ["open_t", "close"], "s", bounded=True)
     return out.select("symbol", epoch().alias("t"), c("s.open_t").alias("coarse_t"), c("s.close").alias("coarse_close"))
 
 
