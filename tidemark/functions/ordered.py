@@ -101,26 +101,26 @@ class Cut:
 MANY = 10_000
 
 
-def _or_fail(grain: Column, why: str) -> Column:
+def _or_fail(grain: Column, why: str, what: str = "order") -> Column:
     """The grain, or an error where it is null.
 
     Never null for the optimizer: else a null check of a join key would be pushed down with the error in it, past filters that take the row away.
     """
-    return F.coalesce(F.when(grain.isNotNull(), grain).otherwise(F.raise_error(F.lit(f"a row has no place in its order: {why}"))), F.lit(0))
+    return F.coalesce(F.when(grain.isNotNull(), grain).otherwise(F.raise_error(F.lit(f"a row has no place in its {what}: {why}"))), F.lit(0))
 
 
 def _floor(at: str, size) -> Column:
     return F.floor(F.col(at) / size) * size
 
 
-def chunked(df: DataFrame, keys, cut: Cut, name: str = "_b", times: int = 5) -> DataFrame:
+def chunked(df: DataFrame, keys, cut: Cut, name: str = "_b", times: int = 5, what: str = "order") -> DataFrame:
     """Adds the start of the span that a row lies in, such that no span of a key holds more than ``chunkRows`` rows.
 
     Spans with more rows are cut in 64, up to ``times`` times or down to one second; only the dense spans of one level are looked at for the
     next. Rows of one second stay together. Counting runs as a job of its own, over the columns it needs; without dense spans nothing is joined.
     """
     most, size = chunk_rows(df.sparkSession), cut.span
-    out, by = df.withColumn(name, _or_fail(_floor(cut.at, size), f"null in {cut.at}")), plain_keys(df, keys)
+    out, by = df.withColumn(name, _or_fail(_floor(cut.at, size), f"null in {cut.at}", what)), plain_keys(df, keys)
     whole = isinstance(cut.span, int)
     left = out
     for _ in range(times):
@@ -148,12 +148,12 @@ def cut_once(df: DataFrame, keys, grain: Column | Cut, name: str = "_span") -> t
     return chunked(df, keys, grain, name), F.col(name)
 
 
-def placed_rows(df: DataFrame, keys, grain: Column | Cut) -> DataFrame:
+def placed_rows(df: DataFrame, keys, grain: Column | Cut, what: str = "order") -> DataFrame:
     """Rows with the chunk ``_b`` they lie in."""
     if isinstance(grain, Cut):
-        return chunked(df, keys, grain)
+        return chunked(df, keys, grain, what=what)
     field = df.select(grain.alias("_b")).schema["_b"]  # a struct is never null
-    return df.withColumn("_b", _or_fail(grain, "its grain is null") if field.nullable else grain)
+    return df.withColumn("_b", _or_fail(grain, "its grain is null", what) if field.nullable else grain)
 
 
 def scan(df: DataFrame, keys, order, grain: Column | Cut, reuse: bool = False, **specs) -> DataFrame:
@@ -252,7 +252,7 @@ def path(df: DataFrame, keys, order, grain: Column | Cut, step: Column, start: C
     start = F.lit(start) if not isinstance(start, Column) else start
     extra = sums or {}
     made_keys = plain_keys(df, keys)
-    placed = placed_rows(df, keys, grain)
+    placed = placed_rows(df, keys, grain, "path")
     keys, by = [*made_keys], [*made_keys, "_b"]
     rows = placed.withColumns({**made_keys, "_x": (1.0 + step) if product else step, "_s": start,
                            **{f"_e_{n}": x for n, x in extra.items()}})
