@@ -136,6 +136,25 @@ def test_alert_batch_equals_a_loop(spark, chunk):
     assert rows(triggers(df, "alert_id", ["t", "id"], F.floor(F.col("t") / 100), chunk=chunk), ["alert_id", "t", "id"]) == sorted(want)
 
 
+@pytest.mark.parametrize("block", [1, 512])
+def test_alerts_make_no_pairs_with_marks(spark, block):
+    """The triggers of all hits, with alerts that ask the same, odd values, and no join of alerts and marks on the symbol."""
+    from tidemark.functions.market import alert_hit
+    from tidemark.operators.resting import alerts_on, triggers
+    prepare(spark)
+    nan, kinds = float("nan"), ("price_above", "price_below", "pnl_above", "pnl_below", "other", None)
+    a = [(k, "ab"[k % 2], kinds[k % 6], 10.0 * (k % 13) - 20, ("long", "short", None)[k % 3], (5.0, 20.0, 0.0, -4.0, None)[k % 5], float(k % 4), (0, 5, 90, None, -3)[k % 5]) for k in range(240)]
+    a += [(300, "a", "price_above", nan, "long", 5.0, 1.0, 5), (301, "a", "pnl_above", 3.0, "long", nan, 1.0, 5), (302, None, "price_above", 1.0, "long", 5.0, 1.0, 5), (None, "a", "price_above", 1.0, "long", 5.0, 1.0, 5)]
+    m = [(i, "abc"[i % 3], (i * i * 31) % 2003, (nan if i % 97 == 5 else None if i % 89 == 3 else float(i * 37 % 101) - 5)) for i in range(2000)] + [(5000, "a", None, 50.0), (5001, None, 7, 50.0)]
+    a = spark.createDataFrame(a, "alert_id long, symbol string, kind string, threshold double, side string, entry double, size double, wait long")
+    m = spark.createDataFrame(m, "id long, symbol string, t long, price double")
+    hit = alert_hit(F.col("kind"), F.col("price"), F.col("threshold"), F.col("side"), F.col("entry"), F.col("size"))
+    want = rows(triggers(m.join(a, "symbol").where(hit).select("alert_id", "id", "t", "wait"), "alert_id", ["t", "id"], F.floor(F.col("t") / 100)), ["alert_id", "t", "id"])
+    got = alerts_on(a, m, block)
+    assert len(want) > 500 and rows(got, ["alert_id", "t", "id"]) == want
+    assert S.alert_triggers(a, m).columns == ["alert_id", "id", "symbol", "t", "price", "wait"]
+
+
 @pytest.mark.parametrize("salts", [1, 3])
 def test_orders_met_over_triggers(spark, tmp_path, salts):
     prepare(spark)

@@ -14,7 +14,7 @@ from tidemark.functions.market import alert_hit, leg
 from tidemark.functions.ordered import Cut, scan
 from tidemark.operators.joins import fan_out, in_session
 from tidemark.operators.ledger import virtual_fills
-from tidemark.operators.resting import buys, filled_orders, met_orders, triggers
+from tidemark.operators.resting import alerts_on, buys, filled_orders, met_orders
 from tidemark.sources.events import bar_event_id, decode, route
 from tidemark.streaming import stateful
 
@@ -112,13 +112,12 @@ def alert_hits(alerts: DataFrame, marks: DataFrame) -> DataFrame:
     return marks.join(alerts, "symbol").where(hit).select("alert_id", *[n for n in marks.columns], "wait")
 
 
-def alert_triggers(alerts: DataFrame, marks: DataFrame, grain: Column | Cut | None = None, delay: str = "10 minutes") -> DataFrame:
+def alert_triggers(alerts: DataFrame, marks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Marks at which an alert goes off: once, and again after ``wait`` seconds if that is not 0."""
     if marks.isStreaming:  # the marks carry the watermark on, whether or not they hit
         x = alert_hits(alerts, stateful.marked(marks, "ts", delay)).withColumn("_wait", c("wait").cast("long"))
         return stateful.in_order(x, ["alert_id"], "ts", ["id"], None, stateful.Triggers, "").drop("_wait")
-    hits = alert_hits(alerts, marks)
-    return triggers(hits, "alert_id", ["t", "id"], Cut("t", 86400) if grain is None else grain)
+    return alerts_on(alerts, marks)
 
 
 def limit_matches(orders: DataFrame, marks: DataFrame, age: int = 600, life: int = 86400, delay: str = "10 minutes", salts: int = 1) -> DataFrame:
