@@ -17,6 +17,30 @@ from tidemark.model import PRICES, Panel, div
 c, lit, when = F.col, F.lit, F.when
 
 
+def by_chunk(rows: DataFrame, by: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` on the rows of each group of ``by`` in order of ``pos``; a null key is a group.
+
+    Rows are placed and sorted by Spark and come in Arrow batches that hold many groups, so the price of a batch is not paid for
+    each group. What is held are one batch and one group.
+    """
+    def batches(frames):
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            new = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
+            for k in by:
+                new |= np.diff(pd.factorize(pdf[k])[0]) != 0
+            ends = np.flatnonzero(new) + 1
+            made = [run(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip([0, *ends], ends)]
+            rest = pdf.iloc[ends[-1] :] if len(ends) else pdf
+            if made:
+                yield pd.concat(made, ignore_index=True)
+        if rest is not None and len(rest):
+            yield run(rest.reset_index(drop=True))
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "pos").mapInPandas(batches, schema)
+
+
 def indicator(panel: Panel, fn: Callable[[pd.DataFrame], pd.DataFrame], outputs: dict[str, str], lookback: int) -> DataFrame:
     """Apply ``fn`` to the bars of each symbol and add its columns.
 
@@ -30,13 +54,10 @@ def indicator(panel: Panel, fn: Callable[[pd.DataFrame], pd.DataFrame], outputs:
     schema = ", ".join(f"{n} {t}" for n, t in {**types, **outputs}.items())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        made = fn(pdf)
-        for n in outputs:
-            pdf[n] = made[n].to_numpy()
-        return pdf.loc[pdf["_own"], [*types, *outputs]]
+        made = fn(pdf.copy())
+        return pdf.assign(**{n: made[n].to_numpy() for n in outputs}).loc[pdf["_own"].to_numpy(), [*types, *outputs]]
 
-    return fr.df.select(*cols).groupBy(*panel.keys, "_chunk").applyInPandas(run, schema)
+    return by_chunk(fr.df.select(*cols), [*panel.keys, "_chunk"], run, schema)
 
 
 @dataclass(frozen=True)
@@ -103,17 +124,16 @@ def swept(panel: Panel, fn: Callable, outputs: dict[str, str], lookback: int, sw
     schema = ", ".join(f"{n} {t}" for n, t in {**types, "trial": "long", **named, **outputs}.items())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        first = int(pdf["_block"].iloc[0]) * block
-        out = []
-        for k, values in enumerate(todo[first : first + block], first):
-            made = fn(pdf[cols], **values)
-            own = pdf.assign(trial=k, **values, **{n: made[n].to_numpy() for n in outputs})
-            out.append(own.loc[own["_own"], [*types, "trial", *named, *outputs]])
-        return pd.concat(out)
+        first, own = int(pdf["_block"].iloc[0]) * block, np.flatnonzero(pdf["_own"].to_numpy())
+        bars, some = pdf[cols], todo[first : first + block]
+        made = [fn(bars.copy(), **values) for values in some]
+        out = pdf[[*types]].iloc[np.tile(own, len(some))].reset_index(drop=True)
+        each = lambda values: np.repeat(np.array(values), len(own))
+        return out.assign(trial=each(range(first, first + len(some))), **{n: each([t[n] for t in some]) for n in named},
+                          **{n: np.concatenate([m[n].to_numpy()[own] for m in made]) for n in outputs})
 
     x = fr.df.select(*cols, "_own", "_chunk", F.explode(F.sequence(lit(0), lit(blocks - 1))).alias("_block"))
-    return x.groupBy(*panel.keys, "_chunk", "_block").applyInPandas(run, schema)
+    return by_chunk(x, [*panel.keys, "_chunk", "_block"], run, schema)
 
 
 def causality_report(panel: Panel, fn, outputs: dict[str, str], lookback: int, cut: Column, tolerance: float = 1e-9) -> DataFrame:
