@@ -404,14 +404,19 @@ def technical_evidence(panel: Panel, ppy: float, horizons=(1, 5, 20)) -> DataFra
 
 def _clusters(values: Column, tolerance: Column) -> Column:
     """Greedy groups of sorted prices: a price joins the first group whose mean is near."""
-    empty = F.array().cast("array<struct<s:double,n:int>>")
-
-    def add(groups, v):
-        near = F.array_position(F.transform(groups, lambda g: F.abs(v - g["s"] / g["n"]) <= tolerance), True)
-        joined = F.transform(groups, lambda g, i: when(i + 1 == near, F.struct((g["s"] + v).alias("s"), (g["n"] + 1).alias("n"))).otherwise(g))
-        return when(near > 0, joined).otherwise(F.concat(groups, F.array(F.struct(v.alias("s"), lit(1).alias("n")))))
-
-    return F.transform(F.aggregate(F.array_sort(values), empty, add), lambda g: F.struct(F.round(g["s"] / g["n"], 8).alias("price"), g["n"].alias("touches")))
+    null = lit(None).cast("double")
+    group = lambda s, n: F.struct(s.alias("s"), n.alias("n"))
+    zero = F.struct(F.array().cast("array<struct<s:double,n:int>>").alias("done"), null.alias("s"), lit(0).alias("n"))
+    with_last = lambda z: when(z["n"] > 0, F.concat(z["done"], F.array(group(z["s"], z["n"])))).otherwise(z["done"])
+
+    # Prices ascend: one that is beyond a closed group's mean leaves all later ones beyond it, so only the last group is open.
+    def add(z, v):
+        near = F.abs(v - z["s"] / z["n"]) <= tolerance
+        return when(near, F.struct(z["done"].alias("done"), (z["s"] + v).alias("s"), (z["n"] + 1).alias("n"))).otherwise(
+            F.struct(with_last(z).alias("done"), v.alias("s"), lit(1).alias("n")))
+
+    groups = F.aggregate(F.array_sort(values), zero, add, with_last)
+    return F.transform(groups, lambda g: F.struct(F.round(g["s"] / g["n"], 8).alias("price"), g["n"].alias("touches")))
 
 
 def support_resistance(panel: Panel, history: int = 120, levels: int = 3) -> DataFrame:
