@@ -48,7 +48,7 @@ class Factor:
     back: Callable[[dict], int]
     value: Callable
     kind: str = "window"
-    steps: dict = field(default_factory=dict)
+    steps: dict | Callable[[dict], dict] = field(default_factory=dict)
     outputs: tuple[str, ...] = ()
     check: Callable[[dict], bool] | None = None
     series: Callable[[dict], dict] | None = None
@@ -242,8 +242,37 @@ def _underwater(w, p):
     return F.aggregate(F.collect_list("close").over(w(p["period"])), zero, step)
 
 
-_add("max_drawdown", "risk", "higher_is_bullish", "close", {"period": 60}, N1,
-     lambda w, p: _underwater(w, p)["d"])
+def _falls(p):
+    """Columns with the extremes and the deepest fall of ever longer windows, each made of two shorter ones.
+
+    The deepest fall of two neighbouring windows is that of one of them, or from the top of the first to the bottom of the second.
+    """
+    def join(a, b):
+        across = F.when(a["hi"] > 0, b["lo"] / a["hi"] - 1.0)
+        both = F.struct(F.greatest(a["hi"], b["hi"]).alias("hi"), F.least(a["lo"], b["lo"]).alias("lo"), F.least(a["d"], b["d"], across).alias("d"))
+        return F.when(a.isNull(), b).otherwise(both)
+
+    one = F.struct(F.greatest("close", F.lit(0.0)).alias("hi"), F.coalesce("close", F.lit(float("inf"))).alias("lo"), F.lit(0.0).alias("d"))
+    made, size, n = {"_fall1": lambda w, p: one}, 1, p["period"]
+    while 2 * size <= n:
+        made[f"_fall{2 * size}"] = lambda w, p, k=size: join(F.lag(f"_fall{k}", k).over(w.row), c(f"_fall{k}"))
+        size *= 2
+    name, done = f"_fall{size}", size
+    while done < n:
+        size = 1 << ((n - done).bit_length() - 1)
+        made[f"_fall{done + size}of{n}"] = lambda w, p, k=size, far=done, near=name: join(F.lag(f"_fall{k}", far).over(w.row), c(near))
+        name, done = f"_fall{done + size}of{n}", done + size
+    made[f"_falls{n}"] = lambda w, p, last=name: c(last)
+    return made
+
+
+def _deepest(w, p):
+    """Below zero, or after a price that is no number, a fall isn't made of two: these windows are looked through."""
+    x = c(f"_falls{p['period']}")
+    return F.when((x["lo"] < 0) | F.isnan(x["hi"]), _underwater(w, p)["d"]).otherwise(x["d"])
+
+
+_add("max_drawdown", "risk", "higher_is_bullish", "close", {"period": 60}, N1, _deepest, steps=_falls)
 _add("ulcer_index", "risk", "lower_is_bullish", "close", {"period": 14}, N1,
      lambda w, p: F.sqrt(10000.0 * _underwater(w, p)["q"] / p["period"]))
 
@@ -610,7 +639,7 @@ def _windows(panel: Panel, wanted: dict[str, tuple[Factor, dict]]) -> DataFrame:
     w = _Frame(fr)
     df = with_base(fr.df, fr.row)
     for f, p in wanted.values():
-        for name, expr in f.steps.items():
+        for name, expr in (f.steps(p) if callable(f.steps) else f.steps).items():
             df = df.withColumn(name, expr(w, p))
     df = df.withColumns({n: F.when(c("pos") >= f.first(p), f.value(w, p)) for n, (f, p) in wanted.items()})
     return fr.own(df)
