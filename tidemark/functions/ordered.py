@@ -109,35 +109,65 @@ def _or_fail(grain: Column, why: str, what: str = "order") -> Column:
     return F.coalesce(F.when(grain.isNotNull(), grain).otherwise(F.raise_error(F.lit(f"a row has no place in its {what}: {why}"))), F.lit(0))
 
 
-def _floor(at: str, size) -> Column:
-    return F.floor(F.col(at) / size) * size
+def _sizes(cut: Cut, times: int) -> list:
+    """The span and its sixty-fourths, down to one second."""
+    whole, sizes = isinstance(cut.span, int), [cut.span]
+    while len(sizes) <= times and not (whole and sizes[-1] == 1):
+        sizes.append(max(sizes[-1] // 64, 1) if whole else sizes[-1] / 64)
+    return sizes
+
+
+def _starts(at: Column, sizes) -> list[Column]:
+    """Start of the span of each size that a value lies in, each inside the one before."""
+    starts = [F.floor(at / sizes[0]) * sizes[0]]
+    for size in sizes[1:]:
+        starts.append(starts[-1] + F.floor((at - starts[-1]) / size) * size)
+    return starts
 
 
 def chunked(df: DataFrame, keys, cut: Cut, name: str = "_b", times: int = 5, what: str = "order") -> DataFrame:
     """Adds the start of the span that a row lies in, such that no span of a key holds more than ``chunkRows`` rows.
 
-    Spans with more rows are cut in 64, up to ``times`` times or down to one second; only the dense spans of one level are looked at for the
-    next. Rows of one second stay together. Counting runs as a job of its own, over the columns it needs; without dense spans nothing is joined.
+    Spans with more rows are cut in 64, up to ``times`` times or down to one second. Rows of one second stay together, and a span of one
+    second's rows isn't cut. Two jobs count, over the columns they need: the spans, and in the dense ones all finer spans at once. Without
+    dense spans there is only the first, and nothing is joined.
     """
-    most, size = chunk_rows(df.sparkSession), cut.span
-    out, by = df.withColumn(name, _or_fail(_floor(cut.at, size), f"null in {cut.at}", what)), plain_keys(df, keys)
-    whole = isinstance(cut.span, int)
-    left = out
-    for _ in range(times):
-        dense = left.withColumns(by).groupBy(*by, name).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n")
-        some = dense.limit(MANY + 1).collect()
-        if not some or whole and size == 1:
-            break
-        finer = max(size // 64, 1) if whole else size / 64
+    most, sizes, by = chunk_rows(df.sparkSession), _sizes(cut, times), plain_keys(df, keys)
+    at = F.col(cut.at)
+    out = df.withColumn(name, _or_fail(F.floor(at / sizes[0]) * sizes[0], f"null in {cut.at}", what))
+    if len(sizes) == 1:
+        return out
+    rows = out.select(*[c.alias(k) for k, c in by.items()], F.col(name), at.alias("_at"))
+    held = [F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")]
+    dense = rows.groupBy(*by, name).agg(*held).where((F.col("_n") > most) & (F.col("_lo") < F.col("_hi"))).select(*by, name)
+
+    def known(frame):
+        """The dense spans: a small list that is sent to all tasks, or the frame; with the sizes that occur."""
+        some = frame.limit(MANY + 1).collect()
         small = len(some) <= MANY
-        dense = F.broadcast(df.sparkSession.createDataFrame(some, dense.schema)) if small else dense
-        dense = dense.select(*[F.col(c).alias(f"_d{c}") for c in by], F.col(name).alias("_d"))
+        return some, (F.broadcast(df.sparkSession.createDataFrame(some, frame.schema)) if small else frame)
+
+    some, first = known(dense)
+    if not some:
+        return out
+    inner = rows.join(first, [*by, name], "left_semi")
+    fine = inner.groupBy(*by, _starts(F.col("_at"), sizes)[-1].alias("_f")).agg(*held)
+    levels = _starts(F.col("_lo"), sizes)[1:-1]
+    found = None
+    if levels:
+        spans = F.explode(F.array(*[F.struct(F.lit(i).alias("_level"), x.alias("_d")) for i, x in enumerate(levels, 1)])).alias("_s")
+        spans = fine.select(*by, spans, "_n", "_lo", "_hi").groupBy(*by, "_s._level", "_s._d").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        some, found = known(spans.where((F.col("_n") > most) & (F.col("_lo") < F.col("_hi"))).select(*by, "_level", "_d"))
+    deepest = max((r["_level"] for r in some), default=0) if levels and len(some) <= MANY else (len(levels) if levels else 0)
+    starts = _starts(at, sizes)
+    for level in range(deepest + 1):
+        cuts = first.withColumnRenamed(name, "_d") if level == 0 else found.where(F.col("_level") == level).drop("_level")
+        cuts = cuts.select(*[F.col(c).alias(f"_d{c}") for c in by], "_d")
+        cuts = F.broadcast(cuts) if len(some) <= MANY and level else cuts
         same = F.col(name) == F.col("_d")
         for c in by:
             same = same & (by[c] == F.col(f"_d{c}"))
-        out = out.join(dense, same, "left").withColumn(name, F.coalesce(F.when(F.col("_d").isNotNull(), _floor(cut.at, finer)).otherwise(F.col(name)), F.lit(0))).select(*df.columns, name)
-        left = left.join(dense, same, "left_semi").withColumn(name, _floor(cut.at, finer))
-        size = finer
+        out = out.join(cuts, same, "left").withColumn(name, F.coalesce(F.when(F.col("_d").isNotNull(), starts[level + 1]).otherwise(F.col(name)), F.lit(0))).select(*df.columns, name)
     return out
 
 

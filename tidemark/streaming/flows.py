@@ -168,9 +168,9 @@ def next_fill(kind: str | None, amount: float | None, price: float | None, short
     return size, entry, 0.0
 
 
-def positions(fills: DataFrame, keys=("strategy_id", "symbol"), order=("t", "id"), time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Average-cost position after each fill: size, entry, realized.  A stream needs the timestamp ``time``."""
+def positions(fills: DataFrame, keys=("strategy_id", "symbol"), order=("t", "id"), time: str = "ts", delay: str = "1 hour", cost: bool = True) -> DataFrame:
+    """Average-cost position after each fill: size, entry, realized (a batch without ``cost``: size alone).  A stream needs the timestamp ``time``."""
     if not fills.isStreaming:
-        return virtual_fills(fills, keys, order)
+        return virtual_fills(fills, keys, order, cost)
     x = fills.withColumn("leg", leg(c("type"))).withColumns({n: c(n).cast("double") for n in ("amount", "price")})
     return stateful.in_order(x, [*keys, "leg"], time, list(order), delay, stateful.Positions, "size double, entry double, realized double")
