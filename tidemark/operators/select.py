@@ -55,20 +55,39 @@ def marker_edges(df: DataFrame, keys, order, grain: Column, value: str, dense: f
     return df.where(c("_on") & ((c("_share") <= dense) | edge)).drop("_on", "_was", "_share")
 
 
+#: Words of an alias that the join compares.
+HEAD = 3
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def _heads(words: str) -> Column:
+    """All runs of one to ``HEAD`` neighbouring words. They repeat: ``array_distinct`` would compare each string with each."""
+    def runs(n):
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[runs(n) for n in range(1, HEAD + 1)])
+
+
 def relevant_news(news: DataFrame, aliases: DataFrame, text: Column, id_: str) -> DataFrame:
     """Pairs (news, asset) where an alias occurs as whole words.
 
-    One word: exploded tokens meet the alias table in an equi join.  Several words: the
-    join runs on the first word and the rest is checked on the text, so no cross join.
+    Runs of words of a text meet the first words of the aliases in an equi join, so many aliases that share their
+    first word are no candidates. An alias of one word is found by that; others are then looked for in the text, which joins
+    the candidates alone.
     """
     low = F.lower(text)
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(low, "[^a-z0-9]+", " "), " "), lambda w: w != ""))
-    tokens = news.select(id_, low.alias("_text"), F.explode(words).alias("_first"))
-    a = aliases.select("asset", F.lower(F.trim("alias")).alias("_alias")).where(F.length("_alias") > 0)
-    a = a.withColumn("_first", F.regexp_extract("_alias", "[a-z0-9]+", 0))
-    hit = tokens.join(a, "_first")
+    heads = news.select(id_, _words(low).alias("_w")).select(id_, F.explode(_heads("_w")).alias("_head"))
+    a = aliases.select("asset", F.lower(F.trim("alias")).alias("_alias")).where(F.length("_alias") > 0).distinct()
+    a = a.withColumn("_head", F.array_join(F.slice(_words(c("_alias")), 1, HEAD), " ")).where("_head <> ''")
+    hit = heads.join(a, "_head").distinct()
+    one = (c("_alias") == c("_head")) & ~F.contains("_alias", F.lit(" "))
     at = F.concat(F.lit("(?<![a-z0-9])\\Q"), c("_alias"), F.lit("\\E(?![a-z0-9])"))
-    return hit.where(F.regexp_like("_text", at)).select(id_, "asset").distinct()
+    rest = hit.where(~one).join(news.select(id_, low.alias("_text")), id_).where(F.regexp_like("_text", at))
+    return hit.where(one).select(id_, "asset").unionByName(rest.select(id_, "asset")).distinct()
 
 
 def tradable(orders: DataFrame, bars: DataFrame, keys) -> DataFrame:
