@@ -7,10 +7,15 @@ unlike the catalogue in ``operators.factors``.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections import deque
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.market import stack_trend, volatility_level
 from tidemark.functions.ordered import scan
@@ -181,49 +186,187 @@ def _directional(a, n):
     return {"adx": a.wilder(dx, n), "pdi": pdi, "mdi": mdi}
 
 
+def moves() -> dict:
+    """Directional moves and true range against the bar before, by name."""
+    from tidemark.operators.factors import _moves
+    return _moves
+
+
 def adx_series(panel: Panel, n: int = 14) -> DataFrame:
     """ADX and directional lines; ADX starts from the mean of the first n DX values.
 
     After a gap the lines start again (bars are expected to be cleaned at ingest).
     """
-    from tidemark.operators.factors import _moves
-    steps = {k: (lambda w, f=f: f(w, None)) for k, f in _moves.items()}
+    steps = {k: (lambda w, f=f: f(w, None)) for k, f in moves().items()}
     return fold_frame(panel, 2 * wmem(n) + 2, steps, lambda a: _directional(a, n), extra=PRICES)
 
 
 REGIME = {"adx_period": 14, "adx_trend": 25.0, "adx_strong": 40.0, "atr_period": 14, "atr_window": 100, "atr_pct_high": 0.8,
           "atr_pct_low": 0.2, "ema_fast": 20, "ema_slow": 50, "slope_bars": 5, "range_band": 0.01, "di_gap": 5.0, "vol_period": 20,
           "breakout_lookback": 20, "relvol_breakout": 1.5, "mr_dev_atr": 2.0, "meanrev_adx_max": 20.0,
-          "abnormal_range_atr_mult": 6.0, "vwap_period": 20}  # fixed values
+          "abnormal_range_atr_mult": 6.0, "vwap_period": 20, "rsi_period": None}  # fixed values
+
+
+def _smooth(values, starts, n: int, gain: float, state):
+    """``folds.smooth`` over the rows of a batch; ``state`` is what the batch before left. A missing value starts it again, and so does a chunk."""
+    y, count, total = state
+    out = []
+    for v, start in zip(values, starts):
+        if start or v is None:
+            y, count, total = None, 0, 0.0
+        if v is not None:
+            if y is not None:
+                y += gain * (v - y)
+            else:
+                count, total = count + 1, total + v
+                y = total / n if count == n else None
+        out.append(y)
+    return out, (y, count, total)
+
+
+def _mid_ranks(values, starts, n: int, state):
+    """:func:`mid_rank` of each value among the last ``n``, kept in order; NaN stands above all numbers, as in Spark."""
+    last, ordered, nans = state
+    out = []
+    for v, start in zip(values, starts):
+        if start:
+            last, ordered, nans = deque(), [], 0
+        last.append(v)
+        old = last.popleft() if len(last) > n else None
+        if old is not None:
+            if old != old:
+                nans -= 1
+            else:
+                del ordered[bisect_left(ordered, old)]
+        if v is None:
+            out.append(None)
+            continue
+        if v != v:
+            nans += 1
+            below, equal = len(ordered), nans
+        else:
+            below = bisect_left(ordered, v)
+            ordered.insert(below, v)
+            equal = bisect_right(ordered, v) - below
+        out.append((below + 0.5 * (equal - 1) + 0.5) / (len(ordered) + nans))
+    return out, (last, ordered, nans)
+
+
+def _streaks(values, starts, state):
+    """Rising and falling steps in a row up to each value."""
+    before, up, down = state
+    ups, downs = [], []
+    for v, start in zip(values, starts):
+        step = None if start or v is None or before is None else v - before
+        up = up + 1 if step is not None and not step <= 0 else 0
+        down = down + 1 if step is not None and step < 0 else 0
+        before = v
+        ups.append(up)
+        downs.append(down)
+    return ups, downs, (before, up, down)
+
+
+def _rsi(closes, starts, n: int, state):
+    """The catalogue's RSI (``factors``): a bar without a close is passed over."""
+    before, gain, loss, count = state
+    out = []
+    for x, start in zip(closes, starts):
+        if start:
+            before, gain, loss, count = None, 0.0, 0.0, 0
+        if x is None or not math.isfinite(x):
+            out.append(None)
+            continue
+        if before is not None:
+            step = x - before
+            up, down = max(step, 0.0), max(-step, 0.0)
+            if count >= n:
+                gain, loss = gain + 1.0 / n * (up - gain), loss + 1.0 / n * (down - loss)
+            else:
+                count, gain, loss = count + 1, gain + up, loss + down
+                if count == n:
+                    gain, loss = gain / n, loss / n
+        before = x
+        value = None if count < n else 100.0 if loss <= 0 else 100.0 - 100.0 / (1.0 + gain / loss)
+        out.append(value if value is not None and math.isfinite(value) else None)
+    return out, (before, gain, loss, count)
+
+
+def _listed(column) -> list:
+    values = column.to_numpy(zero_copy_only=False).tolist()
+    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)) if column.null_count else ():
+        values[i] = None
+    return values
+
+
+LINES = ("adx", "pdi", "mdi", "ef", "es", "atr", "atr_price", "atr_pct")
+
+
+def _regime_lines(cfg: dict, kept):
+    """Rows of chunks in order (``_start`` is a chunk's first) -> own rows with the recursive inputs; held are one batch and the states."""
+    n, over = cfg["adx_period"], lambda t: t is not None and not t <= 0  # as Spark compares, NaN is above zero
+
+    def run(batches):
+        none, slopes = (None, 0, 0.0), cfg["slope_bars"] - 1
+        state, ranks, trend, strength = [none] * 7, (deque(), [], 0), (None, 0, 0), (None, 0.0, 0.0, 0)
+        for b in batches:
+            starts = b.column("_start").to_pylist()
+            up, down, ttr, tr, close = (_listed(b.column(x)) for x in ("_up", "_down", "_ttr", "tr", "close"))
+            todo = ((up, n, 1.0 / n), (down, n, 1.0 / n), (ttr, n, 1.0 / n), (close, cfg["ema_fast"], 2.0 / (cfg["ema_fast"] + 1.0)),
+                    (close, cfg["ema_slow"], 2.0 / (cfg["ema_slow"] + 1.0)), (tr, cfg["atr_period"], 1.0 / cfg["atr_period"]))
+            done = []
+            for i, (values, m, gain) in enumerate(todo):
+                out, state[i] = _smooth(values, starts, m, gain, state[i])
+                done.append(out)
+            plus, minus, span, ef, es, atr = done
+            pdi = [100.0 * x / t if x is not None and over(t) else None for x, t in zip(plus, span)]
+            mdi = [100.0 * x / t if x is not None and over(t) else None for x, t in zip(minus, span)]
+            dx = [None if p is None else 100.0 * abs(p - m) / (p + m) if m is not None and over(p + m) else 0.0 for p, m in zip(pdi, mdi)]
+            adx, state[6] = _smooth(dx, starts, n, 1.0 / n, state[6])
+            part = [a / x if a is not None and over(x) else None for a, x in zip(atr, close)]
+            pct, ranks = _mid_ranks(part, starts, cfg["atr_window"], ranks)
+            ups, downs, trend = _streaks(ef, starts, trend)
+            lines = [pa.array(x, pa.float64()) for x in (adx, pdi, mdi, ef, es, atr, part, pct)]
+            names = [*kept, *LINES]
+            if cfg.get("rsi_period"):
+                rsi, strength = _rsi(close, starts, cfg["rsi_period"], strength)
+                lines, names = [*lines, pa.array(rsi, pa.float64())], [*names, "rsi"]
+            flags = [pa.array([k >= slopes for k in x]) for x in (ups, downs)]
+            whole = pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), *lines, *flags], [*names, "slope_up", "slope_dn"])
+            yield whole.filter(b.column("_own"))
+
+    return run
 
 
 def regime_inputs(panel: Panel, cfg: dict) -> Panel:
-    """One fold for the recursive inputs, one frame for the windows over them."""
-    from tidemark.operators.factors import _moves
-    steps = {k: (lambda w, f=f: f(w, None)) for k, f in _moves.items()}
-    df = fold_frame(panel, 2 * wmem(cfg["adx_period"]) + 2 + mem(cfg["ema_slow"]), steps, lambda a: {
-        **_directional(a, cfg["adx_period"]), "ef": a.ema(a["close"], cfg["ema_fast"]), "es": a.ema(a["close"], cfg["ema_slow"]),
-        "atr": a.wilder(a["tr"], cfg["atr_period"])}, extra=PRICES)
-    look, slopes = cfg["breakout_lookback"], cfg["slope_bars"]
-    p = panel.replace(df.withColumn("atr_price", when(c("close") > 0, c("atr") / c("close"))))
-    fr, w, df = windowed(p, max(cfg["atr_window"], look, slopes, cfg["vwap_period"], cfg["vol_period"]) + 1)
-    df = df.withColumn("_step", c("ef") - F.lag("ef").over(fr.row))
-    prior, run = fr.between(-look, -1), fr.between(-(slopes - 2), 0)
+    """The windows of a chunk, and then its recursive inputs in one pass over the rows as they come."""
+    look, kept = cfg["breakout_lookback"], list(dict.fromkeys([*panel.df.columns, "pos"]))
+    if "pos" not in panel.df.columns:
+        df = scan(panel.df, panel.keys, panel.order, panel.grain, reuse=True, pos=("count", lit(1)))
+        panel = panel.replace(df.withColumn("pos", c("pos") - 1))
+    fr, w, df = windowed(panel, 2 * wmem(cfg["adx_period"]) + 2 + mem(cfg["ema_slow"]) + max(
+        wmem(cfg.get("rsi_period") or 2), cfg["atr_window"], look, cfg["slope_bars"], cfg["vwap_period"], cfg["vol_period"]) + 1)
+    prior = fr.between(-look, -1)
     whole = F.count("close").over(prior) == F.count(lit(1)).over(prior)
-    steps_ok = F.count("_step").over(run) == slopes - 1
     df = df.withColumns({
-        "_window": F.collect_list("atr_price").over(w(cfg["atr_window"])), "vwap": rolling_vwap_expr(w, cfg["vwap_period"]),
+        "vwap": rolling_vwap_expr(w, cfg["vwap_period"]),
         "relvol": when(full(F.avg, w, cfg["vol_period"], "volume") > 0, c("volume") / full(F.avg, w, cfg["vol_period"], "volume")),
         "ch_hi": when(whole, F.max("close").over(prior)), "ch_lo": when(whole, F.min("close").over(prior)),
-        "slope_up": F.coalesce(steps_ok & (F.min("_step").over(run) > 0), lit(False)),
-        "slope_dn": F.coalesce(steps_ok & (F.max("_step").over(run) < 0), lit(False))})
-    df = df.withColumn("atr_pct", mid_rank(c("_window"), c("atr_price"))).drop("_window", "_step")
-    return p.replace(fr.own(df))
-
-
-def detect_regimes(panel: Panel, **changes) -> DataFrame:
+        "_start": F.lag("pos").over(fr.row).isNull(), **{k: f(w, None) for k, f in moves().items()}})
+    kept += ["vwap", "relvol", "ch_hi", "ch_lo"]
+    own = list(dict.fromkeys([*kept, "close", "tr", *moves(), "_start", "_own"]))
+    rows = df.sortWithinPartitions(*panel.keys, "_chunk", "pos").select(*own)
+    kind = [f for f in rows.schema if f.name in kept]
+    kind = T.StructType(sorted(kind, key=lambda f: kept.index(f.name)))
+    for name in (*LINES, *(["rsi"] if cfg.get("rsi_period") else [])):
+        kind.add(name, "double")
+    return panel.replace(rows.mapInArrow(_regime_lines(cfg, kept), kind.add("slope_up", "boolean").add("slope_dn", "boolean")))
+
+
+def detect_regimes(panel: Panel, keep=None, **changes) -> DataFrame:
     """Regime per bar: ordered rules; an established trend survives while ADX is very strong.
 
+    ``keep`` names the columns that are wanted beside the regime (all, if left out); with no other ones the rows are made once for both uses of the scan.
+
     The carry of a trend is an island test: the last bar that started the trend is not
     before the last bar that broke it.  Both are running maxima of positions.
     """
@@ -248,10 +391,12 @@ def detect_regimes(panel: Panel, **changes) -> DataFrame:
                            "_up": F.coalesce(strong & (f > s) & (pl > mi), lit(False)), "_dn": F.coalesce(strong & (f < s) & (mi > pl), lit(False))})
     free = c("_rule").isNull()
     marks = {}
-    for name, label, keep in (("u", "TRENDING_UP", "_up"), ("d", "TRENDING_DOWN", "_dn")):
+    for name, label, still in (("u", "TRENDING_UP", "_up"), ("d", "TRENDING_DOWN", "_dn")):
         start = F.coalesce(c("_rule") == label, lit(False))
         marks[f"_{name}s"] = ("max", when(start, c("pos")))
-        marks[f"_{name}b"] = ("max", when(~start & ~(free & c(keep)), c("pos")))
+        marks[f"_{name}b"] = ("max", when(~start & ~(free & c(still)), c("pos")))
+    if keep is not None:
+        df = df.select(*dict.fromkeys([*p.keys, *p.order, *keep, "pos", "_rule", "_later", "_up", "_dn"]))
     df = scan(df, p.keys, ["pos"], F.floor(c("pos") / 16384), reuse=True, **marks)
     alive = lambda n: c(f"_{n}s").isNotNull() & (c(f"_{n}s") > F.coalesce(f"_{n}b", lit(-1)))
     label = (when(c("_rule").isNotNull(), c("_rule")).when(c("_up") & alive("u"), "TRENDING_UP").when(c("_dn") & alive("d"), "TRENDING_DOWN")

@@ -181,8 +181,8 @@ REG = ", ".join([ADX, emas("f", "x", "close", 20), emas("s", "x", "close", 50),
 REGSQL = with_sql("x", recursive=True, more=REG)
 
 
-def regimes(spark, d):
-    return X.detect_regimes(weekly(spark, d), **CFG)
+def regimes(spark, d, *keep, **more):
+    return X.detect_regimes(weekly(spark, d), keep, **CFG, **more)
 
 
 @query("w21_regimes", REGSQL + "SELECT symbol, t, regime FROM rg JOIN x USING (symbol, pos)")
@@ -197,7 +197,7 @@ def _(spark, d):
 
 @query("w23_cross_signal", REGSQL + "SELECT symbol, t, CASE WHEN regime NOT IN ('TRENDING_UP', 'TRENDING_DOWN', 'TRANSITION', 'BREAKOUT') THEN 0 WHEN ef > es THEN 1 WHEN ef < es THEN -1 ELSE 0 END AS signal FROM rg JOIN j3 USING (symbol, pos)")
 def _(spark, d):
-    return X.cross_signals(regimes(spark, d)).select("symbol", T(), "signal")
+    return X.cross_signals(regimes(spark, d, "ef", "es")).select("symbol", T(), "signal")
 
 
 RSI = ", " + emas("rgn", "x", "CASE WHEN prev IS NOT NULL THEN gain END", 14, 1 / 14, 1) + ", " + emas("rls", "x", "CASE WHEN prev IS NOT NULL THEN loss END", 14, 1 / 14, 1)
@@ -205,14 +205,12 @@ RSI = ", " + emas("rgn", "x", "CASE WHEN prev IS NOT NULL THEN gain END", 14, 1
 
 @query("w24_reversion_signal", with_sql("x", recursive=True, more=REG + RSI) + """SELECT symbol, t, CASE WHEN regime NOT IN ('RANGING', 'TRANSITION', 'MEAN_REVERSION') THEN 0 WHEN 100 - 100 / (1 + rgn.y / rls.y) < 45 THEN 1 WHEN 100 - 100 / (1 + rgn.y / rls.y) > 55 THEN -1 ELSE 0 END AS signal FROM x JOIN rg USING (symbol, pos) LEFT JOIN rgn USING (symbol, pos) LEFT JOIN rls USING (symbol, pos)""")
 def _(spark, d):
-    r = regimes(spark, d).select("symbol", "ts", "regime")
-    x = r.join(factor_panel(weekly(spark, d), {"rsi": {}}), ["symbol", "ts"], "left")
-    return X.reversion_signals(x, "rsi", 45.0, 55.0, shorts=True).select("symbol", T(), "signal")
+    return X.reversion_signals(regimes(spark, d, "rsi", rsi_period=14), "rsi", 45.0, 55.0, shorts=True).select("symbol", T(), "signal")
 
 
 @query("w25_breakout_signal", REGSQL + "SELECT symbol, t, CASE WHEN regime = 'BREAKOUT' AND close > hi AND rv >= 1.3 THEN 1 ELSE 0 END AS signal FROM rg JOIN j3 USING (symbol, pos)")
 def _(spark, d):
-    return X.breakout_signals(regimes(spark, d), 1.3).select("symbol", T(), "signal")
+    return X.breakout_signals(regimes(spark, d, "close", "ch_hi", "relvol"), 1.3).select("symbol", T(), "signal")
 
 
 SIG = f"sg AS (SELECT *, CASE WHEN close > avg(close) {w(10)} THEN 1 WHEN close < avg(close) {w(10)} THEN -1 ELSE 0 END AS signal FROM x)"
