@@ -253,13 +253,16 @@ def coverage_summary(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def factor_correlation(rows: DataFrame, names) -> DataFrame:
     """Mean rank correlation of factor pairs over dates, on pairwise complete symbols.
 
-    Pairs come from an array of the row's factors, not from a join of the factor table.
+    Pairs come from an array of the row's factors, not from a join of the factor table. A pair's cross-section holds one row per symbol
+    and is ranked by plain windows, as in :func:`ranked_sections`: the rows are made and shuffled once.
     """
     names = list(names)
     pairs = [F.struct(lit(a).alias("a"), lit(b).alias("b"), c(a).alias("x"), c(b).alias("y")) for i, a in enumerate(names) for b in names[i:]]
-    long = rows.select("ts", F.explode(F.array(*pairs)).alias("p")).select("ts", "p.*").where(c("x").isNotNull() & c("y").isNotNull())
+    long = rows.select("ts", F.explode(F.array(*pairs)).alias("p")).select("ts", "p.*").where(c("x").isNotNull() & c("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     keys = ["ts", "a", "b"]
-    x = cross_ranks(cross_ranks(long, keys, "x", avg="_x"), keys, "y", avg="_y")
+    day = Window.partitionBy(*keys)
+    average = lambda col: F.rank().over(day.orderBy(col)) + (F.count(lit(1)).over(day.orderBy(col).rangeBetween(0, 0)) - 1) / 2.0
+    x = long.withColumns({"_x": average("x"), "_y": average("y")})
     per = x.groupBy(*keys).agg(F.count(lit(1)).alias("_n"), corr0("_x", "_y").alias("_c")).where("_n >= 3 AND _c IS NOT NULL")
     m = per.groupBy("a", "b").agg(F.avg("_c").alias("correlation"), F.count(lit(1)).alias("observations"))
     return m.unionByName(m.where("a <> b").select(c("b").alias("a"), c("a").alias("b"), "correlation", "observations"))
