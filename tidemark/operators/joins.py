@@ -171,7 +171,8 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, shards: int = 128, size
     """Strategies due for each bar event, in batches of at most ``size`` per shard.
 
     Positions inside a shard come from the subscription table once (per key and shard),
-    not from the joined rows.
+    not from the joined rows.  Few keys hold all batches, so the batches of a key are dealt over
+    spots, and an event goes to the spots that hold batches of its key.
     """
     from tidemark.functions.ordered import number
     subs = subscriptions.where("status = 'running'").dropDuplicates(["partition_key", "strategy_id"])
@@ -179,4 +180,8 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, shards: int = 128, size
     subs = number(subs, ["partition_key", "shard"], ["strategy_id"], F.floor(c("strategy_id") / (shards * 10000)))
     batches = subs.withColumn("batch", F.floor(c("pos") / size)).groupBy("partition_key", "shard", "batch").agg(
         F.array_sort(F.collect_list("strategy_id")).alias("strategy_ids"))
-    return events.join(batches, "partition_key")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, lest small rows be put into one task
+    batches = batches.withColumn("_spot", F.pmod(F.hash("shard", "batch"), F.lit(parts)))
+    spots = batches.select("partition_key", "_spot").distinct()
+    by = ["partition_key", "_spot"]
+    return events.join(spots, "partition_key").repartition(parts, *by).join(batches.repartition(parts, *by), by).drop("_spot")

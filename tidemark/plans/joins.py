@@ -209,9 +209,9 @@ def subscriptions(spark, d):
  FROM hbars JOIN bt ON key = symbol GROUP BY 1, 2, 3""")
 def _(spark, d):
     ev = hourly(spark, d).df.select(c("symbol").alias("partition_key"), epoch().alias("t"))
-    out = J.fan_out(ev, subscriptions(spark, d), 16, 10)
+    out = J.fan_out(ev, subscriptions(spark, d), 16, 10)  # a key has one bar an hour, so its bars are its times
     return out.groupBy(c("partition_key").alias("key"), "shard", "batch").agg(
-        F.count_distinct("t").alias("events"), F.sum(F.size("strategy_ids").cast("long")).alias("dispatched"), F.min(F.get("strategy_ids", lit(0))).alias("first"))
+        F.count("t").alias("events"), F.sum(F.size("strategy_ids").cast("long")).alias("dispatched"), F.min(F.get("strategy_ids", lit(0))).alias("first"))
 
 
 @query("j14_left_join_on_mode", with_sql("positions", "strategies") + """SELECT s.strategy_id, count(lp.size) AS live_rows, count(vp.size) AS signal_rows,
