@@ -91,10 +91,10 @@ OPEN = f"""b AS (SELECT strategy_id, max(t) AS bt, last(equity ORDER BY t, id) A
   FROM rebuilt LEFT JOIN b USING (strategy_id) LEFT JOIN a USING (strategy_id))"""
 
 
-def opening(spark, d):
+def opening(spark, d, rebuilt=None):
     snaps = snapshots(spark, d)
     edge = J.boundary_rows(snaps, "strategy_id", "t", BOUNDARY, BOUNDARY + DAY, ["t", "id"], ["t", "equity"])
-    rebuilt = L.reconstructed_opening(strategies(spark, d), trades(spark, d), payments(spark, d), BOUNDARY)
+    rebuilt = rebuilt if rebuilt is not None else L.reconstructed_opening(strategies(spark, d), trades(spark, d), payments(spark, d), BOUNDARY)
     return J.opening_equity(edge, rebuilt, "strategy_id", BOUNDARY)
 
 
@@ -174,8 +174,7 @@ EQ = with_sql("trades", "positions", "marks", "payments", "strategies", more=EQU
 
 
 def equity(spark, d):
-    t, p = trades(spark, d), positions(spark, d)
-    return L.current_equity(strategies(spark, d), t, p, payments(spark, d), t.where("symbol <> 'SOL/USDT'"), p, marks(spark, d))
+    return L.equity_and_opening(strategies(spark, d), trades(spark, d), payments(spark, d), BOUNDARY, c("symbol") != "SOL/USDT", c("symbol") != "DOGE/USDT")
 
 
 @query("j11_current_equity", EQ + """SELECT strategy_id, mode, round(realized, 4) AS realized, round(funding, 4) AS funding, round(unrealized, 4) AS unrealized,

@@ -37,7 +37,7 @@ def _(spark, d):
 def _(spark, d):
     s = snapshots(spark, d).where((c("reason") == "P") & (c("t") >= BOUNDARY) & (c("t") < BOUNDARY + DAY))
     resets = L.latest(s, "strategy_id", ["t", "id"], ["equity"]).withColumnRenamed("equity", "reset_equity")
-    m = L.daily_metrics(equity(spark, d), opening(spark, d), resets)
+    m = L.daily_metrics(opening(spark, d, equity(spark, d)), None, resets)
     return m.select("strategy_id", *R(4, "current_equity", "total_pnl", "today_pnl"), "estimated", "source", "completed_trades", "wins", *R(6, "win_rate"))
 
 
