@@ -468,11 +468,12 @@ def excursions(trades: DataFrame, bars: DataFrame, step: int, width: int = 64) -
         low, high = a + 1, b - 1
     looks = F.flatten(F.array_compact(F.array(*looks)))
     t = trades.select(F.struct(*trades.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"), "symbol", looks.alias("_looks"))
-    t = t.select("_row", "_id", "symbol", F.explode_outer("_looks").alias("_look")).select("_row", "_id", "symbol", "_look.*")
+    t = t.select("_row", "_id", "symbol", F.posexplode_outer("_looks").alias("_at", "_look"))  # the first look alone carries the trade
+    t = t.select(when(F.coalesce("_at", lit(0)) == 0, c("_row")).alias("_row"), "_id", "symbol", "_look.*")
     inside = F.filter("_in", lambda x: (x["u"] >= c("_lo")) & (x["u"] <= c("_hi")))
     t = t.join(_levels(bars, size, width), ["symbol", "_level", "_node"], "left").select("_row", "_id", inside.alias("_in"))
     t = t.select("_row", "_id", F.array_max(F.transform("_in", lambda x: x["high"])).alias("_h"), F.array_min(F.transform("_in", lambda x: x["low"])).alias("_l"))
-    x = t.groupBy("_id").agg(F.first("_row").alias("_row"), F.max("_h").alias("_h"), F.min("_l").alias("_l"))
+    x = t.groupBy("_id").agg(F.first("_row", ignorenulls=True).alias("_row"), F.max("_h").alias("_h"), F.min("_l").alias("_l"))
     up, entry = c("_row.direction") > 0, c("_row.entry")
     best = when(up, F.greatest("_h", entry) - entry).otherwise(entry - F.least("_l", entry))
     worst = when(up, entry - F.least("_l", entry)).otherwise(F.greatest("_h", entry) - entry)
