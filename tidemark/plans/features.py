@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.registry import query
 from tidemark.model import Panel, epoch
 from tidemark.operators import features as X
-from tidemark.operators.factors import factor_panel, fold_frame, mem
+from tidemark.operators.factors import fold_frame, mem
 from tidemark.plans.factors import emas, lag, w
 from tidemark.plans.standins import HOUR, WEEK, hourly, seconds, table, weekly, with_sql
 
