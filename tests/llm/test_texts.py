@@ -210,6 +210,30 @@ def test_op7_every_learning_document_moves_the_network(docs):
         assert not np.array_equal(lm.fit(docs(row), v)["cb"], v.class_bias), row
 
 
+def test_op7_lanes_go_on_with_the_next_document():
+    """Forty documents of ten tokens and a long one keep eight lanes busy until the long one alone is left."""
+    texts = [np.full(10, i, np.int32) for i in range(40)] + [np.full(60, 40, np.int32)]
+    (own, ids, length), *more = lm._lanes(texts, 8)
+    assert not more and len(ids) == 60 and length.sum() == 460 and all((own[:n, i] == ids[:n, i]).all() for i, n in enumerate(length))
+    v, p = small_model()
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, v.n_head + lm.TAIL_CLASSES + 1, k) for k in rng.integers(1, 90, lm.SIDE * 3)]
+    assert np.allclose(lm.log_likelihood(p, v, texts), [lm.log_likelihood(p, v, [t])[0] for t in texts])
+
+
+def test_op7_words_that_are_not_broadcast(docs, monkeypatch):
+    """With few words sent, the counts of the others come from the join."""
+    rows = [(i, f"the cat {'sat ' * (i % 4)}on mat {i} the end") for i in range(30)] + [(30, "dog the never")]
+    d = docs(*rows)
+    monkeypatch.setattr(lm, "HEAD", 8)
+    want = {r.doc_id: r for r in lm.score(d, d.where("doc_id < 30")).collect()}
+    monkeypatch.setattr(lm, "KNOWN", 8)
+    v = lm.vocabulary(lm.token_counts(d.where("doc_id < 30")))
+    got = lm.score(d, d.where("doc_id < 30")).collect()
+    check_base(rows, got, lambda i: i < 30)
+    assert len(v.number) == 7 and all(math.isclose(r.score, want[r.doc_id].score) for r in got)
+
+
 def small_model():
     words = [(f"w{i}".encode(), 400 // (i + 1)) for i in range(60)] + [(f"rare{i}".encode(), 1) for i in range(50)] + [(lm.END, 30)]
     total = sum(c for _, c in words) * 3
