@@ -170,6 +170,34 @@ def test_op5_votes_stay_with_their_text(spark, docs):
     assert {t: (n.yes, n.no) for t, n in got.items()} == {"fool": (1, 0), "day": (1, 1)}
 
 
+def test_op5_doc_ids_do_not_decide_ties(spark, docs):
+    """Two examples of unlike labels are equally near to "aaa"; exchanging their ids changes no score."""
+    texts, toxic = ["aaa " * 20 + "bbb", "aaa " * 20 + "ccc", "aaa ggg", "eee", "fff", "hhh", "aaa"], [1, 0, 1, 1, 0, 0, None]
+    scores = []
+    for ids in ([1, 2, 3, 4, 5, 6, 7], [2, 1, 3, 4, 5, 6, 7]):
+        d = docs(*zip(ids, texts, strict=True))
+        labels = spark.createDataFrame(list(zip(ids, toxic, strict=True)), "doc_id long, toxic int")
+        scores.append({texts[ids.index(r.doc_id)]: r.score for r in toxicity.score(d, d, labels, neighbours=1).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_op5_index_with_common_terms_and_many_queries():
+    """Terms of most examples go by the table, the others by postings; queries that share a product get what each gets alone."""
+    rng = np.random.default_rng(6)
+    n_terms, vectors = 300, []
+    for _ in range(500):
+        t = np.unique(np.concatenate([np.flatnonzero(rng.random(20) < 0.5), rng.choice(n_terms, 9)]))
+        vectors.append(toxicity.unit(t, rng.integers(1, 5, len(t)), 1 + np.arange(n_terms) / 100))
+    dense = np.zeros((len(vectors), n_terms))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    index = toxicity.BlockMaxIndex(vectors, n_terms, block=16)
+    assert 10 < len(index.table) < 40
+    for q, got in enumerate(index.nearest_of(vectors[:150], 7)):
+        want = sorted((-c, i) for i, c in enumerate(np.round(dense @ dense[q], 12)) if c > 0)[:7]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [-c for c, _ in want])
+
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -3,9 +3,9 @@
 Texts are vectors over all words of the examples. A word weighs TF-IDF times the chi-square of its document counts in the two
 classes: without it, neighbours are texts of the same language and subject, whatever their label. No word is left out, be it
 rare, but one that tells nothing (chi-square 0). Examples are labelled texts; those with equal vectors are one example with their votes.
-The nearest examples by cosine are found exactly in an inverted index: postings of a term are cut into blocks of examples,
-each with its largest weight, and a block is scored only if the weights it could reach add up to more than the neighbours
-already found. Neighbours vote by label, weighted by distance, shrunk towards the rate among all examples; so a score is an
+The nearest examples by cosine are found exactly: sums in single precision, over a table for the commonest terms and over
+postings for the others, give each block of examples the largest cosine it could reach, and only in blocks that reach the
+neighbours already found are examples scored again, in double precision from their own vectors. Neighbours vote by label, weighted by distance, shrunk towards the rate among all examples; so a score is an
 estimate of the share of toxic texts among texts like it. Neighbours and terms are kept as evidence.
 
 The fit reads at most ``EXAMPLES`` distinct labelled texts, chosen by hash of the text (all there are below that), so the
@@ -13,15 +13,16 @@ index it broadcasts is bounded; document frequencies are counted over all docume
 
 Defined results: a text without any of the terms (also null or empty) gets the rate among such examples; without labels every
 score is 0; labels that are null are ignored, of several labels of a document the largest counts; equal similarities
-go to the smaller example (by heaviest term, then doc_id); repeated rows stay; an empty table gives no rows; further columns are ignored.
+go to the smaller example (by heaviest term, then its words and counts; never by doc_id); repeated rows stay; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import written
 
 EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 25, 64
+COMMON, TOGETHER, SLACK = 192, 64, 1e-5  # terms in the table, texts that share a product with it, error of single precision
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -81,14 +83,18 @@ def profiles(docs: DataFrame, number: Broadcast, more: tuple[str, ...] = ()) ->
     """doc_id, ``more`` (long columns), ids and counts in every text of the terms that ``number`` has."""
 
     def run(batches):
-        known = number.value
+        get = number.value.get
         for batch in batches:
-            ids, counts = [], []
+            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for text in batch.column("text"):
-                found = sorted((known[t], n) for t, n in Counter(TERM.findall((text.as_py() or "").lower())).items() if t in known)
-                ids.append([i for i, _ in found])
-                counts.append([n for _, n in found])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [*own, "ids", "counts"])
+                found = np.array([get(t, -1) for t in TERM.findall((text.as_py() or "").lower())], dtype=np.int32)
+                found.sort()
+                at = np.flatnonzero(np.diff(found, prepend=-1) > 0)  # -1, a word without a number, is no rise
+                ids.append(found[at])
+                counts.append(np.diff(at, append=len(found)).astype(np.int32))
+            ends = pa.array(np.cumsum([len(x) for x in ids]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (ids, counts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *lists], [*own, "ids", "counts"])
 
     own = ("doc_id", *more)
     return docs.select(F.col("doc_id").cast("long"), *more, "text").mapInArrow(run, ", ".join(f"{c} long" for c in own) + ", ids array<int>, counts array<int>")
@@ -103,51 +109,87 @@ class BlockMaxIndex:
     """Inverted index over unit vectors; exact nearest neighbours by cosine with block-max pruning."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.block, self.n = block, len(vectors)
-        self.blocks = -(-self.n // block)
-        row = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, int)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((row, term))
-        term, self.rows, self.values = term[order], row[order].astype(np.int32), weight[order]
-        #: Postings in the order of term and example; runs of one term in one block, with start, size and largest weight; runs of each term.
-        where = self.rows // block
-        self.start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (where[1:] != where[:-1])])) if len(term) else np.zeros(0, int)
-        self.size = np.diff(np.append(self.start, len(term)))
-        self.where = where[self.start]
-        self.top = np.maximum.reduceat(self.values, self.start) if len(term) else np.zeros(0)
-        self.cut = np.searchsorted(term[self.start], np.arange(n_terms + 1))
-        self.scored = 0
-
-    def _score(self, runs: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Cosines with the examples of the wanted blocks; ``weights`` are those of the runs' terms."""
-        own = wanted[self.where[runs]]
-        runs, weights = runs[own], weights[own]
-        at = _ranges(self.start[runs], self.size[runs])
-        self.scored += int(wanted.sum())
-        return np.bincount(self.rows[at], np.repeat(weights, self.size[runs]) * self.values[at], self.blocks * self.block)
+        terms, weights = (np.concatenate(x) if vectors else np.zeros(0, int) for x in (([t for t, _ in vectors]), ([w for _, w in vectors])))
+        self._build(np.array([len(t) for t, _ in vectors], dtype=np.int64), terms, weights, n_terms, block)
+
+    @classmethod
+    def flat(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        """The same from the terms and weights of all vectors, one after another."""
+        out = cls.__new__(cls)
+        out._build(sizes, terms, weights, n_terms, block)
+        return out
+
+    def _build(self, sizes, terms, weights, n_terms, block):
+        self.block, self.n, self.blocks, self.scored = block, len(sizes), -(-len(sizes) // block), 0
+        self.sizes, self.terms, self.weights = sizes, terms.astype(np.int32, copy=False), weights
+        self.start = np.cumsum(sizes) - sizes
+        df = np.bincount(self.terms, minlength=n_terms)
+        #: A row per common term, -1 for the others.
+        self.row = np.full(n_terms, -1, np.int32)
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        common = common[df[common] * 8 > self.n]
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), self.blocks * block), np.float32)
+        #: Postings (example, weight) in the order of term and example, each as eight bytes, and where those of each term begin.
+        order = np.argsort(self.terms, kind="stable")
+        both = np.empty((len(order), 2), np.int32)
+        both[:, 0] = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
+        both[:, 1] = weights[order].astype(np.float32).view(np.int32)
+        self.postings = both.view(np.int64).ravel()
+        self.cut = np.concatenate([[0], np.cumsum(df)])
+        for i, t in enumerate(common):
+            own = self.postings[self.cut[t] : self.cut[t + 1]]
+            self.table[i, own.view(np.int32)[::2]] = own.view(np.float32)[1::2]
+        self.asked = np.zeros(n_terms)
+
+    def _exact(self, rows: np.ndarray) -> np.ndarray:
+        """Cosines of the examples, none of them empty, with the query in ``asked``."""
+        out = []
+        for i in range(0, len(rows), 1024):
+            size = self.sizes[rows[i : i + 1024]]
+            at = _ranges(self.start[rows[i : i + 1024]], size)
+            out.append(np.add.reduceat(self.asked[self.terms[at]] * self.weights[at], np.cumsum(size) - size))
+        return np.round(np.concatenate(out), 12) if out else np.zeros(0)
+
+    def _near(self, terms, weights, rough, k):
+        """``rough``: sums over the common terms."""
+        own = self.row[terms] < 0
+        begin, end = self.cut[terms[own]], self.cut[terms[own] + 1]
+        if len(begin):
+            found = np.concatenate([self.postings[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            add = np.repeat(weights[own].astype(np.float32), end - begin)
+            add *= found.view(np.float32)[1::2]
+            rough = rough + np.bincount(found.view(np.int32)[::2], add, len(rough))
+        rough = rough.reshape(self.blocks, self.block)
+        reach = rough.max(axis=1)
+        # The most promising blocks give k cosines; of the other blocks those are looked into that could reach the last of them.
+        some = rough[np.argpartition(reach, -k)[-k:] if self.blocks > k else slice(None)].ravel()
+        floor = np.partition(some, -k)[-k] - 2 * SLACK if len(some) > k else 0.0
+        inside = np.flatnonzero((reach > 0) & (reach >= floor))
+        self.scored += len(inside)
+        at, place = np.nonzero((rough[inside] > 0) & (rough[inside] >= floor))
+        near = inside[at] * self.block + place
+        self.asked[terms] = weights
+        score = self._exact(near)
+        self.asked[terms] = 0
+        own = np.flatnonzero(score > 0)
+        own = own[np.lexsort((near[own], -score[own]))[:k]]
+        return list(zip(score[own].tolist(), near[own].tolist(), strict=True))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
+        """For each query the k largest (cosine, example), equal cosines by the smaller example; only cosines above 0."""
+        for i in range(0, len(queries), TOGETHER):
+            own = [(np.asarray(t, dtype=np.int64), w) for t, w in queries[i : i + TOGETHER]]
+            asked = np.zeros((len(own), len(self.table)), np.float32)
+            for j, (terms, weights) in enumerate(own):
+                row = self.row[terms]
+                asked[j, row[row >= 0]] = weights[row >= 0]
+            rough = asked @ self.table
+            for j, (terms, weights) in enumerate(own):
+                yield self._near(terms, weights, rough[j], k) if self.n else []
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k largest (cosine, example), equal cosines by the smaller example; only cosines above 0.
-
-        The most promising blocks give k cosines; of the other blocks those are scored that could reach the last of them.
-        """
-        terms = np.asarray(terms, dtype=np.int64)
-        each = self.cut[terms + 1] - self.cut[terms]
-        runs, weights = _ranges(self.cut[terms], each), np.repeat(weights, each)
-        reach = np.bincount(self.where[runs], weights * self.top[runs], self.blocks)
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-reach, kind="stable")[: -(-k // self.block) + 1]] = True
-        score = self._score(runs, weights, first & (reach > 0))
-        floor = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        more = ~first & (reach > 0) & (reach >= floor - 1e-9)
-        if more.any():
-            score += self._score(runs, weights, more)
-        score = np.round(score, 12)
-        floor = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        near = np.flatnonzero((score >= floor) & (score > 0))
-        near = near[np.lexsort((near, -score[near]))[:k]]
-        return list(zip(score[near].tolist(), near.tolist(), strict=True))
+        return next(self.nearest_of([(terms, weights)], k))
 
 
 def unit(ids, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,14 +201,15 @@ def unit(ids, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Examples:
     """The examples as they are sent: counts of words one after another. Each Python process makes the index once."""
 
-    def __init__(self, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray, weight: np.ndarray, votes: list[tuple]):
-        self.sizes, self.ids, self.counts, self.weight, self.votes = sizes, ids, counts, weight, votes
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray, weight: np.ndarray, votes: tuple, names: pa.Array):
+        self.sizes, self.ids, self.counts, self.weight, self.votes, self.names = sizes, ids, counts, weight, votes, names
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        cuts = np.cumsum(self.sizes)[:-1]
-        own = zip(np.split(self.ids, cuts), np.split(self.counts, cuts), strict=True) if len(self.sizes) else ()
-        return BlockMaxIndex([unit(i, n, self.weight) for i, n in own], len(self.weight))
+        w = (1 + np.log(self.counts)) * self.weight[self.ids]
+        if len(w):
+            w /= np.repeat(np.sqrt(np.add.reduceat(w * w, np.cumsum(self.sizes) - self.sizes)), self.sizes)
+        return BlockMaxIndex.flat(self.sizes, self.ids, w, len(self.weight))
 
 
 def score(docs: DataFrame, train: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -193,32 +236,42 @@ def score(docs: DataFrame, train: DataFrame, labels: DataFrame, neighbours: int
 
     def place(i):
         ids, counts = (x[start[i] : start[i] + sizes[i]] for x in flat)
-        return ids[((1 + np.log(counts)) * weight[ids]).argmax()], votes[i][0] is not None, votes[i][0] or 0, ids.tobytes()
+        return ids[((1 + np.log(counts)) * weight[ids]).argmax()], ids.tobytes(), counts.tobytes()
 
     # Examples with the same heaviest term lie side by side, so that few blocks hold what a text could be near to.
     full = np.array(sorted(np.flatnonzero(sizes), key=place), dtype=np.int64)
     at = _ranges(start[full], sizes[full])
-    sent = spark.sparkContext.broadcast(Examples(sizes[full], flat[0][at], flat[1][at], weight, [votes[i] for i in full]))
+    names = pa.array(terms, pa.string())
+    told = (pa.array([votes[i][0] for i in full], pa.int64()), *(np.array([votes[i][c] for i in full], dtype=np.int64) for c in (1, 2)))
+    sent = spark.sparkContext.broadcast(Examples(sizes[full], flat[0][at], flat[1][at], weight, told, names))
+    number.unpersist()
 
     def run(batches):
-        search, votes, weight = sent.value.index, sent.value.votes, sent.value.weight
-        names = pa.array(list(number.value), pa.string())
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("yes", pa.int64()), ("no", pa.int64())]))
+        search, (doc_ids, yes, no), weight = sent.value.index, sent.value.votes, sent.value.weight
         for batch in batches:
-            out, told, known = [], [], {}
-            for own, n in zip(batch.column("ids"), batch.column("counts"), strict=True):
-                ids, counts = own.values.to_numpy(), n.values.to_numpy()
-                key = (ids.tobytes(), counts.tobytes())
-                if key not in known:
-                    near = search.nearest(*unit(ids, counts, weight), neighbours) if len(ids) and votes else []
-                    w = [1 / (1.05 - s) for s, _ in near]
-                    good = math.fsum(x * votes[i][1] for x, (_, i) in zip(w, near, strict=True)) + prior
-                    every = math.fsum(x * (votes[i][1] + votes[i][2]) for x, (_, i) in zip(w, near, strict=True)) + 1
-                    known[key] = (good / every if near else none, [{"doc_id": votes[i][0], "cosine": s, "yes": votes[i][1], "no": votes[i][2]} for s, i in near])
-                out.append(known[key][0])
-                told.append(known[key][1])
-            sizes = [len(x) for x in batch.column("ids")]
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), names.take(batch.column("ids").flatten()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), words, pa.array(told, kind)], ["doc_id", "score", "terms", "neighbours"])
+            lists = [batch.column(c) for c in ("ids", "counts")]
+            ends = lists[0].offsets.to_numpy()
+            ids, counts = (x.values.to_numpy() for x in lists)  # from the offsets' start, also of a slice
+            of, which = {}, []
+            for a, b in pairwise(ends.tolist()):
+                key = hashlib.blake2b(ids[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest()
+                which.append(of.setdefault(key, len(of)))
+            which = np.array(which, dtype=np.int64)
+            first = np.unique(which, return_index=True)[1]
+            queries = [unit(ids[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]], weight) for i in first]
+            known, found, cosines = np.empty(len(queries)), [], []
+            for i, near in enumerate(search.nearest_of(queries, neighbours)):
+                at, cosine = np.array([x for _, x in near], dtype=np.int64), np.array([x for x, _ in near])
+                w = 1 / (1.05 - cosine)
+                known[i] = (math.fsum(w * yes[at]) + prior) / (math.fsum(w * (yes[at] + no[at])) + 1) if near else none
+                found.append(at)
+                cosines.append(cosine)
+            size = np.array([len(x) for x in found], dtype=np.int64)
+            each = _ranges((np.cumsum(size) - size)[which], size[which]) if len(which) else np.zeros(0, np.int64)
+            at, cosine = (np.concatenate(x)[each] if x else np.zeros(0, t) for x, t in ((found, np.int64), (cosines, float)))
+            evidence = pa.StructArray.from_arrays([doc_ids.take(pa.array(at)), pa.array(cosine), pa.array(yes[at]), pa.array(no[at])], ["doc_id", "cosine", "yes", "no"])
+            told = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[which])]), pa.int32()), evidence)
+            words = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), sent.value.names.take(lists[0].flatten()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(known[which]), words, told], ["doc_id", "score", "terms", "neighbours"])
 
     return found.mapInArrow(run, "doc_id long, score double, terms array<string>, neighbours array<struct<doc_id:long,cosine:double,yes:long,no:long>>")
