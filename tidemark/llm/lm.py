@@ -36,7 +36,7 @@ from tidemark.llm.shared import slices, written
 HEAD, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 2048, 32, 32, 16
 KNOWN = 1 << 18
 ROUNDS, LANES, STEPS, RATE = 3, 96, 16, 0.1  # documents side by side, steps of a window
-SIDE = 256  # documents side by side where nothing is learned
+SIDE = 128  # documents side by side where nothing is learned
 END = b""
 SLICE_CHARS, PART, FLUSH = 24_000_000, 8192, 400_000
 
@@ -155,8 +155,8 @@ def forward(p, ids, live, h, keep=None):
         np.multiply(s, 1 if keep is None else keep[t, :width], out=own)
         a = u @ own
         np.add(x[t, : 2 * n], a[: 2 * n], out=gate)
-        np.minimum(gate, 80, out=gate)
-        np.exp(gate, out=gate)
+        with np.errstate(over="ignore"):  # a closed gate is 0
+            np.exp(gate, out=gate)
         gate += 1
         np.reciprocal(gate, out=gate)
         inner[t] = a[2 * n :]
@@ -177,26 +177,26 @@ def _alive(x, live):
     return x[np.arange(live[0]) < np.array(live)[:, None]]
 
 
-def _softmax(x, axis):
-    """Takes the logarithms of the sums of exponentials from ``x``, in place; returns the probabilities."""
+def _exponentials(x, axis, own):
+    """The log probabilities at ``own``, and exponentials, made in place, with their sums."""
     x -= x.max(axis=axis, keepdims=True)
-    e = np.exp(x)
+    out = x[own]
+    e = np.exp(x, out=x)
     total = e.sum(axis=axis, keepdims=True)
-    x -= np.log(total)
-    e /= total
-    return e
+    return out, e, total
 
 
 def output(p, v: Vocabulary, states, targets, grad=False):
     """Natural log of P(class) P(head word | class) of each target, and the gradient of minus their mean."""
     cls, n = v.classes(targets), len(targets)
-    x = p["c"].T @ states.T + p["cb"][:, None]
-    e, at = _softmax(x, 0), np.arange(n)
-    out = x[cls, at].astype(np.float64)
+    x, at = p["c"].T @ states.T, np.arange(n)
+    x += p["cb"][:, None]
+    out, e, total = _exponentials(x, 0, (cls, at))
+    out = (out - np.log(total[0])).astype(np.float64)
     g, d = {}, None
     if grad:
-        e[cls, at] -= 1
-        e /= n
+        e *= 1 / (total * n)
+        e[cls, at] -= e.dtype.type(1 / n)
         g["c"], g["cb"], d = (e @ states).T, e.sum(axis=1), (p["c"] @ e).T
         g["o"], g["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
     own = np.flatnonzero(v.shared[cls])
@@ -213,11 +213,12 @@ def output(p, v: Vocabulary, states, targets, grad=False):
     words = v.members[names]  # the first word again where a class has fewer, which the bias rules out
     weight, bias = p["o"][words], np.where(v.filled[names], p["ob"][words], np.asarray(-np.inf, p["ob"].dtype))
     x = seen @ weight.transpose(0, 2, 1) + bias[:, None, :]
-    e, at = _softmax(x, 2), targets[own] - v.first[c]
-    out[own] += x[row, place, at]
+    at = targets[own] - v.first[c]
+    out_, e, total = _exponentials(x, 2, (row, place, at))
+    out[own] += out_ - np.log(total[row, place, 0])
     if grad:
         told = np.zeros_like(e)
-        told[row, place] = e[row, place]
+        told[row, place] = e[row, place] / total[row, place]
         told[row, place, at] -= 1
         told /= n
         full = v.filled[names]
