@@ -120,6 +120,8 @@ def _sizes(cut: Cut, times: int) -> list:
 def _starts(at: Column, sizes) -> list[Column]:
     """Start of the span of each size that a value lies in, each inside the one before."""
     starts = [F.floor(at / sizes[0]) * sizes[0]]
+    if isinstance(sizes[0], float):  # sixty-fourths of a float are exact, so all are counted from the first: nested, each would hold the one before twice
+        return starts + [starts[0] + F.floor((at - starts[0]) / size) * size for size in sizes[1:]]
     for size in sizes[1:]:
         starts.append(starts[-1] + F.floor((at - starts[-1]) / size) * size)
     return starts

@@ -1,21 +1,25 @@
 """Exact quantiles, ranks and buckets on groups of any size, and the normal distribution.
 
-A group is first reduced to its distinct values with counts; cumulative counts over those
-come from the two-level scan, cut by counted ranges of values (``ordered.Cut``).  No task sees a whole group.
+For ranks a group is first reduced to its distinct values with counts; cumulative counts over those
+come from the two-level scan, cut by counted ranges of values (``ordered.Cut``).  Quantiles need
+the values of a few ranges alone, which are found by counting.  No task sees a whole group.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import Cut, chunked, scan
+from tidemark.functions.ordered import MANY, Cut, chunked, plain_keys, scan
+from tidemark.session import chunk_rows
 
 c, lit, when = F.col, F.lit, F.when
 #: First width of the ranges on the axis of :func:`value_axis`, which spans about 25,000.
 WIDE = 4096.0
+#: Widths on that axis of the bins in which :func:`quantiles` counts: 1.6 % of a value, then each cut in 65,536.
+BINS = (2.0 ** -2, 2.0 ** -18, 2.0 ** -34)
 
 
 def value_axis(x: Column) -> Column:
@@ -41,35 +45,93 @@ def histogram_counts(df: DataFrame, keys, col: str) -> DataFrame:
     return scan(h, keys, [col], range_, cum=("sum", "n")).drop("_g")
 
 
-def quantiles(df: DataFrame, keys, col: str, probs: dict[str, float], rule: str = "linear") -> DataFrame:
-    """Exact quantiles per group.
-
-    ``linear`` interpolates between neighbours, ``upper`` takes index n*q (upper median),
-    ``nearest`` rounds the index half to even.
-    """
-    keys = list(keys) or ["_all"]
-    if keys == ["_all"]:
-        df = df.withColumn("_all", lit(0))
-    h = histogram_counts(df.select(*keys, col), keys, col)
-    h = h.join(df.where(c(col).isNotNull()).groupBy(*keys).agg(F.count(lit(1)).alias("total")), keys)
-    aggs = {}
+def quantile_places(total: Column, probs: dict[str, float], rule: str) -> dict[str, tuple[Column, Column]]:
+    """Zero-based places, among ``total`` values in order, of the two values that each quantile lies between."""
+    places = {}
     for name, q in probs.items():
         if rule == "linear":
-            pos = (c("total") - 1) * lit(float(q))
-            low, high = F.floor(pos), F.ceil(pos)
+            pos = (total - 1) * lit(float(q))
+            places[name] = F.floor(pos), F.ceil(pos)
         elif rule == "upper":
-            low = high = F.least(F.floor(c("total") * lit(float(q))), c("total") - 1)
+            places[name] = (F.least(F.floor(total * lit(float(q))), total - 1),) * 2
         else:
-            low = high = F.bround((c("total") - 1) * lit(float(q)), 0).cast("long")
-        at = lambda k: F.max(when((c("cum") - c("n") <= k) & (k < c("cum")), c(col)))
-        aggs[f"{name}__lo"], aggs[f"{name}__hi"] = at(low), at(high)
-    g = h.groupBy(*keys, "total").agg(*[a.alias(n) for n, a in aggs.items()])
-    out = []
+            places[name] = (F.bround((total - 1) * lit(float(q)), 0).cast("long"),) * 2
+    return places
+
+
+def quantile_values(values: DataFrame, by, more: list, probs: dict[str, float], rule: str) -> DataFrame:
+    """Quantiles from the values ``_v`` at places ``_before`` to ``_before + _n`` of a group of ``_total``; ``more`` are aggregates to keep."""
+    places = quantile_places(c("_total"), probs, rule)
+    at = lambda k: F.max(when((c("_before") <= k) & (k < c("_before") + c("_n")), c("_v")))
+    ends = [at(k).alias(f"{name}__{end}") for name, pair in places.items() for end, k in zip(("lo", "hi"), pair)]
+    g = values.groupBy(*by).agg(*more, F.first("_total").alias("_total"), *ends)
+    out = {}
     for name, q in probs.items():
         lo, hi = c(f"{name}__lo"), c(f"{name}__hi")
-        pos = (c("total") - 1) * lit(float(q))
-        out.append((lo + (hi - lo) * (pos - F.floor(pos)) if rule == "linear" else lo).alias(name))
-    return g.select(*[k for k in keys if k != "_all"], *out)
+        pos = (c("_total") - 1) * lit(float(q))
+        out[name] = lo + (hi - lo) * (pos - F.floor(pos)) if rule == "linear" else lo
+    return g.withColumns(out).drop("_total", *[f"{name}__{end}" for name in probs for end in ("lo", "hi")])
+
+
+def quantile_bins(counts: DataFrame, by, probs: dict[str, float], rule: str) -> DataFrame:
+    """Of bins ``_b`` with ``_n`` values, those that a quantile lies in: with ``_before``, the values in earlier bins, and ``_total``.
+
+    Bins inside bins come with the ``_p`` they are in and its ``_before`` and ``_total``.
+    """
+    inner = "_p" in counts.columns
+    over = Window.partitionBy(*by, *(["_p"] if inner else []))
+    upto = F.sum("_n").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - c("_n")
+    counts = counts.withColumns({"_before": upto + c("_before") if inner else upto, "_total": c("_total") if inner else F.sum("_n").over(over)})
+    places = quantile_places(c("_total"), probs, rule)
+    hit = lit(False)
+    for k in {str(k): k for pair in places.values() for k in pair}.values():
+        hit = hit | ((c("_before") <= k) & (k < c("_before") + c("_n")))
+    return counts.where(hit).drop("_p")
+
+
+def quantile_bin(value: Column, level: int = 0) -> Column:
+    return F.floor(value_axis(value) / BINS[level])
+
+
+def quantiles(df: DataFrame, keys, col: str, probs: dict[str, float], rule: str = "linear") -> DataFrame:
+    """Exact quantiles per group; null values count for nothing, null keys are a group.
+
+    ``linear`` interpolates between neighbours, ``upper`` takes index n*q (upper median),
+    ``nearest`` rounds the index half to even.
+
+    A job counts the values in bins of their range, which are reduced before the shuffle; the few bins that the quantiles lie in are sent to all tasks, and
+    those with more rows than ``chunkRows`` are cut finer by a further job.  Only their values are then grouped and ordered.  Groups with
+    more than ``MANY`` such bins are counted whole instead.
+    """
+    keys = list(keys)
+    x = df.where(c(col).isNotNull()).select(*keys, c(col).alias("_v"))
+    made = plain_keys(x, keys) or {"_q0": lit(0)}
+    by, spark = [*made], df.sparkSession
+    x, own = x.withColumns(made), [F.first(k).alias(k) for k in keys]
+    bins, level = None, 0
+    for level in range(len(BINS)):
+        inside, here = [*by], quantile_bin(c("_v"), level)
+        rows = x.withColumn("_b", here)
+        if bins is not None:
+            rows = x.withColumns({"_p": quantile_bin(c("_v"), level - 1), "_b": here}).join(bins, [*by, "_p"])
+            inside += ["_p", "_before", "_total"]
+        n = rows.groupBy(*inside, "_b").agg(F.count(lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        frame = quantile_bins(n, by, probs, rule)
+        some = frame.limit(MANY + 1).collect()
+        if len(some) > MANY:
+            break
+        bins = F.broadcast(spark.createDataFrame(some, frame.schema).select(*by, c("_b").alias("_p"), "_before", "_total"))
+        if all(r["_n"] <= chunk_rows(spark) or r["_lo"] == r["_hi"] for r in some):
+            break
+    if bins is None or len(some) > MANY:
+        h = histogram_counts(x, by, "_v").withColumn("_before", c("cum") - c("n")).withColumnRenamed("n", "_n")
+        h = h.join(x.groupBy(*by).agg(F.count(lit(1)).alias("_total"), *own), by)
+    else:
+        h = x.withColumn("_p", quantile_bin(c("_v"), level)).join(bins, [*by, "_p"])
+        h = h.groupBy(*by, "_p", "_before", "_total", "_v").agg(F.count(lit(1)).alias("_n"), *own)
+        upto = F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        h = h.withColumn("_before", c("_before") + upto - c("_n"))
+    return quantile_values(h, by, own, probs, rule).select(*keys, *probs)
 
 
 def average_ranks(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
@@ -183,7 +245,6 @@ def cross_ranks(df: DataFrame, keys, col: str, avg: str | None = None, first: st
     ``avg`` gives tied values their mean rank, ``first`` orders ties by ``tie``, ``size`` is
     the group size.  A group is spread over its ranges, so a large one is never sorted whole; null and NaN have no rank.
     """
-    from pyspark.sql import Window
     keys = list(keys)
     by = [*keys, "_b"]
     rows, range_ = _cut_by_value(df.where(c(col).isNotNull() & ~F.isnan(c(col).cast("double"))), keys, col)
