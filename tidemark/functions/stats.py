@@ -89,6 +89,12 @@ def quantile_bins(counts: DataFrame, by, probs: dict[str, float], rule: str) ->
     return counts.where(hit).drop("_p")
 
 
+def ordered_values(values: DataFrame, by) -> DataFrame:
+    """``_before`` of distinct values ``_v`` that come ``_n`` times, from that of the bin ``by`` they are in."""
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return values.withColumn("_before", c("_before") + upto - c("_n"))
+
+
 def quantile_bin(value: Column, level: int = 0) -> Column:
     return F.floor(value_axis(value) / BINS[level])
 
@@ -128,9 +134,7 @@ def quantiles(df: DataFrame, keys, col: str, probs: dict[str, float], rule: str
         h = h.join(x.groupBy(*by).agg(F.count(lit(1)).alias("_total"), *own), by)
     else:
         h = x.withColumn("_p", quantile_bin(c("_v"), level)).join(bins, [*by, "_p"])
-        h = h.groupBy(*by, "_p", "_before", "_total", "_v").agg(F.count(lit(1)).alias("_n"), *own)
-        upto = F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        h = h.withColumn("_before", c("_before") + upto - c("_n"))
+        h = ordered_values(h.groupBy(*by, "_p", "_before", "_total", "_v").agg(F.count(lit(1)).alias("_n"), *own), [*by, "_p"])
     return quantile_values(h, by, own, probs, rule).select(*keys, *probs)
 
 

@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import Framed, number, scan
-from tidemark.functions.stats import bucket_of_rank, corr0, cross_ranks, quantiles
+from tidemark.functions.ordered import Framed, _shared, number, plain_keys, scan
+from tidemark.functions.stats import bucket_of_rank, corr0, cross_ranks, ordered_values, quantile_bin, quantile_bins, quantile_values
 from tidemark.model import Panel, div, epoch
 from tidemark.operators.joins import membership_flags
 from tidemark.session import durable
@@ -23,12 +23,25 @@ FUNDAMENTAL = {"earnings_yield": "pe_ratio", "size": "market_cap"}
 
 
 def winsorize_zscore(df: DataFrame, keys, col: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip to quantiles, then z-score with the population deviation; flat groups give 0."""
-    keys = list(keys)
-    q = quantiles(df, keys, col, {"_lo": low, "_hi": high})
-    x = df.where(c(col).isNotNull()).join(q, keys).withColumn("_x", F.least(F.greatest(c(col), c("_lo")), c("_hi")))
-    m = x.groupBy(*keys).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
-    return x.join(m, keys).withColumn("zscore", when(c("_s") > 0, (c("_x") - c("_m")) / c("_s")).otherwise(0.0)).drop("_lo", "_hi", "_x", "_m", "_s")
+    """Clip to quantiles, then z-score with the population deviation; flat groups give 0.
+
+    The rows are shuffled once, by bins of their value: for the counts of the bins, the values around the quantiles, the moments and the scores.
+    What is known of a group comes back to its rows by bins.
+    """
+    keys, probs = list(keys), {"_lo": low, "_hi": high}
+    x = df.where(c(col).isNotNull())
+    made = plain_keys(x, keys)
+    by, at = [*made], [*made, "_b"]
+    x, seen = _shared(x.withColumns({**made, "_b": F.coalesce(quantile_bin(c(col)), lit(0))}), at)  # never null, so that no join filters it
+    seen = seen.alias("_seen")  # in each use of the rows, so that all use one shuffle
+    bins = x.groupBy(*at).agg(F.count(lit(1)).alias("_n"), seen).where("_seen >= 0").drop("_seen")
+    q = x.join(quantile_bins(bins, by, probs, "linear").drop("_n"), at).groupBy(*at, "_before", "_total", c(col).alias("_v"))
+    q = ordered_values(q.agg(F.count(lit(1)).alias("_n"), seen).where("_seen >= 0").drop("_seen"), at)
+    q = quantile_values(q, by, [], probs, "linear")
+    x = x.join(bins.drop("_n").join(q, by), at).withColumn("_x", F.least(F.greatest(c(col), c("_lo")), c("_hi")))
+    m = x.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"), seen).where("_seen >= 0")
+    x = x.join(bins.drop("_n").join(m.drop("_seen"), by), at)
+    return x.select(*df.columns, when(c("_s") > 0, (c("_x") - c("_m")) / c("_s")).otherwise(0.0).alias("zscore"))
 
 
 def information_coefficient(pairs: DataFrame, keys, score: str, ret: str) -> DataFrame:
