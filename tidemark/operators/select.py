@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import scan
+from tidemark.functions.ordered import MANY, scan
 from tidemark.model import Panel, epoch
 
 c = F.col
@@ -60,33 +60,38 @@ HEAD = 3
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    return F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
 
 
 def _heads(words: str) -> Column:
-    """All runs of one to ``HEAD`` neighbouring words. They repeat: ``array_distinct`` would compare each string with each."""
-    def runs(n):
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[runs(n) for n in range(1, HEAD + 1)])
+    """All runs of one to ``HEAD`` neighbouring words, which repeat; at the end of the text runs are shorter."""
+    after = lambda i, n: [F.get(words, i + k) for k in range(1, n)]
+    return F.flatten(F.transform(words, lambda w, i: F.array(*[F.concat_ws(" ", w, *after(i, n)) if n > 1 else w for n in range(1, HEAD + 1)])))
 
 
 def relevant_news(news: DataFrame, aliases: DataFrame, text: Column, id_: str) -> DataFrame:
     """Pairs (news, asset) where an alias occurs as whole words.
 
-    Runs of words of a text meet the first words of the aliases in an equi join, so many aliases that share their
-    first word are no candidates. An alias of one word is found by that; others are then looked for in the text, which joins
-    the candidates alone.
+    Runs of words of a text meet the first words of the aliases by equality, so many aliases that share their
+    first word are no candidates. An alias of one word is found by that; others are then looked for in the text. Up to ``MANY``
+    aliases are sent to the texts, of which only the pairs found are shuffled; more are joined by a shuffle of the runs.
     """
-    low = F.lower(text)
-    heads = news.select(id_, _words(low).alias("_w")).select(id_, F.explode(_heads("_w")).alias("_head"))
+    # explode_outer, as explode would filter by the size of the runs, and in that filter the words would be made again for each run
+    spark = news.sparkSession
+    texts = news.select(id_, F.lower(text).alias("_text")).withColumn("_w", _words(c("_text")))
     a = aliases.select("asset", F.lower(F.trim("alias")).alias("_alias")).where(F.length("_alias") > 0).distinct()
     a = a.withColumn("_head", F.array_join(F.slice(_words(c("_alias")), 1, HEAD), " ")).where("_head <> ''")
-    hit = heads.join(a, "_head").distinct()
     one = (c("_alias") == c("_head")) & ~F.contains("_alias", F.lit(" "))
     at = F.concat(F.lit("(?<![a-z0-9])\\Q"), c("_alias"), F.lit("\\E(?![a-z0-9])"))
-    rest = hit.where(~one).join(news.select(id_, low.alias("_text")), id_).where(F.regexp_like("_text", at))
+    found = F.contains("_text", c("_alias")) & F.regexp_like("_text", at)
+    some = a.limit(MANY + 1).collect()
+    if len(some) <= MANY:
+        heads = sorted({r["_head"] for r in some}) or [""]
+        hit = texts.select(id_, "_text", F.array_intersect(_heads("_w"), F.lit(heads)).alias("_h"))
+        hit = hit.select(id_, "_text", F.explode_outer("_h").alias("_head")).join(F.broadcast(spark.createDataFrame(some, a.schema)), "_head")
+        return hit.where(one | found).select(id_, "asset").distinct()
+    hit = texts.select(id_, F.explode_outer(_heads("_w")).alias("_head")).join(a, "_head").distinct()
+    rest = hit.where(~one).join(texts.select(id_, "_text"), id_).where(found)
     return hit.where(one).select(id_, "asset").unionByName(rest.select(id_, "asset")).distinct()
 
 
