@@ -140,22 +140,30 @@ def chunk_entries(heads: DataFrame, keys, start: Column, step) -> DataFrame:
     return g.select(*keys, F.col("e.k").alias("_k"), F.col("e.s").alias("e"))
 
 
-def affine(df: DataFrame, keys, order, grain: Column | Cut, a: Column, b: Column, out: str) -> DataFrame:
+def affine(df: DataFrame, keys, order, grain: Column | Cut, a: Column, b: Column, out: str, placed=None, seen: Column | None = None) -> DataFrame:
     """``y = a * y_before + b`` per key in order, from 0; adds ``out`` (after) and ``out_before``.
 
     Affine maps compose, so a chunk is one pair (A, B): pairs are folded per key, then all
-    chunks run at once.  Rows of a null key are a key of their own.
+    chunks run at once.  Rows of a null key are a key of their own.  ``placed`` names columns that the rows are shuffled by already, the chunk
+    last: they are read twice, once for the pairs, instead of being shuffled again; ``seen`` is then an aggregate that keeps all their columns.
     """
-    item = F.struct(*order, a.alias("_a"), b.alias("_b2"), F.struct(*df.columns).alias("row"))
-    made = plain_keys(df, keys)
-    placed = placed_rows(df, keys, grain).withColumns({**made, "_item": item}).withColumnRenamed("_b", "_k")
-    keys, item = [*made], F.col("_item")
-    g = placed.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    step = [*order, a.alias("_a"), b.alias("_b2")]
+    if placed:
+        rows, keys = df.withColumn("_k", F.col(placed[-1])), placed[:-1]
+        item = F.struct(*step, F.struct(*[n for n in df.columns if n not in placed]).alias("row"))
+    else:
+        made, item = plain_keys(df, keys), F.struct(*step, F.struct(*df.columns).alias("row"))
+        rows = placed_rows(df, keys, grain).withColumns({**made, "_item": item}).withColumnRenamed("_b", "_k")
+        keys, item = [*made], F.col("_item")
+    g = rows.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    steps = g
+    if placed:
+        steps = rows.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(F.struct(*step))).alias("rows"), seen.alias("_seen")).where("_seen >= 0")
     unit = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
     pair = F.aggregate("rows", unit, lambda s, x: F.struct(
         (x["_a"] * s["a"]).alias("a"), (x["_a"] * s["b"] + x["_b2"]).alias("b")))
     zero = F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("p"))
-    entry = chunk_entries(g.select(*keys, "_k", pair.alias("m")), keys, zero, lambda s, x: F.struct(
+    entry = chunk_entries(steps.select(*keys, "_k", pair.alias("m")), keys, zero, lambda s, x: F.struct(
         (x["m"]["a"] * s["y"] + x["m"]["b"]).alias("y"), s["y"].alias("p")))
     done = g.join(entry, [*keys, "_k"]).select("rows", run(F.col("rows"), F.col("e"), lambda s, x: F.struct(
         (x["_a"] * s["y"] + x["_b2"]).alias("y"), s["y"].alias("p"))).alias("s"))

@@ -89,6 +89,15 @@ def plain_keys(df: DataFrame, keys) -> dict[str, Column]:
     return made
 
 
+def keys_again(df: DataFrame, keys) -> dict[str, Column]:
+    """The keys from the columns that :func:`plain_keys` made of them for ``df``, so that a shuffle needn't carry both."""
+    again = {}
+    for i, k in enumerate(keys):
+        field, made = df.schema[k], F.col(f"_q{i}")
+        again[k] = made if not field.nullable else made[k] if _stand_in(field.dataType) is None else F.when(F.col("_qn").bitwiseAND(1 << i) == 0, made)
+    return again
+
+
 @dataclass(frozen=True)
 class Cut:
     """Chunks of a numeric order column (seconds, a quantity): spans of ``span``, and finer ones where a key is dense."""
