@@ -437,15 +437,16 @@ def signal_returns(panel: Panel, signal: str, latency: int = 1, cost: float = 0.
 LEVELS = 4
 
 
-def _levels(bars: DataFrame, size: int, width: int) -> DataFrame:
-    """symbol, _level, _node, _in: bars by spans of time, spans by spans of spans, each with the extremes of what it holds."""
-    x, parts = bars.select("symbol", epoch().alias("u"), "high", "low"), []
+def _levels(bars: DataFrame, size: int, width: int) -> list[DataFrame]:
+    """symbol, _node, _in: bars by spans of time, spans by spans of spans, each with the extremes of what it holds."""
+    x, parts = bars.select("symbol", epoch().alias("u"), "high", "low").where("u IS NOT NULL"), []
     for level in range(LEVELS):
-        x = x.groupBy("symbol", F.floor(c("u") / (width if level else size)).alias("_node"))
+        # never null, so that a join doesn't filter the bars in another way for each level, and all levels read one shuffle of them
+        x = x.groupBy("symbol", F.coalesce(F.floor(c("u") / (width if level else size)), lit(0)).alias("_node"))
         x = x.agg(F.collect_list(F.struct("u", "high", "low")).alias("_in"), F.max("high").alias("high"), F.min("low").alias("low"))
-        parts.append(x.select("symbol", lit(level).alias("_level"), "_node", "_in"))
+        parts.append(x.select("symbol", "_node", "_in"))
         x = x.select("symbol", c("_node").alias("u"), "high", "low")
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def _look(level: int, low: Column, high: Column):
@@ -455,30 +456,39 @@ def _look(level: int, low: Column, high: Column):
 def excursions(trades: DataFrame, bars: DataFrame, step: int, width: int = 64) -> DataFrame:
     """Worst and best excursion of trades over the bars they were open.
 
-    Bars stand in spans of ``width``, spans in spans of spans. A trade looks into the two spans of bars at its ends; the whole spans between
-    them it sees through the two spans of spans at their ends, and so on: two looks a level, whatever its length, and one
+    Bars stand in spans of ``width``, spans in spans of spans. A trade within one span looks into that alone, and is shuffled once. Others look
+    into the two spans of bars at their ends; the whole spans between
+    them they see through the two spans of spans at their ends, and so on: two looks a level, whatever the length, and one
     join by (symbol, level, node). Rows: id, symbol, entry_t, exit_t, direction, entry.
     """
     size, looks = step * width, []
     low, high = c("entry_t"), c("exit_t")
+    within = F.coalesce((low <= high) & (F.floor(low / size) == F.floor(high / size)), lit(False))
+    levels = _levels(bars, size, width)
+    extremes = lambda inside: [F.array_max(F.transform(inside, lambda x: x["high"])).alias("_h"), F.array_min(F.transform(inside, lambda x: x["low"])).alias("_l")]
+    t = trades.where(within).withColumn("_node", F.floor(low / size)).join(levels[0], ["symbol", "_node"], "left")
+    inside = F.filter("_in", lambda x: (x["u"] >= c("entry_t")) & (x["u"] <= c("exit_t")))
+    short = t.select(*trades.columns, inside.alias("_in")).select(*trades.columns, *extremes("_in"))
     for level in range(LEVELS):
         a, b = F.floor(low / (width if level else size)), F.floor(high / (width if level else size))
         nodes = F.sequence(a, b) if level == LEVELS - 1 else F.array_distinct(F.array(a, b))
         looks.append(when(low <= high, F.transform(nodes, _look(level, low, high))))
         low, high = a + 1, b - 1
     looks = F.flatten(F.array_compact(F.array(*looks)))
-    t = trades.select(F.struct(*trades.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"), "symbol", looks.alias("_looks"))
-    t = t.select("_row", "_id", "symbol", F.posexplode_outer("_looks").alias("_at", "_look"))  # the first look alone carries the trade
-    t = t.select(when(F.coalesce("_at", lit(0)) == 0, c("_row")).alias("_row"), "_id", "symbol", "_look.*")
+    row = [f"_r_{n}" for n in trades.columns]  # by columns, so that those nobody asks for are not carried
+    t = trades.where(~within).select(*[c(n).alias(r) for n, r in zip(trades.columns, row)], F.monotonically_increasing_id().alias("_id"), "symbol", looks.alias("_looks"))
+    t = t.select(*row, "_id", "symbol", F.posexplode_outer("_looks").alias("_at", "_look"))  # the first look alone carries the trade
+    t = t.select(*[when(F.coalesce("_at", lit(0)) == 0, c(r)).alias(r) for r in row], "_id", "symbol", "_look.*")
+    spans = reduce(DataFrame.unionByName, [x.withColumn("_level", lit(level)) for level, x in enumerate(levels)])
     inside = F.filter("_in", lambda x: (x["u"] >= c("_lo")) & (x["u"] <= c("_hi")))
-    t = t.join(_levels(bars, size, width), ["symbol", "_level", "_node"], "left").select("_row", "_id", inside.alias("_in"))
-    t = t.select("_row", "_id", F.array_max(F.transform("_in", lambda x: x["high"])).alias("_h"), F.array_min(F.transform("_in", lambda x: x["low"])).alias("_l"))
-    x = t.groupBy("_id").agg(F.first("_row", ignorenulls=True).alias("_row"), F.max("_h").alias("_h"), F.min("_l").alias("_l"))
-    up, entry = c("_row.direction") > 0, c("_row.entry")
+    t = t.join(spans, ["symbol", "_level", "_node"], "left").select(*row, "_id", inside.alias("_in")).select(*row, "_id", *extremes("_in"))
+    t = t.groupBy("_id").agg(*[F.first(r, ignorenulls=True).alias(n) for n, r in zip(trades.columns, row)], F.max("_h").alias("_h"), F.min("_l").alias("_l"))
+    x = short.unionByName(t.drop("_id"))
+    up, entry = c("direction") > 0, c("entry")
     best = when(up, F.greatest("_h", entry) - entry).otherwise(entry - F.least("_l", entry))
     worst = when(up, entry - F.least("_l", entry)).otherwise(F.greatest("_h", entry) - entry)
     zero = lit(0.0)
-    return x.select("_row.*", F.coalesce(div(worst, entry), zero).alias("mae"), F.coalesce(div(best, entry), zero).alias("mfe"))
+    return x.select(*trades.columns, F.coalesce(div(worst, entry), zero).alias("mae"), F.coalesce(div(best, entry), zero).alias("mfe"))
 
 
 # --- chart indicators and evidence --------------------------------------------------------
